@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, pii, reputation, winnow
+from . import fertility, packing, pii, reputation, sstable, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.encode_and_read(table(spark, sf_dir, "documents"))
+
+
 #: Fixed by the query's contract.
 URL_RULES = tuple(reputation.Rule(*x) for x in (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")))
 
@@ -40,6 +44,10 @@ def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("base_spans")
 
@@ -47,7 +55,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_winnowing": op3_winnowing,
     "op4_fertility": op4_fertility,
+    "op5_sstable": op5_sstable,
     "op7_host_reputation": op7_host_reputation,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_pii": op10_pii,
 }
 
