@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, packing, pii, reputation, sstable, winnow
+from . import chat, fertility, packing, pii, reputation, sstable, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.derive(warc.responses_of(table(spark, sf_dir, "pages")))
+    lengths = (F.octet_length("block").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"))
+    return found.select(F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", *lengths, "block_digest", "payload_digest")
+
+
+def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_maximal(table(spark, sf_dir, "conversations"))
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -53,6 +63,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_snapshot_collapse": op2_snapshot_collapse,
     "op3_winnowing": op3_winnowing,
     "op4_fertility": op4_fertility,
     "op5_sstable": op5_sstable,
@@ -64,6 +76,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op2_snapshot_collapse": """
+        with c as (
+            select conv_id, list_sort(list(distinct struct_pack(turn := turn, role := role, text := text))) as raw from conversations where conv_id is not null group by conv_id
+        ),
+        t as (select conv_id, raw, list_transform(raw, lambda x: struct_pack(role := x.role, text := x.text)) as turns from c),
+        w as (select turns, min(conv_id) as conv_id, count(*) as copies from t group by turns)
+        select conv_id, cast(len(turns) as bigint) as n_turns, copies,
+            array_to_string(list_transform(turns, lambda x: '<|im_start|>' || coalesce(x.role, '') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), '') as text
+        from w where not exists (select 1 from w as o where len(o.turns) > len(w.turns) and o.turns[1] = w.turns[1] and list_slice(o.turns, 1, len(w.turns)) = w.turns)""",
     "op3_winnowing": rf"""
         with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
         b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
