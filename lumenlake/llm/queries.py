@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fertility, packing, pii, reputation, sstable, warc, winnow
+from . import chat, fertility, packing, pii, probminhash, reputation, sstable, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("base_spans")
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sstable": op5_sstable,
     "op7_host_reputation": op7_host_reputation,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_probminhash": op9_probminhash,
     "op10_pii": op10_pii,
 }
 
