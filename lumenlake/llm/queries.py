@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fertility, packing, pii, probminhash, reputation, sstable, warc, winnow
+from . import chat, fertility, packing, pii, probminhash, reputation, sstable, substrings, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        winnow.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
 
 
@@ -44,6 +44,10 @@ def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encode_and_read(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 #: Fixed by the query's contract.
 URL_RULES = tuple(reputation.Rule(*x) for x in (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_winnowing": op3_winnowing,
     "op4_fertility": op4_fertility,
     "op5_sstable": op5_sstable,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_host_reputation": op7_host_reputation,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_probminhash": op9_probminhash,

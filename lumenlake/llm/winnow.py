@@ -100,7 +100,7 @@ def _filter_of(hashes: DataFrame, n: int) -> tuple[Column | None, int]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_words, n_hit, items (sorted ids), spans (start and end of each run of hit words)."""
+    """A row for each row of docs: doc_id, key (hash of the text), n_words, n_hit, items (sorted ids), spans (runs of hit words)."""
     windows = benchmark_windows(benchmark, item_col, item_text_col)
     long_ones = windows.where(F.col("size") == SPAN).select("words", "items", "size", _least(_grams(F.col("words")))[0].alias("v"))
     long_ones = long_ones.select(_hash(F.col("v")).alias("f"), "size", _place(F.col("v"), F.lit(0)).alias("off"), F.col("words").alias("want"), "items")
@@ -149,8 +149,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hit = F.when(F.col("size") > 0, F.struct((F.col("p") - F.col("off")).alias("s"), (F.col("p") - F.col("off") + F.col("want_size")).alias("e")))
     by_doc = met.groupBy("doc_id", "key", "n_words").agg(F.collect_set(hit).alias("at"), F.collect_set("items").alias("lists"), F.count_if(F.col("size") == 0).alias("copies"))
     return by_doc.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), _covered(F.array_sort("at")).alias("spans"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items"), F.explode(_upto(F.col("copies"))).alias("copy")
-    ).select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["e"] - s["s"]).alias("n_hit"), "items", "spans")
+        "doc_id", "key", F.col("n_words").cast("long").alias("n_words"), _covered(F.array_sort("at")).alias("spans"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items"), F.explode(_upto(F.col("copies"))).alias("copy")
+    ).select("doc_id", "key", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["e"] - s["s"]).alias("n_hit"), "items", "spans")
+
+
+def is_contaminated(n_hit: Column, n_words: Column) -> Column:
+    """A twentieth of the words or more are hit."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, with the same columns."""
+    found = contamination(docs, benchmark, id_col, text_col)
+    bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["__key"])
+    return docs.join(bad, same, "left_anti")
 
 
 def _candidate(f: Column, size: int, p: Column, low: Column, near: Column) -> Column:
