@@ -64,7 +64,7 @@ def composite_u8(pixels: DataFrame, params: DataFrame) -> DataFrame:
     n = F.least(F.greatest(F.when(F.abs(F.col("gamma") - 1) > 0.01, F.pow(n, 1 / F.col("gamma"))).otherwise(n) * F.col("brightness"), F.lit(0.0)), F.lit(1.0))
     layer = F.struct("ch_idx", *(byte_of(n * F.col(c)).cast("bigint").alias(c) for c in "rgb"))
     folded = on.groupBy("y", "x").agg(F.array_sort(F.collect_list(layer)).alias("l"))
-    return folded.select("y", "x", *(screen_u8(F.transform("l", lambda s, c=c: s[c])).alias(c) for c in "rgb"))
+    return folded.select("y", "x", *(screen_u8(F.col(f"l.{c}")).alias(c) for c in "rgb"))
 
 
 def depth_of(region: DataFrame, is_uint16: bool) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_cells  # noqa: F401
+from . import queries_cells, queries_meta, queries_raster  # noqa: F401
 from .registry import QUERIES, Query
 
 

@@ -50,7 +50,7 @@ SQL_ADJ = (
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
     """embeddings as a dense raster: y, x, v (0 to 255, whole) and the label of the row as cell_id."""
-    return table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("y"), F.col("label").alias("cell_id"), F.posexplode("embedding").alias("x", "e")).selectExpr("y", "x", "cell_id", "floor(abs(e) * 1000) % 256 as v")
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("y"), F.col("label").alias("cell_id"), F.posexplode("embedding").alias("x", "e")).selectExpr("y", "x", "cell_id", "cast(floor(abs(cast(e as double)) * 1000) % 256 as double) as v")
 
 
 SQL_DENSE = "dr as (select y, x - 1 as x, cell_id, floor(abs(e::double) * 1000) % 256 as v from (select vec_id::int as y, label as cell_id, unnest(embedding) as e, unnest(range(1, len(embedding) + 1))::int as x from embeddings))"
