@@ -177,15 +177,23 @@ def local_search(lengths: Sequence[int], bins: list[list[int]], capacity: int) -
         search = _Search(lengths, bins, capacity)
         queue = [(capacity - int(search.room[b]), b) for b in range(len(bins)) if search.room[b] > 0]
         heapq.heapify(queue)  # the least filled first
+        stuck: set[int] = set()
         while queue and live > least:
             fill, e = heapq.heappop(queue)
             if not bins[e] or capacity - int(search.room[e]) != fill:
                 continue
+            moved = False
             while bins[e] and search.step(e):
-                pass
+                moved = True
             if not bins[e]:
                 search.room[e] = 0  # nothing moves into an empty bin
                 live -= 1
+                continue
+            if moved:  # room has grown in this bin: what had no step before may have one now
+                for b in [b for b in stuck if not bins[b] or min(lengths[i] for i in bins[b]) <= search.room[e]]:
+                    stuck.discard(b)
+                    heapq.heappush(queue, (capacity - int(search.room[b]), b))
+            stuck.add(e)
     return [b for b in bins if b]
 
 
