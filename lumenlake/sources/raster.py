@@ -196,3 +196,22 @@ def write_tiff(rgb: DataFrame, path: str, h: int, w: int, group: str | None = No
         return pa.table({"path": [target], "pixels": pa.array([table.num_rows], pa.int64())})
 
     return rgb.select(key.alias("__g"), "y", "x", *cols).groupBy("__g").applyInArrow(put, "path string, pixels long")
+
+
+def pictures(spark: SparkSession, path: str) -> DataFrame:
+    """Pixels (columns of PIXELS) of 8-bit PNG, JPEG, BMP or GIF files by Spark's image source: at most three channels, red first, alpha dropped.
+
+    Not for 16-bit TIFF, of which that source keeps the low bytes.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                h, w, n = r["height"], r["width"], r["nChannels"]
+                data = np.frombuffer(r["data"], np.uint8).reshape(h, w, n)
+                y, x = (a.reshape(-1).astype(np.int32) for a in np.mgrid[:h, :w])
+                for c, stored in enumerate([2, 1, 0] if n >= 3 else [0]):
+                    whole = lambda v, k=h * w: pa.array(np.full(k, v, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([r["origin"]] * (h * w)), whole(c), pa.array(y // 512), pa.array(x // 512), pa.array(y), pa.array(x), pa.array(data[:, :, stored].reshape(-1).astype(np.float64))], names=[k.split()[0] for k in PIXELS.split(", ")])
+
+    return spark.read.format("image").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(explode, PIXELS)

@@ -286,3 +286,30 @@ def test_plans_push_down_and_prune(spark, data):
     assert "PushedFilters: [IsNotNull(l_" in plan and "l_tax" not in plan.split("== Physical Plan ==")[1]
     joined = spatial.radius_join(px.selectExpr("x as cell_id", "v as y", "v as x"), 1.0)._jdf.queryExecution().toString()
     assert "NestedLoop" not in joined and "Cartesian" not in joined
+
+
+def test_tile_cache():
+    from lumenlake.operators.tiles import TileCache
+
+    cache = TileCache(3)
+    for k in range(4):
+        cache.put(k, k * 10)
+    assert len(cache) == 3 and cache.get(0) is None and cache.get(3) == 30
+    cache.get(1)
+    cache.put(9, 90)
+    assert cache.get(1) == 10 and cache.get(2) is None
+    cache.invalidate()
+    assert len(cache) == 0
+
+
+def test_pictures_have_red_first_and_no_alpha(spark, tmp_path):
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = b"".join(b"\0" + b"".join(bytes((10 * x, 20 * y, 200, 255)) for x in range(3)) for y in range(2))
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+    got = {(r.ch_idx, r.y, r.x): r.v for r in rsrc.pictures(spark, str(tmp_path)).collect()}
+    assert got == {(c, y, x): float((10 * x, 20 * y, 200)[c]) for c in range(3) for y in range(2) for x in range(3)}
