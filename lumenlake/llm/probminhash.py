@@ -7,10 +7,12 @@ with the probability Jaccard of their weighted sets. Registers are banded; texts
 are verified on their whole texts: a link is a pair whose probability Jaccard, or plain Jaccard of the shingle sets,
 reaches the threshold. Classes are the connected components of links and of equal texts.
 
-Candidates without all pairs of a bucket: equal texts are one node. In each round every bucket compares its members with
-one leader; members that are by then in one class need no comparison. As soon as the pairs across classes are few (linear
-in the number of texts) they are all compared, so that no candidate is left out; until then further rounds choose other
-leaders. Texts that share a bucket are read once and kept beside the candidates.
+Candidates are never written out as pairs. Equal texts are one node. Every bucket links its members to its least one, and
+the connected components of these links are the candidate groups: all texts that share a band lie in one. A group is
+dealt into blocks of at most BLOCK texts on average, and each pair of blocks is one task, which gets each text once,
+counts the shingles that all its pairs share from posting lists, and returns a spanning forest of the links it finds. So
+no task grows with a group, no pair is left out, and rows stay linear in the texts of a group times its blocks; the
+comparisons within a group of different texts are quadratic, in vector operations.
 
 Cases: null and empty texts have no shingles and are copies of one another; a text of fewer than five words is one
 shingle; null ids and repeated rows are each returned with their class; the class id is the least doc_id in the class
@@ -34,10 +36,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.999995 at 0.8.
 BANDS, ROWS = 40, 6
-#: Pairs across classes are all compared once they are at most so many times the texts in shared buckets.
-PAIRS_PER_TEXT = 12
-#: After so many rounds of leaders the rest is compared however many pairs there are.
-MAX_ROUNDS = 6
+#: Texts in one block of a candidate group, on average.
+BLOCK = 512
+#: Weighted sets are compared exactly where their registers agree in this share or more: ten deviations under the threshold's.
+LIKELY = 0.55
 
 _U = np.uint64
 
@@ -116,15 +118,59 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "node", "bands"])
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, first = None, None
-    for batch in batches:
-        linked = []
-        for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if a != key:
-                key, first = a, weighted_set(text_a)
-            linked.append(max(similarity(first, weighted_set(text_b))) >= THRESHOLD)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+def linked_classes(texts: list[str], side: np.ndarray | None = None) -> np.ndarray:
+    """The least index of the class of each text under links at the threshold; side: compare only texts of different sides.
+
+    Plain Jaccard is exact for all pairs, by counting posting lists; where shingles repeat within a text, pairs whose
+    registers are alike are compared as weighted sets too.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    offsets = np.append(0, np.cumsum([len(r) for r in raw]))
+    h, t, w = counted(*shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets, SHINGLE))
+    n = len(texts)
+    sizes = np.bincount(t, minlength=n)
+    begin = np.append(0, np.cumsum(sizes))
+    by = np.argsort(h, kind="stable")
+    ranked = h[by]
+    new = np.append(True, ranked[1:] != ranked[:-1]) if len(h) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    number = np.empty(len(h), np.int64)
+    number[by] = np.cumsum(new) - 1
+    posting, length = t[by], np.diff(np.append(first, len(h)))
+    repeats = np.bincount(t, weights=w > 1, minlength=n) > 0
+    registers = signatures(h, t, w, n, BANDS * ROWS).astype(np.uint16) if repeats.any() else None
+    label = np.arange(n)
+    for i in range(n):
+        if not sizes[i]:
+            continue
+        mine = number[begin[i] : begin[i + 1]]
+        k = length[mine]
+        at = np.repeat(first[mine] - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(k.sum())
+        shared = np.bincount(posting[at], minlength=n)
+        open_ = label != label[i]
+        if side is not None:
+            open_ &= side != side[i]
+        link = open_ & (shared >= THRESHOLD * (sizes + sizes[i] - shared) - 1e-9) & (shared > 0)
+        if registers is not None:
+            odd = np.flatnonzero(open_ & ~link & (shared > 0) & (repeats | repeats[i]))
+            odd = odd[(registers[odd] == registers[i]).mean(1) >= LIKELY]
+            own = (h[begin[i] : begin[i + 1]], w[begin[i] : begin[i + 1]])
+            for j in odd.tolist():
+                link[j] = similarity(own, (h[begin[j] : begin[j + 1]], w[begin[j] : begin[j + 1]]))[0] >= THRESHOLD
+        if link.any():
+            joined = np.unique(np.append(label[link], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def _link_group(table: pa.Table) -> pa.Table:
+    """A spanning forest of the links within a block, or between two blocks, of a candidate group."""
+    table = table.sort_by("node")
+    block = table.column("block").to_numpy()
+    label = linked_classes(table.column("text").to_pylist(), block if block.min() != block.max() else None)
+    own = np.flatnonzero(label != np.arange(len(label)))
+    nodes = table.column("node").combine_chunks()
+    return pa.table([nodes.take(pa.array(label[own])), nodes.take(pa.array(own))], names=["a", "b"])
 
 
 def node_of(text_col: str = "text"):
@@ -132,52 +178,23 @@ def node_of(text_col: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    a, b = texts.withColumnsRenamed({"node": "a", "text": "text_a"}), texts.withColumnsRenamed({"node": "b", "text": "text_b"})
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a binary, b binary, linked boolean")
-
-
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, node (what equal texts share), class_id and class_size in documents."""
     rows = texts_of(docs, id_col, text_col).select("doc_id", node_of().alias("node"), "text")
     signed, _ = materialise(rows.mapInArrow(_sign_batches, "doc_id long, node binary, bands array<long>"), "signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
     each = nodes.select("node", F.explode("bands").alias("h"))
-    # buckets of two texts or more; their members with the bucket's leader
-    shared = each.groupBy("h").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members, _ = materialise(each.join(shared.select("h", "lead"), "h"), "members")
-    wanted = members.select("node").distinct()
-    texts, _ = materialise(rows.join(wanted, "node", "left_semi").select("node", "text").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
-
-    labels: DataFrame | None = None
-    tested: DataFrame | None = None
-    limit = PAIRS_PER_TEXT * max(1000, wanted.count())
-    for turn in range(MAX_ROUNDS + 1):
-        if turn == 0:
-            pairs, last = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), False
-        else:
-            known = members.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"))
-            by_class = known.groupBy("h", "comp").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("lead"), F.min(F.xxhash64("node", F.lit(turn))).alias("o"))
-            open_ = by_class.groupBy("h").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("n2"), F.min_by("lead", "o").alias("lead"), F.min_by("comp", "o").alias("lead_comp"), F.count("*").alias("classes")).where("classes > 1")
-            open_, _ = materialise(open_, "open")
-            across = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()[0] or 0
-            if not across:
-                break
-            last = across <= limit or turn == MAX_ROUNDS
-            left = known.join(open_.select("h", "lead", "lead_comp"), "h")
-            if last:
-                one, two = left.select("h", F.col("node").alias("a"), F.col("comp").alias("ca")), left.select("h", F.col("node").alias("b"), F.col("comp").alias("cb"))
-                pairs = one.join(two, "h").where("ca < cb").select("a", "b")
-            else:
-                pairs = left.where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        verified, _ = materialise(_verified(pairs, texts), "verified")
-        tested = verified if tested is None else tested.unionByName(verified)
-        labels = components(tested.where("linked").select("a", "b"))
-        if last:
-            break
+    # only buckets of two texts or more; each member with the bucket's least
+    shared = each.groupBy("h").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("h", "lead")
+    near = components(each.join(shared, "h").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+
+    blocks = near.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    placed, _ = materialise(near.join(blocks, "comp").select("node", "comp", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block")), "placed")
+    texts = rows.join(placed.select("node"), "node", "left_semi").select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    dealt = placed.join(texts, "node").withColumn("with", other).select("comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "text")
+    links = dealt.groupBy("comp", "i", "j").applyInArrow(_link_group, "a binary, b binary")
+    labels = components(links)
 
     found = nodes.select("node", "least", "copies").join(labels, "node", "left").select("node", "least", "copies", F.coalesce("comp", "node").alias("comp"))
     found, _ = materialise(found, "nodes")

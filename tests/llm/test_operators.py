@@ -412,10 +412,9 @@ def test_probability_jaccard_and_its_estimate():
     assert (sig[0] == sig[1]).mean() == pytest.approx(want, abs=0.015)
 
 
-@pytest.mark.parametrize("per_text, rounds", [(12, 6), (0, 6), (0, 1)])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, per_text, rounds):
-    monkeypatch.setattr(probminhash, "PAIRS_PER_TEXT", per_text)
-    monkeypatch.setattr(probminhash, "MAX_ROUNDS", rounds)
+@pytest.mark.parametrize("block", [512, 6])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(probminhash, "BLOCK", block)
     rng = random.Random(6)
     text = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
     rows, bases = list(ODD), [text(rng.randint(60, 150)) for _ in range(8)]
@@ -424,6 +423,8 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, per_text, rounds)
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = f"n{rng.randint(0, 99)}"
         rows.append((100 + i, " ".join(w)))
+    line = " ".join(text(8))  # a weighted set: texts that are mostly one line, again and again
+    rows += [(400 + i, " ".join([line] * 12 + text(8))) for i in range(5)]
     rows += [(500 + i, " ".join(text(80))) for i in range(10)] + rows[20:23] + [(None, rows[25][1])]
     got = probminhash.near_duplicate_classes(clashing(spark, rows)).collect()
     uniq = sorted({t or "" for _, t in rows})
