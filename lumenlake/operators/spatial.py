@@ -50,13 +50,20 @@ def within(cells: DataFrame, y: float, x: float, radius: float) -> DataFrame:
     return box.select("cell_id", _distance(y, x).alias("dist")).where(F.col("dist") <= radius)
 
 
-def nearest_of(cells: DataFrame, queries: DataFrame, k: int, first_radius: float, rounds: int = 24) -> DataFrame:
+def _radius_for(cells: DataFrame, k: int) -> float:
+    """A radius that holds k cells where they lie evenly: one aggregate row gives the area and the number of cells."""
+    x = cells.agg(F.count("*").alias("n"), (F.max("y") - F.min("y")).alias("h"), (F.max("x") - F.min("x")).alias("w")).first()
+    area = (x["h"] or 0.0) * (x["w"] or 0.0) or max(x["h"] or 0.0, x["w"] or 0.0, 1.0) ** 2
+    return 1.5 * (area * (k + 1) / (3.14159 * max(1, x["n"]))) ** 0.5
+
+
+def nearest_of(cells: DataFrame, queries: DataFrame, k: int, first_radius: float | None = None, growth: float = 3.0, rounds: int = 16) -> DataFrame:
     """(query_id, cell_id, dist, rank): the k nearest cells of every query (query_id, qy, qx).
 
-    Radii double until each query has k cells within the radius, so only queries in thin regions go on; each round is a
+    Radii grow until each query has k cells within the radius, so only queries in thin regions go on; each round is a
     bucketed equi-join. Queries beyond the last radius take fewer cells.
     """
-    left, radius, found = queries, first_radius, None
+    left, radius, found = queries, first_radius or _radius_for(cells, k), None
     for turn in range(rounds):
         near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
         q = left.withColumn("dy", near).withColumn("dx", near).withColumns({"by": _bucket(F.col("qy"), radius) + F.col("dy"), "bx": _bucket(F.col("qx"), radius) + F.col("dx")})
@@ -71,5 +78,5 @@ def nearest_of(cells: DataFrame, queries: DataFrame, k: int, first_radius: float
         left = left.join(full, "query_id", "left_anti")
         if last or left.isEmpty():
             break
-        radius *= 2
+        radius *= growth
     return found
