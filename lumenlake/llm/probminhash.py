@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitset import filter_of, may_hold
 from .common import materialise, texts_of
 from .components import components
 from .shingles import bytes_of, counted, mix, runs, shingle_hashes
@@ -41,6 +42,9 @@ BLOCK = 512
 #: Weighted sets are compared exactly where their registers agree in this share or more: ten deviations under the threshold's.
 LIKELY = 0.55
 
+#: Beyond this many texts in candidate groups, texts are not thinned before they are joined (the bit array has 16 bits each).
+MAX_FILTERED = 1 << 22
+
 _U = np.uint64
 
 
@@ -190,7 +194,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     blocks = near.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     placed, _ = materialise(near.join(blocks, "comp").select("node", "comp", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block")), "placed")
-    texts = rows.join(placed.select("node"), "node", "left_semi").select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))
+    wanted = placed.select("node")
+    found, bits = filter_of(wanted.select(F.xxhash64("node").alias("f")), wanted.count(), MAX_FILTERED)
+    # of the texts in no group most stop here and are not shuffled
+    near_rows = rows if found is None else rows.withColumn("__set", found).where(may_hold(F.col("__set"), F.xxhash64("node"), bits)).select("node", "text")
+    texts = near_rows.join(wanted, "node", "left_semi").select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     dealt = placed.join(texts, "node").withColumn("with", other).select("comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "text")
     links = dealt.groupBy("comp", "i", "j").applyInArrow(_link_group, "a binary, b binary")

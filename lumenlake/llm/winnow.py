@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitset import filter_of, may_hold
 from .common import texts_of
 from .reputation import LOWER, UPPER
 
@@ -30,7 +31,7 @@ W = SPAN - K + 1  # any SPAN words hold W K-grams, one of which is kept
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Low bits of a fingerprint tell its place, the others its hash.
 PLACE_BITS = 24
-#: The bit array has at least 16 bits a fingerprint; beyond this many fingerprints none is made.
+#: Beyond this many fingerprints of the benchmark no bit array is made.
 MAX_FILTERED = 1 << 19
 
 
@@ -80,25 +81,6 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return windows.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("size", F.size("words"))
 
 
-def _bit_array(hashes: DataFrame, bits: int) -> DataFrame:
-    """One row, one array of longs, in which the bit of each hash of the column f is set."""
-    slot = F.col("f").bitwiseAND(F.lit((1 << bits) - 1))
-    got = hashes.groupBy(F.shiftright(slot, 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-    every = hashes.sparkSession.range(1 << (bits - 6)).join(got, "id", "left")
-    return every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).getField("b").alias("set"))
-
-
-def _may_hold(found: Column, f: Column, bits: int) -> Column:
-    slot = f.bitwiseAND(F.lit((1 << bits) - 1))
-    word = F.get(found, F.shiftright(slot, 6).cast("int"))
-    return F.call_function("getbit", word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
-def _filter_of(hashes: DataFrame, n: int) -> tuple[Column | None, int]:
-    bits = max(12, (16 * max(n, 1) - 1).bit_length())
-    return (_bit_array(hashes, bits).scalar(), bits) if n <= MAX_FILTERED else (None, 0)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, key (hash of the text), n_words, n_hit, items (sorted ids), spans (runs of hit words)."""
     windows = benchmark_windows(benchmark, item_col, item_text_col)
@@ -108,11 +90,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # counts of the benchmark, not of the documents: they choose the plan
     sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}
 
-    found, bits = _filter_of(long_ones, sizes.pop(SPAN, 0))
+    found, bits = filter_of(long_ones, sizes.pop(SPAN, 0), MAX_FILTERED)
     rows = texts_of(docs, id_col, text_col)
     if found is not None:
         rows = rows.withColumn("__set", found)
-    passes = lambda f: _may_hold(F.col("__set"), f, bits) if found is not None else F.lit(True)
+    passes = lambda f: may_hold(F.col("__set"), f, bits) if found is not None else F.lit(True)
 
     def hit_of(w: Column, least: Column, i: Column) -> Column:
         p = _place(F.get(least, i), i)
@@ -126,14 +108,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     short_hits = []
     if sizes:
-        found_short, bits_short = _filter_of(short_ones, sum(sizes.values()))
+        found_short, bits_short = filter_of(short_ones, sum(sizes.values()), MAX_FILTERED)
         if found_short is not None:
             rows = rows.withColumn("__short", found_short)
         for m in sorted(sizes):
 
             def of_size(w: Column, m: int = m) -> Column:
                 gram = lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(m)))
-                at = F.filter(_upto(F.size(w) - m + 1), lambda i: _may_hold(F.col("__short"), gram(i), bits_short) if found_short is not None else F.lit(True))
+                at = F.filter(_upto(F.size(w) - m + 1), lambda i: may_hold(F.col("__short"), gram(i), bits_short) if found_short is not None else F.lit(True))
                 return F.transform(at, lambda i: _candidate(gram(i), m, i, i, F.slice(w, i + 1, F.lit(m))))
 
             short_hits.append(of_size)
