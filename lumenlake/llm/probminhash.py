@@ -9,7 +9,7 @@ reaches the threshold. Classes are the connected components of links and of equa
 
 Candidates are never written out as pairs. Equal texts are one node. Every bucket links its members to its least one, and
 the connected components of these links are the candidate groups: all texts that share a band lie in one. A group is
-dealt into blocks of at most BLOCK texts on average, and each pair of blocks is one task, which gets each text once,
+dealt into blocks of BLOCK texts and BLOCK_BYTES bytes at most, on average, and each pair of blocks is one task, which gets each text once,
 counts the shingles that all its pairs share from posting lists, and returns a spanning forest of the links it finds. So
 no task grows with a group, no pair is left out, and rows stay linear in the texts of a group times its blocks; the
 comparisons within a group of different texts are quadratic, in vector operations.
@@ -37,8 +37,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.999995 at 0.8.
 BANDS, ROWS = 40, 6
-#: Texts in one block of a candidate group, on average.
-BLOCK = 512
+#: Texts, and bytes of text, in one block of a candidate group, on average.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Weighted sets are compared exactly where their registers agree in this share or more: ten deviations under the threshold's.
 LIKELY = 0.55
 
@@ -119,7 +119,7 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             values = pa.array(bands[some].reshape(-1))
             out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values))
         lists = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), lists], names=["doc_id", "node", "size", "bands"])
 
 
 def linked_classes(texts: list[str], side: np.ndarray | None = None) -> np.ndarray:
@@ -185,14 +185,15 @@ def node_of(text_col: str = "text"):
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, node (what equal texts share), class_id and class_size in documents."""
     rows = texts_of(docs, id_col, text_col).select("doc_id", node_of().alias("node"), "text")
-    signed, _ = materialise(rows.mapInArrow(_sign_batches, "doc_id long, node binary, bands array<long>"), "signatures")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    signed, _ = materialise(rows.mapInArrow(_sign_batches, "doc_id long, node binary, size long, bands array<long>"), "signatures")
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
     each = nodes.select("node", F.explode("bands").alias("h"))
     # only buckets of two texts or more; each member with the bucket's least
     shared = each.groupBy("h").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("h", "lead")
     near = components(each.join(shared, "h").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
 
-    blocks = near.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    sized = near.join(nodes.select("node", "size"), "node")
+    blocks = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("k"))
     placed, _ = materialise(near.join(blocks, "comp").select("node", "comp", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block")), "placed")
     wanted = placed.select("node")
     found, bits = filter_of(wanted.select(F.xxhash64("node").alias("f")), wanted.count(), MAX_FILTERED)

@@ -412,9 +412,10 @@ def test_probability_jaccard_and_its_estimate():
     assert (sig[0] == sig[1]).mean() == pytest.approx(want, abs=0.015)
 
 
-@pytest.mark.parametrize("block", [512, 6])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, size", [(512, 8 << 20), (6, 8 << 20), (512, 4000)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block, size):
     monkeypatch.setattr(probminhash, "BLOCK", block)
+    monkeypatch.setattr(probminhash, "BLOCK_BYTES", size)
     rng = random.Random(6)
     text = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
     rows, bases = list(ODD), [text(rng.randint(60, 150)) for _ in range(8)]
