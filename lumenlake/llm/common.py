@@ -51,3 +51,19 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, so that no other column of the input can clash with the operators' own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+_held: list = [None, None]
+
+
+def held(key: tuple, make):
+    """make() for a key, kept by this worker until another key is asked for: one operator's memory at a time."""
+    if _held[0] != key:
+        release()
+        _held[:] = [key, make()]
+    return _held[1]
+
+
+def release() -> None:
+    """Let go of what held() keeps."""
+    _held[:] = [None, None]

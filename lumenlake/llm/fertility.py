@@ -15,13 +15,13 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 from .tokens import default_path
 
 MIN_WORDS = 50
@@ -83,7 +83,7 @@ def base_counts(text: str, words: list[str]) -> tuple[int, int, int, int]:
 class Fertility:
     """Measures of words under both vocabularies, remembered in two bounded generations."""
 
-    MAX_WORDS = 500_000
+    MAX_WORDS = 300_000
 
     def __init__(self, bpe_path: str, piece_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -141,11 +141,10 @@ def in_band(text: str, lang: str | None, tokens: int, per_token: float, bytes_sh
     return tokens < MIN_TOKENS or (bytes_share <= most_bytes and least <= entropy <= most)
 
 
-@lru_cache(maxsize=2)
 def _fertility(bpe_path: str | None, piece_path: str | None) -> Fertility:
     import public_tokenizers
 
-    return Fertility(bpe_path or default_path(), piece_path or public_tokenizers.path("piece_bpe_32k.model"))
+    return held(("fertility", bpe_path, piece_path), lambda: Fertility(bpe_path or default_path(), piece_path or public_tokenizers.path("piece_bpe_32k.model")))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitset import filter_of, may_hold
-from .common import materialise, texts_of
+from .common import materialise, release, texts_of
 from .components import components
 from .shingles import bytes_of, counted, mix, runs, shingle_hashes
 
@@ -107,6 +107,7 @@ def weighted_set(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         data, offsets = bytes_of(batch.column(2))
         out = []

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, texts_of
+from .common import materialise, release, texts_of
 from .shingles import bytes_of, mix
 from .suffixsort import deep_shallow_sort, neighbour_lcp
 
@@ -164,6 +164,7 @@ class _Lot:
 
 
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     lot = _Lot()
     for batch in batches:
         data, offsets = bytes_of(batch.column(2))

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from .common import held
+
 #: Pieces are kept up to this number in each of two generations of a worker's memory.
 MAX_PIECES = 600_000
 
@@ -65,10 +66,9 @@ class PieceEncoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str | None = None) -> PieceEncoder:
     """One encoder per worker and vocabulary; None: the public 50k byte-level vocabulary."""
-    return PieceEncoder(path or default_path())
+    return held(("encoder", path), lambda: PieceEncoder(path or default_path()))
 
 
 def default_path() -> str:
