@@ -1,9 +1,9 @@
 """Byte-level BPE of whole texts with the tokenizers library, memoised by piece.
 
 A byte-level BPE of this family first splits a text by a pattern none of whose matches runs from a character that is
-not white space into white space. A text may therefore be cut before every run of spaces or newlines and its pieces
-encoded alone; the ids are those of the whole text. Texts with any other white space, or with the text of a special
-token, are encoded whole.
+not white space into white space, or from a letter into a punctuation mark. A text may therefore be cut before every run
+of spaces or newlines, and between a letter and a mark that follows it; its pieces are encoded alone, and their ids are
+those of the whole text. Texts with any other white space, or with the text of a special token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -18,10 +18,17 @@ from .common import held
 #: Pieces are kept up to this number in each of two generations of a worker's memory.
 MAX_PIECES = 600_000
 
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_PIECES = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?])|[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 
 
+def _byte_of_letter() -> dict[str, int]:
+    """The letters of byte-level vocabularies: printable bytes stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
 class PieceEncoder:
     """``encode(text)`` gives the ids as bytes: unsigned 32-bit, little-endian."""
 
@@ -30,6 +37,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
+        alphabet = _byte_of_letter()
+        sizes = {i: len(w) for w, i in self._tok.get_vocab(with_added_tokens=True).items()}
+        # each letter of a token's name is one byte of text, so lengths of names are lengths of text
+        self._bytes = np.zeros(max(sizes) + 1, np.int64)
+        self._bytes[list(sizes)] = list(sizes.values())
+        self._letters = all(c in alphabet for w in self._tok.get_vocab(with_added_tokens=False) for c in w)
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._max = max_pieces
         self._young: dict[str, bytes] = {}
@@ -47,6 +60,15 @@ class PieceEncoder:
                     young[p] = old[p]
                 else:
                     unknown.append(p)
+        inner = [p for p in unknown if p[0] in " \n" and p[-1] not in " \n"] if self._letters else []
+        if len(inner) > 1:  # a row of pieces is one text, cut again where the pieces end
+            ids = np.asarray(self._tok.encode("".join(inner), add_special_tokens=False).ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum([len(p.encode()) for p in inner]), "left") + 1
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(inner, (4 * ends).tolist()):
+                young[p] = raw[at:end]
+                at = end
+            unknown = [p for p in unknown if p not in young]
         if unknown:
             young.update(zip(unknown, self._whole(unknown)))
 
