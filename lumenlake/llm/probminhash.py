@@ -3,9 +3,10 @@
 A text is a weighted set: its five-word shingles with their numbers of times. Each shingle sends out a Poisson process of
 arrivals at a rate of its weight; each arrival strikes one of M registers, which keep the shingle of the earliest. A
 shingle stops as soon as its next arrival is later than all registers' (early termination). Two texts agree in a register
-with the probability Jaccard of their weighted sets. Registers are banded; texts that share a band are candidates, which
-are verified on their whole texts: a link is a pair whose probability Jaccard, or plain Jaccard of the shingle sets,
-reaches the threshold. Classes are the connected components of links and of equal texts.
+with the probability Jaccard of their weighted sets; registers filled with unit weights agree with the plain Jaccard of
+the shingle sets. Both kinds are banded, and where no shingle repeats they are the same. Texts that share a band of any
+kind are candidates, which are verified on their whole texts: a link is a pair whose probability Jaccard, or plain
+Jaccard, reaches the threshold. Classes are the connected components of links and of equal texts.
 
 Candidates are never written out as pairs. Equal texts are one node. Every bucket links its members to its least one, and
 the connected components of these links are the candidate groups: all texts that share a band lie in one. A group is
@@ -77,6 +78,26 @@ def band_hashes(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def candidate_bands(h: np.ndarray, t: np.ndarray, w: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes of weighted sets, text by text, and each text's number of them.
+
+    A text has its weighted bands and those of its unit-weight bands that differ: only texts with repeats have any.
+    """
+    some = np.bincount(t, minlength=n_texts) > 0
+    repeats = np.bincount(t[w > 1], minlength=n_texts) > 0
+    both = np.zeros((n_texts, 2 * BANDS), np.uint64)
+    both[:, :BANDS] = band_hashes(signatures(h, t, w, n_texts, BANDS * ROWS), BANDS, ROWS)
+    used = np.zeros((n_texts, 2 * BANDS), bool)
+    used[:, :BANDS] = some[:, None]
+    if repeats.any():
+        own = repeats[t]
+        number = np.cumsum(repeats) - 1
+        n = int(repeats.sum())
+        both[repeats, BANDS:] = band_hashes(signatures(h[own], number[t[own]], np.ones(int(own.sum())), n, BANDS * ROWS), BANDS, ROWS)
+        used[repeats, BANDS:] = both[repeats, BANDS:] != both[repeats, :BANDS]
+    return both[used], used.sum(1)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """(probability Jaccard, plain Jaccard) of two weighted sets (sorted hashes, weights)."""
     (ha, wa), (hb, wb) = a, b
@@ -114,10 +135,8 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i, j in runs(offsets):
             own = offsets[i : j + 1] - offsets[i]
             h, t, w = counted(*shingle_hashes(data[offsets[i] : offsets[j]], own, SHINGLE))
-            bands = band_hashes(signatures(h, t, w, j - i, BANDS * ROWS), BANDS, ROWS).view(np.int64)
-            some = np.bincount(t, minlength=j - i) > 0
-            sizes = np.where(some, BANDS, 0)
-            values = pa.array(bands[some].reshape(-1))
+            bands, sizes = candidate_bands(h, t, w, j - i)
+            values = pa.array(bands.view(np.int64))
             out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values))
         lists = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), lists], names=["doc_id", "node", "size", "bands"])

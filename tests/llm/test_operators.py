@@ -450,6 +450,19 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block, size):
     assert len(kept) == len(members) and len({of[r.text or ""] for r in kept}) == len(members)
 
 
+def test_plain_copies_with_other_counts_are_found(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):  # equal shingle sets, one shingle once or a hundred times; without unit bands half are missed
+        tail = " ".join(f"k{k}n{rng.randrange(10**9)}" for _ in range(99))
+        rows += [(2 * k, f"w{k} " * 5 + tail), (2 * k + 1, f"w{k} " * 104 + tail)]
+    a, b = (probminhash.weighted_set(t) for _, t in rows[:2])
+    weighted, plain = probminhash.similarity(a, b)
+    assert plain == 1 and weighted < 0.6
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicate_classes(docs_of(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     ids = list(range(200))
     random.Random(3).shuffle(ids)
