@@ -107,17 +107,30 @@ _SPELLED_WORD = re.compile(r"[^\W\d_]+|[0-9]")
 #: A spelled number has so many different numerals at least; "tres tres tres" is no number.
 MIN_NUMERALS = 3
 
-# Ends of names that a bare "at ... dot" disguise must have.
+# Ends of names that a bare "at" with a plain dot must have; any label may end a name after a bracketed or spelled dot.
 ENDS = "com|org|net|edu|gov|info|biz|io|co|dev|app|de|fr|es|uk|it|nl|eu|ch|at|us|ca|example|test|invalid"
-_AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*|\s+(?:at|arroba)\s+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*|\s+(?:dot|punto|punkt|point)\s+)"
-_PART = r"[A-Za-z0-9_%+-]{1,64}"
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_PART}(?:(?:\.|{_DOT}){_PART}){{0,4}}(?:@|{_AT})[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}}){{0,4}}(?:\.|{_DOT})(?:{ENDS})(?![A-Za-z0-9-])",
-    re.I,
+# Words that are no part of such a name; "look at this [dot] thing" is no address.
+_COMMON = "the|a|an|this|that|these|those|one|some|any|every|each|which|what|his|her|its|our|their|my|your|and|or|then"
+_AT_IN, _AT_BARE = r"\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*", r"\s+(?:at|arroba)\s+"
+_DOT_IN, _DOT_BARE = r"\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*", r"\s+(?:dot|punto|punkt|point)\s+"
+_AT, _DOT = f"(?:{_AT_IN}|{_AT_BARE})", f"(?:{_DOT_IN}|{_DOT_BARE})"
+_PART, _LABEL = r"[A-Za-z0-9_%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
+_NO_WORD = rf"(?!(?:{_COMMON}|{'|'.join(SPELLED)})(?![A-Za-z0-9-]))"
+_ANY_END = r"[A-Za-z][A-Za-z0-9-]{1,62}"
+_NAMES = (
+    rf"{_AT_IN}{_LABEL}(?:(?:\.|{_DOT_IN}){_LABEL}){{0,4}}(?:\.|{_DOT_IN}){_ANY_END}",  # jane [at] firma.pl, jane [at] firma [dot] pl
+    rf"(?:@|{_AT_IN}){_LABEL}(?:{_DOT_BARE}{_LABEL}){{0,4}}{_DOT_BARE}{_NO_WORD}{_ANY_END}",  # jane@firma dot pl
+    rf"(?:@|{_AT_BARE}{_NO_WORD}){_LABEL}(?:(?:\.|{_DOT_IN}){_LABEL}){{0,4}}{_DOT_IN}{_ANY_END}",  # jane at firma [dot] pl
+    rf"(?:@|{_AT}){_LABEL}(?:(?:\.|{_DOT}){_LABEL}){{0,4}}(?:\.|{_DOT})(?:{ENDS})",
+    rf"{_AT_BARE}{_NO_WORD}{_LABEL}(?:\s+(?:dot|punto|punkt)\s+{_NO_WORD}{_LABEL}){{0,4}}\s+(?:dot|punto|punkt)\s+{_NO_WORD}{_ANY_END}",  # jane at firma dot pl; not "at boiling point"
 )
+_LOCAL = rf"(?<![A-Za-z0-9._%+-]){_PART}(?:(?:\.|{_DOT}){_PART}){{0,4}}"
+_EACH = [re.compile(rf"{_LOCAL}{n}(?![A-Za-z0-9-])", re.I) for n in _NAMES]
+_DISGUISED = re.compile(rf"{_LOCAL}(?:{'|'.join(f'{n}(?![A-Za-z0-9-])' for n in _NAMES)})", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|arroba|punto|punkt|point)\s*[\])}>]", re.I)
 _DOT_WORDS = frozenset(("dot", "punto", "punkt", "point"))
+_AT_WORDS = frozenset(("at", "arroba"))
+_AT_NAME = re.compile(rf"(?<=\s)(?:at|arroba)\s+{_LABEL}\.[A-Za-z0-9-]", re.I)
 _NUMERALS = frozenset(SPELLED)
 _AT_RE, _DOT_RE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
 
@@ -158,11 +171,13 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in _DISGUISED.finditer(text):
+    edits, m = [], _DISGUISED.search(text)
+    while m:
+        m = max((x for p in _EACH if (x := p.match(text, m.start()))), key=lambda x: x.end())  # the longest of all forms
         plain = _DOT_RE.sub(".", _AT_RE.sub("@", m[0]))
         if plain != m[0]:
             edits.append((*m.span(), plain))
+        m = _DISGUISED.search(text, m.end())
     return edits
 
 
@@ -183,7 +198,7 @@ def deobfuscated(text: str) -> tuple[str, list[Rewrite]] | None:
     for hint, edits in (
         ((wide or "\u00ad" in folded) and _ZERO_WIDTH.search(folded), lambda t: [(*m.span(), "") for m in _ZERO_WIDTH.finditer(t)]),
         (len(words & _NUMERALS) >= MIN_NUMERALS, _spelled_edits),
-        (words & _DOT_WORDS or _BRACKETED.search(folded), _disguise_edits),
+        (words & _DOT_WORDS or _BRACKETED.search(folded) or (words & _AT_WORDS and _AT_NAME.search(folded)), _disguise_edits),
     ):
         now = chain[-1].text if chain else folded
         if (hint or chain) and (made := edits(now)):

@@ -519,6 +519,21 @@ def test_disguised_spans_map_back(text):
     assert want not in pii.masked(text) and f"<{kind.upper()}>" in pii.masked(text)
 
 
+@pytest.mark.parametrize(
+    "want",
+    ["jane at example.com", "jane arroba example.es", "jane [at] firma [dot] pl", "jane (at) firma.ru", "jane at firma [dot] jp", "jane@firma [dot] se", "jane@mail dot firma dot me", "jane at firma dot ai", "jane [at] mail [dot] firma dot com"],
+)
+def test_disguises_alone_and_with_any_ending(want):
+    text = f"write to {want}, soon"
+    _, more = pii.find(text)
+    assert [text[a:b] for a, b in more["email"]] == [want] and pii.masked(text) == "write to <EMAIL>, soon"
+
+
+@pytest.mark.parametrize("text", ["water at boiling point turns", "look at the dot in the middle", "we stayed at home. Then we left", "met at 3 dot five"])
+def test_prose_with_at_and_dot_stays(text):
+    assert pii.masked(text) == text
+
+
 @pytest.mark.parametrize("text", ["We met at noon dot the end", "tres tres tres tres tres tres tres tres", "un un un un un un un un un", "look at this [dot] thing", "one two three"])
 def test_clean_texts_stay(text):
     base, more = pii.find(text)
