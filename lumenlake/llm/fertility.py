@@ -28,12 +28,14 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 #: Lower and upper bound of characters per byte-level token, most bytes per fallback token, least and most entropy in
-#: bits per token, by language, then by script; a text of fewer than MIN_TOKENS tokens is too short for the last two.
+#: bits per token, by language, then by script; a text of fewer than MIN_TOKENS tokens is too short for the last three.
+#: The languages' lower bounds lie between letter mash (1.57 characters at most) and the least that the documents of the
+#: sf0.1 tables have which pass the plain counts: 1.92, 1.85, 1.67, 1.61 characters and 4.97, 5.23, 5.42, 5.16 bits.
 BANDS = {
-    "en": (1.3, 7.0, 0.20, 3.5, 13.0),
-    "de": (1.2, 7.0, 0.25, 3.5, 13.0),
-    "fr": (1.1, 7.0, 0.25, 3.5, 13.0),
-    "es": (1.1, 7.0, 0.25, 3.5, 13.0),
+    "en": (1.75, 7.0, 0.20, 4.5, 11.0),
+    "de": (1.70, 7.0, 0.25, 4.5, 11.0),
+    "fr": (1.60, 7.0, 0.25, 4.5, 11.0),
+    "es": (1.58, 7.0, 0.25, 4.5, 11.0),
     "Latin": (1.0, 8.0, 0.35, 3.0, 13.5),
     "Cyrillic": (0.4, 6.0, 0.60, 3.0, 13.5),
     "Greek": (0.4, 6.0, 0.80, 3.0, 13.5),
@@ -45,6 +47,7 @@ MIN_TOKENS = 64
 _WORD = re.compile(r"[^ \t-\r]+")
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
+_LETTER = re.compile(r"[^\W\d_]")
 _SCRIPTS = (
     ("Cyrillic", re.compile("[Ѐ-ԯ]")),
     ("Greek", re.compile("[Ͱ-Ͽἀ-῿]")),
@@ -130,8 +133,11 @@ class Fertility:
 
 
 def script_of(text: str) -> str:
-    """The first script of the list of which a letter stands in the text."""
-    return next((name for name, pattern in _SCRIPTS if pattern.search(text)), "Other")
+    """The script of most letters of the text, letters of scripts that are not in the list taken together; of equal ones the first."""
+    counts = {name: len(pattern.findall(text)) for name, pattern in _SCRIPTS}
+    counts["Other"] = len(_LETTER.findall(text)) - sum(counts.values())
+    most = max(counts, key=counts.__getitem__)
+    return most if counts[most] > 0 else "Other"
 
 
 def in_band(text: str, lang: str | None, tokens: int, per_token: float, bytes_share: float, entropy: float, bands: dict = BANDS) -> bool:

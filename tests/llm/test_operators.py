@@ -194,6 +194,16 @@ def test_fertility_measures_and_verdicts(spark):
     assert [fertility.script_of(t) for t in ("привет", "γειά", "日本", "abc", "123")] == ["Cyrillic", "Greek", "CJK", "Latin", "Other"]
 
 
+def test_letter_mash_goes_and_a_foreign_letter_changes_no_script():
+    import public_tokenizers
+
+    measures = fertility.Fertility(tokens.default_path(), public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    mash = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(200))
+    assert not any(fertility.judge(mash, lang, measures)[6] for lang in ("en", "de", "fr", "es"))
+    assert [fertility.script_of(t) for t in ("a long text with one α and ж and 日", "привет a", "नमस्ते दुनिया a")] == ["Latin", "Cyrillic", "Other"]
+
+
 # --- tokens and shards
 
 
