@@ -260,7 +260,7 @@ def hex_colours(spark: SparkSession, d: str) -> DataFrame:
 def heatmap_ward(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.cluster import heatmap
 
-    return heatmap(cells(spark, d), [f"mean_{m}" for m in CHANNELS], n=120)
+    return heatmap(cells(spark, d), [f"mean_{m}" for m in CHANNELS])
 
 
 @query("K1 K2", f"with {SQL_CELLS} select cell_id, mean_qty, {_POS} as phenotype from ce")

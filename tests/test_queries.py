@@ -35,6 +35,10 @@ def test_query(spark, duck, data, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
+def test_heatmap_has_the_references_sample(spark):
+    assert all_queries()["heatmap_ward"].build(spark, "/root/testdata/sf0.01").count() == 500
+
+
 def test_inventory_is_covered():
     wanted = {f"{p}{i}" for p, n in (("S", 16), ("K", 14), ("P", 22), ("J", 16), ("A", 24), ("W", 12), ("T", 11), ("U", 6), ("R", 15), ("X", 8), ("O", 9), ("M", 9)) for i in range(1, n + 1)} | {f"H{i}p" for i in range(1, 6)} | {f"G{i}" for i in range(1, 8)}
     # a cache and drawn figures, a viewport transform, and a list split that T7 makes as well: covered by unit tests or not data
