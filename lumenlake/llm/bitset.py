@@ -1,7 +1,8 @@
 """Bit arrays of hashes, to leave out rows before a join; in DataFrame functions alone.
 
-An array has 16 bits or more for each hash, so about one in seventeen others passes. Callers bound the number of hashes;
-over the bound there is no array, and the join gets all rows.
+An array has 16 bits or more for each hash, so about one in seventeen others passes, up to 2**MAX_BITS bits (16 MB),
+which is what may be sent to every task. With more hashes than fit it fills up little by little and more rows pass; the
+plan and the result stay the same.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_BITS = 27
 
 def bit_array(hashes: DataFrame, bits: int) -> DataFrame:
     """One row, one array of longs, in which the bit of each hash of the column f is set."""
@@ -24,7 +26,7 @@ def may_hold(found: Column, f: Column, bits: int) -> Column:
     return F.call_function("getbit", word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def filter_of(hashes: DataFrame, n: int, most: int) -> tuple[Column | None, int]:
-    """A scalar with the bit array of the n hashes of the column f, and its size in bits as a power of two; None over most."""
-    bits = max(12, (16 * max(n, 1) - 1).bit_length())
-    return (bit_array(hashes, bits).scalar(), bits) if n <= most else (None, 0)
+def filter_of(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """A scalar with the bit array of the n hashes of the column f, and its size in bits as a power of two."""
+    bits = min(MAX_BITS, max(12, (16 * max(n, 1) - 1).bit_length()))
+    return bit_array(hashes, bits).scalar(), bits

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,15 +13,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder of this machine is set.
+    Only a local master may do without: a temporary folder of this machine is set then.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
-        found = f"file://{tempfile.mkdtemp(prefix='lumenlake-')}"
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lumenlake-')}")
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
@@ -53,6 +55,14 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _held: list = [None, None]
 
 

@@ -8,12 +8,13 @@ the shingle sets. Both kinds are banded, and where no shingle repeats they are t
 kind are candidates, which are verified on their whole texts: a link is a pair whose probability Jaccard, or plain
 Jaccard, reaches the threshold. Classes are the connected components of links and of equal texts.
 
-Candidates are never written out as pairs. Equal texts are one node. Every bucket links its members to its least one, and
-the connected components of these links are the candidate groups: all texts that share a band lie in one. A group is
-dealt into blocks of BLOCK texts and BLOCK_BYTES bytes at most, on average, and each pair of blocks is one task, which gets each text once,
-counts the shingles that all its pairs share from posting lists, and returns a spanning forest of the links it finds. So
-no task grows with a group, no pair is left out, and rows stay linear in the texts of a group times its blocks; the
-comparisons within a group of different texts are quadratic, in vector operations.
+Candidates are never written out as pairs of a bucket. Equal texts are one node, and of buckets with the same members
+one stays. In each turn, every bucket's members are compared with its least one alone (linear in the members), links are
+joined to classes, and the least ones leave; buckets whose members then lie in one class are done. After STARS turns the
+members of the other buckets are dealt into blocks of BLOCK texts and BLOCK_BYTES bytes at most, on average; each pair of
+blocks of a bucket is compared from posting lists, only between texts of different classes. So no task grows with a
+bucket, no text is compared with one that shares no bucket with it, and no link between classes is left out; a bucket of
+many texts that are not alike is quadratic, in vector operations.
 
 Cases: null and empty texts have no shingles and are copies of one another; a text of fewer than five words is one
 shingle; null ids and repeated rows are each returned with their class; the class id is the least doc_id in the class
@@ -26,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitset import filter_of, may_hold
-from .common import materialise, release, texts_of
+from .common import free_name, materialise, release, texts_of
 from .components import components
 from .shingles import bytes_of, counted, mix, runs, shingle_hashes
 
@@ -38,14 +39,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.999995 at 0.8.
 BANDS, ROWS = 40, 6
-#: Texts, and bytes of text, in one block of a candidate group, on average.
+#: Turns in which buckets are compared with one member.
+STARS = 2
+#: Texts, and bytes of text, in one block of a bucket, on average; and bytes of text that one task gets.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Weighted sets are compared exactly where their registers agree in this share or more: ten deviations under the threshold's.
 LIKELY = 0.55
 
-#: Beyond this many texts in candidate groups, texts are not thinned before they are joined (the bit array has 16 bits each).
-MAX_FILTERED = 1 << 22
-
 _U = np.uint64
 
 
@@ -142,11 +142,12 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), lists], names=["doc_id", "node", "size", "bands"])
 
 
-def linked_classes(texts: list[str], side: np.ndarray | None = None) -> np.ndarray:
-    """The least index of the class of each text under links at the threshold; side: compare only texts of different sides.
+def linked_classes(texts: list[str], classes: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """Classes of texts under links at the threshold, as least indices, and links that join them: (i, j, similarity).
 
-    Plain Jaccard is exact for all pairs, by counting posting lists; where shingles repeat within a text, pairs whose
-    registers are alike are compared as weighted sets too.
+    classes: texts of equal numbers are joined already; side: compare only texts of different sides. Plain Jaccard is
+    exact for all pairs, by counting posting lists; where shingles repeat within a text, pairs whose registers are alike
+    are compared as weighted sets too.
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     offsets = np.append(0, np.cumsum([len(r) for r in raw]))
@@ -163,38 +164,71 @@ def linked_classes(texts: list[str], side: np.ndarray | None = None) -> np.ndarr
     posting, length = t[by], np.diff(np.append(first, len(h)))
     repeats = np.bincount(t, weights=w > 1, minlength=n) > 0
     registers = signatures(h, t, w, n, BANDS * ROWS).astype(np.uint16) if repeats.any() else None
-    label = np.arange(n)
+    label, links = np.arange(n), []
+    if classes is not None and n:
+        _, head, inverse = np.unique(classes, return_index=True, return_inverse=True)
+        label = head[inverse]
     for i in range(n):
-        if not sizes[i]:
+        open_ = label != label[i]
+        if side is not None:
+            open_ &= side != side[i]
+        if not sizes[i] or not open_.any():
             continue
         mine = number[begin[i] : begin[i + 1]]
         k = length[mine]
         at = np.repeat(first[mine] - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(k.sum())
         shared = np.bincount(posting[at], minlength=n)
-        open_ = label != label[i]
-        if side is not None:
-            open_ &= side != side[i]
-        link = open_ & (shared >= THRESHOLD * (sizes + sizes[i] - shared) - 1e-9) & (shared > 0)
+        alike = shared / np.maximum(sizes + sizes[i] - shared, 1)
+        link = open_ & (alike >= THRESHOLD - 1e-12)
         if registers is not None:
             odd = np.flatnonzero(open_ & ~link & (shared > 0) & (repeats | repeats[i]))
             odd = odd[(registers[odd] == registers[i]).mean(1) >= LIKELY]
             own = (h[begin[i] : begin[i + 1]], w[begin[i] : begin[i + 1]])
             for j in odd.tolist():
-                link[j] = similarity(own, (h[begin[j] : begin[j + 1]], w[begin[j] : begin[j + 1]]))[0] >= THRESHOLD
+                alike[j] = similarity(own, (h[begin[j] : begin[j + 1]], w[begin[j] : begin[j + 1]]))[0]
+                link[j] = alike[j] >= THRESHOLD - 1e-12
         if link.any():
+            at = np.flatnonzero(link)
+            _, one = np.unique(label[at], return_index=True)
+            links += [(i, int(j), float(alike[j])) for j in at[one]]
             joined = np.unique(np.append(label[link], label[i]))
             label[np.isin(label, joined)] = joined[0]
-    return label
+    return label, links
 
 
-def _link_group(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links within a block, or between two blocks, of a candidate group."""
-    table = table.sort_by("node")
-    block = table.column("block").to_numpy()
-    label = linked_classes(table.column("text").to_pylist(), block if block.min() != block.max() else None)
-    own = np.flatnonzero(label != np.arange(len(label)))
-    nodes = table.column("node").combine_chunks()
-    return pa.table([nodes.take(pa.array(label[own])), nodes.take(pa.array(own))], names=["a", "b"])
+LINK = "a binary, b binary, similarity double"
+
+
+def _links(a: list[bytes], b: list[bytes], alike: list[float]) -> pa.Table:
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(alike, pa.float64())], names=["a", "b", "similarity"])
+
+
+def _link_stars(table: pa.Table) -> pa.Table:
+    """Links between the rows' texts and those of their leads, which are rows of the same table and unit."""
+    lead, node, text = (table.column(c).to_pylist() for c in ("lead", "node", "text"))
+    place = {n: i for i, n in enumerate(node)}
+    sets = {n: weighted_set(text[i]) for n, i in place.items()}
+    pairs = sorted({(a, b) for a, b in zip(lead, node) if a != b})
+    found = [(a, b, s) for a, b in pairs if (s := max(similarity(sets[a], sets[b]))) >= THRESHOLD - 1e-12]
+    return _links(*([x[i] for x in found] for i in range(3)))
+
+
+def _link_blocks(table: pa.Table) -> pa.Table:
+    """Links between classes within the units (a block, or two blocks, of a bucket) of a table."""
+    table = table.sort_by([("h", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
+    unit = np.stack([table.column(c).to_numpy() for c in ("h", "i", "j")])
+    first = np.flatnonzero(np.append(True, (unit[:, 1:] != unit[:, :-1]).any(0)))
+    a, b, alike = [], [], []
+    for x, y in zip(first.tolist(), np.append(first[1:], table.num_rows).tolist()):
+        part = table.slice(x, y - x)
+        node, block = part.column("node").to_pylist(), part.column("block").to_numpy()
+        _, number = np.unique(np.asarray(part.column("cls").to_pylist(), object), return_inverse=True)
+        _, links = linked_classes(part.column("text").to_pylist(), number, block if block.min() != block.max() else None)
+        for i, j, s in links:
+            a.append(node[i])
+            b.append(node[j])
+            alike.append(s)
+    return _links(a, b, alike)
 
 
 def node_of(text_col: str = "text"):
@@ -202,32 +236,105 @@ def node_of(text_col: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, node (what equal texts share), class_id and class_size in documents."""
+def _blocks() -> Column:
+    """Blocks of a group of texts: by number and bytes."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _tasks(units: DataFrame) -> int:
+    """So many tasks that each gets BLOCK_BYTES of text, on average."""
+    return max(1, -(-(units.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES))
+
+
+def _star_links(star: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among the pairs of star(lead, node, size); a lead of many is dealt into several units."""
+    blocks = star.groupBy("lead").agg(_blocks().alias("k"), F.max("lead_size").alias("lead_size"))
+    blocks, _ = materialise(blocks, "leads")
+    salt = F.pmod(F.xxhash64("node"), F.col("k"))
+    members = star.join(blocks.select("lead", "k"), "lead").select("lead", salt.cast("int").alias("salt"), "node", "size")
+    leads = blocks.select("lead", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.col("lead").alias("node"), F.col("lead_size").alias("size"))
+    units, _ = materialise(members.unionByName(leads), "stars")
+    g = F.pmod(F.xxhash64("lead", "salt"), F.lit(_tasks(units))).alias("g")
+    return units.select("lead", "node", g).join(texts, "node").groupBy("g").applyInArrow(_link_stars, LINK)
+
+
+def _block_links(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between classes within the buckets of rest(h, node, cls, size), block by block."""
+    blocks, _ = materialise(rest.groupBy("h").agg(_blocks().alias("k")), "blocks")
+    placed = rest.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    units, _ = materialise(placed.withColumn("with", other).select("h", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "cls", "size"), "units")
+    g = F.pmod(F.xxhash64("h", "i", "j"), F.lit(_tasks(units))).alias("g")
+    return units.drop("size").withColumn("g", g).join(texts, "node").groupBy("g").applyInArrow(_link_blocks, LINK)
+
+
+def _verified(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(links, labels) of nodes(node, size, bands): links between different texts and (node, comp) of those that have one."""
+    each = nodes.select("node", "size", F.explode("bands").alias("h"))
+    shared, _ = materialise(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    found, bits = filter_of(shared.select(F.col("h").alias("f")), shared.count())
+    # of the bands that no other text has most stop here and are not shuffled again
+    members = each.withColumn("set", found).where(may_hold(F.col("set"), F.col("h"), bits)).drop("set")
+    members, _ = materialise(members.join(shared, "h"), "members")
+    spread = [F.bit_xor(F.xxhash64(F.col("node"), F.lit(i))).alias(f"x{i}") for i in range(2)]
+    buckets = members.groupBy("h").agg(F.count("*").alias("n"), *spread).groupBy("n", "x0", "x1").agg(F.min("h").alias("h")).select("h")
+    rest, _ = materialise(members.join(buckets, "h").withColumn("cls", F.col("node")), "buckets")
+
+    wanted = rest.select("node").distinct()
+    found, bits = filter_of(wanted.select(F.xxhash64("node").alias("f")), wanted.count())
+    # of the texts in no bucket most stop here and are not shuffled
+    near = rows.select("node", "text", found.alias("set")).where(may_hold(F.col("set"), F.xxhash64("node"), bits)).select("node", "text")
+    texts, _ = materialise(near.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+
+    links, labels = None, None
+    for turn in range(STARS + 1):
+        if rest.isEmpty():
+            break
+        if turn < STARS:
+            leads, _ = materialise(rest.groupBy("h").agg(F.min_by(F.struct("node", "cls", "size"), "node").alias("l")).select("h", F.col("l.node").alias("lead"), F.col("l.cls").alias("lead_cls"), F.col("l.size").alias("lead_size")), "leads")
+            rest, _ = materialise(rest.join(leads, "h").where("node <> lead"), "rest")
+            star = rest.where("cls <> lead_cls").select("lead", "lead_size", "node", "size").distinct()
+            more, _ = materialise(_star_links(star, texts), "links")
+        else:
+            more, _ = materialise(_block_links(rest, texts), "links")
+        links = more if links is None else links.unionByName(more)
+        labels = components(links.select("a", "b"))
+        if turn < STARS:
+            named = rest.select("h", "node", "size").join(labels, "node", "left").select("h", "node", "size", F.coalesce("comp", "node").alias("cls"))
+            named, _ = materialise(named, "named")
+            open_, _ = materialise(named.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("h"), "open")
+            rest, _ = materialise(named.join(open_, "h"), "rest")
+    return links, labels
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = texts_of(docs, id_col, text_col).select("doc_id", node_of().alias("node"), "text")
     signed, _ = materialise(rows.mapInArrow(_sign_batches, "doc_id long, node binary, size long, bands array<long>"), "signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
-    each = nodes.select("node", F.explode("bands").alias("h"))
-    # only buckets of two texts or more; each member with the bucket's least
-    shared = each.groupBy("h").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("h", "lead")
-    near = components(each.join(shared, "h").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
-
-    sized = near.join(nodes.select("node", "size"), "node")
-    blocks = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("k"))
-    placed, _ = materialise(near.join(blocks, "comp").select("node", "comp", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block")), "placed")
-    wanted = placed.select("node")
-    found, bits = filter_of(wanted.select(F.xxhash64("node").alias("f")), wanted.count(), MAX_FILTERED)
-    # of the texts in no group most stop here and are not shuffled
-    near_rows = rows if found is None else rows.withColumn("__set", found).where(may_hold(F.col("__set"), F.xxhash64("node"), bits)).select("node", "text")
-    texts = near_rows.join(wanted, "node", "left_semi").select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    dealt = placed.join(texts, "node").withColumn("with", other).select("comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "text")
-    links = dealt.groupBy("comp", "i", "j").applyInArrow(_link_group, "a binary, b binary")
-    labels = components(links)
+    return rows, signed, materialise(nodes, "texts")[0]
+
+
+def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified links between different texts that span the classes: a and b (least doc_id of each text) and similarity."""
+    rows, _, nodes = _signed(docs, id_col, text_col)
+    links, _ = _verified(nodes, rows)
+    if links is None:
+        return docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    least = nodes.select("node", "least")
+    a, b = (least.select(F.col("node").alias(c), F.col("least").alias(f"id_{c}")) for c in "ab")
+    return links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity")
 
-    found = nodes.select("node", "least", "copies").join(labels, "node", "left").select("node", "least", "copies", F.coalesce("comp", "node").alias("comp"))
-    found, _ = materialise(found, "nodes")
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, node (what equal texts share), class_id and class_size in documents."""
+    rows, signed, nodes = _signed(docs, id_col, text_col)
+    _, labels = _verified(nodes, rows)
+    own = nodes.select("node", "least", "copies")
+    own = own.withColumn("comp", F.col("node")) if labels is None else own.join(labels, "node", "left").select("node", "least", "copies", F.coalesce("comp", "node").alias("comp"))
+    found, _ = materialise(own, "nodes")
     classes = found.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min_by("node", F.struct(F.col("least").isNull(), F.col("least"), F.col("node"))).alias("kept_node"))
+    # written, so that the join's sides are plain shuffles and a class of many texts can be split
+    classes, _ = materialise(classes, "classes")
     by_node = found.join(classes, "comp").select("node", "class_id", "class_size", "kept_node")
     return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_id", "class_size", "kept_node")
 
@@ -235,8 +342,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without all but one of each class (that of the least id), with the same columns."""
     found = near_duplicate_classes(docs, id_col, text_col)
-    kept = found.where("node = kept_node and doc_id <=> class_id").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
-    rows = docs.withColumn("__node_own", node_of(text_col))
-    one = rows.join(kept, (rows["__node_own"] == kept["__node"]) & rows[id_col].cast("long").eqNullSafe(kept["__id"]), "left_semi")
+    kept = found.where("node = kept_node and doc_id <=> class_id").select(F.col("doc_id").alias("kept_id"), "node").distinct()
+    own = free_name(docs, "node")
+    rows = docs.withColumn(own, node_of(text_col))
+    one = rows.join(kept, (rows[own] == kept["node"]) & rows[id_col].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
     # what is left to drop are repeated rows: equal id, equal text
-    return one.dropDuplicates([id_col, "__node_own"]).drop("__node_own")
+    return one.dropDuplicates([id_col, own]).drop(own)

@@ -2,7 +2,7 @@
 
 A window is 13 consecutive words of a benchmark item (an item with fewer words is one window). Each text keeps the
 least hash of every K-gram window of W positions, so any 13 shared words share a kept fingerprint. Kept fingerprints of
-the documents pass a bit array of the benchmark's (held at its checked size; beyond that the filter is left out), join
+the documents pass a bit array of the benchmark's (of bounded size; a larger benchmark fills it further), join
 the benchmark's by hash, and each hit is extended to its whole window of words, which are compared one by one. Windows
 that touch or overlap join into spans.
 
@@ -31,8 +31,6 @@ W = SPAN - K + 1  # any SPAN words hold W K-grams, one of which is kept
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Low bits of a fingerprint tell its place, the others its hash.
 PLACE_BITS = 24
-#: Beyond this many fingerprints of the benchmark no bit array is made.
-MAX_FILTERED = 1 << 19
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,11 +88,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # counts of the benchmark, not of the documents: they choose the plan
     sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}
 
-    found, bits = filter_of(long_ones, sizes.pop(SPAN, 0), MAX_FILTERED)
-    rows = texts_of(docs, id_col, text_col)
-    if found is not None:
-        rows = rows.withColumn("__set", found)
-    passes = lambda f: may_hold(F.col("__set"), f, bits) if found is not None else F.lit(True)
+    found, bits = filter_of(long_ones, sizes.pop(SPAN, 0))
+    rows = texts_of(docs, id_col, text_col).withColumn("set", found)
+    passes = lambda f: may_hold(F.col("set"), f, bits)
 
     def hit_of(w: Column, least: Column, i: Column) -> Column:
         p = _place(F.get(least, i), i)
@@ -108,14 +104,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     short_hits = []
     if sizes:
-        found_short, bits_short = filter_of(short_ones, sum(sizes.values()), MAX_FILTERED)
-        if found_short is not None:
-            rows = rows.withColumn("__short", found_short)
+        found_short, bits_short = filter_of(short_ones, sum(sizes.values()))
+        rows = rows.withColumn("short_set", found_short)
         for m in sorted(sizes):
 
             def of_size(w: Column, m: int = m) -> Column:
                 gram = lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(m)))
-                at = F.filter(_upto(F.size(w) - m + 1), lambda i: may_hold(F.col("__short"), gram(i), bits_short) if found_short is not None else F.lit(True))
+                at = F.filter(_upto(F.size(w) - m + 1), lambda i: may_hold(F.col("short_set"), gram(i), bits_short))
                 return F.transform(at, lambda i: _candidate(gram(i), m, i, i, F.slice(w, i + 1, F.lit(m))))
 
             short_hits.append(of_size)

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenlake.llm import chat, components, fertility, packing, pii, probminhash, reputation, shingles, sstable, substrings, suffixsort, tokens, warc, winnow
+from lumenlake.llm import bitset, chat, components, fertility, packing, pii, probminhash, reputation, shingles, sstable, substrings, suffixsort, tokens, warc, winnow
 from lumenlake.llm.common import materialise, scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -125,9 +125,9 @@ def hits_of(text, bench):
     return len(d), sum(hit), sorted(items)
 
 
-@pytest.mark.parametrize("limit", [1 << 19, 0])
+@pytest.mark.parametrize("limit", [27, 7])
 def test_winnowing_matches_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(winnow, "MAX_FILTERED", limit)
+    monkeypatch.setattr(bitset, "MAX_BITS", limit)
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
     bench = [(i, text(rng.choice([1, 3, 7, 12, 13, 14, 20, 40]))) for i in range(12)] + [(50, None), (51, ""), (None, text(13)), (3, "Q w e r t y u i o p a s d f g")]
@@ -473,6 +473,50 @@ def test_plain_copies_with_other_counts_are_found(spark):
     assert got == {i: i - i % 2 for i in range(80)}
 
 
+def test_links_span_the_classes_and_reach_the_threshold(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    links = probminhash.near_duplicate_links(docs).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.similarity == pytest.approx(max(probminhash.similarity(*(probminhash.weighted_set(text[i]) for i in (r.a, r.b))))) and r.similarity >= 0.8 - 1e-9 for r in links)
+    up = {i: i for i in text}
+    least = {}
+    for i in sorted(text):
+        up[i] = least.setdefault(text[i] or "", i)
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for r in links:
+        x, y = sorted((root(r.a), root(r.b)))
+        up[y] = x
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicate_classes(docs).collect()}
+    assert got == {i: root(i) for i in text}
+
+
+def test_near_copies_of_the_threshold_are_all_found(spark):
+    rng = random.Random(1)
+    rows, n = [], 120
+    for k in range(n):
+        w = [f"w{k}x{i}" for i in range(300)]
+        rows.append((2 * k, " ".join(w)))
+        for at in rng.sample(range(300), 1 + k % 6):
+            w[at] = f"new{at}"
+        rows.append((2 * k + 1, " ".join(w)))
+    pairs = [(probminhash.weighted_set(a[1]), probminhash.weighted_set(b[1])) for a, b in zip(rows[::2], rows[1::2])]
+    want = sum(max(probminhash.similarity(*p)) >= 0.8 for p in pairs)
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicate_classes(docs_of(spark, rows)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(n)) == want and want >= n * 0.9
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c", 5, 6), (2, "a b c", 7, 8), (3, None, 9, 1), (4, "", 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __node int, __NODE_ int")
+    got = probminhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     ids = list(range(200))
     random.Random(3).shuffle(ids)
