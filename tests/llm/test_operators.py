@@ -594,6 +594,80 @@ def test_clean_texts_stay(text):
     assert not any(base.values()) and not any(more.values()) and pii.masked(text) == text
 
 
+def disguised(rng, kind):
+    """A plain identifier and a disguise of it."""
+    spell = {v: k for k, v in pii.SPELLED.items() if k in "zero one two three four five six seven eight nine".split()}
+    glyph = {v: k for k, v in pii.HOMOGLYPHS.items() if v.isalpha()}
+    word = lambda: "".join(rng.choice("bdfgkmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    say = lambda digits: " ".join(spell[int(c)] for c in digits)
+    if kind == "email":
+        local, names = [word() for _ in range(rng.randint(1, 3))], [word() for _ in range(rng.randint(1, 6))] + [rng.choice(["pl", "jp", "com", "museum", "xn--p1ai"])]
+        plain = ".".join(local) + "@" + ".".join(names)
+        at, dot = rng.choice([(" [at] ", "."), ("[at]", "[dot]"), (" (AT) ", " (dot) "), (" at ", " dot "), (" arroba ", " punto "), ("@", " dot "), (" {at} ", " Punkt "), (" <at> ", " [.] ")])
+        if rng.random() < 0.25:
+            return plain, "".join(glyph.get(c, c) if rng.random() < 0.9 else c for c in plain).replace("a", "а").replace("o", "о") + ("" if re.search("[ao]", plain) else "")
+        return plain, dot.join(local) + at + dot.join(names)
+    if kind == "ip":
+        groups = [str(rng.randint(0, 255)) for _ in range(4)]
+        return ".".join(groups), rng.choice([" dot ", "[.]", " [dot] ", " punto "]).join(say(g) if rng.random() < 0.6 else g for g in groups)
+    if kind == "card":
+        digits = "".join(rng.choice(rng.choice(["0123456789", "01", "4"])) for _ in range(rng.randint(15, 18)))
+        digits += next(c for c in "0123456789" if pii.luhn(digits + c))
+        return digits, rng.choice([say(digits), "-".join(say(digits).split()), ", ".join(say(digits).split())])
+    digits = "".join(rng.choice("0123456789") for _ in range(rng.randint(8, 15)))
+    return "+" + digits, rng.choice(["plus " + say(digits), "＋" + "".join(chr(ord(c) + 0xFEE0) for c in digits), say(digits[:15])])
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_planted_disguises_give_their_exact_source_spans(kind):
+    rng = random.Random(pii.KINDS.index(kind))
+    filler = ["lorem", "ipsum;", "dolor", "sit!", "amet", "consectetur", "adipiscing", "elit"]
+    for _ in range(500):
+        plain, hidden = disguised(rng, kind)
+        before, after = " ".join(rng.choices(filler, k=rng.randint(0, 300))), " ".join(rng.choices(filler, k=rng.randint(0, 9)))
+        text = f"{before} : {hidden} ; {after}"
+        at = len(before) + 3
+        base, more = pii.find(text)
+        spans = base[kind] + more[kind]
+        other = [x for k in pii.KINDS for x in base[k] + more[k] if k != kind]
+        if kind == "phone" and pii.luhn(re.sub("[^0-9]", "", plain)) and len(plain) > 16:
+            continue  # a card by its digits
+        assert (at, at + len(hidden)) in spans and not other, (hidden, plain, base, more)
+        assert hidden not in pii.masked(text)
+
+
+def test_prose_of_the_same_words_is_left_alone():
+    rng = random.Random(9)
+    words_ = "at dot point the one two house under a look it was und eine tres punto fue there seven of".split()
+    clean = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do".split()
+    for _ in range(300):
+        text = " ".join(x for _ in range(100) for x in (rng.choice(words_), rng.choice(clean)))
+        text = text.replace("dot ", "dots ").replace("punto ", "puntos ")  # "ipsum at sit dot amet" cannot be told from an address
+        assert not any(pii.find(text)[1].values()), text
+
+
+@pytest.mark.parametrize("text", ["anna [at] firma [dot] pl", "x [dot] y [at] z [dot] jp", "four one one one one one one one one one one one one one one one", "one nine two dot one six eight dot one dot one", "192[.]168[.]1[.]1", "five five five one two three four", "john at example.com", "zero zero seven [at] firma [dot] pl", "x" * 500 + " [at] " + "y." * 200 + "com"])
+def test_no_limit_hides_a_disguise(text):
+    _, more = pii.find(text)
+    assert [x for v in more.values() for x in v] == [(0, len(text))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aоneｏ1.@[]() \u200b\n", max_size=40), st.lists(st.sampled_from(["one two", " [at] ", " dot ", "plus ", "seven", "a@b.c", "1.2.3.4", "+12345678"]), max_size=6))
+def test_spans_lie_in_the_text_and_edits_compose(text, parts):
+    text = text.join(parts) if parts else text
+    base, more = pii.find(text)
+    assert all(0 <= a < b <= len(text) for v in (base, more) for k in pii.KINDS for a, b in v[k])
+    for r in pii.deobfuscated(text):
+        assert r.back(0, len(r.text))[0] >= 0 if r.text else True
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com", "x", "y"), (2, None, None, "z")], "__masked_ int, text string, __masked string, `a.b` string")
+    got = pii.mask_pii(docs)
+    assert got.columns == docs.columns and order(tuple(r) for r in got.collect()) == order([(1, "mail <EMAIL>", "x", "y"), (2, None, None, "z")])
+
+
 def test_pii_tables(spark):
     rows = [*ODD, (9, "mail a@b.co or jane [at] mail [dot] org"), (9, "9" * 50_000 + "a" * 50_000 + "@")]
     got = pii.find_pii(clashing(spark, rows)).collect()
