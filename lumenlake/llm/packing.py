@@ -32,9 +32,6 @@ GROUP_PIECES = 32_768
 #: Bins filled less than this share are packed once more, across groups.
 LOOSE_FILL = 0.97
 
-#: Pairs are formed of so many pieces of a bin: the longest that it gives, the shortest that another gives.
-PAIRED = 8
-
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -113,7 +110,8 @@ class _Search:
         for b, items in enumerate(bins):
             self.home[items] = b
             self.room[b] = capacity - int(self.n[items].sum())
-        self.pairs: np.ndarray | None = None
+        self._pairs_of: list[np.ndarray | None] = [None] * len(bins)
+        self._all_pairs: np.ndarray | None = None
 
     def _best(self, mask: np.ndarray, left: np.ndarray) -> int:
         """The admissible exchange after which the other bin has least room."""
@@ -128,17 +126,35 @@ class _Search:
             self.room[a] += self.n[i]
             self.room[to] -= self.n[i]
             self.home[i] = to
-        self.pairs = None
+            self._pairs_of[a] = self._pairs_of[to] = None
+        self._all_pairs = None
+
+    def _different(self, b: int, each: int) -> list[int]:
+        """Pieces of a bin, the longest first, at most so many of each length."""
+        seen: dict[int, int] = {}
+        out = []
+        for i in sorted(self.bins[b], key=lambda i: -self.n[i]):
+            n = int(self.n[i])
+            seen[n] = seen.get(n, 0) + 1
+            if seen[n] <= each:
+                out.append(i)
+        return out
+
+    def _pairs_in(self, b: int) -> np.ndarray:
+        """One pair of pieces for each pair of lengths that a bin holds."""
+        if self._pairs_of[b] is None:
+            found = {tuple(self.n[list(p)].tolist()): p for p in combinations(self._different(b, 2), 2)}
+            self._pairs_of[b] = np.asarray(list(found.values()), np.int64).reshape(-1, 2)
+        return self._pairs_of[b]
 
     def _pairs(self) -> np.ndarray:
-        if self.pairs is None:
-            found = [p for b, items in enumerate(self.bins) if self.room[b] > 0 and len(items) > 1 for p in combinations(sorted(items, key=self.n.__getitem__)[:PAIRED], 2)]
-            self.pairs = np.asarray(found, np.int64).reshape(-1, 2)
-        return self.pairs
+        if self._all_pairs is None:
+            self._all_pairs = np.concatenate([np.zeros((0, 2), np.int64), *(self._pairs_in(b) for b in np.flatnonzero(self.room > 0).tolist() if len(self.bins[b]) > 1)])
+        return self._all_pairs
 
     def step(self, e: int) -> bool:
         """One step that takes from bin e; True if there was one. The other bin gets fuller, so squared fills grow."""
-        items = sorted(self.bins[e], key=lambda i: -self.n[i])
+        items = self._different(e, 1)
         fill = self.capacity - self.room[e]
         for i in items:  # a move
             fits = (self.room >= self.n[i]) & (self.capacity - self.room + self.n[i] > fill)
@@ -147,7 +163,7 @@ class _Search:
                 self._shift([i], b)
                 return True
         room_at = self.room[self.home]
-        for give in [(i,) for i in items] + list(combinations(items[:PAIRED], 2)):  # one for one, two for one
+        for give in [(i,) for i in items] + self._pairs_in(e).tolist():  # one for one, two for one
             x = int(sum(self.n[j] for j in give))
             left = room_at + self.n - x
             gain = (left >= 0) & (self.n < x) & (self.capacity - left > fill)
@@ -197,6 +213,12 @@ def local_search(lengths: Sequence[int], bins: list[list[int]], capacity: int) -
     return [b for b in bins if b]
 
 
+def packing_report(lengths: Sequence[int], capacity: int) -> tuple[int, int, int]:
+    """(bins of best fit decreasing, bins after local search, lower bound)."""
+    bins = best_fit(lengths, capacity)
+    return len(bins), len(local_search(lengths, [list(b) for b in bins], capacity)), lower_bound(lengths, capacity)
+
+
 def pack(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     return local_search(lengths, best_fit(lengths, capacity), capacity)
 

@@ -361,6 +361,30 @@ def test_local_search_beats_best_fit_where_it_can():
     assert len(packing.best_fit([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 60)) == 4 and len(packing.pack([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 60)) == 3
 
 
+def fewest_bins(lengths, capacity):
+    """The exact optimum, over all subsets."""
+    best = {0: (1, 0)}  # subset -> (bins, fill of the last one), the least
+    for mask in range(1, 1 << len(lengths)):
+        best[mask] = min((b, f + n) if f + n <= capacity else (b + 1, n) for i, n in enumerate(lengths) if mask >> i & 1 for b, f in [best[mask ^ 1 << i]])
+    return best[(1 << len(lengths)) - 1][0]
+
+
+def test_local_search_reaches_the_optimum_where_best_fit_does_not():
+    rng, above, reached = random.Random(5), 0, 0
+    while above < 40:
+        lengths = []
+        for _ in range(3):  # three full bins, so that the optimum is three
+            cuts = sorted(rng.sample(range(3, 28), 2))
+            lengths += [cuts[0], cuts[1] - cuts[0], 30 - cuts[1]]
+        first, after, bound = packing.packing_report(lengths, 30)
+        want = fewest_bins(lengths, 30)
+        assert bound <= want <= after <= first
+        if first > want:
+            above += 1
+            reached += after == want
+    assert reached >= 30
+
+
 @pytest.mark.parametrize("mean", [32_768, 20])
 def test_packed_documents(spark, mean):
     rng = random.Random(2)
