@@ -3,8 +3,10 @@
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -204,6 +206,57 @@ def test_letter_mash_goes_and_a_foreign_letter_changes_no_script():
     assert [fertility.script_of(t) for t in ("a long text with one α and ж and 日", "привет a", "नमस्ते दुनिया a")] == ["Latin", "Cyrillic", "Other"]
 
 
+MASH = {
+    "Latin": string.ascii_letters + string.digits + "+/",
+    "Cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя",
+    "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "CJK": "".join(chr(0x4E00 + i) for i in range(0, 20_000, 7)),
+    "Other": "".join(chr(0x12000 + i) for i in range(900)),
+}
+
+
+@pytest.mark.parametrize("script", MASH)
+def test_noise_without_a_language_goes_by_its_script(script):
+    import public_tokenizers
+
+    measures = fertility.Fertility(tokens.default_path(), public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    for _ in range(20):
+        text = " ".join("".join(rng.choice(MASH[script]) for _ in range(rng.randint(3, 9) if script != "Latin" else 60)) for _ in range(120))
+        found = fertility.judge(text, None, measures)
+        assert fertility.script_of(text) == script and not found[5] and not found[6]
+
+
+def test_marked_latin_is_told_from_plain():
+    assert [fertility.script_of(t) for t in ("Tất cả mọi người đều được hưởng", "plain words in a row é", "ß", "")] == ["Latin with marks", "Latin", "Latin with marks", "Other"]
+
+
+def test_verdicts_of_a_table_match_brute_force(spark, data):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    bpe, sp = Tokenizer.from_file(tokens.default_path()), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(10**6, None, None), (10**6 + 1, "", "en"), (10**6 + 2, "word and other things " * 40_000, "en"), (10**6 + 3, "ж" * 70 + " x" * 80, "xx")], docs.schema)
+    docs = docs.unionByName(odd)
+    text = {r.doc_id: r for r in docs.collect()}
+    for r in fertility.quality(docs).collect():
+        t, lang = text[r.doc_id].text or "", text[r.doc_id].lang
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n = sum(len(bpe.encode(" " + w, add_special_tokens=False).ids) for w in ws) if len(ws) < 50_000 else r.n_tokens
+        pieces = [i for w, k in Counter(ws).items() for i in sp.encode(w) * k]
+        each = Counter(pieces)
+        entropy = -sum(k / len(pieces) * math.log2(k / len(pieces)) for k in each.values()) if pieces else 0.0
+        share = sum(sp.is_byte(i) for i in pieces) / len(pieces) if pieces else 0.0
+        per_token = sum(map(len, ws)) / n if n else 0.0
+        low, high, most_bytes, least, most = fertility.BANDS.get(lang or "") or fertility.BANDS[fertility.script_of(t)]
+        failed = len(ws) < 50 or 100 * base_of(t)[4] > 50 * len(ws)
+        fits = low <= per_token <= high and (n < 64 or share <= most_bytes and least <= entropy <= most)
+        assert (r.n_words, r.n_tokens, r.base_failed, r.kept) == (len(ws), n, failed, not failed and fits)
+        assert (r.chars_per_token, r.byte_share, r.token_entropy) == (pytest.approx(per_token), pytest.approx(share), pytest.approx(entropy, abs=1e-9))
+
+
 # --- tokens and shards
 
 
