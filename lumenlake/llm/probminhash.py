@@ -284,7 +284,7 @@ def _verified(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame |
     found, bits = filter_of(wanted.select(F.xxhash64("node").alias("f")), wanted.count())
     # of the texts in no bucket most stop here and are not shuffled
     near = rows.select("node", "text", found.alias("set")).where(may_hold(F.col("set"), F.xxhash64("node"), bits)).select("node", "text")
-    texts, _ = materialise(near.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    texts, _ = materialise(near.groupBy("node").agg(F.any_value("text").alias("text")).join(wanted, "node", "left_semi"), "texts")
 
     links, labels = None, None
     for turn in range(STARS + 1):
