@@ -121,16 +121,15 @@ ORACLES: dict[str, str] = {
             select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 when quality is null or toxic is null then null else 0 end) as bad
             from labels where doc_id is not null group by doc_id
         ),
-        h0 as (select host, count(bad) as n, cast(sum(coalesce(bad, 0)) as bigint) as k, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') as parts from p left join known using (page_id) group by host),
+        h0 as (select host, count(bad) as n, cast(sum(coalesce(bad, 0)) as bigint) as k, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') as bare from p left join known using (page_id) group by host),
         h1 as (
-            select *, list_aggregate(parts[greatest(len(parts) - 1, 1):], 'string_agg', '.') in (
-                'ac.uk', 'co.uk', 'gov.uk', 'org.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'ne.jp', 'or.jp', 'com.br', 'com.cn', 'com.mx',
-                'com.tr', 'co.in', 'co.kr', 'co.za', 'com.ar', 'com.sg', 'com.tw', 'com.hk') as two from h0
+            select *, string_split(bare, '.') as parts, case
+                when regexp_matches(bare, '(^|\.)[0-9]+$') or starts_with(bare, '[') then 0
+                when regexp_matches(bare, '(^|\.)(ac|co|com|edu|go|gob|gouv|gov|govt|gub|info|ltd|me|mil|ne|net|nhs|nom|or|org|plc|police|sch)\.[a-z][a-z]$') then 2 else 1 end as lab from h0
         ),
         h as (
-            select host, n, k,
-                list_aggregate(parts[greatest(len(parts) - case when two then 2 else 1 end, 1):], 'string_agg', '.') as domain,
-                list_aggregate(parts[greatest(len(parts) - case when two then 1 else 0 end, 1):], 'string_agg', '.') as suffix from h1
+            select host, n, k, case when lab = 0 then bare else list_aggregate(parts[greatest(len(parts) - lab, 1):], 'string_agg', '.') end as domain,
+                case when lab = 0 then bare else list_aggregate(parts[greatest(len(parts) - lab + 1, 1):], 'string_agg', '.') end as suffix from h1
         ),
         d as (select domain, suffix, sum(n) as n, sum(k) as k from h group by domain, suffix),
         s as (select suffix, sum(n) as n, sum(k) as k from d group by suffix),
@@ -147,10 +146,20 @@ ORACLES: dict[str, str] = {
             select (select case when sum(n) > 0 then (sum(k) + 1) / (sum(n) + 2) else 0.1 end from h) as rate,
                 coalesce((select st from st where lv = 1), 1000) as s1, coalesce((select st from st where lv = 2), 1000) as s2, coalesce((select st from st where lv = 3), 1000) as s3
         ),
-        su as (select suffix, (k + s1 * rate) / (n + s1) as up from s, pr),
-        du as (select domain, (k + s2 * up) / (n + s2) as up from d join su using (suffix), pr),
-        hu as (select host, n, (k + s3 * up) / (n + s3) as mean, s3 from h join du using (domain), pr),
-        b as (select host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + s3 + 1)) as bound from hu),
+        du as (select domain, d.n as dn, d.k as dk, (s.k - d.k + s1 * rate) / (s.n - d.n + s1) as up from d join s using (suffix), pr),
+        hu as (select host, n, k, s3, (dk - k + s2 * up) / (dn - n + s2) as m from h join du using (domain), pr),
+        ab as (select host, k + s3 * m as a, n - k + s3 * (1 - m) as b, ln(0.35 / 0.65) as u from hu),
+        st2 as (select *, a / (a + b) as mean, ln(a / b) as md, sqrt(1 / a + 1 / b) as wide, least(sqrt(1 / a + 1 / b), 1) / 10 as step from ab),
+        su as (select *, (md + 12 * wide + 20 / b - u) / step as hi, (u - md + 12 * wide + 20 / a) / step as lo, -a * ln(1 + exp(-md)) - b * ln(1 + exp(md)) as top from st2),
+        tl as (
+            select *, exp(-a * ln(1 + exp(-u)) - b * ln(1 + exp(u)) - top) / 2 as half,
+                list_sum(list_transform(range(1, greatest(cast(ceil(hi) as bigint), 1) + 1), lambda j: exp(-a * ln(1 + exp(-(u + j * step))) - b * ln(1 + exp(u + j * step)) - top))) as o,
+                list_sum(list_transform(range(1, greatest(cast(ceil(lo) as bigint), 1) + 1), lambda j: exp(-a * ln(1 + exp(-(u - j * step))) - b * ln(1 + exp(u - j * step)) - top))) as v
+            from su
+        ),
+        b as (
+            select host, case when mean < 0.95 * 0.35 then 0 when 1 - mean <= 0.05 * 0.65 then 1 when hi <= 0 then 0 when lo <= 0 then 1 else (o + half) / (o + v + 2 * half) end as tail from tl
+        ),
         r as (
             select p.*, case
                 when (host = 'example.net' or suffix(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
@@ -158,6 +167,6 @@ ORACLES: dict[str, str] = {
                 when (host = 'org' or suffix(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
                 when (host = 'net' or suffix(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from p
         )
-        select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when bound > 0.35 then 'block' else 'allow' end as verdict
+        select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when tail >= 0.95 then 'block' else 'allow' end as verdict
         from r left join b using (host)""",
 }

@@ -390,11 +390,61 @@ def test_urls_rules_and_reputation(spark):
 
 
 def test_registered_domains(spark):
-    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.com:80": ("y.com", "com"), "u@y.com": ("y.com", "com"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    hosts = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.com:80": ("y.com", "com"), "u@y.com": ("y.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.b.com.pl": ("b.com.pl", "com.pl"),
+        "x.gov.au": ("x.gov.au", "gov.au"), "co.il": ("co.il", "co.il"), "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"), "com.com": ("com.com", "com"), "[::1]": ("[::1]", "[::1]"),
+    }
     df = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", reputation.domain_of(F.col("h")).alias("d"), reputation.suffix_of(F.col("h")).alias("s"))
     assert {r.h: (r.d, r.s) for r in df.collect()} == hosts
 
 
+def test_public_suffix_lists(spark):
+    rules = reputation.Suffixes.parse(["// a comment", "", "com", "ck", "*.ck", "!www.ck", "uk", "co.uk", "s3.dualstack.example.com"])
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.shop.ck": ("x.shop.ck", "shop.ck"), "a.www.ck": ("www.ck", "ck"), "q.s3.dualstack.example.com": ("q.s3.dualstack.example.com", "s3.dualstack.example.com"), "z.example.com": ("example.com", "com"), "b.c.unknown": ("c.unknown", "unknown")}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", reputation.domain_of(F.col("h"), rules).alias("d"), reputation.suffix_of(F.col("h"), rules).alias("s"))
+    assert {r.h: (r.d, r.s) for r in df.collect()} == hosts
+
+
+def test_beta_tails_match_binomial_sums(spark):
+    # for whole a and b, P(Beta(a, b) > t) is the chance of fewer than a successes in a + b - 1 trials at t
+    t, cases = 0.35, [(a, b) for a in (1, 2, 5, 20, 60, 300) for b in (1, 3, 8, 30, 100, 400)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in cases], "a double, b double")
+    got = df.select("a", "b", reputation.beta_tail(F.col("a"), F.col("b"), t, 0.95).alias("p")).collect()
+    for r in got:
+        a, b = int(r.a), int(r.b)
+        n = a + b - 1
+        want = sum(math.comb(n, i) * t**i * (1 - t) ** (n - i) for i in range(a))
+        assert (r.p >= 0.95) == (want >= 0.95)
+        assert r.p == pytest.approx(want, abs=1e-3) if r.p not in (0.0, 1.0) else (want < 0.95 if r.p == 0 else want >= 0.95)
+
+
+def test_posteriors_match_plain_python(spark):
+    rng = random.Random(4)
+    pages, labels, counts = [], [], {}
+    for i in range(1500):
+        d = rng.randrange(30)
+        host = f"h{rng.randrange(3)}.d{d}.{'com' if d % 3 else 'co.uk'}"
+        pages.append((i, f"http://{host}/x"))
+        n = counts.setdefault(host, [0, 0])
+        if rng.random() < 0.6:
+            bad = int(rng.random() < (0.9 if d % 7 == 0 else 0.1))
+            labels.append((i, bad))
+            n[0] += 1
+            n[1] += bad
+    prior = reputation.Prior(0.3, 50.0, 20.0, 8.0)
+    hosts = reputation.host_counts(spark.createDataFrame(pages, "page_id long, url string").select("page_id", reputation.host_of(F.col("url")).alias("host")), spark.createDataFrame(labels, "page_id long, bad int"))
+    got = {r.host: r for r in reputation.posterior(hosts, prior, 0.35, 0.95).collect()}
+    total = lambda keep: [sum(c[i] for h, c in counts.items() if keep(h)) for i in (0, 1)]
+    assert got.keys() == counts.keys()
+    for h, (n, k) in counts.items():
+        domain, suffix = h.split(".", 1)[1], h.split(".", 2)[2]
+        (dn, dk), (sn, sk) = total(lambda x: x.endswith("." + domain)), total(lambda x: x.endswith("." + suffix))  # noqa: B023
+        up = (sk - dk + 50 * 0.3) / (sn - dn + 50)
+        up = (dk - k + 20 * up) / (dn - n + 20)
+        assert got[h].n_labelled == n and got[h].bad_rate == pytest.approx((k + 8 * up) / (n + 8))
+    assert any(r.tail >= 0.95 for r in got.values()) and any(r.tail < 0.05 for r in got.values())
+
+
 # --- packing
 
 
