@@ -2,19 +2,22 @@
 
 The suffixes to sort are thinned first. In each window of LENGTH bytes the k-gram of least hash is its anchor; equal
 windows have equal anchors, so windows need only be compared where their anchors' hashes meet. Neighbouring windows of
-one anchor make a segment of the text. Equal segments are pre-aggregated by count, within a task before the shuffle and
-over all tasks after it: whatever is repeated whole is known then, be it copied a million times. Segments that share an
-anchor but differ are contested. Of those one suffix each to the right of the anchor, and one to the left reversed, are
-put in suffix order by deep-shallow sorting; neighbours' common prefixes give, for each offset of the anchor in a
-window, classes of equal left and right parts, and a window is repeated if another one has both classes.
+one anchor make a segment of the text. Anchors that occur once drop out. Equal segments (by 128 bits of two hashes) are
+pre-aggregated by count, within a task before the shuffle and over all tasks after it: whatever is repeated whole is
+known then, be it copied a million times. Segments that share an anchor but differ are contested. Of those one suffix
+each to the right of the anchor, and one to the left reversed, are put in suffix order by deep-shallow sorting;
+neighbours' common prefixes give, for each offset of the anchor in a window, classes of equal left and right parts, and
+a window is repeated if another one has both classes. There bytes decide, not hashes.
 
 Segments carry two 64-bit hashes and a place, not text. A contested segment's bytes are cut out of its text once. An
-anchor with more than MAX_CONTESTED different segments is settled another way, by counting 128-bit digests of its
-windows with pre-aggregation, so that no group has to fit in a task.
+anchor with more than MAX_CONTESTED different segments is split over tasks by the bytes that suffixes must share: its
+segments are cut into bands of BAND offsets, whose windows have all but BAND - 1 bytes in common, equal pieces become one
+row again, and pieces that agree in those bytes are sorted together. Should so many pieces agree in them too, their
+windows go on alone: what is equal in all LENGTH bytes is then found by counting. So no group has to fit in a task.
 
 Cases: a null text is empty; texts under LENGTH bytes keep all; repeated rows, also with equal ids, are repeats of one
 another; rows with null ids are kept apart by the hash of their text; an empty table gives an empty table; other columns
-are not read; long texts are worked on in parts that overlap.
+are not read; long texts are worked on in parts that overlap, and repeats within one text count.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitset import filter_of, may_hold
 from .common import materialise, release, texts_of
 from .shingles import bytes_of, mix
 from .suffixsort import deep_shallow_sort, neighbour_lcp
@@ -39,8 +43,10 @@ _W = LENGTH - K + 1
 PART = 1 << 20
 #: Segments are pre-aggregated within a task in lots of so many.
 LOT = 1 << 19
-#: Segments sorted by one task, on average, and the most different ones of one anchor that are sorted.
-SORTED, MAX_CONTESTED = 40_000, 40_000
+#: Segments sorted by one task, on average, and the most different ones of one anchor that are sorted together.
+SORTED, MAX_CONTESTED = 40_000, 10_000
+#: Offsets of an anchor in a window that are sorted together where an anchor has more.
+BAND = 8
 
 _U = np.uint64
 with np.errstate(over="ignore"):
@@ -239,6 +245,30 @@ def _resolve_table(table: pa.Table) -> pa.Table:
     return pa.table([take("doc_id"), take("th"), pa.array(np.concatenate(s) if s else at), pa.array(np.concatenate(e) if e else at)], names=["doc_id", "th", "s", "e"])
 
 
+def bands(first: int, windows: int, anchor: int, raw: bytes) -> Iterator[tuple[int, bytes, int, int, int, bytes]]:
+    """A segment cut by bands of the anchor's offset: (band, bytes that its windows share, first, windows, anchor, bytes)."""
+    low = anchor - windows + 1
+    for band in range(low // BAND, anchor // BAND + 1):
+        o1, o2 = band * BAND, min(band * BAND + BAND, _W) - 1
+        a, b = anchor - min(anchor, o2), anchor - max(low, o1)
+        yield band, raw[anchor - o1 : anchor - o2 + LENGTH], first + a, b - a + 1, anchor - a, raw[a : b + LENGTH]
+
+
+def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contested segments by bands; mh becomes a hash of anchor, band and shared bytes, d tells the pieces' bytes apart."""
+    kinds, names = [*[pa.int64()] * 7, pa.binary(), pa.binary()], [x.split()[0] for x in _BANDED.split(", ")]
+    for batch in batches:
+        rows: list[tuple] = []
+        for mh, doc_id, th, times, first, windows, anchor, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _PIECE_NAMES)):
+            for band, shared, f, w, a, part in bands(first, windows, anchor, raw):
+                key = xxhash.xxh3_64_intdigest(shared, seed=(mh ^ band * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+                rows.append((key - (1 << 63), doc_id, th, times, f, w, a, part, xxhash.xxh3_128_digest(part)))
+            if len(rows) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
+                rows = []
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 9, kinds)], names=names)
+
+
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A 128-bit digest of every window of segments."""
     for batch in batches:
@@ -280,48 +310,73 @@ _TRIMMED_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256, spans (removed runs)."""
     rows = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    cut = rows.mapInArrow(_segment_batches, SEGMENT)
-    by_segment = Window.partitionBy("mh", "sh")
+    cut, _ = materialise(rows.mapInArrow(_segment_batches, SEGMENT), "segments")
     times = F.col("place").bitwiseAND(F.lit(3))
-    seen = cut.repartition(F.col("mh")).withColumns({
-        "n": F.sum(times).over(by_segment),
-        "nth": F.row_number().over(by_segment.orderBy("doc_id", "th", "place")),
-        "contested": (F.min("sh").over(Window.partitionBy("mh")) != F.max("sh").over(Window.partitionBy("mh"))),
-    })
-    spans_known = (times == 0) | (F.col("n") > 1)
-    wanted = seen.where(spans_known | (F.col("contested") & (F.col("nth") == 1)))
-    places = wanted.select("mh", "doc_id", "th", F.least("n", F.lit(2)).alias("times"), (F.col("contested") & (F.col("nth") == 1) & (times > 0)).alias("contested"), (times > 0).alias("segment"), "place")
-    places, _ = materialise(places, "places")
+    # of every anchor one row: those that occur once go, and those with different segments are contested
+    anchors = cut.where(times > 0).groupBy("mh").agg(F.sum(times).alias("n"), (F.min("sh") != F.max("sh")).alias("contested")).where("n > 1").drop("n")
+    anchors, _ = materialise(anchors, "anchors")
+    found, bits = filter_of(anchors.select(F.col("mh").alias("f")), anchors.count())
+    met = cut.where(times > 0).withColumn("set", found).where(may_hold(F.col("set"), F.col("mh"), bits)).drop("set").join(anchors, "mh")
+    by_segment = Window.partitionBy("mh", "sh")
+    seen = met.withColumns({"n": F.sum(times).over(by_segment), "nth": F.row_number().over(by_segment.orderBy("doc_id", "th", "place"))})
+    head = F.col("contested") & (F.col("nth") == 1)
+    wanted = seen.where((F.col("n") > 1) | head).select("mh", "doc_id", "th", F.least("n", F.lit(2)).alias("times"), head.alias("contested"), F.lit(True).alias("segment"), "place")
+    within = cut.where(times == 0).select("mh", "doc_id", "th", F.lit(2).cast("long").alias("times"), F.lit(False).alias("contested"), F.lit(False).alias("segment"), "place")
+    places, _ = materialise(wanted.unionByName(within), "places")
 
     first = F.when(F.col("segment"), F.shiftright("place", 18)).otherwise(F.shiftright("place", 33))
     windows = F.shiftright("place", 10).bitwiseAND(F.lit(255)) + 1
     length = F.when(F.col("segment"), windows + (LENGTH - 1)).otherwise(F.shiftright("place", 2).bitwiseAND(F.lit((1 << 31) - 1)))
     known = places.where("times > 1 or not segment").select("doc_id", "th", first.alias("s"), (first + length).alias("e"))
     contested = places.where("contested").select("mh", "doc_id", "th", "times", F.shiftright("place", 18).alias("first"), windows.alias("windows"), F.shiftright("place", 2).bitwiseAND(F.lit(255)).alias("anchor"))
-    hot = contested.groupBy("mh").agg(F.count("*").alias("n")).where(F.col("n") > MAX_CONTESTED)
-    some_hot = not hot.isEmpty()
     pieces = contested.groupBy("doc_id", "th").agg(F.collect_list(F.struct("mh", "times", "first", "windows", "anchor")).alias("segments")).withColumnsRenamed({"doc_id": "c_id", "th": "c_th"})
     found = rows.join(pieces, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("doc_id", "th", F.encode("text", "UTF-8").alias("raw"), "segments").mapInArrow(_cut_batches, _PIECE)
     found, _ = materialise(found, "contested")
-    groups = max(1, -(-found.count() // SORTED))
-    cold = found.join(hot.select("mh"), "mh", "left_anti") if some_hot else found
-    more = cold.withColumn("g", F.pmod(F.xxhash64("mh"), F.lit(groups))).groupBy("g").applyInArrow(_resolve_table, SPAN)
-    if some_hot:
-        digests, _ = materialise(found.join(hot.select("mh"), "mh", "left_semi").mapInArrow(_digest_batches, "d binary, doc_id long, th long, s long, times long"), "digests")
-        twice = digests.groupBy("d").agg(F.sum("times").alias("n")).where("n > 1")
-        more = more.unionByName(digests.where("times = 1").join(twice, "d").select("doc_id", "th", "s", (F.col("s") + LENGTH).alias("e")))
+    more = _repeated(found)
     spans = known.unionByName(more).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")).withColumnsRenamed({"doc_id": "s_id", "th": "s_th"})
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_trim_batches, TRIMMED)
 
 
+def _hot(segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(the keys of more than MAX_CONTESTED segments, their segments, all other segments); None if there is no such key."""
+    hot, _ = materialise(segments.groupBy("mh").agg(F.count("*").alias("n")).where(F.col("n") > MAX_CONTESTED).select("mh"), "hot")
+    return None if hot.isEmpty() else (hot, segments.join(hot, "mh", "left_semi"), segments.join(hot, "mh", "left_anti"))
+
+
+def _repeated(found: DataFrame) -> DataFrame:
+    """Spans of windows of contested segments that are equal to a window of another segment."""
+    more = []
+    if split := _hot(found):
+        _, many, found = split
+        banded, _ = materialise(many.mapInArrow(_band_batches, _BANDED), "bands")
+        one = banded.groupBy("mh", "d").agg(F.sum("times").alias("n"), F.any_value(F.struct("doc_id", "th", "first", "windows", "anchor", "bytes")).alias("x"))
+        one, _ = materialise(one, "pieces")
+        twice, _ = materialise(one.where("n > 1").select("mh", "d"), "twice")
+        more.append(banded.where("times = 1").join(twice, ["mh", "d"]).select("doc_id", "th", F.col("first").alias("s"), (F.col("first") + F.col("windows") + (LENGTH - 1)).alias("e")))
+        pieces = one.select("mh", "x.doc_id", "x.th", F.least("n", F.lit(2)).alias("times"), "x.first", "x.windows", "x.anchor", "x.bytes")
+        if split := _hot(pieces):
+            _, many, pieces = split
+            digests, _ = materialise(many.mapInArrow(_digest_batches, "d binary, doc_id long, th long, s long, times long"), "digests")
+            twice, _ = materialise(digests.groupBy("d").agg(F.sum("times").alias("n")).where("n > 1").select("d"), "twice")
+            more.append(digests.where("times = 1").join(twice, "d").select("doc_id", "th", "s", (F.col("s") + LENGTH).alias("e")))
+        found = found.unionByName(pieces)
+    groups = max(1, -(-found.count() // SORTED))
+    spans = found.withColumn("g", F.pmod(F.xxhash64("mh"), F.lit(groups))).groupBy("g").applyInArrow(_resolve_table, SPAN)
+    for x in more:
+        spans = spans.unionByName(x)
+    return spans
+
+
 _PIECE = "mh long, doc_id long, th long, times long, first long, windows long, anchor long, bytes binary"
+_PIECE_NAMES = [x.split()[0] for x in _PIECE.split(", ")]
+_BANDED = f"{_PIECE}, d binary"
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each contested segment of a text."""
     kinds = [*[pa.int64()] * 7, pa.binary()]
-    names = [x.split()[0] for x in _PIECE.split(", ")]
+    names = _PIECE_NAMES
     for batch in batches:
         rows: list[tuple] = []
         size = 0

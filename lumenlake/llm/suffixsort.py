@@ -1,9 +1,10 @@
 """Deep-shallow sorting of strings of equal length.
 
-All strings are first sorted by multikey quicksort to a shallow depth; its characters are words of eight bytes, and the
-groups of one depth are partitioned at once. Groups that are still equal there have long common prefixes: each is put in
-order by a blind trie, a Patricia trie of branching depths and bytes only. A string goes down it by its branching bytes
-alone, is compared with the one leaf it reaches, and so finds where it differs from all of the group.
+All strings are first sorted by multikey quicksort to a shallow depth. Its characters are words of eight bytes; each
+group is partitioned three ways by a pivot, and the part that equals the pivot goes on with the next word; the groups of
+one round are partitioned at once. Groups that are still equal at the shallow depth have long common prefixes: each is
+put in order by a blind trie, a Patricia trie of branching depths and bytes only. A string goes down it by its branching
+bytes alone, is compared with the one leaf it reaches, and so finds where it differs from all of the group.
 """
 
 from __future__ import annotations
@@ -56,35 +57,41 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(group: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows of keys within each group, groups ascending; a number for each run of equal rows, in order)."""
+    n, depths = keys.shape
+    order = np.argsort(group, kind="stable")
+    first = np.ones(n, bool)
+    first[1:] = group[order][1:] != group[order][:-1]
+    depth = np.zeros(n, np.int64)
+    while True:
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, n))
+        open_ = (size > 1) & (depth[start] < depths)
+        start, size = start[open_], size[open_]
+        if not len(start):
+            return order, np.cumsum(first)
+        part = np.repeat(np.arange(len(start)), size)
+        at = np.arange(len(part)) + np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size)
+        key = keys[order[at], depth[at]]
+        a, b, c = (keys[order[x], depth[x]] for x in (start, start + size // 2, start + size - 1))
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[part]
+        side = part * 3 + (key >= pivot) + (key > pivot)
+        by = np.argsort(side, kind="stable")
+        order[at], side = order[at][by], side[by]
+        depth[at] += side % 3 == 1
+        first[at] = np.append(True, side[1:] != side[:-1])
+
+
 def deep_shallow_sort(group: np.ndarray, strings: np.ndarray, shallow_words: int = SHALLOW_WORDS) -> np.ndarray:
     """The order of the rows of strings (uint8, rows of equal length) within each group, groups ascending."""
     n, width = strings.shape
-    order = np.argsort(group, kind="stable")
     if n < 2:
-        return order
-    label = np.cumsum(np.append(0, (group[order][1:] != group[order][:-1]).astype(np.int64)))
-    words = -(-width // 8)
-    for d in range(min(shallow_words, words)):
-        tied = np.zeros(n, bool)
-        same = label[1:] == label[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        word = np.zeros((len(at), 8), np.uint8)
-        part = strings[order[at], 8 * d : 8 * d + 8]
-        word[:, : part.shape[1]] = part
-        key = word.view(">u8").reshape(-1).astype(np.uint64)
-        by = np.lexsort((key, label[at]))
-        order[at] = order[at][by]
-        key, old = key[by], label[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (old[1:] != old[:-1]) | (key[1:] != key[:-1])
-        starts = np.ones(n, bool)
-        starts[1:] = ~same
-        starts[at] = new
-        label = np.cumsum(starts)
+        return np.arange(n)
+    words = min(shallow_words, -(-width // 8))
+    shallow = np.zeros((n, 8 * words), np.uint8)
+    shallow[:, : min(width, 8 * words)] = strings[:, : 8 * words]
+    order, label = multikey_quicksort(group, shallow.view(">u8").astype(np.uint64))
     first = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
     for a, b in zip(first.tolist(), np.append(first[1:], n).tolist()):
         if b - a > 1 and width > 8 * shallow_words:

@@ -348,9 +348,19 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("contested, part", [(40_000, 1 << 20), (3, 1 << 20), (40_000, 150)])
-def test_repeated_substrings_match_brute_force(spark, monkeypatch, contested, part):
+def test_multikey_quicksort():
+    rng = np.random.default_rng(1)
+    for n, groups, high in ((0, 1, 9), (1, 1, 9), (500, 7, 3), (3000, 1, 1000), (2000, 300, 2)):
+        group, keys = rng.integers(0, groups, n), rng.integers(0, high, (n, 4)).astype(np.uint64)
+        order_, label = suffixsort.multikey_quicksort(group, keys)
+        rows = [(group[i], *keys[i].tolist()) for i in order_]
+        assert rows == sorted(rows) and all((a == b) == (x == y) for a, b, x, y in zip(rows, rows[1:], label, label[1:]))
+
+
+@pytest.mark.parametrize("contested, band, part", [(40_000, 8, 1 << 20), (3, 8, 1 << 20), (3, 40, 1 << 20), (0, 1, 1 << 20), (40_000, 8, 150)])
+def test_repeated_substrings_match_brute_force(spark, monkeypatch, contested, band, part):
     monkeypatch.setattr(substrings, "MAX_CONTESTED", contested)
+    monkeypatch.setattr(substrings, "BAND", band)
     monkeypatch.setattr(substrings, "PART", part)
     rng = random.Random(5)
     text = lambda n, al="abcdefgh é": "".join(rng.choice(al) for _ in range(n))
@@ -362,12 +372,26 @@ def test_repeated_substrings_match_brute_force(spark, monkeypatch, contested, pa
             a = rng.randint(0, len(p) - 1)
             t += text(rng.randint(0, 300)) if kind < 0.4 else p[a : a + rng.randint(1, 600)] if kind < 0.8 else rng.choice(["ab", "x"]) * rng.randint(100, 300)
         rows.append((i, t))
-    rows += [(3, rows[5][1]), (7, rows[7][1]), (None, rows[9][1]), *ODD[:9], (None, text(400)), *((300 + i, pool[0] + text(30)) for i in range(12))]
+    rows += [(3, rows[5][1]), (7, rows[7][1]), (None, rows[9][1]), *ODD[:9], (4, "a " * 3000), (4, "a " * 3000), (None, text(400)), *((300 + i, pool[0] + text(30)) for i in range(12))]
     got = substrings.remove_repeats(clashing(spark, rows)).collect()
     assert order((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == order(removed(rows))
     assert substrings.remove_repeats(clashing(spark, rows).limit(0)).count() == 0
 
 
+def test_an_anchor_with_many_segments_goes_through_the_sort(spark, monkeypatch):
+    # 12,000 texts around one line, each with bytes of its own on both sides: all of the same anchor, none equal
+    monkeypatch.setattr(substrings, "MAX_CONTESTED", 1000)
+    monkeypatch.setattr(substrings, "SORTED", 4000)
+    rng, line = random.Random(8), "".join(random.Random(8).choice("abcdefgh") for _ in range(150))
+    rows = []
+    for i in range(12_000):
+        left, right = rng.choice(["", f"{i:05d}", f"{i % 500:060d}"]), rng.choice([f"{i:08d}", f"{i % 2000:070d}", f"{i // 2:055d}"])
+        rows.append((i, left + line + right + left))
+    got = substrings.remove_repeats(docs_of(spark, rows)).collect()
+    assert order((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == order(removed(rows))
+    assert sum(r.n_removed > 0 for r in got) > 3000 and sum(r.n_removed == 0 for r in got) > 1000
+
+
 # --- host reputation
 
 RULES = [reputation.Rule(*r) for r in (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))]
