@@ -1,44 +1,48 @@
 """Chat formatting after a collapse of cumulative snapshots.
 
-Logs often hold a conversation many times, each time with some turns more. Each turn's prefix gets a rolling hash (the
-hash of the prefix before it, the role and the text). A conversation whose whole hash is the hash of a proper prefix of
-another one is dropped by an anti-join; of equal conversations the one with the least id stays. What stays is rendered.
+Logs often hold a conversation many times, each time with some turns more. Each turn's prefix gets a rolling hash: two
+64-bit hashes of the turn and its place are combined with the prefix before it, in one running pass over a conversation's
+turns. A conversation whose whole hash is the hash of a proper prefix of another one of more turns is dropped by an
+anti-join; of equal conversations the one with the least id stays. What stays is rendered.
 
 The hashes of prefixes are made distinct before they are joined, and of every whole conversation one row is joined, so a
-first turn that a third of all conversations share is one row, and many copies of one conversation are one row.
+first turn that a third of all conversations share is one row, and many copies of one conversation are one row. Prefixes
+are equal if their lengths and 128 bits agree.
 
 Cases: rows with a null conv_id belong to no conversation and are left out; turns are ordered by number, nulls first,
 ties by role and text, and repeated rows of one turn count once; a null role or text differs from an empty one in the
-hash and is rendered as empty; an empty table gives an empty table; other columns are not read.
+hash and is rendered as empty; a conversation, which is one row when it is rendered, must fit in a task, and its hashes
+take time in proportion to its turns; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TEMPLATE_START, TEMPLATE_END = "<|im_start|>", "<|im_end|>\n"
 
 
-def _step(before: Column, turn: Column) -> Column:
-    """The hash of a prefix from that before it: SHA-256 over the hash and the turn, nulls told from empty strings."""
-    part = lambda c: F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.length(c).cast("string"), F.lit(":"), c))
-    return F.sha2(F.concat(before, part(turn["role"]), part(turn["text"])), 256)
-
-
 def conversations_of(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turns, hashes): a row for each conversation with its turns in order and the hash of every prefix."""
+    """(conv_id, turns): a row for each conversation with its turns in order."""
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    rolled = F.aggregate("turns", F.array().cast("array<string>"), lambda done, t: F.concat(done, F.array(_step(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), t))))
-    return rows.withColumn("hashes", rolled)
+    return rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+
+
+def prefix_hashes(conversations: DataFrame) -> DataFrame:
+    """(conv_id, n, h0, h1): for each prefix of n turns of each conversation its rolling hash."""
+    each = conversations.select("conv_id", F.posexplode("turns").alias("at", "t"))
+    hash_of = lambda salt: F.xxhash64(F.lit(salt), "at", F.col("t.role").isNull(), "t.role", F.col("t.text").isNull(), "t.text")
+    so_far = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return each.select("conv_id", (F.col("at") + 1).alias("n"), *(F.bit_xor(hash_of(i)).over(so_far).alias(f"h{i}") for i in range(2)), F.lead("at").over(Window.partitionBy("conv_id").orderBy("at")).isNull().alias("whole"))
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
     """(conv_id, copies): the conversations that are no prefix of another, each with the number of its equals."""
-    whole = conversations.groupBy(F.size("hashes").alias("n"), F.element_at("hashes", -1).alias("h")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
-    shorter = conversations.select(F.posexplode(F.slice("hashes", 1, F.size("hashes") - 1)).alias("i", "h")).select((F.col("i") + 1).alias("n"), "h").distinct()
-    return whole.join(shorter, ["n", "h"], "left_anti").select("conv_id", "copies")
+    prefixes = prefix_hashes(conversations)
+    whole = prefixes.where("whole").groupBy("n", "h0", "h1").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
+    shorter = prefixes.where("not whole").select("n", "h0", "h1").distinct()
+    return whole.join(shorter, ["n", "h0", "h1"], "left_anti").select("conv_id", "copies")
 
 
 def rendered(turns: Column) -> Column:
@@ -49,5 +53,5 @@ def rendered(turns: Column) -> Column:
 def format_maximal(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, n_turns, copies, text of every maximal conversation, rendered."""
     conversations = conversations_of(turns, conv_col, turn_col, role_col, text_col)
-    kept = maximal(conversations.select("conv_id", "hashes"))
-    return conversations.select("conv_id", "turns").join(kept, "conv_id").select("conv_id", F.size("turns").cast("long").alias("n_turns"), "copies", rendered(F.col("turns")).alias("text"))
+    kept = maximal(conversations)
+    return conversations.join(kept, "conv_id").select("conv_id", F.size("turns").cast("long").alias("n_turns"), "copies", rendered(F.col("turns")).alias("text"))

@@ -12,7 +12,10 @@ bisects the index, and bisects one block's restart points.
     footer  u64 index offset, u32 length, u64 filter offset, u32 length, u64 documents, u64 ids, u8 width, u8 probes, magic
 
 Shards are written by range-partitioned, sorted tasks straight to the output folder under names of their own attempt;
-only those that the manifest names count, so a lost or repeated task leaves a stray file and no wrong result.
+only those that the manifest names count, so a lost or repeated task leaves a stray file and no wrong result. A shard ends
+at a number of bytes or of documents, whichever comes first, so neither its blocks nor its keys outgrow a task. The
+manifest has each shard's first and last key: a lookup bisects the shards, then their blocks, then a block's restart
+points. get_documents looks up a whole table of keys so, each task a range of them.
 
 Cases: a null text is an empty document; null ids come first; documents with equal ids are all kept, ordered by the hash
 of their text; an empty table has a manifest without shards; other columns are not read; a document of any length is one
@@ -24,11 +27,12 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as dataset
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -44,7 +48,7 @@ _FOOTER = struct.Struct("<QIQIQQBB8s")
 _INDEX = struct.Struct("<QI")
 RESTART_EVERY = 16
 BLOCK_BYTES = 256 << 10
-SHARD_BYTES = 128 << 20
+SHARD_BYTES, SHARD_DOCS = 128 << 20, 1 << 20
 BITS_PER_KEY = 10
 
 
@@ -95,7 +99,7 @@ class TableWriter:
         self._at = self.docs = self.ids = self._rows = self._size = 0
         self._block: list[bytes] = []
         self._restarts: list[int] = []
-        self._last = b""
+        self.first = self._last = b""
         self._index: list[tuple[bytes, int, int]] = []
         self._keys: list[bytes] = []
 
@@ -103,6 +107,10 @@ class TableWriter:
     def written(self) -> int:
         return self._at + self._size
 
+    @property
+    def last(self) -> bytes:
+        return self._last
+
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if self._size and self._size + len(ids) * self._width > BLOCK_BYTES:
             self._flush()
@@ -119,6 +127,8 @@ class TableWriter:
         self._rows += 1
         self.docs += 1
         self.ids += len(ids)
+        if self.docs == 1:
+            self.first = key
         if key != self._last or self.docs == 1:
             self._keys.append(key)
         self._last = key
@@ -234,10 +244,10 @@ class _LazyKeys:
         return self._of(i)
 
 
-MANIFEST = "path string, partition int, nth int, docs long, ids long, bytes long"
+MANIFEST = "path string, partition int, nth int, docs long, ids long, bytes long, first_key binary, last_key binary"
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer_path: str | None = None, end_id: int = 0, width: int = 2, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, out: str, tokenizer_path: str | None = None, end_id: int = 0, width: int = 2, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, append end_id, and write shards in ascending key order under out; returns the manifest."""
 
     def write_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +259,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str | None = None, e
         def finish() -> None:
             writer.close()
             sink.close()
-            rows.append((path, part, len(rows), writer.docs, writer.ids, writer._at))
+            rows.append((path, part, len(rows), writer.docs, writer.ids, writer.written, writer.first, writer.last))
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -258,13 +268,13 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str | None = None, e
                     sink = fs.open_output_stream(path)
                     writer = TableWriter(sink, width)
                 writer.add(key_of(doc_id), np.frombuffer(enc.encode(text) + end, "<u4"))
-                if writer.written >= shard_bytes:
+                if writer.written >= shard_bytes or writer.docs >= shard_docs:
                     finish()
                     writer = None
         if writer is not None:
             finish()
-        cols = list(zip(*rows)) or [()] * 6
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        cols = list(zip(*rows)) or [()] * 8
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
     ranged = texts_of(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "h")
@@ -306,15 +316,41 @@ def read_digests(spark: SparkSession, manifest: DataFrame, out: str) -> DataFram
 def lookup(manifest: DataFrame, out: str, doc_ids: list[int | None]) -> dict[int | None, list[list[int]]]:
     """The ids of the documents of a few keys, by binary search; for tools and tests, on the caller's machine."""
     fs, _ = open_uri(out)
-    found: dict[int | None, list[list[int]]] = {d: [] for d in doc_ids}
-    for row in manifest.select("path").orderBy("partition", "nth").toLocalIterator():
-        with fs.open_input_file(row["path"]) as source:
-            table = TableReader(source)
-            for d in doc_ids:
-                found[d] += [ids.tolist() for ids in table.get(d)]
+    found: dict[int | None, list[list[int]]] = {}
+    for d in doc_ids:
+        key, found[d] = F.lit(key_of(d)), []
+        for row in manifest.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("partition", "nth").select("path").toLocalIterator():
+            with fs.open_input_file(row["path"]) as source:
+                found[d] += [ids.tolist() for ids in TableReader(source).get(d)]
     return found
 
 
+def get_documents(keys: DataFrame, manifest_path: str, out: str, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids) of every document whose id is among keys: each task has a range of sorted keys and opens the shards
+    that hold some of it, once each. Of the manifest at manifest_path it reads the rows whose keys overlap its own."""
+
+    def get_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fs, _), (manifest_fs, folder) = open_uri(out), open_uri(manifest_path)
+        shards = dataset.dataset(folder, filesystem=manifest_fs, format="parquet")
+        for batch in batches:
+            asked = batch.column(0).to_pylist()
+            if not asked:
+                continue
+            wanted = [key_of(d) for d in asked]
+            near = shards.to_table(["path", "first_key", "last_key"], filter=(dataset.field("last_key") >= wanted[0]) & (dataset.field("first_key") <= wanted[-1]))
+            for path, first, last in sorted(zip(*(near.column(c).to_pylist() for c in near.column_names)), key=lambda x: x[1:]):
+                mine = asked[bisect_left(wanted, first) : bisect_right(wanted, last)]
+                if mine:
+                    with fs.open_input_file(path) as source:
+                        table = TableReader(source)
+                        for d in mine:
+                            if got := table.get(d):
+                                yield pa.RecordBatch.from_arrays([pa.array([d] * len(got), pa.int64()), pa.array([x.tolist() for x in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    ranged = keys.select(F.col(id_col).cast("long").alias("doc_id")).distinct().repartitionByRange(F.col("doc_id").asc_nulls_first())
+    return ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(get_batches, "doc_id long, ids array<long>")
+
+
 def encode_and_read(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """Write the shards to a new folder of the shared one and return the digests read back from them."""
     spark = docs.sparkSession

@@ -6,7 +6,9 @@ one Arrow batch. Files are read and written record by record, plain or with one
 
 Cases: a null or empty page gives an empty conversion; a null url leaves WARC-Target-URI out; repeated rows give equal
 records, each returned; records of other types are left as they are (derive skips them); bytes that are no UTF-8 become
-replacement characters; an unclosed comment, script or tag ends with the page; other columns are not read.
+replacement characters; an unclosed comment, script or tag ends with the page; a page of any length is one record, worked
+on in memory in proportion to it; an empty table gives an empty table; other columns are not read. A file that ends within
+a record, or within a gzip member, raises an error.
 """
 
 from __future__ import annotations
@@ -191,10 +193,15 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:
         if not line.startswith(b"WARC/"):
             raise ValueError(f"a WARC record begins with its version, not {line[:20]!r}")
         head: dict[str, str] = {}
-        while (line := stream.readline()).strip():
+        while (line := stream.readline()).strip() or not line:
+            if not line:
+                raise ValueError("a WARC file ends within a record's head")
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
-        block = stream.read(int(head.get("content-length", 0)))
+        size = int(head.get("content-length", 0))
+        block = stream.read(size)
+        if len(block) < size:
+            raise ValueError(f"a WARC record of {size} bytes ends after {len(block)}")
         get = head.get
         yield None, get("warc-record-id"), get("warc-type"), get("warc-target-uri"), get("warc-date"), get("warc-refers-to"), get("content-type"), get("warc-block-digest"), get("warc-payload-digest"), block
 
@@ -245,7 +252,7 @@ class _Members(io.RawIOBase):
     """The bytes of a file of gzip members, read as a stream."""
 
     def __init__(self, raw):
-        self._raw, self._z, self._left = raw, zlib.decompressobj(31), b""
+        self._raw, self._z, self._left, self._within = raw, zlib.decompressobj(31), b"", False
 
     def readable(self) -> bool:
         return True
@@ -253,10 +260,13 @@ class _Members(io.RawIOBase):
     def readinto(self, buffer) -> int:
         while True:
             data = self._left or self._raw.read(1 << 16)
+            if not data and self._within:
+                raise ValueError("a gzip member of a WARC file has no end")
             if not data:
                 return 0
             got = self._z.decompress(data, len(buffer))
             self._left = self._z.unconsumed_tail or self._z.unused_data
+            self._within = not self._z.eof
             if self._z.eof:
                 self._z = zlib.decompressobj(31)
             if got:

@@ -9,6 +9,7 @@ import re
 import string
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -85,6 +86,69 @@ def test_warc_parses_members_and_rejects_noise():
         list(warc.parse(io.BytesIO(b"HTTP/1.1 200\r\n")))
 
 
+def test_truncated_warc_files_are_noticed():
+    record = warc.serialise((None, "<r>", "response", None, "d", None, "c", None, None, b"abc" * 1000))
+    packed = gzip.compress(record)
+    for cut in (20, len(record) // 2, len(record) - 10):
+        with pytest.raises(ValueError):
+            list(warc.parse(io.BytesIO(record[:cut])))
+    for cut in (len(packed) // 2, len(packed) - 4):
+        with pytest.raises(ValueError):
+            list(warc.parse(io.BufferedReader(warc._Members(io.BytesIO(packed + packed[:cut])))))
+
+
+class PlainParser(HTMLParser):
+    """Text and links by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.raw = [], [], None
+
+    def handle_starttag(self, tag, attrs):
+        if self.raw:
+            return
+        self.links += [v or "" for k, v in attrs if k == "href"][:1] if tag == "a" else []
+        self.out += ["\n"] if tag in warc._BREAKS else []
+        self.raw = tag if tag in warc._RAW else None
+
+    def handle_endtag(self, tag):
+        if self.raw:
+            self.raw = None if tag == self.raw else self.raw
+        elif tag in warc._BREAKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.out.append(data.replace("\n", " ").replace("\r", " "))
+
+
+def test_derivatives_of_a_table_match_brute_force(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html", F.lit(1).alias("block"), F.lit("x").alias("warc_type"))
+    long_page = "<p>" + "a very long page &amp; more " * 100_000
+    pages = pages.unionByName(spark.createDataFrame([(10**6, "http://x/", long_page, 1, "x"), (10**6, None, None, 1, "y")], pages.schema))
+    source = {}
+    for r in pages.collect():
+        body = (r.html or "").encode()
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+        source.setdefault((r.page_id, r.url), (r.html or "", warc.digest(body), warc.digest(head + body), len(body)))
+    got = warc.derive(warc.responses_of(pages)).collect()
+    assert len(got) == 2 * pages.count() and len({r.record_id for r in got}) == len({(r.warc_type, r.refers_to) for r in got})
+    for r in got:
+        html_, payload, block, size = source[(r.key, r.target_uri)]
+        p = PlainParser()
+        p.feed(html_)
+        p.close()
+        lines = (re.sub(r"[^\S\n]+", " ", x).strip() for x in "".join(p.out).split("\n"))
+        text = "\n".join(x for x in lines if x)
+        assert r.payload_digest == payload and r.warc_date == "2024-01-01T00:00:00Z"
+        if r.warc_type == "conversion":
+            assert bytes(r.block).decode() == text
+        else:
+            want = [("source-record-id", r.refers_to), ("source-block-digest", block), ("source-payload-digest", payload), ("source-status", "HTTP/1.1 200 OK"), ("source-header-content-type", "text/html; charset=utf-8"), ("source-header-content-length", str(size)), ("text-length", str(len(text.encode()))), ("text-digest", warc.digest(text.encode()))]
+            assert bytes(r.block).decode() == "".join(f"{k}: {v}\r\n" for k, v in want + [("outlink", " ".join(x.split())) for x in p.links])
+    assert warc.derive(warc.responses_of(pages.limit(0))).count() == 0
+
+
 # --- chat
 
 
@@ -106,6 +170,13 @@ def test_chat_collapse_matches_brute_force(spark):
     assert {(r.conv_id, r.copies, r.n_turns) for r in got} == {(min(v), len(v), len(t)) for t, v in want.items()}
 
 
+def test_very_long_conversations(spark):
+    n = 20_000
+    rows = [(c, k, "user", f"t{k}") for c, size in ((1, n), (2, n - 1), (3, n)) for k in range(size)] + [(3, n, None, None)]
+    got = chat.format_maximal(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.conv_id, r.n_turns, r.copies) for r in got] == [(3, n + 1, 1)] and got[0].text.count("<|im_start|>") == n + 1
+
+
 def test_chat_of_an_empty_table(spark):
     assert chat.format_maximal(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -298,6 +369,11 @@ def test_shards_round_trip(spark, monkeypatch):
     found = sstable.lookup(manifest, out, asked)
     for d in asked:
         assert Counter(map(tuple, found[d])) == Counter(tuple(ids(t)) for k, t in rows if k == d)
+    small, at = materialise(sstable.write_shards(clashing(spark, rows), out, shard_docs=7), "manifest")
+    assert small.agg(F.max("docs")).first()[0] == 7
+    keys = spark.createDataFrame([(d,) for d in [*asked, *(d for d, _ in rows[:150])]], "doc_id long")
+    got = Counter((r.doc_id, tuple(r["ids"])) for r in sstable.get_documents(keys, at, out).collect())
+    assert got == Counter((d, tuple(ids(t))) for d, t in rows if d in {r.doc_id for r in keys.collect()})
     empty, _ = materialise(sstable.write_shards(clashing(spark, rows).limit(0), out), "manifest")
     assert sstable.read_digests(spark, empty, out).count() == 0
 
