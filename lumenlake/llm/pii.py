@@ -127,23 +127,24 @@ def _any(words) -> str:
     return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
 
+# All patterns from here on are for texts in lower case.
 _OPEN, _CLOSE = r"[\[({<]\s*+", r"\s*+[\])}>]"
 _IN_DOT = rf"{_OPEN}(?:{_any(_DOT_WORDS + _DOT_WEAK)}|\.){_CLOSE}"
 _DOT = rf"(?:\s*+{_IN_DOT}\s*+|\s++(?:{_any(_DOT_WORDS + _DOT_WEAK)})\s++|\.)"
-_AT_MARK = re.compile(rf"{_OPEN}(?:{_any(_AT_WORDS)}|@){_CLOSE}|(?<=\s)(?:{_any(_AT_WORDS)})(?=\s)|@", re.I)
-_AT_IN = re.compile(rf"\s*+{_OPEN}(?:{_any(_AT_WORDS)}|@){_CLOSE}", re.I)
-_DOMAIN_MARKED = re.compile(rf"\s*+[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++", re.I)
-_STEP = re.compile(rf"{_DOT}|[A-Za-z0-9_%+-]++", re.I)
+_AT_MARK = re.compile(rf"{_OPEN}(?:{_any(_AT_WORDS)}|@){_CLOSE}|(?<=\s)(?:{_any(_AT_WORDS)})(?=\s)|@")
+_AT_IN = re.compile(rf"\s*+{_OPEN}(?:{_any(_AT_WORDS)}|@){_CLOSE}")
+_DOMAIN_MARKED = re.compile(rf"\s*+[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++")
+_STEP = re.compile(rf"{_DOT}|[A-Za-z0-9_%+-]++")
 # The same from right to left, on the text turned round.
 _TOD = rf"(?:\s*+[\])}}>]\s*+(?:{_any(w[::-1] for w in _DOT_WORDS + _DOT_WEAK)}|\.)\s*+[\[({{<]\s*+|\s++(?:{_any(w[::-1] for w in _DOT_WORDS + _DOT_WEAK)})\s++|\.)"
-_LOCAL_TURNED = re.compile(rf"\s*+[A-Za-z0-9_%+-]++(?:{_TOD}[A-Za-z0-9_%+-]++)*+", re.I)
-_SIGN = re.compile(rf"{_OPEN}(?:{_any(_AT_WORDS + _DOT_WORDS + _DOT_WEAK)}|[@.]){_CLOSE}", re.I)
+_LOCAL_TURNED = re.compile(rf"\s*+[A-Za-z0-9_%+-]++(?:{_TOD}[A-Za-z0-9_%+-]++)*+")
+_SIGN = re.compile(rf"{_OPEN}(?:{_any(_AT_WORDS + _DOT_WORDS + _DOT_WEAK)}|[@.]){_CLOSE}")
 
 _NUMERAL = rf"(?:(?:{_any(_DIGIT_OF)})(?!\w)|[0-9]++(?![^\W0-9_]))"
 _BETWEEN = rf"(?:\s*+{_IN_DOT}\s*+|\s++(?:{_any(_DOT_WORDS + _DOT_WEAK)})\s++|[\s,./-]++)"
-_RUN = re.compile(rf"(?<![\w+])(?:(?:plus\s++|\+\s*+))?{_NUMERAL}(?:{_BETWEEN}{_NUMERAL})++", re.I)
-_RUN_STEP = re.compile(rf"(?P<dot>\s*+{_IN_DOT}\s*+|\s++(?:{_any(_DOT_WORDS + _DOT_WEAK)})\s++)|(?P<gap>[\s,./-]++)|(?P<word>[^\W\d_]++)|(?P<digits>[0-9]++)|(?P<plus>\+)", re.I)
-_WORDS = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(rf"(?<![\w+])(?:(?:plus\s++|\+\s*+))?{_NUMERAL}(?:{_BETWEEN}{_NUMERAL})++")
+_RUN_STEP = re.compile(rf"(?P<dot>\s*+{_IN_DOT}\s*+|\s++(?:{_any(_DOT_WORDS + _DOT_WEAK)})\s++)|(?P<gap>[\s,./-]++)|(?P<word>[^\W\d_]++)|(?P<digits>[0-9]++)|(?P<plus>\+)")
+_MARKS = ",./-;:!?()[]{}<>\"'"
 
 Edit = tuple[int, int, str, bool]
 
@@ -225,10 +226,11 @@ def _addresses(tokens: list[tuple[str, int, int, str]]) -> list[Edit]:
 def number_edits(text: str) -> list[Edit]:
     """Runs of spelled digits become what they stand for."""
     edits: list[Edit] = []
+    text = lowered(text)
     for m in _RUN.finditer(text):
         tokens = []
         for x in _RUN_STEP.finditer(text, *m.span()):
-            kind, word = x.lastgroup, x[0].lower()
+            kind, word = x.lastgroup, x[0]
             tokens.append(("plus" if word == "plus" else kind, *x.span(), word))
         found = _addresses(tokens)
         if not found and (new := _number(tokens)):
@@ -262,14 +264,14 @@ def _domain(text: str, at: int, sign: str) -> tuple[int, int, str] | None:
     n = len(labels)
     fits = lambda w: len(w) > 1 and w[0].isalpha()
     while n > 1:
-        last, used = labels[n - 1][0].lower(), kind[: n - 1]
+        last, used = labels[n - 1][0], kind[: n - 1]
         if sign == "bare" and "in" not in used:
             if "bare" in used:
-                weak = any(d[0].strip().lower() in _DOT_WEAK for d in dots[: n - 1])
+                weak = any(d[0].strip() in _DOT_WEAK for d in dots[: n - 1])
                 good = last in ENDS if weak else fits(last)
-                good &= not any(x[0].lower() in _COMMON for x in labels[: n - 1]) and (last in ENDS or last not in _COMMON)
+                good &= not any(x[0] in _COMMON for x in labels[: n - 1]) and (last in ENDS or last not in _COMMON)
             else:
-                good = last in ENDS and labels[0][0].lower() not in _COMMON
+                good = last in ENDS and labels[0][0] not in _COMMON
         else:
             good = fits(last) and not (kind[n - 2] == "bare" and last in _COMMON - ENDS)
         if good and (sign != "@" or set(used) != {"plain"}):
@@ -281,6 +283,7 @@ def _domain(text: str, at: int, sign: str) -> tuple[int, int, str] | None:
 def address_edits(text: str) -> list[Edit]:
     """Addresses with words or brackets for their signs become plain ones."""
     edits: list[Edit] = []
+    text = lowered(text)
     turned, end = text[::-1], 0
     for m in _AT_MARK.finditer(text):
         if m.start() < end:
@@ -294,14 +297,14 @@ def address_edits(text: str) -> list[Edit]:
         parts = [x for x in _STEP.finditer(text, len(text) - low.end(), m.start()) if x[0].strip()]
         words, dots = parts[::2], parts[1::2]
         first = len(words) - 1  # bare dot words join no common words
-        while first > 0 and (dots[first - 1][0] == "." or dots[first - 1][0].strip()[0] in "[({<" or words[first - 1][0].lower() not in _COMMON):
+        while first > 0 and (dots[first - 1][0] == "." or dots[first - 1][0].strip()[0] in "[({<" or words[first - 1][0] not in _COMMON):
             first -= 1
         marked = any(d[0] != "." for d in dots[first:])
         if name is None:
             if not marked or not (plain := _DOMAIN.match(text, m.end())):
                 continue
             name = (*plain.span(), plain[0])
-        if sign == "bare" and not marked and words[-1][0].lower() in _COMMON and first == len(words) - 1:
+        if sign == "bare" and not marked and words[-1][0] in _COMMON and first == len(words) - 1:
             continue
         if sign == "bare" and not any(c.isalpha() for x in words[first:] for c in x[0]):
             continue
@@ -310,6 +313,12 @@ def address_edits(text: str) -> list[Edit]:
     return edits
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, character by character: none becomes two."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -318,7 +327,7 @@ def _latin(text: str) -> bool:
     return True
 
 
-_NUMBER_WORDS, _SIGN_WORDS = frozenset((*_DIGIT_OF, *_DOT_WORDS, *_DOT_WEAK)), frozenset(_AT_WORDS + _DOT_WORDS + _DOT_WEAK)
+_NUMERALS, _DOTS, _SIGN_WORDS = frozenset(SPELLED), frozenset(_DOT_WORDS + _DOT_WEAK), frozenset(_AT_WORDS + _DOT_WORDS + _DOT_WEAK)
 
 
 def deobfuscated(text: str) -> list[Rewrite]:
@@ -332,8 +341,11 @@ def deobfuscated(text: str) -> list[Rewrite]:
 
     step(not _latin(text) or "\u00ad" in text, fold_edits)  # no homoglyph is a Latin-1 character
     now = chain[-1].text if chain else text
-    words, signs = set(_WORDS.findall(now.lower())), _SIGN.search(now) is not None
-    step(signs or not words.isdisjoint(_NUMBER_WORDS), number_edits)
+    low = plain = lowered(now)
+    for c in _MARKS:
+        plain = plain.replace(c, " ")
+    words, signs = set(plain.split()), _SIGN.search(low) is not None
+    step(signs or not words.isdisjoint(_NUMERALS) or not words.isdisjoint(_DOTS) and _DIGIT.search(now) is not None, number_edits)
     step(signs or not words.isdisjoint(_SIGN_WORDS), address_edits)
     return chain
 
