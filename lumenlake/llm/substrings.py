@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = cut.where(times > 0).groupBy("mh").agg(F.sum(times).alias("n"), (F.min("sh") != F.max("sh")).alias("contested")).where("n > 1").drop("n")
     anchors, _ = materialise(anchors, "anchors")
     found, bits = filter_of(anchors.select(F.col("mh").alias("f")), anchors.count())
-    met = cut.where(times > 0).withColumn("set", found).where(may_hold(F.col("set"), F.col("mh"), bits)).drop("set").join(anchors, "mh")
+    met = cut.where(times > 0).withColumn("set", found).where(may_hold(F.col("set"), F.col("mh"), bits)).drop("set").join(anchors, "mh").repartition("mh", "sh")  # not by mh alone, as the join leaves them
     by_segment = Window.partitionBy("mh", "sh")
     seen = met.withColumns({"n": F.sum(times).over(by_segment), "nth": F.row_number().over(by_segment.orderBy("doc_id", "th", "place"))})
     head = F.col("contested") & (F.col("nth") == 1)
