@@ -122,6 +122,11 @@ def preferred_first(ids: DataFrame, preferred: list[str], keywords: list[str], f
     return chat.unionByName(plain.join(F.broadcast(none)).where("__n = 0").select("id", "rank"))
 
 
+def split_preferred(ids: DataFrame, preferred: list[str]) -> DataFrame:
+    """(id, preferred): ids told apart by whether they are among the preferred ones."""
+    return ids.select("id", F.col("id").isin(preferred).alias("preferred"))
+
+
 def tail(messages: Column, n: int = 50) -> Column:
     """The last n of an array (slice with a negative start is empty on shorter arrays)."""
     return F.slice(messages, F.greatest(F.size(messages) - n + 1, F.lit(1)), F.lit(n))

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .components import components
+from .ranking import numbered
+
 TILE_SIZE, TILE_OVERLAP, SINGLE_MAX, SLIVER = 1024, 128, 2048, 64
-TILE_IDS = 10_000
+TILE_IDS = 1 << 32
 
 
 def boundary(labels: DataFrame) -> DataFrame:
@@ -46,26 +50,33 @@ def xor(a: DataFrame, b: DataFrame) -> DataFrame:
 def relabel_dense(labels: DataFrame, id_col: str = "cell_id") -> DataFrame:
     """labels with new_id: 1..n in the order of the ids, background stays 0.
 
-    Ids are numbered without a global window: a range-sorted table of the distinct ids counts each partition, and the
-    partitions' offsets, one row each, are added.
+    Ids are numbered without a global window: see ranking.numbered.
     """
-    ids = labels.where(F.col(id_col) > 0).select(F.col(id_col).alias("__id")).distinct().repartitionByRange("__id").sortWithinPartitions("__id")
-    placed = ids.select("__id", F.spark_partition_id().alias("__p"))
-    ranked = placed.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("__id")))
-    sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    new = ranked.join(F.broadcast(before), "__p").select("__id", (F.col("__r") + F.col("__o")).alias("new_id"))
-    return labels.join(new, labels[id_col] == new["__id"], "left").drop("__id").withColumn("new_id", F.coalesce("new_id", F.lit(0)))
+    ids = numbered(labels.where(F.col(id_col) > 0).select(F.col(id_col).alias("__id")).distinct(), [F.col("__id")], "new_id")
+    return labels.join(ids, labels[id_col] == ids["__id"], "left").drop("__id").withColumn("new_id", F.coalesce("new_id", F.lit(0)))
+
+
+def _starts(n: int, size: int, overlap: int, sliver: int) -> list[int]:
+    """Where tiles begin along a side of n pixels; a last tile thinner than sliver is left out."""
+    return [a for a in range(0, max(1, n), size - overlap) if min(a + size, n) - a >= sliver]
 
 
 def tile_grid(spark, h: int, w: int, size: int = TILE_SIZE, overlap: int = TILE_OVERLAP, sliver: int = SLIVER) -> DataFrame:
-    """(tile_idx, id_offset, y1, y2, x1, x2): overlapping tiles in reading order, slivers left out."""
-    step = size - overlap
-    starts = lambda n: F.sequence(F.lit(0), F.lit(max(0, (n - 1) // step * step)), F.lit(step))
-    grid = spark.range(1).select(F.explode(starts(h)).alias("y1")).withColumn("x1", F.explode(starts(w)))
-    grid = grid.withColumns({"y2": F.least(F.col("y1") + size, F.lit(h)), "x2": F.least(F.col("x1") + size, F.lit(w))}).where((F.col("y2") - F.col("y1") >= sliver) & (F.col("x2") - F.col("x1") >= sliver))
-    nth = F.row_number().over(Window.orderBy("y1", "x1")) - 1
-    return grid.select(nth.alias("tile_idx"), (nth * TILE_IDS).alias("id_offset"), "y1", "y2", "x1", "x2")
+    """(tile_idx, id_offset, y1, y2, x1, x2): overlapping tiles in reading order, slivers left out.
+
+    Each tile has TILE_IDS ids of its own, more than it can have pixels.
+    """
+    rows, cols = _starts(h, size, overlap, sliver), _starts(w, size, overlap, sliver)
+    each = [(i * len(cols) + j, (i * len(cols) + j) * TILE_IDS, y, min(y + size, h), x, min(x + size, w)) for i, y in enumerate(rows) for j, x in enumerate(cols)]
+    return spark.createDataFrame(each, "tile_idx int, id_offset long, y1 int, y2 int, x1 int, x2 int")
+
+
+def _tiles_of(axis: str, n: int, size: int, overlap: int, sliver: int) -> Column:
+    """The numbers of the tiles along a side that hold a pixel: tiles begin every size - overlap pixels."""
+    step, last = size - overlap, len(_starts(n, size, overlap, sliver)) - 1
+    low = F.greatest(F.floor((F.col(axis) - size) / step) + 1, F.lit(0))
+    high = F.least(F.floor(F.col(axis) / step), F.lit(last))
+    return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def first_writer(tiles: DataFrame) -> DataFrame:
@@ -96,30 +107,65 @@ def threshold_segmenter(nuclear: np.ndarray, membrane: np.ndarray | None = None)
     return np.where(on, np.searchsorted(ids, labels) + 1, 0).astype(np.int32)
 
 
-def segment_tiles(pixels: DataFrame, h: int, w: int, segmenter: Segmenter = threshold_segmenter, size: int = TILE_SIZE, overlap: int = TILE_OVERLAP, single_max: int = SINGLE_MAX, sliver: int = SLIVER) -> DataFrame:
-    """(y, x, cell_id) of a raster (y, x, v) cut into overlapping tiles, each segmented by a Python callable.
+def segment_tiles(pixels: DataFrame, h: int, w: int, segmenter: Segmenter = threshold_segmenter, size: int = TILE_SIZE, overlap: int = TILE_OVERLAP, single_max: int = SINGLE_MAX, sliver: int = SLIVER, stitch: float | None = None) -> DataFrame:
+    """(y, x, cell_id) of a raster (y, x, v, and m where there is a membrane channel) cut into overlapping tiles, each
+    segmented by a Python callable.
 
-    Images of at most single_max a side are one tile. Pixels explode to the tiles that hold them (four at most); a task
-    holds one tile at a time. Ids get the tile's offset, the first tile wins where tiles overlap, ids are made dense.
+    Images of at most single_max a side are one tile. Pixels explode to the tiles that hold them, four at most where tiles
+    overlap by no more than half, by arithmetic; a task holds one tile at a time. Ids get the tile's offset, the first
+    tile wins where tiles overlap, ids are made dense. With stitch, objects that a seam cuts are joined first: see stitched.
     """
-    spark = pixels.sparkSession
-    one = h <= single_max and w <= single_max
-    grid = tile_grid(spark, h, w, max(h, w), 0, 1) if one else tile_grid(spark, h, w, size, overlap, sliver)
-    if not one and grid.isEmpty():
-        grid = tile_grid(spark, h, w, max(h, w), 0, 1)
-    inside = (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2")) & (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2"))
+    if h <= single_max and w <= single_max or not _starts(h, size, overlap, sliver) or not _starts(w, size, overlap, sliver):
+        size, overlap, sliver = max(h, w), 0, 1
+    rows, cols = _starts(h, size, overlap, sliver), _starts(w, size, overlap, sliver)
+    membrane = "m" in pixels.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y1, y2, x1, x2, offset, tile = (int(pdf[c].iloc[0]) for c in ("y1", "y2", "x1", "x2", "id_offset", "tile_idx"))
-        image = np.zeros((y2 - y1, x2 - x1))
-        image[pdf["y"] - y1, pdf["x"] - x1] = pdf["v"]
-        labels = segmenter(image, None)
+        tile = int(pdf["tile_idx"].iloc[0])
+        y1, x1 = rows[tile // len(cols)], cols[tile % len(cols)]
+        shape = (min(y1 + size, h) - y1, min(x1 + size, w) - x1)
+        planes = []
+        for c in ("v", "m") if membrane else ("v",):
+            plane = np.zeros(shape)
+            plane[pdf["y"] - y1, pdf["x"] - x1] = pdf[c].fillna(0.0)
+            planes.append(plane)
+        labels = segmenter(planes[0], planes[1] if membrane else None)
         y, x = np.nonzero(labels)
-        return pd.DataFrame({"tile_idx": np.full(len(y), tile, np.int32), "y": (y + y1).astype(np.int32), "x": (x + x1).astype(np.int32), "cell_id": labels[y, x].astype(np.int64) + offset})
+        return pd.DataFrame({"tile_idx": np.full(len(y), tile, np.int32), "y": (y + y1).astype(np.int32), "x": (x + x1).astype(np.int32), "cell_id": labels[y, x].astype(np.int64) + tile * TILE_IDS})
 
-    on = pixels.select("y", "x", F.col("v").cast("double").alias("v")).join(F.broadcast(grid), inside)
+    on = pixels.select("y", "x", *(F.col(c).cast("double").alias(c) for c in (("v", "m") if membrane else ("v",))))
+    on = on.withColumn("ty", F.explode(_tiles_of("y", h, size, overlap, sliver))).withColumn("tx", F.explode(_tiles_of("x", w, size, overlap, sliver)))
+    on = on.withColumn("tile_idx", F.col("ty") * len(cols) + F.col("tx")).drop("ty", "tx")
     tiles = on.groupBy("tile_idx").applyInPandas(run, "tile_idx int, y int, x int, cell_id long")
-    return relabel_dense(first_writer(tiles)).select("y", "x", F.col("new_id").cast("int").alias("cell_id"))
+    if stitch is not None:
+        tiles = stitched(written(tiles, "tiles"), stitch)
+    return relabel_dense(first_writer(tiles)).select("y", "x", F.col("new_id").cast("long").alias("cell_id"))
+
+
+def stitched(tiles: DataFrame, least: float = 0.5) -> DataFrame:
+    """tiles' labels (tile_idx, y, x, cell_id) with objects joined that two tiles both found.
+
+    Two labels of different tiles are one object if, of the pixels that both tiles see and either label holds, the share
+    that both hold is least or more. Joined labels take the least id, over any number of tiles. Only pixels that two
+    tiles have labelled meet, by an equi-join on the pixel.
+    """
+    rows = tiles.where("cell_id > 0")
+    seen = rows.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("tile_idx", "cell_id"))).alias("l")).where("size(l) > 1")  # a pixel lies in few tiles
+    pairs = seen.select(F.explode("l").alias("a"), "l").select("a", F.explode("l").alias("b")).where("a.tile_idx < b.tile_idx")
+    both = pairs.groupBy(F.col("a.cell_id").alias("a"), F.col("b.cell_id").alias("b")).agg(F.count("*").alias("n"), F.min("a.tile_idx").alias("ta"), F.min("b.tile_idx").alias("tb"))
+    both = written(both, "met")
+    # what each label of a pair has within the box that the other's tile saw of it
+    box = rows.groupBy("tile_idx").agg(F.min("y").alias("y1"), F.max("y").alias("y2"), F.min("x").alias("x1"), F.max("x").alias("x2"))
+
+    def part(own: str, other: str) -> DataFrame:
+        asked = both.select(F.col(own).alias("cell_id"), F.col(f"t{other}").alias("tile_idx")).distinct().join(box, "tile_idx").withColumnRenamed("tile_idx", "other")
+        inside = rows.join(asked, "cell_id").where(F.col("y").between(F.col("y1"), F.col("y2")) & F.col("x").between(F.col("x1"), F.col("x2")))
+        return inside.groupBy(F.col("cell_id").alias(own), F.col("other").alias(f"t{other}")).agg(F.count("*").alias(f"n{own}"))
+
+    sized = both.join(part("a", "b"), ["a", "tb"]).join(part("b", "a"), ["b", "ta"])
+    linked = sized.where(F.col("n") >= least * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+    names = components(linked).withColumnRenamed("node", "cell_id")
+    return tiles.join(names, "cell_id", "left").select("tile_idx", "y", "x", F.coalesce("comp", "cell_id").alias("cell_id"))
 
 
 def segment_rois(tiles_of_roi: DataFrame) -> DataFrame:
@@ -136,11 +182,39 @@ def roi_offsets(labels: DataFrame) -> DataFrame:
 
 def roi_offsets_applied(labels: DataFrame) -> DataFrame:
     shift = roi_offsets(labels).select("roi_idx", "id_offset")
-    return labels.join(F.broadcast(shift), "roi_idx").withColumn("cell_id", F.when(F.col("cell_id") > 0, F.col("cell_id") + F.col("id_offset")).otherwise(0)).drop("id_offset")
+    return labels.join(shift, "roi_idx").withColumn("cell_id", F.when(F.col("cell_id") > 0, F.col("cell_id") + F.col("id_offset")).otherwise(0)).drop("id_offset")
+
+
+def cellpose_segmenter(model: str = "cyto3", diameter: float | None = None, gpu: bool = False) -> Segmenter:
+    """A segmenter by the optional package cellpose: nuclear and, if given, membrane channel."""
+
+    def run(nuclear: np.ndarray, membrane: np.ndarray | None = None) -> np.ndarray:
+        from cellpose import models
+
+        image = nuclear if membrane is None else np.stack([membrane, nuclear])
+        return models.CellposeModel(gpu=gpu, model_type=model).eval(image, diameter=diameter, channels=[0, 0] if membrane is None else [1, 2])[0].astype(np.int32)
+
+    return run
+
+
+def mesmer_segmenter(mpp: float = 0.5, compartment: str = "whole-cell") -> Segmenter:
+    """A segmenter by the optional package deepcell; a missing membrane channel is zeros."""
+
+    def run(nuclear: np.ndarray, membrane: np.ndarray | None = None) -> np.ndarray:
+        from deepcell.applications import Mesmer
+
+        pair = np.stack([nuclear, np.zeros_like(nuclear) if membrane is None else membrane], -1)[None]
+        return Mesmer().predict(pair, image_mpp=mpp, compartment=compartment)[0, :, :, 0].astype(np.int32)
+
+    return run
 
 
 #: Segmenters by name: (module that must be importable or None, factory).
-SEGMENTERS: dict[str, tuple[str | None, Callable[[], Segmenter]]] = {"threshold": (None, lambda: threshold_segmenter)}
+SEGMENTERS: dict[str, tuple[str | None, Callable[..., Segmenter]]] = {
+    "threshold": (None, lambda: threshold_segmenter),
+    "cellpose": ("cellpose", cellpose_segmenter),
+    "mesmer": ("deepcell", mesmer_segmenter),
+}
 
 
 def available_segmenters() -> dict[str, bool]:

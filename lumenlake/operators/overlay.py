@@ -65,7 +65,7 @@ def white_edges(rgb: DataFrame, labels: DataFrame) -> DataFrame:
 
 def phenotype_map(labels: DataFrame, cells: DataFrame, colours: DataFrame, background: Sequence[int] = DARK) -> DataFrame:
     """(y, x, r, g, b) by phenotype: cells (cell_id, phenotype), colours (phenotype, colour as #rrggbb); what has none is dark."""
-    own = cells.join(F.broadcast(colours), "phenotype").select("cell_id", "colour")
+    own = cells.join(colours, "phenotype").select("cell_id", "colour")
     on = labels.join(own, "cell_id", "left")
     return on.select("y", "x", *(F.when(F.col("colour").isNull() | (F.col("cell_id") <= 0), b).otherwise(hex_part(F.col("colour"), k)).alias(p) for k, (p, b) in enumerate(zip("rgb", background))))
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MINUS
+from ..sources.scratch import written
 from .quantify import measured_like
+from .ranking import numbered, quantiles
 
 OTSU_BINS = 256
 
@@ -28,20 +30,22 @@ def thresholds_by(cells: DataFrame, markers: Sequence[str], method: str = "otsu"
     values = cells.select(F.inline(F.array(*(F.struct(F.lit(m).alias("marker"), finite(measured_like(cells, m).cast("double")).alias("v")) for m in markers))))
     if method == "otsu":
         return otsu(values)
-    want = F.percentile(F.col("v"), F.lit(0.75)) if method == "percentile" else F.median(F.when(F.col("v") > 0, F.col("v")))
-    return values.groupBy("marker").agg(F.coalesce(want, F.lit(0.0)).alias("threshold"))
+    some = values if method == "percentile" else values.where("v > 0")
+    found = quantiles(some, ["marker"], (0.75 if method == "percentile" else 0.5,)).select("marker", F.get("q", 0).alias("threshold"))
+    every = cells.sparkSession.createDataFrame([(m,) for m in markers], "marker string")
+    return every.join(found, "marker", "left").select("marker", F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
 
 
 def otsu(values: DataFrame, bins: int = OTSU_BINS) -> DataFrame:
     """(marker, threshold) of values(marker, v): the bin centre of the greatest between-class variance.
 
-    One pass finds each marker's range (one row a marker, broadcast back), one counts bins; the cumulative sums run over
+    One pass finds each marker's range (one row a marker, joined back), one counts bins; the cumulative sums run over
     at most bins rows a marker. A constant marker's threshold is its value, one without values has 0.
     """
     spans = values.groupBy("marker").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     bin_of = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))
-    counts = values.where("v is not null").join(F.broadcast(spans), "marker").where("hi > lo").groupBy("marker", "lo", "hi", bin_of.alias("bin")).agg(F.count("*").alias("n"))
+    counts = values.where("v is not null").join(spans, "marker").where("hi > lo").groupBy("marker", "lo", "hi", bin_of.alias("bin")).agg(F.count("*").alias("n"))
     every = spans.where("hi > lo").select("marker", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     hist = every.join(counts.select("marker", "bin", "n"), ["marker", "bin"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "centre": F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins})
     upto, whole = Window.partitionBy("marker").orderBy("bin"), Window.partitionBy("marker")
@@ -67,19 +71,21 @@ def assign_phenotypes(cells: DataFrame, thresholds: Mapping[str, float], markers
 def assign_by_table(long_cells: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(cell_id, phenotype) of long cells (cell_id, marker, mean) by a table (marker, pos, label, included, threshold).
 
-    The thresholds stay a small broadcast table, so markers may be many and their number need not be known.
+    The thresholds stay a table, so markers may be many and their number need not be known.
     """
     sign = F.when(is_positive(F.col("mean"), F.col("threshold")), "+").otherwise(MINUS)
     part = F.concat(F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.col("marker")), sign)
-    rows = long_cells.join(F.broadcast(thresholds.where("included")), "marker").select("cell_id", F.struct("pos", part.alias("part")).alias("p"))
+    rows = long_cells.join(thresholds.where("included"), "marker").select("cell_id", F.struct("pos", part.alias("part")).alias("p"))
     return rows.groupBy("cell_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), " ").alias("phenotype"))
 
 
 def phenotype_counts(phenotypes: DataFrame) -> DataFrame:
     """(phenotype, n, first_cell, rank, pct): most frequent first, ties by the first cell seen."""
     counted = phenotypes.groupBy("phenotype").agg(F.count("*").alias("n"), F.min("cell_id").alias("first_cell"))
-    order = Window.orderBy(F.desc("n"), "first_cell")
-    return counted.withColumns({"rank": F.row_number().over(order), "pct": 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())})
+    counted = written(counted, "phenotypes")
+    total = counted.agg(F.sum("n").alias("total"))
+    ranked = numbered(counted, [F.desc("n"), F.col("first_cell"), F.col("phenotype")], "rank")
+    return ranked.crossJoin(total).select("phenotype", "n", "first_cell", F.col("rank").cast("int").alias("rank"), (100.0 * F.col("n") / F.col("total")).alias("pct"))
 
 
 def top_with_other(counts: DataFrame, k: int = 12) -> DataFrame:

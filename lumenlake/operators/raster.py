@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +42,13 @@ def lut(channel_max: DataFrame, cmin: float, cmax: float, brightness: float, gam
 
 def apply_lut(pixels: DataFrame, table: DataFrame, size: int) -> DataFrame:
     """(y, x, r, g, b): entries of a look-up table of at most 65,536 rows, which is broadcast."""
-    return pixels.withColumn("level", lut_index(F.col("v"), size)).join(F.broadcast(table), "level", "left").select("y", "x", "r", "g", "b")
+    return pixels.withColumn("level", lut_index(F.col("v"), size)).join(table, "level", "left").select("y", "x", "r", "g", "b")
 
 
 def layers_float(pixels: DataFrame, params: DataFrame, gamma: bool = True) -> DataFrame:
     """Pixels of visible channels with their window-levelled value times the colour, in [0, 1]."""
     n = window_level(F.col("v"), F.col("min"), F.col("max"), F.col("brightness"), F.col("gamma") if gamma else None)
-    on = pixels.join(F.broadcast(params.where("visible")), "ch_idx")
+    on = pixels.join(params.where("visible"), "ch_idx")
     return on.select("y", "x", "ch_idx", *((n * F.col(c) / 255.0).alias(c) for c in "rgb"))
 
 
@@ -58,7 +60,7 @@ def composite_float(pixels: DataFrame, params: DataFrame, gamma: bool = True) ->
 
 def composite_u8(pixels: DataFrame, params: DataFrame) -> DataFrame:
     """(y, x, r, g, b): 8-bit layers blended in channel order, each step truncated. params: cmin, cmax, brightness, gamma, r, g, b."""
-    on = pixels.join(F.broadcast(params.where("visible")), "ch_idx")
+    on = pixels.join(params.where("visible"), "ch_idx")
     top = F.greatest(F.col("max") - F.col("min"), F.lit(1.0))
     n = F.least(F.greatest((F.floor("v") - F.col("min")) / top, F.lit(0.0)), F.lit(1.0))
     n = F.least(F.greatest(F.when(F.abs(F.col("gamma") - 1) > 0.01, F.pow(n, 1 / F.col("gamma"))).otherwise(n) * F.col("brightness"), F.lit(0.0)), F.lit(1.0))
@@ -152,23 +154,41 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def _convolved(pixels: DataFrame, axis: str, weights: Sequence[float], size: int) -> DataFrame:
-    """Weighted sum along an axis; beyond the edge the image is mirrored (its edge pixels twice)."""
+def _mirrored(first: int, last: int, n: int) -> np.ndarray:
+    """Places first to last - 1 along a side of n pixels; beyond the edge the image is mirrored (its edge pixels twice)."""
+    at = np.arange(first, last) % (2 * n)
+    return np.where(at < n, at, 2 * n - 1 - at)
+
+
+def gaussian(pixels: DataFrame, sigma: float, h: int, w: int, tile: int = TILE) -> DataFrame:
+    """Gaussian blur of a raster (y, x, v), absent pixels counting 0: (y, x, v) of every pixel of the tiles it reaches.
+
+    A pixel goes to the tiles whose halo holds it, four at most, as tiles are no smaller than two halos; a task blurs one
+    tile at a time, row by row and column by column, in arrays.
+    """
+    weights = np.asarray(gaussian_weights(sigma))
     reach = len(weights) // 2
-    other = "x" if axis == "y" else "y"
-    spread = pixels.withColumn("k", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    # every source gives to targets inside, and to those that see it in the mirror
-    period = 2 * size
-    mirror = F.array(F.col(axis), F.lit(period - 1) - F.col(axis))
-    at = spread.withColumn("m", F.explode(mirror)).withColumn("t", F.explode(F.sequence(F.lit(-(reach // period + 1)), F.lit(reach // period + 1))))
-    target = F.col("m") + F.col("t") * period - F.col("k")
-    return at.withColumn("to", target).where((F.col("to") >= 0) & (F.col("to") < size)).groupBy(F.col("to").alias(axis), other).agg(F.sum(F.col("v") * F.element_at(F.array(*map(F.lit, weights)), (F.col("k") + reach + 1).cast("int"))).alias("v"))
+    side = max(tile, 2 * reach)
 
+    def numbers(axis: str, n: int) -> Column:
+        low, high = F.floor((F.col(axis) - reach) / side), F.floor((F.col(axis) + reach) / side)
+        return F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit((n - 1) // side)).cast("int"))
 
-def gaussian(pixels: DataFrame, sigma: float, h: int, w: int) -> DataFrame:
-    """Separable Gaussian blur of a dense raster (y, x, v): each pass aggregates map-side over 2 * reach + 1 neighbours."""
-    weights = gaussian_weights(sigma)
-    return _convolved(_convolved(pixels, "y", weights, h), "x", weights, w)
+    def blur(table: pa.Table) -> pa.Table:
+        ty, tx = table.column("ty")[0].as_py(), table.column("tx")[0].as_py()
+        y0, x0, y1, x1 = ty * side, tx * side, min(h, ty * side + side), min(w, tx * side + side)
+        top, left = max(0, y0 - reach), max(0, x0 - reach)
+        image = np.zeros((min(h, y1 + reach) - top, min(w, x1 + reach) - left))
+        image[table.column("y").to_numpy() - top, table.column("x").to_numpy() - left] = table.column("v").to_numpy()
+        wide = image[_mirrored(y0 - reach, y1 + reach, h) - top][:, _mirrored(x0 - reach, x1 + reach, w) - left]
+        rows = sum(k * wide[i : i + y1 - y0] for i, k in enumerate(weights))
+        out = sum(k * rows[:, i : i + x1 - x0] for i, k in enumerate(weights))
+        y, x = np.mgrid[y0:y1, x0:x1]
+        return pa.table([pa.array(y.reshape(-1).astype(np.int32)), pa.array(x.reshape(-1).astype(np.int32)), pa.array(out.reshape(-1))], names=["y", "x", "v"])
+
+    inside = pixels.where((F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("x") < w) & F.col("v").isNotNull())
+    dealt = inside.select("y", "x", F.col("v").cast("double").alias("v"), F.explode(numbers("y", h)).alias("ty")).withColumn("tx", F.explode(numbers("x", w)))
+    return dealt.groupBy("ty", "tx").applyInArrow(blur, "y int, x int, v double")
 
 
 def feather(mask: DataFrame, h: int, w: int, sigma: float = 3.0) -> DataFrame:
@@ -210,8 +230,10 @@ def params_changed(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def params_hash(params: DataFrame) -> DataFrame:
-    """A hash of all display parameters, for caches; exact, without rounding."""
-    return params.agg(F.xxhash64(F.to_json(F.array_sort(F.collect_list(F.struct("ch_idx", "visible", "min", "max", "brightness", "gamma"))))).alias("params_hash"))
+    """A hash of all display parameters, for caches; exact, without rounding: SHA-256 of a line for each channel."""
+    line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("ch_idx", "visible", "min", "max", "brightness", "gamma")))
+    lines = F.array_sort(F.collect_list(F.struct("ch_idx", line.alias("line"))))
+    return params.agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("params_hash"))
 
 
 def source_pixel(px: Column, py: Column, ds: int, full_h: int, full_w: int) -> Column:
@@ -222,3 +244,9 @@ def source_pixel(px: Column, py: Column, ds: int, full_h: int, full_w: int) -> C
 
 def zoomed(zoom: float, steps: int, factor: float = 1.35, floor: float = 0.01) -> float:
     return max(floor, zoom * factor**steps)
+
+
+def zoomed_at(zoom: Column, pan: Column, pointer: Column, steps: Column, factor: float = 1.35, floor: float = 0.01) -> Column:
+    """struct<zoom, pan> after steps of the wheel at a pointer, whose image position stays where it is."""
+    new = F.greatest(F.lit(floor), zoom * F.pow(F.lit(factor), steps))
+    return F.struct(new.alias("zoom"), (pointer - (pointer - pan) * new / zoom).alias("pan"))

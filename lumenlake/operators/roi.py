@@ -42,24 +42,45 @@ def in_polygon(points: Column, x: Column, y: Column) -> Column:
     return F.coalesce((n > 2) & (F.exists(edges, on) | odd), F.lit(False))
 
 
+#: Side of the squares on which pixels and regions meet.
+SQUARE = 256
+
+
+def _squares(low: Column, high: Column) -> Column:
+    return F.sequence(F.floor(low / SQUARE).cast("int"), F.floor(F.greatest(high, low) / SQUARE).cast("int"))
+
+
+def _met(pixels: DataFrame, rois: DataFrame, h: int, w: int, scale: float) -> DataFrame:
+    """Pixels in the box or outline of each region, with in_shape and in_box: joined by equal squares of the plane."""
+    point = lambda p: F.struct((p["x"] * scale).cast("int").alias("x"), (p["y"] * scale).cast("int").alias("y"))
+    boxes = rois.withColumns(frame_box(h, w, scale)).withColumn("scaled", F.transform("points", point))
+    reach = lambda axis, low, high: _squares(  # noqa: E731 - an ellipse reaches beyond a thin box, an outline beyond any
+        F.least(F.col(low) - 1, F.coalesce(F.array_min(F.transform("scaled", lambda p: p[axis])), F.col(low))),
+        F.greatest(F.col(high) + 1, F.coalesce(F.array_max(F.transform("scaled", lambda p: p[axis])), F.col(high))),
+    )
+    boxes = boxes.select(F.col("name").alias("roi_name"), "roi_type", "sx1", "sy1", "sx2", "sy2", "scaled", F.explode(reach("y", "sy1", "sy2")).alias("__sy"), reach("x", "sx1", "sx2").alias("__across"))
+    boxes = boxes.withColumn("__sx", F.explode("__across")).drop("__across")
+    own = pixels.withColumns({"__sy": F.floor(F.col("y") / SQUARE).cast("int"), "__sx": F.floor(F.col("x") / SQUARE).cast("int")})
+    kind = F.col("roi_type")
+    shape = ((kind == "rect") & in_rect()) | ((kind == "circle") & in_ellipse()) | ((kind == "freehand") & in_polygon(F.col("scaled"), F.col("x"), F.col("y")))
+    met = own.join(boxes, ["__sy", "__sx"]).withColumns({"__in_shape": F.coalesce(shape, F.lit(False)), "__in_box": in_rect()}).where("__in_shape or __in_box")
+    return met.select("roi_name", *pixels.columns, "__in_shape", "__in_box")
+
+
 def members(pixels: DataFrame, rois: DataFrame, h: int, w: int, scale: float = 1.0) -> DataFrame:
     """Pixels with the name of each region that holds them (one row for each).
 
-    Regions are few and small (the size of a drawing, not of the data) and are broadcast; rectangles of tiles would prune
-    further where pixels carry ty and tx. rois: name, roi_type, x1, y1, x2, y2, points.
+    Both sides meet on squares of SQUARE pixels, an equi-join, whatever the number of regions. rois: name, roi_type, x1,
+    y1, x2, y2, points.
     """
-    boxes = rois.withColumns(frame_box(h, w, scale)).withColumn("scaled", F.transform("points", lambda p: F.struct((p["x"] * scale).cast("int").alias("x"), (p["y"] * scale).cast("int").alias("y"))))
-    kind = F.col("roi_type")
-    inside = ((kind == "rect") & in_rect()) | ((kind == "circle") & in_ellipse()) | ((kind == "freehand") & in_polygon(F.col("scaled"), F.col("x"), F.col("y")))
-    own = pixels.select(*(F.col(c).alias(c) for c in pixels.columns))
-    return own.join(F.broadcast(boxes.withColumnRenamed("name", "roi_name")), inside).select("roi_name", *pixels.columns)
+    return _met(pixels, rois, h, w, scale).where("__in_shape").select("roi_name", *pixels.columns)
 
 
 def members_or_box(pixels: DataFrame, rois: DataFrame, h: int, w: int, scale: float = 1.0) -> DataFrame:
     """As members, but a region that holds no pixel takes its whole box."""
-    held = members(pixels, rois, h, w, scale)
-    empty = rois.join(held.select(F.col("roi_name").alias("name")).distinct(), "name", "left_anti")
-    return held.unionByName(members(pixels, empty.withColumn("roi_type", F.lit("rect")), h, w, scale))
+    met = _met(pixels, rois, h, w, scale)
+    held = met.groupBy("roi_name").agg(F.bool_or("__in_shape").alias("__some"))
+    return met.join(held, "roi_name").where(F.when(F.col("__some"), F.col("__in_shape")).otherwise(F.col("__in_box"))).select("roi_name", *pixels.columns)
 
 
 def union_box(rois: DataFrame, ds: int, h: int, w: int) -> DataFrame:
@@ -106,7 +127,9 @@ def notes_of(rois: DataFrame, notes: DataFrame) -> DataFrame:
     """(name, pos, id, source): notes linked to a region, then unlinked ones that lie in its box (edges with), each once."""
     r, n = rois.select("name", "x1", "y1", "x2", "y2"), notes
     linked = n.join(r, n["linked_roi"] == r["name"]).select("name", "pos", "id", F.lit(1).alias("source"))
-    inside = n.where("linked_roi is null").join(F.broadcast(r), (F.col("x") >= F.col("x1")) & (F.col("x") <= F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") <= F.col("y2"))).select("name", "pos", "id", F.lit(2).alias("source"))
+    spread = r.withColumn("__sy", F.explode(_squares(F.col("y1"), F.col("y2")))).withColumn("__sx", F.explode(_squares(F.col("x1"), F.col("x2"))))
+    free = n.where("linked_roi is null").withColumns({"__sy": F.floor(F.col("y") / SQUARE).cast("int"), "__sx": F.floor(F.col("x") / SQUARE).cast("int")})
+    inside = free.join(spread, ["__sy", "__sx"]).where((F.col("x") >= F.col("x1")) & (F.col("x") <= F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") <= F.col("y2"))).select("name", "pos", "id", F.lit(2).alias("source"))
     first = Window.partitionBy("name", "id").orderBy("source")
     return linked.unionByName(inside).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def _bucket(c: Column, radius: float) -> Column:
     return F.floor(c / radius).cast("bigint")
@@ -57,38 +59,31 @@ def _radius_for(cells: DataFrame, k: int) -> float:
     return 1.5 * (area * (k + 1) / (3.14159 * max(1, x["n"]))) ** 0.5
 
 
-#: So many queries or fewer are compared with all cells at once.
-FEW = 500
-
-
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "cell_id"))).where(F.col("rank") <= k)
 
 
-def nearest_of(cells: DataFrame, queries: DataFrame, k: int, first_radius: float | None = None, growth: float = 3.0, rounds: int = 16) -> DataFrame:
-    """(query_id, cell_id, dist, rank): the k nearest cells of every query (query_id, qy, qx).
+def nearest_of(cells: DataFrame, queries: DataFrame, k: int, first_radius: float | None = None, growth: float = 3.0) -> DataFrame:
+    """(query_id, cell_id, dist, rank): the k nearest cells of every query (query_id, qy, qx), all cells if there are fewer.
 
     Radii grow until each query has k cells within the radius, so only queries in thin regions go on; each round is a
-    bucketed equi-join. The last few queries, at most FEW, are held by the driver and compared with all cells.
+    bucketed equi-join, of which every task keeps the k nearest of each query before anything is shuffled by query. The
+    radius ends at last beyond the farthest cell, so no query is left. Cells and queries without a place are left out.
     """
-    spark = cells.sparkSession
-    cells = cells.select("cell_id", "y", "x")
-    left, radius, found = queries.select("query_id", "qy", "qx"), first_radius or _radius_for(cells, k), None
+    placed = lambda df, y, x: df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & ~F.isnan(y) & ~F.isnan(x))
+    cells = written(placed(cells.select("cell_id", "y", "x"), "y", "x"), "cells")
+    left, radius, found = written(placed(queries.select("query_id", "qy", "qx"), "qy", "qx"), "queries"), first_radius or _radius_for(cells, k), None
+    want = min(k, cells.count())
     dist = F.sqrt(F.pow(F.col("qy") - F.col("y"), F.lit(2)) + F.pow(F.col("qx") - F.col("x"), F.lit(2)))
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    for turn in range(rounds):
+    while True:
         q = left.withColumn("dy", near).withColumn("dx", near).withColumns({"by": _bucket(F.col("qy"), radius) + F.col("dy"), "bx": _bucket(F.col("qx"), radius) + F.col("dx")})
         c = cells.withColumns({"by": _bucket(F.col("y"), radius), "bx": _bucket(F.col("x"), radius)})
-        ranked = _ranked(q.join(c, ["by", "bx"]).select("query_id", "cell_id", dist.alias("dist")).where(F.col("dist") <= radius), k)
-        full = ranked.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") == k).select("query_id")
+        ranked = written(_ranked(q.join(c, ["by", "bx"]).select("query_id", "cell_id", dist.alias("dist")).where(F.col("dist") <= radius), k), "nearest")
+        full = ranked.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= want).select("query_id")
         done = ranked.join(full, "query_id", "left_semi")
         found = done if found is None else found.unionByName(done)
-        left = left.join(full, "query_id", "left_anti")
-        some = left.take(FEW + 1)
-        if len(some) <= FEW:
-            if some:
-                few = F.broadcast(spark.createDataFrame(some, left.schema))
-                found = found.unionByName(_ranked(cells.join(few).select("query_id", "cell_id", dist.alias("dist")), k))
+        left = written(left.join(full, "query_id", "left_anti"), "queries")
+        if not want or left.isEmpty():
             return found
         radius *= growth
-    return found.unionByName(_ranked(cells.join(left).select("query_id", "cell_id", dist.alias("dist")), k))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import window_level
+from ..sources.scratch import written
+from .ranking import quantiles
 
 SIGNAL = 0.01
 
@@ -15,7 +17,7 @@ SIGNAL = 0.01
 def adjusted(pixels: DataFrame, params: DataFrame, gamma: bool = False) -> DataFrame:
     """Pixels (ch_idx, v) with n, their window-levelled value, for visible channels; params has a row for each channel."""
     n = window_level(F.col("v"), F.col("min"), F.col("max"), F.col("brightness"), F.col("gamma") if gamma else None)
-    return pixels.join(F.broadcast(params.where("visible")), "ch_idx").withColumn("n", n)
+    return pixels.join(params.where("visible"), "ch_idx").withColumn("n", n)
 
 
 def reference_channel(params: DataFrame) -> DataFrame:
@@ -42,16 +44,15 @@ def intensity_ratios(pixels: DataFrame, params: DataFrame) -> DataFrame:
 def raw_stats(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
     """Statistics of the values over 0, of all channels; a group without any has zeros."""
     v, some = F.col("v"), F.when(F.col("v") > 0, F.col("v"))
-    q = F.percentile(some, F.array(*(F.lit(x) for x in (0.05, 0.25, 0.75, 0.95))))
     found = pixels.groupBy(*by).agg(
-        F.avg(some).alias("mean"), F.stddev_pop(some).alias("std"), F.median(some).alias("median"), F.min(some).alias("min"), F.max(some).alias("max"), F.sum(some).alias("total"),
-        F.count("*").alias("n_total"), F.count_if(v > 0).alias("n_nonzero"), q.alias("q"),
+        F.avg(some).alias("mean"), F.stddev_pop(some).alias("std"), F.min(some).alias("min"), F.max(some).alias("max"), F.sum(some).alias("total"), F.count("*").alias("n_total"), F.count_if(v > 0).alias("n_nonzero"),
     )
+    found = found.join(quantiles(pixels.where(v > 0), by, (0.5, 0.05, 0.25, 0.75, 0.95)), list(by), "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     sem = F.col("std") / F.sqrt(F.nullif("n_nonzero", F.lit(0)))
     return found.select(
-        *by, *(zero(F.col(c).cast("double")).alias(c) for c in ("mean", "std", "median", "min", "max", "total")), zero(sem).alias("sem"), "n_total", "n_nonzero",
-        *(zero(F.get("q", i)).alias(name) for i, name in enumerate(("p5", "p25", "p75", "p95"))),
+        *by, *(zero(F.col(c).cast("double")).alias(c) for c in ("mean", "std", "min", "max", "total")), zero(sem).alias("sem"), "n_total", "n_nonzero",
+        *(zero(F.get("q", i)).alias(name) for i, name in enumerate(("median", "p5", "p25", "p75", "p95"))),
     )
 
 
@@ -60,7 +61,9 @@ def adjusted_stats(pixels: DataFrame, params: DataFrame, by: Sequence[str]) -> D
     n = F.col("n")
     s = F.when(n > SIGNAL, n)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    found = adjusted(pixels, params).groupBy(*by, "ch_idx").agg(zero(F.avg(s)).alias("mean"), zero(F.stddev_pop(s)).alias("std"), zero(F.median(s)).alias("median"), zero(F.min(s)).alias("min_v"), zero(F.max(s)).alias("max_v"))
+    rows = adjusted(pixels, params)
+    found = rows.groupBy(*by, "ch_idx").agg(zero(F.avg(s)).alias("mean"), zero(F.stddev_pop(s)).alias("std"), zero(F.min(s)).alias("min_v"), zero(F.max(s)).alias("max_v"))
+    found = found.join(quantiles(rows.where(n > SIGNAL), [*by, "ch_idx"], (0.5,), "n"), [*by, "ch_idx"], "left").withColumn("median", zero(F.get("q", 0))).drop("q")
     found = found.join(F.broadcast(reference_channel(params)))
     of_ref = F.max(F.when(F.col("ch_idx") == F.col("ref_idx"), F.col("mean"))).over(Window.partitionBy(*by))
     ratio = F.when(F.col("ch_idx") == F.col("ref_idx"), 1.0).otherwise(F.col("mean") / F.greatest(F.coalesce(of_ref, F.lit(0.0)), F.lit(0.001)))
@@ -69,27 +72,36 @@ def adjusted_stats(pixels: DataFrame, params: DataFrame, by: Sequence[str]) -> D
 
 def group_stats(pixels: DataFrame, groups: DataFrame) -> DataFrame:
     """Statistics of all pixels of each group's cells by channel; n_cells is the number of ids in the group, found or not."""
-    sizes = groups.select("group_name", "cell_id").distinct().groupBy("group_name").agg(F.count("*").alias("n_cells"))
-    members = pixels.join(groups.select("group_name", "cell_id").distinct(), "cell_id")
+    different = written(groups.select("group_name", "cell_id").distinct(), "members")
+    sizes = different.groupBy("group_name").agg(F.count("*").alias("n_cells"))
+    members = pixels.join(different, "cell_id")
     v = F.col("v")
-    found = members.groupBy("group_name", "ch_idx").agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count("*").alias("n_pixels"))
-    return found.join(sizes, "group_name")
+    middle = quantiles(members, ["group_name", "ch_idx"], (0.5,)).select("group_name", "ch_idx", F.get("q", 0).alias("median"))
+    found = members.groupBy("group_name", "ch_idx").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count("*").alias("n_pixels"))
+    return found.join(middle, ["group_name", "ch_idx"]).join(sizes, "group_name")
 
 
 def box_summary(values: DataFrame, by: Sequence[str], log2: bool = False) -> DataFrame:
     """Quartiles and whiskers (the most extreme values within 1.5 interquartile ranges of the box)."""
     v = F.log2(F.col("v") + 1) if log2 else F.col("v").cast("double")
     rows = values.select(*by, v.alias("v"))
-    box = rows.groupBy(*by).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*by, F.get("q", 0).alias("q1"), F.get("q", 1).alias("med"), F.get("q", 2).alias("q3"))
+    box = quantiles(rows, by, (0.25, 0.5, 0.75)).select(*by, F.get("q", 0).alias("q1"), F.get("q", 1).alias("med"), F.get("q", 2).alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = rows.join(box, list(by)).where((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach))
+    inside = (rows.join(box, list(by)) if by else rows.crossJoin(box)).where((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach))
     return inside.groupBy(*by, "q1", "med", "q3").agg(F.min("v").alias("whisker_low"), F.max("v").alias("whisker_high"))
 
 
+def _with_quantiles(found: DataFrame, rows: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """found, a row a group, with q; null where the group has none of the rows."""
+    q = quantiles(rows, by, probs)
+    return found.join(q, list(by), "left") if by else found.join(q, F.lit(True), "left")
+
+
 def percentile_range(values: DataFrame, by: Sequence[str] = (), guard: int = 100, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """(lo, hi): percentiles of the values over 0 if more than guard of them, else the plain range."""
     some = F.when(F.col("v") > 0, F.col("v").cast("double"))
-    found = values.groupBy(*by).agg(F.count(some).alias("k"), F.percentile(some, F.array(F.lit(low), F.lit(high))).alias("q"), F.min("v").cast("double").alias("mn"), F.max("v").cast("double").alias("mx"))
+    found = values.groupBy(*by).agg(F.count(some).alias("k"), F.min("v").cast("double").alias("mn"), F.max("v").cast("double").alias("mx"))
+    found = _with_quantiles(found, values.where("v > 0"), by, (low, high))
     pick = lambda i, other: F.when(F.col("k") > guard, F.get("q", i)).otherwise(F.col(other))
     return found.select(*by, pick(0, "mn").alias("lo"), pick(1, "mx").alias("hi"))
 
@@ -102,14 +114,14 @@ def contrast_range(pixels: DataFrame, h: int, ds: int, by: Sequence[str] = ()) -
 def auto_contrast(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(lo, hi) of the 0.5th and 99.5th percentile of values over 0; null where there are under 50, meaning unchanged."""
     some = F.when(F.col("v") > 0, F.col("v").cast("double"))
-    found = values.groupBy(*by).agg(F.count(some).alias("k"), F.percentile(some, F.array(F.lit(0.005), F.lit(0.995))).alias("q"))
+    found = _with_quantiles(values.groupBy(*by).agg(F.count(some).alias("k")), values.where("v > 0"), by, (0.005, 0.995))
     return found.select(*by, F.when(F.col("k") >= 50, F.get("q", 0)).alias("lo"), F.when(F.col("k") >= 50, F.get("q", 1)).alias("hi"))
 
 
 def histogram(values: DataFrame, by: Sequence[str], bins: int = 80, nonzero: bool = True, least: int = 50) -> DataFrame:
     """(by, bin, n, height): bins over each group's range, the last one closed; height is log1p(n) over its greatest.
 
-    The range is one row a group and broadcast back; groups with fewer than least values have no histogram.
+    The range is one row a group and joined back; groups with fewer than least values have no histogram.
     """
     rows = values.where(F.col("v") > 0) if nonzero else values.where(F.col("v").isNotNull())
     spans = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("k")).where(F.col("k") >= least)

@@ -185,7 +185,7 @@ def group_stats(spark: SparkSession, d: str) -> DataFrame:
 def group_semi_join(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     first = part.agg(F.min("p_brand").alias("p_brand"))
-    ids = part.join(F.broadcast(first), "p_brand").select(F.col("p_partkey").alias("cell_id"))
+    ids = part.join(first, "p_brand").select(F.col("p_partkey").alias("cell_id"))
     return wide_pixels(spark, d).join(ids, "cell_id", "left_semi").select("cell_id", "y", "x", "qty")
 
 

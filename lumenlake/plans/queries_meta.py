@@ -15,7 +15,9 @@ from ..operators import roi as rg
 from ..operators import session as ss
 from ..sources import ome, raster, tables
 from .registry import query, rounded, table
-from .standins import SQL_NOTES, SQL_PARAMS, SQL_ROIS, notes, params, rois
+from .standins import SQL_NOTES, SQL_PARAMS, SQL_ROIS, SQL_RPARAMS, WIDTH, height, notes, params, raster_params, rois
+from .standins import raster as made
+from .queries_raster import PIXELS_IN_ROIS
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -46,12 +48,12 @@ def note_time_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", tx.pretty_time(iso).alias("long_time"), tx.pretty_time(iso, "MM/dd HH:mm").alias("short_time"), tx.pretty_time(F.lit("no date at all here")).alias("bad"))
 
 
-_FENCED = "'see' || chr(10) || '```python:a' || item_id || '.py' || chr(10) || substring(text, 1, 20) || chr(10) || '```' || chr(10) || 'and ```:b.txt' || chr(10) || 'x```' || ' end'"
+_FENCED = "'see' || chr(10) || '```python:a' || item_id || '.py' || chr(10) || text || chr(10) || '```' || chr(10) || 'and ```:b.txt' || chr(10) || 'x```' || ' end'"
 
 
-@query("G10", f"select item_id, 2 as n, 'a' || item_id || '.py' as first_path, substring(text, 1, 20) || chr(10) as first_body, 'b.txt' as second_path, 'x' as second_body, 'see' || chr(10) || chr(10) || 'and  end' as rest from benchmark")
+@query("G10", f"select item_id, 2 as n, 'a' || item_id || '.py' as first_path, text || chr(10) as first_body, 'b.txt' as second_path, 'x' as second_body, 'see' || chr(10) || chr(10) || 'and  end' as rest from benchmark")
 def extract_fenced_edits(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat(F.lit("see\n```python:a"), F.col("item_id").cast("string"), F.lit(".py\n"), F.substring("text", 1, 20), F.lit("\n```\nand ```:b.txt\nx``` end"))
+    body = F.concat(F.lit("see\n```python:a"), F.col("item_id").cast("string"), F.lit(".py\n"), F.col("text"), F.lit("\n```\nand ```:b.txt\nx``` end"))
     got = table(spark, d, "benchmark").select("item_id", body.alias("t")).select("item_id", tx.fenced_edits(F.col("t")).alias("e"), tx.without_edits(F.col("t")).alias("rest"))
     at = lambda k, c: F.get("e", k)[c]
     return got.select("item_id", F.size("e").alias("n"), at(0, "path").alias("first_path"), at(0, "body").alias("first_body"), at(1, "path").alias("second_path"), at(1, "body").alias("second_body"), "rest")
@@ -68,17 +70,17 @@ def scale_bar_pick(spark: SparkSession, d: str) -> DataFrame:
     return z.select("p_partkey", tx.scale_bar(F.col("zoom"), F.lit(2.0), F.col("um")).alias("s")).select("p_partkey", "s.*")
 
 
-@query("P21", f"with {SQL_NOTES}, m as (select conv_id, list_concat(['system:be brief'], list(case role when 'assistant' then 'model' else role end || ':' || substring(text, 1, 10) order by turn)) as l from conversations where text is not null and role <> 'system' group by 1) select conv_id, array_to_string(l, '|') as shaped from m")
+@query("P21", f"with {SQL_NOTES}, m as (select conv_id, list_concat(['system:be brief'], list(case role when 'assistant' then 'model' else role end || ':' || text order by turn)) as l from conversations where text is not null and role <> 'system' group by 1) select conv_id, array_to_string(l, '|') as shaped from m")
 def chat_message_shape(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.substring("text", 1, 10).alias("content")))).alias("m"))
+    m = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     got = an.shaped(F.transform("m", lambda s: F.struct(s["role"].alias("role"), s["content"].alias("content"))), "be brief", {"assistant": "model"})
     return m.select("conv_id", F.array_join(F.transform(got, lambda s: F.concat(s["role"], F.lit(":"), s["content"])), "|").alias("shaped"))
 
 
-@query("T8 K13", "select user_id, array_to_string(list(event_id order by event_id)[greatest(count(*) - 4, 1):], ',') as last_five from events group by user_id")
+@query("T8 K13", "select user_id, array_to_string(list(event_id order by event_id)[greatest(count(*) - 49, 1):], ',') as last_fifty from events group by user_id")
 def tail50(spark: SparkSession, d: str) -> DataFrame:
     got = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("l"))
-    return got.select("user_id", F.array_join(F.transform(an.tail(F.col("l"), 5), lambda e: e.cast("string")), ",").alias("last_five"))
+    return got.select("user_id", F.array_join(F.transform(an.tail(F.col("l")), lambda e: e.cast("string")), ",").alias("last_fifty"))
 
 
 _PREF = ["Brand#13", "Brand#22", "Nope#1"]
@@ -89,9 +91,9 @@ def model_preferred_sort(spark: SparkSession, d: str) -> DataFrame:
     return an.preferred_first(table(spark, d, "part").select(F.col("p_brand").alias("id")).distinct(), _PREF, ["#1", "#2"])
 
 
-@query("T7", "select id, rank::int as rank from (select id, row_number() over (order by id) as rank from (select distinct p_brand as id from part)) where rank <= 3")
+@query("T7", "select id, rank::int as rank from (select id, row_number() over (order by id) as rank from (select distinct p_brand as id from part)) where rank <= 50")
 def model_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return an.preferred_first(table(spark, d, "part").select(F.col("p_brand").alias("id")).distinct(), _PREF, ["absent"], 3)
+    return an.preferred_first(table(spark, d, "part").select(F.col("p_brand").alias("id")).distinct(), _PREF, ["absent"])
 
 
 @query("T11", "with c as (select conv_id, 'chat_' || lpad((conv_id * 37 % 1000)::varchar, 4, '0') || '_' || conv_id || '.json' as path, max(text) filter (turn = 0) as title, count(*)::int as messages, 1700000000 + conv_id * 3600 as ts from conversations group by 1) select path, case when length(title) > 24 then substring(title, 1, 24) || '...' else title end as title, messages, strftime(to_timestamp(ts) at time zone 'UTC', '%m/%d %H:%M') as saved from c order by path desc limit 20")
@@ -306,12 +308,29 @@ def source_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select(tx.basename(F.col("path")).alias("name"))
 
 
-@query("K3 A6 M3", None)
+_N = "least(greatest((v - mn) / (case when mx <= mn then mn + 1 else mx end - mn), 0), 1)"
+
+
+@query(
+    "K3 A6 M3",
+    f"{PIXELS_IN_ROIS}, {SQL_RPARAMS}, {SQL_NOTES}, held as (select roi_name, ch_idx, v from mb join ra using (y, x)), "
+    f"ad as (select roi_name, ch_idx, least(greatest({_N} * brightness, 0), 1) as n from held join rp using (ch_idx)), "
+    "g as (select roi_name, ch_idx, coalesce(avg(n) filter (n > 0.01), 0) as mean, coalesce(stddev_pop(n) filter (n > 0.01), 0) as std, coalesce(median(n) filter (n > 0.01), 0) as median, coalesce(min(n) filter (n > 0.01), 0) as min_v, coalesce(max(n) filter (n > 0.01), 0) as max_v from ad group by 1, 2), "
+    "rf as (select roi_name, mean as rm from g where ch_idx = 0), "
+    "nt as (select linked_roi, string_agg(text, ' | ' order by pos) as notes from no where linked_roi is not null group by 1) "
+    "select g.roi_name, roi_type, (x1 + x2) / 2 as center_x, (y1 + y2) / 2 as center_y, x2 - x1 as width_px, y2 - y1 as height_px, 'ch' || (ch_idx + 1) as channel, 'White' as color_name, "
+    "round(mean, 4) as mean, round(std, 4) as std, round(median, 4) as median, round(min_v, 4) as min_v, round(max_v, 4) as max_v, round(case when ch_idx = 0 then 1.0 else mean / greatest(coalesce(rm, 0), 0.001) end, 4) as ratio, "
+    "mn as adj_min, mx as adj_max, brightness, coalesce(notes, '') as notes from g join rp using (ch_idx) join ro on ro.name = g.roi_name left join rf on rf.roi_name = g.roi_name left join nt on linked_roi = g.roi_name",
+)
 def roi_table_csv(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.stats import adjusted_stats
-    from .standins import raster as made
-    from .standins import raster_params
 
     p = raster_params(spark).withColumns({"name": F.format_string("ch%d", F.col("ch_idx") + 1), "color_name": F.lit("White")})
-    held = rg.members_or_box(made(spark).select("y", "x", "ch_idx", "v"), rois(spark), 64, 96)
-    return tables.roi_table(adjusted_stats(held, p, ["roi_name"]), rois(spark), p, rg.linked_notes(rois(spark), notes(spark, d)))
+    held = rg.members_or_box(made(spark, d).select("y", "x", "ch_idx", "v"), rois(spark), height(spark, d), WIDTH)
+    return rounded(tables.roi_table(adjusted_stats(held, p, ["roi_name"]), rois(spark), p, rg.linked_notes(rois(spark), notes(spark, d))))
+
+
+@query("U7", "with i as (select distinct p_brand as id from part) select id, id in ('Brand#13', 'Brand#22') as preferred from i")
+def preferred_partition(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "part").select(F.col("p_brand").alias("id")).distinct()
+    return an.split_preferred(ids, _PREF)

@@ -14,20 +14,21 @@ from ..operators import roi as rg
 from ..operators import spatial as sp
 from ..operators.stats import adjusted
 from .registry import query, rounded
-from .standins import SQL_ADJ, SQL_CENTROIDS, SQL_DENSE, SQL_LONG, SQL_PARAMS, SQL_ROIS, SQL_RPARAMS, SQL_WIDE, centroids, dense, long_pixels, params, raster, raster_params, rois, sql_raster, wide_pixels
+from .standins import SQL_ADJ, SQL_CENTROIDS, SQL_DENSE, SQL_LONG, SQL_PARAMS, SQL_ROIS, SQL_RPARAMS, SQL_WIDE, WIDTH, centroids, dense, height, long_pixels, params, raster, raster_params, rois, sql_raster, wide_pixels
 
-H, W = 64, 96
+W = WIDTH
+_H = "(select hh from hh)"
 _RA = f"with {sql_raster()}"
 
 
-@query("P1 P6 J2", f"with {SQL_ADJ} select cell_id, y, x, ch_idx, round(n, 4) as n from adj where y = 1")
+@query("P1 P6 J2", f"with {SQL_ADJ} select cell_id, y, x, ch_idx, round(n, 4) as n from adj")
 def window_level_pixels(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(adjusted(long_pixels(spark, d).where("y = 1"), params(spark)).select("cell_id", "y", "x", "ch_idx", "n"))
+    return rounded(adjusted(long_pixels(spark, d), params(spark)).select("cell_id", "y", "x", "ch_idx", "n"))
 
 
-@query("P2", f"with {SQL_LONG}, {SQL_PARAMS} select y, x, ch_idx, round(least(greatest(case when gamma <> 1 then power(least(greatest((v - mn) / (mx - mn), 0), 1), 1 / gamma) else least(greatest((v - mn) / (mx - mn), 0), 1) end * brightness, 0), 1), 4) as n from px join pr using (ch_idx) where visible and y = 2")
+@query("P2", f"with {SQL_LONG}, {SQL_PARAMS} select y, x, ch_idx, round(least(greatest(case when gamma <> 1 then power(least(greatest((v - mn) / (mx - mn), 0), 1), 1 / gamma) else least(greatest((v - mn) / (mx - mn), 0), 1) end * brightness, 0), 1), 4) as n from px join pr using (ch_idx) where visible")
 def window_level_gamma(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(adjusted(long_pixels(spark, d).where("y = 2"), params(spark), gamma=True).select("y", "x", "ch_idx", "n"))
+    return rounded(adjusted(long_pixels(spark, d), params(spark), gamma=True).select("y", "x", "ch_idx", "n"))
 
 
 @query("P7", f"with {SQL_ADJ} select ch_idx, count(*) filter (n > 0.01) as signal, count(*) filter (v > 0) as nonzero from adj group by ch_idx")
@@ -47,13 +48,13 @@ def lut_build(spark: SparkSession, d: str) -> DataFrame:
 @query("P4", f"{_RA} select y, x, trunc(least(greatest(trunc(least(v, 99)) / 100.0::double, 0), 1) * 255)::int as r, 0 as g, trunc(least(greatest(trunc(least(v, 99)) / 100.0::double, 0), 1) * 100)::int as b from ra where ch_idx = 0")
 def lut_apply(spark: SparkSession, d: str) -> DataFrame:
     table = rs.lut(spark.range(1), 0, 100, 1.0, 1.0, (255, 0, 100), 99)
-    return rs.apply_lut(raster(spark).where("ch_idx = 0"), table, 100)
+    return rs.apply_lut(raster(spark, d).where("ch_idx = 0"), table, 100)
 
 
 @query("P5 P1", f"{_RA} select y, x, trunc(least(greatest((v - 10) / 190.0::double, 0), 1) * 200)::int as r from ra where ch_idx = 0")
 def colourise(spark: SparkSession, d: str) -> DataFrame:
     n = window_level(F.col("v"), F.lit(10.0), F.lit(200.0), F.lit(1.0))
-    return raster(spark).where("ch_idx = 0").select("y", "x", colourised(n, 200).alias("r"))
+    return raster(spark, d).where("ch_idx = 0").select("y", "x", colourised(n, 200).alias("r"))
 
 
 _U8N = "least(greatest((floor(v) - mn) / greatest(mx - mn, 1.0), 0), 1)"
@@ -65,7 +66,7 @@ _U8 += "q as (select *, " + ", ".join(f"{c}0 + {c}1 - ({c}0 * {c}1) // 255 as {c
 
 @query("R2 R4 W10", f"{_RA}, {SQL_RPARAMS}, {_U8} select y, x, " + ", ".join(f"({c}01 + {c}2 - ({c}01 * {c}2) // 255)::int as {c}" for c in "rgb") + " from q")
 def blend_u8(spark: SparkSession, d: str) -> DataFrame:
-    return rs.composite_u8(raster(spark), raster_params(spark))
+    return rs.composite_u8(raster(spark, d), raster_params(spark))
 
 
 def _float_sql(gamma: bool) -> str:
@@ -79,17 +80,17 @@ def _float_sql(gamma: bool) -> str:
 
 @query("R3", _float_sql(True))
 def blend_float(spark: SparkSession, d: str) -> DataFrame:
-    return rs.composite_float(raster(spark), raster_params(spark))
+    return rs.composite_float(raster(spark, d), raster_params(spark))
 
 
 @query("R5 K8", _float_sql(False))
 def blend_float_plain(spark: SparkSession, d: str) -> DataFrame:
-    return rs.composite_float(raster(spark), raster_params(spark), gamma=False)
+    return rs.composite_float(raster(spark, d), raster_params(spark), gamma=False)
 
 
 @query("R2", f"{_RA} select greatest(case when least(max(v), 65535) < 1 then 255 else least(max(v), 65535) end, 0)::double as dmax from ra where ch_idx = 1")
 def lut_depth(spark: SparkSession, d: str) -> DataFrame:
-    return rs.depth_of(raster(spark).where("ch_idx = 1"), False)
+    return rs.depth_of(raster(spark, d).where("ch_idx = 1"), False)
 
 
 @query("S12", f"with {SQL_DENSE} select y // 4 as y, x // 4 as x, v from dr where y % 4 = 0 and x % 4 = 0")
@@ -102,20 +103,20 @@ def crop_region(spark: SparkSession, d: str) -> DataFrame:
     return rs.crop(dense(spark, d), 10, 50, 3, 20).select("y", "x", "v")
 
 
-@query("R1", f"{_RA}, t as (select y.i::int as ty, x.i::int as tx from range(20) y(i), range(150) x(i)) select ty as y, tx as x, v from t join ra on ra.y = ty * {H} // 20 and ra.x = tx * {W} // 150 where ch_idx = 0")
+@query("R1", f"{_RA}, t as (select y.i::int as ty, x.i::int as tx from range(20) y(i), range(150) x(i)) select ty as y, tx as x, v from t cross join hh join ra on ra.y = ty * hh // 20 and ra.x = tx * {W} // 150 where ch_idx = 0")
 def resize_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return rs.resize_nearest(raster(spark).where("ch_idx = 0").select("y", "x", "v"), H, W, 20, 150)
+    return rs.resize_nearest(raster(spark, d).where("ch_idx = 0").select("y", "x", "v"), height(spark, d), W, 20, 150)
 
 
-@query("R9", f"{_RA}, t as (select y.i::int as ty, x.i::int as tx from range(32) y(i), range(48) x(i)) select ty as y, tx as x, v from t join ra on ra.y = ty * {H} // 32 and ra.x = tx * {W} // 48 where ch_idx = 1")
+@query("R9", f"{_RA}, nw as (select hh, greatest(1, {W} * 48 // hh)::int as nw from hh), ys as (select unnest(range(48))::int as ty), xs as (select hh, nw, unnest(range(nw))::int as tx from nw) select ty as y, tx as x, v from xs cross join ys join ra on ra.y = ty * hh // 48 and ra.x = tx * {W} // nw where ch_idx = 1")
 def minimap(spark: SparkSession, d: str) -> DataFrame:
-    return rs.minimap(raster(spark).where("ch_idx = 1").select("y", "x", "v"), H, W, 48)
+    return rs.minimap(raster(spark, d).where("ch_idx = 1").select("y", "x", "v"), height(spark, d), W, 48)
 
 
-@query("R6 P18 H4p", f"{_RA} select y, x, v from ra where ch_idx = 0 and y >= 12 and y < 52 and x >= 18 and x < 78")
+@query("R6 P18 H4p", f"{_RA} select y, x, v from ra cross join hh where ch_idx = 0 and y >= trunc(hh / 2.0 - 20) and y < trunc(hh / 2.0 + 20) and x >= 2 and x < 62")
 def viewport_crop(spark: SparkSession, d: str) -> DataFrame:
-    bounds = rs.viewport(2.0, (0.0, 0.0), (120, 80), (H, W), (H, W), 1)
-    return rs.crop(raster(spark).where("ch_idx = 0"), *bounds).select("y", "x", "v")
+    bounds = rs.viewport(2.0, (0.0, 0.0), (120, 80), (height(spark, d), W), (height(spark, d), W), 1)
+    return rs.crop(raster(spark, d).where("ch_idx = 0"), *bounds).select("y", "x", "v")
 
 
 @query("P22", "select p_partkey, case when (p_size * 2) < 60 and (p_partkey % 50) * 2 < 80 then p_size * 2 end as y, case when (p_size * 2) < 60 and (p_partkey % 50) * 2 < 80 then (p_partkey % 50) * 2 end as x from part")
@@ -133,7 +134,7 @@ def params_changed(spark: SparkSession, d: str) -> DataFrame:
     return rs.params_changed(a, near).unionByName(rs.params_changed(a, far))
 
 
-@query("R8", None)
+@query("R8", f"with {SQL_PARAMS} select sha256(string_agg(concat_ws('|', ch_idx, visible, mn, mx, brightness, gamma), chr(10) order by ch_idx)) as params_hash from pr")
 def params_hash(spark: SparkSession, d: str) -> DataFrame:
     return rs.params_hash(params(spark))
 
@@ -143,71 +144,71 @@ _DISC = "b as (select y.i::int as y, x.i::int as x from range(64) y(i), range(96
 
 @query("R11 J15", f"with {_DISC} select y, x, 1.0::double as w from b")
 def brush_disc(spark: SparkSession, d: str) -> DataFrame:
-    return rs.brush_disc(spark, 20.5, 30.0, 8.0, H, W)
+    return rs.brush_disc(spark, 20.5, 30.0, 8.0, height(spark, d), W)
 
 
 @query("R11", f"with {_DISC} select y, x, 1.0::double as w from b where (y - 20)**2 + (x - 33)**2 > 16")
 def brush_erase(spark: SparkSession, d: str) -> DataFrame:
-    return rs.paint(rs.brush_disc(spark, 20.5, 30.0, 8.0, H, W), rs.brush_disc(spark, 20.0, 33.0, 4.0, H, W), erase=True)
+    return rs.paint(rs.brush_disc(spark, 20.5, 30.0, 8.0, height(spark, d), W), rs.brush_disc(spark, 20.0, 33.0, 4.0, height(spark, d), W), erase=True)
 
 
-@query("A20", f"with {_DISC} select round(100.0 * count(*) / (64 * 96), 4) as coverage_pct from b")
+@query("A20", f"{_RA}, {_DISC} select round(100.0 * count(*) / ({_H} * {W}), 4) as coverage_pct from b")
 def brush_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rs.brush_coverage(rs.brush_disc(spark, 20.5, 30.0, 8.0, H, W), H * W))
+    return rounded(rs.brush_coverage(rs.brush_disc(spark, 20.5, 30.0, 8.0, height(spark, d), W), height(spark, d) * W))
 
 
 @query("J15 U2", f"{_RA} select distinct cell_id from ra where cell_id <> 0 and y >= 5 and y < 30 and x >= 10 and x < 25")
 def brush_cells(spark: SparkSession, d: str) -> DataFrame:
-    return rs.cells_under(raster(spark), 5, 30, 10, 25)
+    return rs.cells_under(raster(spark, d), 5, 30, 10, 25)
 
 
 @query("R14", f"{_RA}, {_DISC} select ra.y, ra.x, round(case when b.y is not null then v * 0.4 + least(greatest((v - 10) / 190.0::double, 0), 1) * 255 * 0.6 else v end, 4) as v from ra left join b on ra.y // 2 = b.y and ra.x // 2 = b.x where ch_idx = 0")
 def brush_apply(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rs.apply_brush(raster(spark).where("ch_idx = 0"), rs.brush_disc(spark, 20.5, 30.0, 8.0, H, W), 10.0, 200.0, 1.0, 0.6, 255.0, 2))
+    return rounded(rs.apply_brush(raster(spark, d).where("ch_idx = 0"), rs.brush_disc(spark, 20.5, 30.0, 8.0, height(spark, d), W), 10.0, 200.0, 1.0, 0.6, 255.0, 2))
 
 
 @query("R15 U4", f"{_RA}, {_DISC}, t as (select y, x, v::int as r, 0 as g, v::int as b from ra where ch_idx = 0) select t.y, t.x, trunc(case when b.y is null then r else r * 0.5 + 127.5 end)::int as r, trunc(case when b.y is null then g else g * 0.5 + 50 end)::int as g, trunc(case when b.y is null then t.b else t.b * 0.5 end)::int as b from t left join b on b.y = t.y and b.x = t.x")
 def brush_tint(spark: SparkSession, d: str) -> DataFrame:
-    rgb = raster(spark).where("ch_idx = 0").selectExpr("y", "x", "cast(v as int) as r", "0 as g", "cast(v as int) as b")
-    return rs.tint(rgb, rs.brush_disc(spark, 20.5, 30.0, 8.0, H, W), (255, 100, 0), 0.5)
+    rgb = raster(spark, d).where("ch_idx = 0").selectExpr("y", "x", "cast(v as int) as r", "0 as g", "cast(v as int) as b")
+    return rs.tint(rgb, rs.brush_disc(spark, 20.5, 30.0, 8.0, height(spark, d), W), (255, 100, 0), 0.5)
 
 
 _WEIGHTS = rs.gaussian_weights(1.0)
 _REACH = len(_WEIGHTS) // 2
 
 
-def _mirrored(axis: str, size: int) -> str:
-    return f"case when t.{axis} + k < 0 then -1 - (t.{axis} + k) when t.{axis} + k >= {size} then {2 * size - 1} - (t.{axis} + k) else t.{axis} + k end"
+def _mirrored(axis: str, size: str) -> str:
+    return f"case when t.{axis} + k < 0 then -1 - (t.{axis} + k) when t.{axis} + k >= {size} then 2 * {size} - 1 - (t.{axis} + k) else t.{axis} + k end"
 
 
 @query(
     "R12",
-    f"{_RA}, m as (select y, x, case when cell_id = 14 or cell_id = 20 then 1.0::double else 0 end as v from ra where ch_idx = 0), "
+    f"{_RA}, m as (select y, x, case when cell_id = 9 or cell_id = 12 then 1.0::double else 0 end as v from ra where ch_idx = 0), "
     f"kw as (select unnest(range(-{_REACH}, {_REACH} + 1)) as k, unnest([{', '.join(map(repr, _WEIGHTS))}]::double[]) as wt), "
-    f"a as (select t.y, t.x, sum(s.v * wt) as v from m t cross join kw join m s on s.x = t.x and s.y = {_mirrored('y', H)} group by 1, 2), "
-    f"b as (select t.y, t.x, sum(s.v * wt) as v from a t cross join kw join a s on s.y = t.y and s.x = {_mirrored('x', W)} group by 1, 2) "
+    f"a as (select t.y, t.x, sum(s.v * wt) as v from m t cross join kw cross join hh join m s on s.x = t.x and s.y = {_mirrored('y', 'hh')} group by 1, 2), "
+    f"b as (select t.y, t.x, sum(s.v * wt) as v from a t cross join kw join a s on s.y = t.y and s.x = {_mirrored('x', str(W))} group by 1, 2) "
     "select y, x, round(least(greatest(v, 0), 1), 4) as v from b",
 )
 def gaussian_feather(spark: SparkSession, d: str) -> DataFrame:
-    mask = raster(spark).where("ch_idx = 0").selectExpr("y", "x", "case when cell_id = 14 or cell_id = 20 then 1d else 0d end as v")
-    return rounded(rs.feather(mask, H, W, 1.0).selectExpr("cast(y as int) as y", "cast(x as int) as x", "v"))
+    mask = raster(spark, d).where("ch_idx = 0").selectExpr("y", "x", "case when cell_id = 9 or cell_id = 12 then 1d else 0d end as v")
+    return rounded(rs.feather(mask, height(spark, d), W, 1.0))
 
 
-@query("R13 K9", f"{_RA}, w as (select y, x, v / 255 as w from ra where ch_idx = 1 and y < 40), s as (select y, x, v from ra where ch_idx = 0) select s.y, s.x, " + ", ".join(f"round(v * (1 - coalesce(w, 0)) + {k} * coalesce(w, 0), 4) as {c}" for c, k in (("r", 255), ("g", 0), ("b", 10))) + " from s left join w on w.y = s.y and w.x = s.x")
+@query("R13 K9", f"{_RA}, w as (select y, x, v / 255 as w from ra where ch_idx = 1 and cell_id > 0), s as (select y, x, v from ra where ch_idx = 0) select s.y, s.x, " + ", ".join(f"round(v * (1 - coalesce(w, 0)) + {k} * coalesce(w, 0), 4) as {c}" for c, k in (("r", 255), ("g", 0), ("b", 10))) + " from s left join w on w.y = s.y and w.x = s.x")
 def mask_blend(spark: SparkSession, d: str) -> DataFrame:
-    r = raster(spark)
+    r = raster(spark, d)
     base = r.where("ch_idx = 0").selectExpr("y", "x", "v as r", "v as g", "v as b")
     other = r.where("ch_idx = 0").selectExpr("y", "x", "255 as r", "0 as g", "10 as b")
-    return rounded(rs.mask_blend(base, other, r.where("ch_idx = 1 and y < 40").selectExpr("y", "x", "v / 255 as v")))
+    return rounded(rs.mask_blend(base, other, r.where("ch_idx = 1 and cell_id > 0").selectExpr("y", "x", "v / 255 as v")))
 
 
 @query("U5", f"{_RA}, a as (select y, x, cell_id from ra where ch_idx = 0 union all select y, x + 3, cell_id from ra where ch_idx = 0) select y, x, max(cell_id) as cell_id from a group by y, x")
 def roi_label_merge_max(spark: SparkSession, d: str) -> DataFrame:
-    a = raster(spark).where("ch_idx = 0").select("y", "x", "cell_id")
+    a = raster(spark, d).where("ch_idx = 0").select("y", "x", "cell_id")
     return rs.max_merge(a.unionByName(a.withColumn("x", F.col("x") + 3)))
 
 
-_BOX = f"bx as (select *, greatest(trunc(x1), 0)::int as sx1, greatest(trunc(y1), 0)::int as sy1, least(trunc(x2), {W})::int as sx2, least(trunc(y2), {H})::int as sy2 from ro)"
+_BOX = f"bx as (select *, greatest(trunc(x1), 0)::int as sx1, greatest(trunc(y1), 0)::int as sy1, least(trunc(x2), {W})::int as sx2, least(trunc(y2), {_H})::int as sy2 from ro)"
 _POLY = "pe(ax, ay, bx, byy) as (values (10, 10, 70, 15), (70, 15, 50, 50), (50, 50, 20, 45), (20, 45, 10, 10))"
 _IN_RECT = "roi_type = 'rect' and x >= sx1 and x < sx2 and y >= sy1 and y < sy2"
 _IN_RING = "roi_type = 'circle' and ((x - (sx1 + sx2) / 2.0) / greatest((sx2 - sx1) / 2.0, 1))**2 + ((y - (sy1 + sy2) / 2.0) / greatest((sy2 - sy1) / 2.0, 1))**2 <= 1"
@@ -217,22 +218,26 @@ _FREE = f"{_POLY}, fr as (select y, x, count(*) filter ((ay > y) <> (byy > y) an
 
 @query("X1", f"{_PTS} select name as roi_name, y, x from pt join bx on {_IN_RECT}")
 def roi_rect(spark: SparkSession, d: str) -> DataFrame:
-    return rg.members(raster(spark).where("ch_idx = 0").select("y", "x"), rois(spark).where("roi_type = 'rect'"), H, W)
+    return rg.members(raster(spark, d).where("ch_idx = 0").select("y", "x"), rois(spark).where("roi_type = 'rect'"), height(spark, d), W)
 
 
 @query("X2 J8", f"{_PTS} select name as roi_name, y, x from pt join bx on {_IN_RING}")
 def roi_ellipse(spark: SparkSession, d: str) -> DataFrame:
-    return rg.members(raster(spark).where("ch_idx = 0").select("y", "x"), rois(spark).where("roi_type = 'circle'"), H, W)
+    return rg.members(raster(spark, d).where("ch_idx = 0").select("y", "x"), rois(spark).where("roi_type = 'circle'"), height(spark, d), W)
 
 
 @query("X3 X5 J8", f"{_PTS}, {_FREE} select 'free' as roi_name, y, x from fr where inside")
 def roi_polygon(spark: SparkSession, d: str) -> DataFrame:
-    return rg.members(raster(spark).where("ch_idx = 0").select("y", "x"), rois(spark).where("roi_type = 'freehand'"), H, W)
+    return rg.members(raster(spark, d).where("ch_idx = 0").select("y", "x"), rois(spark).where("roi_type = 'freehand'"), height(spark, d), W)
 
 
-@query("X4 J8", f"{_PTS}, {_FREE}, al as (select name, y, x from pt join bx on ({_IN_RECT}) or ({_IN_RING}) union all select 'free', y, x from fr where inside), em as (select * from bx where name not in (select name from al)) select name as roi_name, count(*) as n from (select name, y, x from al union all select name, y, x from pt join em on x >= sx1 and x < sx2 and y >= sy1 and y < sy2) group by name")
+#: Each region's pixels, or its box's, as mb.
+PIXELS_IN_ROIS = f"{_PTS}, {_FREE}, al as (select name, y, x from pt join bx on ({_IN_RECT}) or ({_IN_RING}) union all select 'free', y, x from fr where inside), em as (select * from bx where name not in (select name from al)), mb as (select name as roi_name, y, x from al union all select name, y, x from pt join em on x >= sx1 and x < sx2 and y >= sy1 and y < sy2)"
+
+
+@query("X4 J8", f"{PIXELS_IN_ROIS} select roi_name, count(*) as n from mb group by roi_name")
 def roi_members_or_box(spark: SparkSession, d: str) -> DataFrame:
-    held = rg.members_or_box(raster(spark).where("ch_idx = 0").select("y", "x"), rois(spark), H, W)
+    held = rg.members_or_box(raster(spark, d).where("ch_idx = 0").select("y", "x"), rois(spark), height(spark, d), W)
     return held.groupBy("roi_name").agg(F.count("*").alias("n"))
 
 
@@ -296,26 +301,27 @@ def radius_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LB = f"{_RA}, lb as (select y, x, cell_id from ra where ch_idx = 0)"
-_EDGE = "ed as (select a.* from lb a where cell_id > 0 and exists (select 1 from lb b where b.cell_id <> a.cell_id and abs(a.y - b.y) + abs(a.x - b.x) = 1))"
+_BESIDE = ", ".join(f"{f}(cell_id) over (partition by {a} order by {b}) as {f}_{b}" for a, b in (("y", "x"), ("x", "y")) for f in ("lag", "lead"))
+_EDGE = f"nb as (select *, {_BESIDE} from lb), ed as (select y, x, cell_id from nb where cell_id > 0 and (lag_x <> cell_id or lead_x <> cell_id or lag_y <> cell_id or lead_y <> cell_id))"
 
 
-def _labels(spark: SparkSession) -> DataFrame:
-    return raster(spark).where("ch_idx = 0").select("y", "x", "cell_id")
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return raster(spark, d).where("ch_idx = 0").select("y", "x", "cell_id")
 
 
 @query("O1 J16 W7", f"{_LB}, {_EDGE} select y, x, cell_id from ed")
 def label_boundary(spark: SparkSession, d: str) -> DataFrame:
-    return lb.boundary(_labels(spark))
+    return lb.boundary(_labels(spark, d))
 
 
-@query("O2", f"{_LB}, {_EDGE}, gr as (select distinct p.y, p.x from lb p join ed e on abs(p.y - e.y) + abs(p.x - e.x) <= 1) select lb.y, lb.x, case when gr.y is null then 7 else 255 end as r, case when gr.y is null then 7 else 0 end as g, case when gr.y is null then 7 else 40 end as b from lb left join gr on gr.y = lb.y and gr.x = lb.x")
+@query("O2", f"{_LB}, {_EDGE}, gr as (select distinct y + dy as y, x + dx as x from ed, (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dx)) select lb.y, lb.x, case when gr.y is null then 7 else 255 end as r, case when gr.y is null then 7 else 0 end as g, case when gr.y is null then 7 else 40 end as b from lb left join gr on gr.y = lb.y and gr.x = lb.x")
 def boundary_overlay(spark: SparkSession, d: str) -> DataFrame:
-    return ov.outline(_labels(spark).selectExpr("y", "x", "7 as r", "7 as g", "7 as b"), _labels(spark), (255, 0, 40), 2, H, W)
+    return ov.outline(_labels(spark, d).selectExpr("y", "x", "7 as r", "7 as g", "7 as b"), _labels(spark, d), (255, 0, 40), 2, height(spark, d), W)
 
 
 @query("U4 R15", f"{_LB}, {_EDGE}, sh as (select y, x + 1 as x from ed) select y, x from ed where (y, x) not in (select (y, x) from sh) union all select y, x from sh where (y, x) not in (select (y, x) from ed)")
 def mask_xor(spark: SparkSession, d: str) -> DataFrame:
-    edge = lb.boundary(_labels(spark)).select("y", "x")
+    edge = lb.boundary(_labels(spark, d)).select("y", "x")
     return lb.xor(edge, edge.withColumn("x", F.col("x") + 1))
 
 
@@ -334,16 +340,16 @@ _COLOUR = f"{_hsv((_VS, _Q, _PS, _PS, _TT, _VS))} as r, {_hsv((_TT, _VS, _VS, _Q
 
 @query("O3", f"{_LB}, c as (select distinct cell_id, {_HUE} as h from lb where cell_id > 0), s as (select cell_id, floor(h * 6)::int as s, h * 6 - floor(h * 6) as f from c) select cell_id, {_COLOUR} from s")
 def cell_unique_color(spark: SparkSession, d: str) -> DataFrame:
-    return ov.unique_colours(_labels(spark).where("cell_id > 0").select("cell_id").distinct())
+    return ov.unique_colours(_labels(spark, d).where("cell_id > 0").select("cell_id").distinct())
 
 
 @query("O3", f"{_LB}, {_EDGE}, s as (select y, x, cell_id, floor(({_HUE}) * 6)::int as s, ({_HUE}) * 6 - floor(({_HUE}) * 6) as f from ed) select y, x, cell_id, {_COLOUR} from s")
 def unique_outline(spark: SparkSession, d: str) -> DataFrame:
-    return ov.unique_outline(_labels(spark))
+    return ov.unique_outline(_labels(spark, d))
 
 
-def _values(spark: SparkSession) -> DataFrame:
-    return _labels(spark).where("cell_id > 0 and cell_id <> 14").groupBy("cell_id").agg(F.sum((F.col("y") + F.col("x")).cast("double")).alias("val"))
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(spark, d).where("cell_id > 0 and cell_id <> 9").groupBy("cell_id").agg(F.sum((F.col("y") + F.col("x")).cast("double")).alias("val"))
 
 
 def _ramp(k: int) -> str:
@@ -351,30 +357,30 @@ def _ramp(k: int) -> str:
     return f"floor({stops}[a + 1] + ({stops}[a + 2] - {stops}[a + 1]) * (n * 4 - a))::int"
 
 
-_VMAP = f"{_LB}, {_EDGE}, va as (select cell_id, sum(y + x)::double as val from lb where cell_id > 0 and cell_id <> 14 group by 1), nn as (select cell_id, (val - min(val) over ()) / (max(val) over () - min(val) over ()) as n from va), mp as (select y, x, lb.cell_id, n, least(floor(n * 4), 3)::int as a from lb left join nn using (cell_id)), "
+_VMAP = f"{_LB}, {_EDGE}, va as (select cell_id, sum(y + x)::double as val from lb where cell_id > 0 and cell_id <> 9 group by 1), nn as (select cell_id, (val - min(val) over ()) / (max(val) over () - min(val) over ()) as n from va), mp as (select y, x, lb.cell_id, n, least(floor(n * 4), 3)::int as a from lb left join nn using (cell_id)), "
 _VMAP += "vm as (select y, x, " + ", ".join(f"case when n is null then {b} else {_ramp(k)} end as {c}" for k, (c, b) in enumerate(zip("rgb", ov.DARK))) + " from mp)"
 
 
 @query("O4 O5 J3", f"{_VMAP} select y, x, r, g, b from vm")
 def cell_color_map(spark: SparkSession, d: str) -> DataFrame:
-    return ov.value_map(_labels(spark), _values(spark), "val")
+    return ov.value_map(_labels(spark, d), _values(spark, d), "val")
 
 
 @query("O5", f"{_VMAP} select vm.y, vm.x, " + ", ".join(f"case when ed.y is null then {c} else 255 end as {c}" for c in "rgb") + " from vm left join ed on ed.y = vm.y and ed.x = vm.x")
 def spatial_value_map(spark: SparkSession, d: str) -> DataFrame:
-    return ov.value_map(_labels(spark), _values(spark), "val", edges=True)
+    return ov.value_map(_labels(spark, d), _values(spark, d), "val", edges=True)
 
 
 @query("O4", f"{_VMAP} select y, x, " + ", ".join(f"floor({k}::double * (1 - 0.4::double) + {c} * 0.4::double)::int as {c}" for c, k in (("r", 100), ("g", 50), ("b", 0))) + " from vm")
 def value_overlay(spark: SparkSession, d: str) -> DataFrame:
-    base = _labels(spark).selectExpr("y", "x", "100 as r", "50 as g", "0 as b")
-    return ov.blend_value(base, ov.value_map(_labels(spark), _values(spark), "val"))
+    base = _labels(spark, d).selectExpr("y", "x", "100 as r", "50 as g", "0 as b")
+    return ov.blend_value(base, ov.value_map(_labels(spark, d), _values(spark, d), "val"))
 
 
 @query("O6 J4 J3", f"{_LB}, ce as (select distinct cell_id, case cell_id % 3 when 0 then 'A+' when 1 then 'A−' end as ph from lb where cell_id > 0 and cell_id % 3 < 2), p as (select y, x, ph from lb left join ce using (cell_id)) select y, x, case ph when 'A+' then 10 when 'A−' then 255 else 10 end as r, case ph when 'A+' then 132 when 'A−' then 69 else 11 end as g, case ph when 'A+' then 255 when 'A−' then 58 else 16 end as b from p")
 def phenotype_map(spark: SparkSession, d: str) -> DataFrame:
-    cells = _labels(spark).where("cell_id > 0 and cell_id % 3 < 2").selectExpr("cell_id", "case cell_id % 3 when 0 then 'A+' else 'A−' end as phenotype").distinct()
-    return ov.phenotype_map(_labels(spark), cells, spark.createDataFrame([("A+", "#0a84ff"), ("A−", "#ff453a")], "phenotype string, colour string"))
+    cells = _labels(spark, d).where("cell_id > 0 and cell_id % 3 < 2").selectExpr("cell_id", "case cell_id % 3 when 0 then 'A+' else 'A−' end as phenotype").distinct()
+    return ov.phenotype_map(_labels(spark, d), cells, spark.createDataFrame([("A+", "#0a84ff"), ("A−", "#ff453a")], "phenotype string, colour string"))
 
 
 _G0, _G1 = GROUP_COLOURS[:2]
@@ -382,9 +388,9 @@ _G0, _G1 = GROUP_COLOURS[:2]
 
 @query("O7 W9", f"{_LB} select y, x, " + ", ".join(f"(case when cell_id > 0 and cell_id % 2 = 0 then case when cell_id % 3 = 0 then floor(floor(40 * 0.5 + {_G0[k]} * 0.5) * 0.5 + {_G1[k]} * 0.5) else floor(40 * 0.5 + {_G0[k]} * 0.5) end when cell_id > 0 and cell_id % 3 = 0 then floor(40 * 0.5 + {_G1[k]} * 0.5) else 40 end)::int as {c}" for k, c in enumerate("rgb")) + " from lb")
 def group_overlay(spark: SparkSession, d: str) -> DataFrame:
-    ids = _labels(spark).where("cell_id > 0").select("cell_id").distinct()
+    ids = _labels(spark, d).where("cell_id > 0").select("cell_id").distinct()
     groups = [ids.where(f"cell_id % {m} = 0").select("cell_id", F.lit(k).cast("long").alias("ord"), *(F.lit(v).alias(c) for c, v in zip("rgb", GROUP_COLOURS[k % len(GROUP_COLOURS)]))) for k, m in enumerate((2, 3))]
-    return ov.group_overlay(_labels(spark).selectExpr("y", "x", "40 as r", "40 as g", "40 as b"), _labels(spark), groups[0].unionByName(groups[1]))
+    return ov.group_overlay(_labels(spark, d).selectExpr("y", "x", "40 as r", "40 as g", "40 as b"), _labels(spark, d), groups[0].unionByName(groups[1]))
 
 
 @query("W1", f"with {SQL_WIDE}, i as (select cell_id, dense_rank() over (order by cell_id) as new_id from (select distinct cell_id * 7 as cell_id from wp where cell_id > 0)) select w.cell_id * 7 as cell_id, y, x, coalesce(new_id, 0) as new_id from wp w left join i on i.cell_id = w.cell_id * 7")
@@ -392,31 +398,58 @@ def relabel_dense(spark: SparkSession, d: str) -> DataFrame:
     return lb.relabel_dense(wide_pixels(spark, d).selectExpr("cell_id * 7 as cell_id", "y", "x"))
 
 
-@query("G3 W2", "with g as (select y.i * 896 as y1, x.i * 896 as x1 from range(4) y(i), range(6) x(i) where y.i * 896 < 2700 and x.i * 896 < 4500), c as (select y1, least(y1 + 1024, 2700) as y2, x1, least(x1 + 1024, 4500) as x2 from g), k as (select *, row_number() over (order by y1, x1) - 1 as t from c where y2 - y1 >= 64 and x2 - x1 >= 64) select t::int as tile_idx, (t * 10000)::int as id_offset, y1::int as y1, y2::int as y2, x1::int as x1, x2::int as x2 from k")
+@query("G3 W2", "with g as (select y.i * 896 as y1, x.i * 896 as x1 from range(4) y(i), range(6) x(i) where y.i * 896 < 2700 and x.i * 896 < 4500), c as (select y1, least(y1 + 1024, 2700) as y2, x1, least(x1 + 1024, 4500) as x2 from g), k as (select *, row_number() over (order by y1, x1) - 1 as t from c where y2 - y1 >= 64 and x2 - x1 >= 64) select t::int as tile_idx, t * 4294967296 as id_offset, y1::int as y1, y2::int as y2, x1::int as x1, x2::int as x2 from k")
 def tile_grid(spark: SparkSession, d: str) -> DataFrame:
     return lb.tile_grid(spark, 2700, 4500)
 
 
 @query("W5 G3", f"{_LB}, t as (select 0 as t, y, x, cell_id from lb where x < 60 union all select 1, y, x, cell_id + 10000 from lb where x >= 40 and cell_id > 0), f as (select *, row_number() over (partition by y, x order by t) as k from t where cell_id > 0) select y, x, cell_id from f where k = 1")
 def tile_merge_first(spark: SparkSession, d: str) -> DataFrame:
-    labels = _labels(spark)
+    labels = _labels(spark, d)
     tiles = labels.where("x < 60").withColumn("tile_idx", F.lit(0)).unionByName(labels.where("x >= 40 and cell_id > 0").withColumns({"cell_id": F.col("cell_id") + 10000, "tile_idx": F.lit(1)}))
     return lb.first_writer(tiles)
 
 
 @query("W3 G7", f"{_LB}, m as (select y // 16 as roi_idx, max(case when y // 16 = 1 then 0 else cell_id end) as max_id from lb group by 1) select roi_idx, max_id, coalesce(sum(max_id) over (order by roi_idx rows between unbounded preceding and 1 preceding), 0)::bigint as id_offset from m")
 def roi_id_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return lb.roi_offsets(_labels(spark).selectExpr("y div 16 as roi_idx", "case when y div 16 = 1 then 0 else cell_id end as cell_id"))
+    return lb.roi_offsets(_labels(spark, d).selectExpr("y div 16 as roi_idx", "case when y div 16 = 1 then 0 else cell_id end as cell_id"))
 
 
 @query("G7 U5", f"{_LB}, m as (select y // 16 as r, max(cell_id) as mx from lb group by 1), o as (select r, coalesce(sum(mx) over (order by r rows between unbounded preceding and 1 preceding), 0) as off from m) select y, x, case when cell_id > 0 then cell_id + off else 0 end::bigint as cell_id from lb join o on o.r = y // 16")
 def roi_segment_merge(spark: SparkSession, d: str) -> DataFrame:
-    return lb.segment_rois(_labels(spark).selectExpr("y div 16 as roi_idx", "y", "x", "cell_id"))
+    return lb.segment_rois(_labels(spark, d).selectExpr("y div 16 as roi_idx", "y", "x", "cell_id"))
+
+
+_SEG = (
+    f"{_RA}, ty as (select (row_number() over (order by y1) - 1)::int as i, y1, least(y1 + 24, hh) as y2 from (select unnest(range(0, hh, 16)) as y1, hh from hh) where least(y1 + 24, hh) - y1 >= 8), "
+    f"tx as (select (row_number() over (order by x1) - 1)::int as j, x1, least(x1 + 24, {W}) as x2 from (select unnest(range(0, {W}, 16)) as x1) where least(x1 + 24, {W}) - x1 >= 8), "
+    "tp as (select i * (select count(*) from tx) + j as t, y, x, v from ra join ty on y >= y1 and y < y2 join tx on x >= x1 and x < x2 where ch_idx = 2), "
+    "me as (select t, avg(v) as m from tp group by t), on_ as (select tp.t, y, x, y * 1000 + x as p from tp join me on me.t = tp.t and v > m), "
+    "nx as (select a.t, a.p, b.p as q from on_ a, (values (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dx), on_ b where b.t = a.t and b.y = a.y + dy and b.x = a.x + dx), "
+    "re as (select t, p, p as q from on_ union select re.t, re.p, nx.q from re join nx on nx.t = re.t and nx.p = re.q), "
+    "co as (select t, p, min(q) as c from re group by t, p), "
+    "id as (select t, c, row_number() over (order by t, c) as nth from (select distinct t, c from co)), "
+    "px as (select p, t, nth, row_number() over (partition by p order by t) as k from co join id using (t, c)), "
+    "fw as (select p, nth from px where k = 1), de as (select nth, row_number() over (order by nth) as cell_id from (select distinct nth from fw)) "
+)
 
 
-@query("G1 G2 G3 G4 G6", None)
+@query("G1 G2 G3 G4 G6", _SEG.replace("with ", "with recursive ", 1) + "select (p // 1000)::int as y, (p % 1000)::int as x, cell_id from fw join de using (nth)")
 def segment_tiled_toy(spark: SparkSession, d: str) -> DataFrame:
-    return lb.segment_tiles(raster(spark).where("ch_idx = 2"), H, W, size=40, overlap=8, single_max=48, sliver=8)
+    return lb.segment_tiles(raster(spark, d).where("ch_idx = 2"), height(spark, d), W, size=24, overlap=8, single_max=48, sliver=8)
+
+
+@query("P19", "select p_partkey, round(greatest(0.01::double, 0.5::double * power(1.35::double, p_size % 7 - 3)), 4) as zoom, round(100 - (100.0::double - 10) * power(1.35::double, p_size % 7 - 3), 4) as pan from part")
+def zoom_at_pointer(spark: SparkSession, d: str) -> DataFrame:
+    from .registry import table
+
+    z = rs.zoomed_at(F.lit(0.5), F.lit(10.0), F.lit(100.0), F.col("p_size") % 7 - 3)
+    return rounded(table(spark, d, "part").select("p_partkey", z["zoom"].alias("zoom"), z["pan"].alias("pan")))
+
+
+@query("G8", "select 'threshold' as name, true as built_in union all select 'cellpose', false union all select 'mesmer', false")
+def segmenters_listed(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(name, module is None) for name, (module, _) in lb.SEGMENTERS.items()], "name string, built_in boolean")
 
 
 @query("P1", "select event_id, least(greatest(value, 10), 50) as v from events")

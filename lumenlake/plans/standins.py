@@ -56,19 +56,29 @@ def dense(spark: SparkSession, d: str) -> DataFrame:
 SQL_DENSE = "dr as (select y, x - 1 as x, cell_id, floor(abs(e::double) * 1000) % 256 as v from (select vec_id::int as y, label as cell_id, unnest(embedding) as e, unnest(range(1, len(embedding) + 1))::int as x from embeddings))"
 
 
-def raster(spark: SparkSession, h: int = 64, w: int = 96) -> DataFrame:
-    """A made raster of whole numbers in three channels, with labels in blocks."""
-    return spark.range(h * w).selectExpr(f"cast(id div {w} as int) as y", f"cast(id % {w} as int) as x").selectExpr(
-        "y", "x", "case when (y div 8 + x div 8) % 3 = 0 then 0 else cast((y div 8) * 12 + x div 8 + 1 as int) end as cell_id",
-        "stack(3, 0, cast((y * 31 + x * 17) % 256 as double), 1, cast((y * 7 + x * 29) % 251 as double), 2, cast((y * x) % 241 as double)) as (ch_idx, v)",
+#: Columns of the raster of embeddings; its rows are as many as the table's.
+WIDTH = 64
+
+
+def height(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+
+
+def raster(spark: SparkSession, d: str) -> DataFrame:
+    """embeddings as a raster of whole numbers in three channels, a row of pixels for each vector, with labels in blocks."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("y"), F.posexplode("embedding").alias("x", "e")).selectExpr("y", "x", "abs(cast(e as double)) as e")
+    return e.selectExpr(
+        "y", "x", "case when (y div 8 + x div 8) % 3 = 0 then 0 else cast((y div 8) * 8 + x div 8 + 1 as int) end as cell_id",
+        "stack(3, 0, floor(e * 1000) % 256d, 1, floor(e * 7919) % 251d, 2, floor(e * 104729) % 241d) as (ch_idx, v)",
     )
 
 
-def sql_raster(h: int = 64, w: int = 96) -> str:
+def sql_raster() -> str:
     return (
-        f"ra0 as (select (i // {w})::int as y, (i % {w})::int as x from range({h * w}) t(i)), "
-        "ra as (select y, x, case when (y // 8 + x // 8) % 3 = 0 then 0 else ((y // 8) * 12 + x // 8 + 1)::int end as cell_id, unnest([0, 1, 2]) as ch_idx, "
-        "unnest([((y * 31 + x * 17) % 256)::double, ((y * 7 + x * 29) % 251)::double, ((y * x) % 241)::double]) as v from ra0)"
+        "hh as (select max(vec_id)::int + 1 as hh from embeddings), "
+        "ra0 as (select y, x - 1 as x, abs(e::double) as e from (select vec_id::int as y, unnest(embedding) as e, unnest(range(1, len(embedding) + 1))::int as x from embeddings)), "
+        "ra as (select y, x, case when (y // 8 + x // 8) % 3 = 0 then 0 else ((y // 8) * 8 + x // 8 + 1)::int end as cell_id, unnest([0, 1, 2]) as ch_idx, "
+        "unnest([floor(e * 1000) % 256, floor(e * 7919) % 251, floor(e * 104729) % 241]) as v from ra0)"
     )
 
 
@@ -119,20 +129,20 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as notes: turn 0 is the note, the others its replies."""
     c = table(spark, d, "conversations")
     first = c.where("turn = 0").selectExpr(
-        "conv_id as pos", "concat('n', conv_id) as id", "substring(text, 1, 40) as text", "cast(conv_id % 100 as double) as x", "cast(conv_id % 70 as double) as y",
+        "conv_id as pos", "concat('n', conv_id) as id", "text", "cast(conv_id % 100 as double) as x", "cast(conv_id % 70 as double) as y",
         "case conv_id % 4 when 0 then 'rect' when 1 then 'ring' else null end as linked_roi", "concat('2024-01-', lpad(cast(conv_id % 28 + 1 as string), 2, '0'), 'T10:20:30') as created",
         "concat('user', conv_id % 3) as author", "concat('m', conv_id % 2) as machine_id",
     )
     rest = c.where("turn > 0").groupBy(F.col("conv_id").alias("pos")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("r"), "turn").alias("id"), F.substring("text", 1, 20).alias("text"), F.lit("2024-02-03T04:05:06").alias("created"), F.col("role").alias("author"), F.concat(F.lit("m"), F.col("turn") % 2).alias("machine_id")))).alias("replies")
+        F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("r"), "turn").alias("id"), F.col("text"), F.lit("2024-02-03T04:05:06").alias("created"), F.col("role").alias("author"), F.concat(F.lit("m"), F.col("turn") % 2).alias("machine_id")))).alias("replies")
     )
     none = "array<struct<turn:bigint,id:string,text:string,created:string,author:string,machine_id:string>>"
     return first.join(rest, "pos", "left").withColumn("replies", F.coalesce("replies", F.array().cast(none)))
 
 
 SQL_NOTES = (
-    "no as (select conv_id as pos, 'n' || conv_id as id, substring(text, 1, 40) as text, (conv_id % 100)::double as x, (conv_id % 70)::double as y, "
+    "no as (select conv_id as pos, 'n' || conv_id as id, text, (conv_id % 100)::double as x, (conv_id % 70)::double as y, "
     "case conv_id % 4 when 0 then 'rect' when 1 then 'ring' else null end as linked_roi, '2024-01-' || lpad((conv_id % 28 + 1)::varchar, 2, '0') || 'T10:20:30' as created, "
     "'user' || (conv_id % 3) as author, 'm' || (conv_id % 2) as machine_id from conversations where turn = 0), "
-    "re as (select conv_id as pos, turn, 'r' || turn as id, substring(text, 1, 20) as text, role as author, 'm' || (turn % 2) as machine_id from conversations where turn > 0)"
+    "re as (select conv_id as pos, turn, 'r' || turn as id, text, role as author, 'm' || (turn % 2) as machine_id from conversations where turn > 0)"
 )

@@ -7,7 +7,6 @@ true. Files are read through pyarrow's file systems, so they may lie in a store
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -35,11 +34,13 @@ def listed(path: str) -> list[str]:
     """TIFF files of a comma-separated list of files and folders."""
     found = []
     for p in path.split(","):
+        if p.lower().endswith(".czi"):
+            raise ValueError(f"{p}: czi files are no TIFF and are not read; convert them to TIFF")
         fs, at = open_path(p)
         info = fs.get_file_info(at)
         if info.type == pafs.FileType.Directory:
             prefix = p[: len(p) - len(at)] if p.endswith(at) else ""
-            found += sorted(prefix + f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.is_file and f.path.lower().endswith((".tif", ".tiff")))
+            found += sorted(prefix + f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.is_file and f.path.lower().endswith((".tif", ".tiff", ".svs", ".ndpi")))
         else:
             found.append(p)
     return found
@@ -173,29 +174,57 @@ def merged_channels(spark: SparkSession, paths: Sequence[str], tile: int = 512)
     return out
 
 
-def write_tiff(rgb: DataFrame, path: str, h: int, w: int, group: str | None = None) -> DataFrame:
-    """One TIFF of a raster (y, x, r, g, b) or, with group, one for each of its values under path; returns (path, pixels).
+def write_tiff(rgb: DataFrame, path: str, h: int, w: int, group: str | None = None, rows_per_strip: int = 64) -> DataFrame:
+    """One TIFF of a raster (y, x, r, g, b) or (y, x, v) or, with group, one for each of its values under path; returns (path, pixels).
 
-    An image is one file and so one task, which holds one image of h * w samples.
+    Each strip of rows is put together by a task of its own. A file's strips are then written in order as they come by one
+    task, which holds a few strips at a time; absent pixels are 0. Files over 4 GB are BigTIFF.
     """
     cols = ["r", "g", "b"] if {"r", "g", "b"} <= set(rgb.columns) else ["v"]
-    key = F.col(group) if group else F.lit("")
+    dtype = np.dtype(np.uint8 if len(cols) == 3 else "<f4")
+    strips = -(-h // rows_per_strip)
 
-    def put(table: pa.Table) -> pa.Table:
-        image = np.zeros((h, w, len(cols)), np.uint8 if len(cols) == 3 else np.float32)
-        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+    def strip(table: pa.Table) -> pa.Table:
+        s = table.column("__s")[0].as_py()
+        image = np.zeros((min(rows_per_strip, h - s * rows_per_strip), w, len(cols)), dtype)
+        y, x = table.column("y").to_numpy() - s * rows_per_strip, table.column("x").to_numpy()
         for k, c in enumerate(cols):
             image[y, x, k] = table.column(c).to_numpy()
-        name = str(table.column("__g")[0].as_py())
-        target = f"{path}/{name}.tif" if group else path
-        fs, at = open_path(target)
-        buffer = io.BytesIO()
-        tiff.write(buffer, [image if len(cols) == 3 else image[:, :, 0]])
-        with fs.open_output_stream(at) as sink:
-            sink.write(buffer.getvalue())
-        return pa.table({"path": [target], "pixels": pa.array([table.num_rows], pa.int64())})
-
-    return rgb.select(key.alias("__g"), "y", "x", *cols).groupBy("__g").applyInArrow(put, "path string, pixels long")
+        return pa.table({"g": table.column("__g").slice(0, 1), "s": pa.array([s], pa.int32()), "data": pa.array([image.tobytes()], pa.binary()), "pixels": pa.array([table.num_rows], pa.int64())})
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, after = tiff.header(h, w, len(cols), dtype, rows_per_strip)
+        empty = lambda a, b: [bytes((min(rows_per_strip, h - s * rows_per_strip)) * w * len(cols) * dtype.itemsize) for s in range(a, b)]
+        name, sink, at, n = None, None, 0, 0
+
+        def finish() -> pa.RecordBatch:
+            for data in empty(at, strips):
+                sink.write(data)
+            sink.write(after)
+            sink.close()
+            return pa.RecordBatch.from_arrays([pa.array([target(name)]), pa.array([n], pa.int64())], names=["path", "pixels"])
+
+        for batch in batches:
+            for g, s, data, pixels_ in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if sink is None or g != name:
+                    if sink is not None:
+                        yield finish()
+                    fs, place = open_path(target(g))
+                    name, sink, at, n = g, fs.open_output_stream(place), 0, 0
+                    sink.write(before)
+                for gap in empty(at, s):
+                    sink.write(gap)
+                sink.write(data)
+                at, n = s + 1, n + pixels_
+        if sink is not None:
+            yield finish()
+
+    target = lambda g: f"{path}/{g}.tif" if group else path
+    inside = rgb.where((F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("x") < w))
+    key = F.coalesce(F.col(group).cast("string"), F.lit("null")) if group else F.lit("")
+    dealt = inside.select(key.alias("__g"), F.floor(F.col("y") / rows_per_strip).cast("int").alias("__s"), "y", "x", *cols)
+    made = dealt.groupBy("__g", "__s").applyInArrow(strip, "g string, s int, data binary, pixels long")
+    return made.repartition("g").sortWithinPartitions("g", "s").mapInArrow(put, "path string, pixels long")
 
 
 def pictures(spark: SparkSession, path: str) -> DataFrame:

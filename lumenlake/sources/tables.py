@@ -25,9 +25,9 @@ def roi_table(stats: DataFrame, rois: DataFrame | None, params: DataFrame, notes
     else:
         geo = rois.select(F.col("name").alias("roi_name"), "roi_type", ((F.col("x1") + F.col("x2")) / 2).alias("center_x"), ((F.col("y1") + F.col("y2")) / 2).alias("center_y"), (F.col("x2") - F.col("x1")).alias("width_px"), (F.col("y2") - F.col("y1")).alias("height_px"))
     named = params.select("ch_idx", F.col("name").alias("channel"), "color_name", F.col("min").alias("adj_min"), F.col("max").alias("adj_max"), "brightness")
-    out = stats.join(F.broadcast(geo), "roi_name").join(F.broadcast(named), "ch_idx")
+    out = stats.join(geo, "roi_name").join(named, "ch_idx")
     if notes is not None:
-        out = out.join(F.broadcast(notes.withColumnRenamed("name", "roi_name")), "roi_name", "left")
+        out = out.join(notes.withColumnRenamed("name", "roi_name"), "roi_name", "left")
     order = ["roi_name", "roi_type", "center_x", "center_y", "width_px", "height_px", "channel", "color_name", "mean", "std", "median", "min_v", "max_v", "ratio", "adj_min", "adj_max", "brightness"]
     return out.select(*order, *(["notes"] if notes is not None else []))
 
