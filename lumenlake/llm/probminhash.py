@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .bitset import filter_of, may_hold
 from .common import free_name, materialise, release, texts_of
-from .components import components
 from .shingles import bytes_of, counted, mix, runs, shingle_hashes
 
 SHINGLE = 5

@@ -12,7 +12,8 @@ documents once, with the list of their items.
 
 Cases: a null or empty text has no words and is clean; an item without words has no window, a null item_id counts as a
 hit but not as an item; repeated rows of documents are judged alike and each returned; an empty benchmark finds nothing;
-texts with the same id are told apart by their hash; other columns are not read.
+texts with the same id are told apart by their hash; a text of any length is worked on whole, within its row; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitset import filter_of, may_hold
-from .common import texts_of
+from .common import free_name, materialise, texts_of
 from .reputation import LOWER, UPPER
 
 SPAN, K = 13, 5
@@ -138,9 +139,14 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, with the same columns."""
     found = contamination(docs, benchmark, id_col, text_col)
-    bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["__key"])
-    return docs.join(bad, same, "left_anti")
+    bad, _ = materialise(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct(), "contaminated")
+    marks, bits = filter_of(bad.select(F.xxhash64("bad_id", "bad_key").alias("f")), bad.count())
+    own, key = free_name(docs, "set"), F.xxhash64(docs[text_col].cast("string"))
+    # most rows are none of the bad ones by the bit array, and are not shuffled
+    marked = docs.withColumn(own, may_hold(marks, F.xxhash64(docs[id_col].cast("long"), key), bits))
+    near = marked.where(F.col(own)).drop(own)
+    same = near[id_col].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(near[text_col].cast("string")) == bad["bad_key"])
+    return marked.where(~F.col(own)).drop(own).unionByName(near.join(bad, same, "left_anti"))
 
 
 def _candidate(f: Column, size: int, p: Column, low: Column, near: Column) -> Column:
