@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: quality rules, near-duplicates, decontamination, PII, packing."""
+"""A training corpus from ``documents``: quality rules, near-duplicates, decontamination, PII, packing.
+
+Each stage judges all rows of its input and keeps its columns, whatever their names, but the last, which returns pieces.
+Cases, the same in all stages: null ids are ids of their own; a null text counts as empty (quality drops both); texts of
+any length are worked on whole; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +17,27 @@ from lumenlake.llm.common import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the plain counts or the tokenisers' bands go."""
+    """Documents that fail the plain counts or the tokenisers' bands go; repeated rows are judged alike, a null or unknown language takes its script's band."""
     return fertility.keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays."""
+    """Of each class of near-duplicates (five-word shingles, similarity 0.8) the document with the least id stays; of repeated rows, and of rows that tie, one."""
     return probminhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more stands in the benchmark go."""
+    """Documents of which a twentieth of the words or more stands in the benchmark go; all rows of the same id and text go together."""
     return winnow.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kind."""
+    """Personal data are replaced by their kind, also in disguise; n_chars is set anew; every row stays."""
     return pii.mask_pii(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
+    """The pieces of all documents in sequences; repeated rows are packed each, an empty text is the end id alone."""
     return packing.pack_documents(docs)
 
 
@@ -44,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packed", packed),
 ]
 
-#: Tokenisers and registers are beyond SQL; tests/llm compares the stages with brute force.
+#: Tokenisers and registers are beyond SQL; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL: str | None = None
 
 
