@@ -289,10 +289,10 @@ def knn(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sp.nearest(centroids(spark, d), 1.0, -2.0, 12))
 
 
-@query("J10 T1", f"with {SQL_CENTROIDS}, p as (select a.cell_id as query_id, b.cell_id, {_DIST} as dist from cn a join cn b on true where a.cell_id % 25 = 0), r as (select *, row_number() over (partition by query_id order by dist, cell_id) as rank from p) select query_id, cell_id, round(dist, 4) as dist, rank::int as rank from r where rank <= 5")
+@query("J10 T1", f"with {SQL_CENTROIDS}, p as (select a.cell_id as query_id, b.cell_id, {_DIST} as dist from cn a join cn b on true where a.cell_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by dist, cell_id) as rank from p) select query_id, cell_id, round(dist, 4) as dist, rank::int as rank from r where rank <= 5")
 def knn_batched(spark: SparkSession, d: str) -> DataFrame:
     c = centroids(spark, d)
-    return rounded(sp.nearest_of(c, c.where("cell_id % 25 = 0").selectExpr("cell_id as query_id", "y as qy", "x as qx"), 5))
+    return rounded(sp.nearest_of(c, c.where("cell_id % 50 = 0").selectExpr("cell_id as query_id", "y as qy", "x as qx"), 5))
 
 
 @query("J11 X6 X7", f"with {SQL_CENTROIDS} select cell_id, round(sqrt(power(y - 1, 2) + power(x + 2, 2)), 4) as dist from cn where sqrt(power(y - 1, 2) + power(x + 2, 2)) <= 10")
