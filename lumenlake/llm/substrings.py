@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitset import filter_of, may_hold
-from .common import materialise, release, texts_of
+from .common import discard, materialise, release, texts_of
 from .shingles import bytes_of, mix
 from .suffixsort import deep_shallow_sort, neighbour_lcp
 
@@ -310,7 +310,7 @@ _TRIMMED_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256, spans (removed runs)."""
     rows = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    cut, _ = materialise(rows.mapInArrow(_segment_batches, SEGMENT), "segments")
+    cut, cut_at = materialise(rows.mapInArrow(_segment_batches, SEGMENT), "segments")
     times = F.col("place").bitwiseAND(F.lit(3))
     # of every anchor one row: those that occur once go, and those with different segments are contested
     anchors = cut.where(times > 0).groupBy("mh").agg(F.sum(times).alias("n"), (F.min("sh") != F.max("sh")).alias("contested")).where("n > 1").drop("n")
@@ -323,6 +323,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = seen.where((F.col("n") > 1) | head).select("mh", "doc_id", "th", F.least("n", F.lit(2)).alias("times"), head.alias("contested"), F.lit(True).alias("segment"), "place")
     within = cut.where(times == 0).select("mh", "doc_id", "th", F.lit(2).cast("long").alias("times"), F.lit(False).alias("contested"), F.lit(False).alias("segment"), "place")
     places, _ = materialise(wanted.unionByName(within), "places")
+    discard(docs.sparkSession, cut_at)  # only places are read from here on
 
     first = F.when(F.col("segment"), F.shiftright("place", 18)).otherwise(F.shiftright("place", 33))
     windows = F.shiftright("place", 10).bitwiseAND(F.lit(255)) + 1
