@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import filterfalse
 
 import numpy as np
 
@@ -54,22 +55,18 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         young, old = self._young, self._old
-        unknown = []
-        for p in dict.fromkeys(pieces):
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    unknown.append(p)
+        unknown = list(filterfalse(young.__contains__, dict.fromkeys(pieces)))
+        if old:
+            young.update((p, old[p]) for p in unknown if p in old)
+            unknown = list(filterfalse(young.__contains__, unknown))
         inner = [p for p in unknown if p[0] in " \n" and p[-1] not in " \n"] if self._letters else []
         if len(inner) > 1:  # a row of pieces is one text, cut again where the pieces end
-            ids = np.frombuffer(self._whole(["".join(inner)])[0], "<u4")
-            ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum([len(p.encode()) for p in inner]), "left") + 1
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(inner, (4 * ends).tolist()):
-                young[p] = raw[at:end]
-                at = end
-            unknown = [p for p in unknown if p not in young]
+            raw = self._whole(["".join(inner)])[0]
+            ids = np.frombuffer(raw, "<u4")
+            sizes = np.fromiter(map(len, map(str.encode, inner)), np.int64, len(inner))
+            ends = (4 * np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes), "left") + 4).tolist()
+            young.update(zip(inner, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+            unknown = list(filterfalse(young.__contains__, unknown))
         if unknown:
             young.update(zip(unknown, self._whole(unknown)))
 
