@@ -60,3 +60,20 @@ def held(key: tuple, make):
 def release() -> None:
     """Let go of what held() keeps."""
     _held[:] = [None, None]
+
+
+#: Keys that are broadcast by spread_join, at most, if not said otherwise.
+POPULAR = 10_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner", most: int = POPULAR) -> DataFrame:
+    """rows joined with table, whose keys are unique and whose weight is at least the number of rows that meet a key.
+
+    Keys of more than one in ``most`` of all weights, fewer than ``most`` for that reason, are broadcast, and their rows stay
+    where they are; the rows of the others are shuffled, and no key of them is hot. The weight is not returned.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    is_popular = F.col(weight).cast("double") * most > float(total)
+    popular = table.where(is_popular).drop(weight)
+    rest = rows.join(F.broadcast(popular.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(popular), keys).unionByName(rest.join(table.where(~is_popular).drop(weight), keys, how))

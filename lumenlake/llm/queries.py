@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fertility, packing, pii, probminhash, reputation, sstable, substrings, warc, winnow
+from . import align, chat, fertility, ledger, packing, pii, probminhash, reputation, sstable, substrings, trie, warc, winnow
+from .common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("base_spans")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    lent = trie.with_lent_heads(turns, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, 5)
+    conversations = table(spark, sf_dir, "conversations").select("conv_id").where("conv_id is not null")
+    return trie.prefix_trie(lent, conversations).drop("position", "end_position")
+
+
+def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ledger.scan_history(table(spark, sf_dir, "documents"), ledger.Ledger(spark, scratch_path(spark, "ledger")), path_col="doc_id")
+    of = lambda *kinds: F.filter("spans", lambda x: x["rule"].isin(*kinds))
+    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["rule"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = [r.name for r in ledger.BASE]
+    counts = (F.size(of(k)).cast("long").alias(f"n_{k}") for k in base)
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(written(of(*base)), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_and_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_snapshot_collapse": op2_snapshot_collapse,
@@ -81,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_probminhash": op9_probminhash,
     "op10_pii": op10_pii,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_blob_ledger": op12_blob_ledger,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
