@@ -160,6 +160,7 @@ class WordAligner:
         self._second = [b"" if special(i) else piece(i) for i in range(self._b.get_piece_size())]
         self._names = [list(map(str, range(len(x)))) for x in (self._first, self._second)]
         self._transducer = SuffixTransducer(self._first, self._second)
+        self._ahead = len(self._b.encode("\n"))
         self._max = max_words
         self._young: dict[str, tuple[str, bytes, int] | None] = {}
         self._old: dict[str, tuple[str, bytes, int] | None] = {}
@@ -167,7 +168,7 @@ class WordAligner:
     def _groups(self, text: str) -> Groups | None:
         """The groups of a text that begins with white space, which is taken for the space before a text."""
         a = self._a.encode(text, add_special_tokens=False).ids
-        b = self._b.encode(text[1:]) if text[0] == " " else self._b.encode(text)[1:]
+        b = self._b.encode("\n" + text)[self._ahead :]  # no piece holds a newline, so what follows one is cut as if it came first
         if b"".join(map(self._first.__getitem__, a)) != text.encode():
             return None
         return self._transducer.run(a, b)

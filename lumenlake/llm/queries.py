@@ -194,4 +194,29 @@ ORACLES: dict[str, str] = {
         )
         select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when tail >= 0.95 then 'block' else 'allow' end as verdict
         from r left join b using (host)""",
+    "op11_prefix_trie": r"""
+        with t as (
+            select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as nth,
+                struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) as x
+            from conversations where conv_id is not null
+        ),
+        o as (select c, list(x order by nth) as own from t group by c),
+        crc as (
+            select c, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(cast(c as varchar), ''), lambda s: cast(ascii(s) as bigint))),
+                lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end))) % 6 as h
+            from o
+        ),
+        r as (select o.c, list_concat(list_slice(coalesce(l.own, []), 1, h), list_slice(o.own, h + 1, len(o.own))) as p from o join crc using (c) left join o as l on l.c = o.c - o.c % 100),
+        m as (select c, p, unnest(range(0, len(p) + 1)) as d from r),
+        n as (
+            select d, list_slice(p, 1, d) as s, min(c) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(case when d = len(p) then c end, ',' order by c), '')) as ends_sha256
+            from m group by d, list_slice(p, 1, d)
+        ),
+        k as (select n.*, list_slice(s, 1, d - 1) as up, case when d = 0 then 0 else (n_convs - 1) * length(s[d].text) end as own from n),
+        kids as (select d - 1 as d, up as s, count(*) as n_children from k where d > 0 group by d, up),
+        a as (select k.*, coalesce(n_children, 0) as n_children from k left join kids using (d, s)),
+        below as (select unnest(range(0, d + 1)) as d, s, own, n_children from a),
+        sums as (select d, list_slice(s, 1, d) as s, sum(own) as saved_tokens, count(*) filter (where n_children = 0) as n_leaves from below group by d, list_slice(s, 1, d))
+        select a.conv_id, a.d as depth, p.conv_id as parent_conv_id, a.n_convs, cast(a.n_children as bigint) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, a.ends_sha256
+        from a join sums using (d, s) left join n as p on p.d = a.d - 1 and p.s = a.up""",
 }
