@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,10 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
         parent = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "parents")
         for _ in range(2):
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-            parent = written(parent.join(up, "p").select("a", F.col("pp").alias("p")), "parents")
+            last, parent = parent, written(parent.join(up, "p").select("a", F.col("pp").alias("p")), "parents")
+            discard(last)
         to = parent.withColumnsRenamed({"a": "x", "p": "px"})
+        old = labels, edges
         labels = written(labels.join(to, labels["comp"] == to["x"], "left").select("node", F.coalesce("px", "comp").alias("comp")), "labels")
         ends = edges.join(to, edges["a"] == to["x"]).select(F.col("px").alias("a"), "b")
         ends = ends.join(to, ends["b"] == to["x"]).select("a", F.col("px").alias("b")).where("a <> b")
         edges = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        discard(parent, *old)
     return labels

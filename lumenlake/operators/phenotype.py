@@ -79,12 +79,18 @@ def assign_by_table(long_cells: DataFrame, thresholds: DataFrame) -> DataFrame:
     return rows.groupBy("cell_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), " ").alias("phenotype"))
 
 
+#: Phenotypes that are ranked in one task, at most.
+ONE_SORT = 100_000
+
+
 def phenotype_counts(phenotypes: DataFrame) -> DataFrame:
     """(phenotype, n, first_cell, rank, pct): most frequent first, ties by the first cell seen."""
     counted = phenotypes.groupBy("phenotype").agg(F.count("*").alias("n"), F.min("cell_id").alias("first_cell"))
     counted = written(counted, "phenotypes")
     total = counted.agg(F.sum("n").alias("total"))
-    ranked = numbered(counted, [F.desc("n"), F.col("first_cell"), F.col("phenotype")], "rank")
+    order = [F.desc("n"), F.col("first_cell"), F.col("phenotype")]
+    # so few rows are one sort of one task, more are sorted by ranges: the numbers are the same
+    ranked = counted.withColumn("rank", F.row_number().over(Window.orderBy(*order))) if counted.count() <= ONE_SORT else numbered(counted, order, "rank")
     return ranked.crossJoin(total).select("phenotype", "n", "first_cell", F.col("rank").cast("int").alias("rank"), (100.0 * F.col("n") / F.col("total")).alias("pct"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import discard, written
 
 
 def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -30,17 +30,30 @@ BINS, FINISH = 4096, 200_000
 def quantiles(rows: DataFrame, by: Sequence[str], probs: Sequence[float], value: str = "v") -> DataFrame:
     """(by, q): exact quantiles of each group's values, an array in the order of probs, by linear interpolation.
 
-    Nulls and NaN are left out; a group without values has no row. A pass counts each group's values in BINS bins, with each
-    bin's least and greatest, and every rank that is asked for moves into the bin that holds it; this goes on until no
-    such bin holds more than FINISH values that differ, and those alone are sorted. So a group of any size is counted
-    map-side in every pass, and no task holds a group's values.
+    Nulls and NaN are left out; a group without values has no row. The values are written once, as what makes them may be
+    costly. Groups of at most FINISH values are aggregated as they are. Of the others a pass counts each group's values in
+    BINS bins, with each bin's least and greatest, and every rank that is asked for moves into the bin that holds it; this
+    goes on until no such bin holds more than FINISH values that differ, and those alone are sorted. So a group of any size
+    is counted map-side in every pass, and no task holds more than FINISH values of a group.
     """
     keys = list(by)
-    rows = rows.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    rows = written(rows.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)"), "values")
     spans = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    plain = lambda r: r.groupBy(*keys).agg(F.percentile("v", F.array(*(F.lit(float(p)) for p in probs))).alias("q"))
+    if rows.count() <= FINISH:
+        return plain(rows).where("q is not null")
+    spans = written(spans, "spans")
+    large = spans.where(F.col("n") > FINISH)
+    if keys and large.isEmpty():
+        return plain(rows)
+    if keys:
+        return plain(rows.join(large.select(*keys), keys, "left_anti")).unionByName(_of_large(rows.join(large.select(*keys), keys, "left_semi"), large, keys, probs))
+    return _of_large(rows, spans, keys, probs)
+
+
+def _of_large(rows: DataFrame, spans: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
     at = lambda p: F.lit(float(p)) * (F.col("n") - 1)
     ranks = F.array(*(f(at(p)).cast("long") for p in probs for f in (F.floor, F.ceil)))
-    spans = written(spans, "spans")
     wanted = spans.select(*keys, F.explode(F.array_distinct(ranks)).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("size"))
     same = [*keys, "lo", "hi"]
 
@@ -56,7 +69,8 @@ def quantiles(rows: DataFrame, by: Sequence[str], probs: Sequence[float], value:
         upto = counts.withColumn("upto", F.sum("k").over(Window.partitionBy(*same).orderBy("bin")))
         moved = open_.join(upto, same).where((F.col("rank") - F.col("below") < F.col("upto")) & (F.col("rank") - F.col("below") >= F.col("upto") - F.col("k")))
         moved = moved.select(*keys, "rank", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("below") + F.col("upto") - F.col("k")).alias("below"), F.col("k").alias("size"))
-        wanted = written(moved.unionByName(wanted.where("lo = hi")), "ranks")
+        last, wanted = wanted, written(moved.unionByName(wanted.where("lo = hi")), "ranks")
+        discard(last)
     counts = inside(wanted.where("lo < hi")).groupBy(*same, "v").agg(F.count("*").alias("k"))
     upto = counts.withColumn("upto", F.sum("k").over(Window.partitionBy(*same).orderBy("v")))
     last = wanted.where("lo < hi").join(upto, same).where((F.col("rank") - F.col("below") < F.col("upto")) & (F.col("rank") - F.col("below") >= F.col("upto") - F.col("k")))

@@ -11,11 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import byte_of, lut_byte, lut_index, screen_float, screen_u8, window_level
+from ..sources.scratch import checked_small
+from .stats import MAX_SETTINGS
 
 TILE = 512
 MAX_PREVIEW = 2500
 
 
+def image_of(rows: DataFrame) -> list[str]:
+    """The columns that tell images apart: image_id, where the rows have it."""
+    return [c for c in ("image_id",) if c in rows.columns]
+
+
 def preview_step(h: int, w: int, max_dim: int = MAX_PREVIEW) -> int:
     return max(1, max(h, w) // max_dim)
 
@@ -48,25 +55,26 @@ def apply_lut(pixels: DataFrame, table: DataFrame, size: int) -> DataFrame:
 def layers_float(pixels: DataFrame, params: DataFrame, gamma: bool = True) -> DataFrame:
     """Pixels of visible channels with their window-levelled value times the colour, in [0, 1]."""
     n = window_level(F.col("v"), F.col("min"), F.col("max"), F.col("brightness"), F.col("gamma") if gamma else None)
-    on = pixels.join(params.where("visible"), "ch_idx")
-    return on.select("y", "x", "ch_idx", *((n * F.col(c) / 255.0).alias(c) for c in "rgb"))
+    on = pixels.join(checked_small(params.where("visible"), MAX_SETTINGS), "ch_idx")
+    return on.select(*image_of(pixels), "y", "x", "ch_idx", *((n * F.col(c) / 255.0).alias(c) for c in "rgb"))
 
 
 def composite_float(pixels: DataFrame, params: DataFrame, gamma: bool = True) -> DataFrame:
     """(y, x, r, g, b): screen blend 1 - prod(1 - layer) of all visible channels, truncated to bytes."""
-    layers = layers_float(pixels, params, gamma).groupBy("y", "x").agg(*(F.collect_list(c).alias(c) for c in "rgb"))
-    return layers.select("y", "x", *(byte_of(F.round(screen_float(F.col(c)) * 255, 6)).alias(c) for c in "rgb"))
+    at = [*image_of(pixels), "y", "x"]
+    layers = layers_float(pixels, params, gamma).groupBy(*at).agg(*(F.collect_list(c).alias(c) for c in "rgb"))
+    return layers.select(*at, *(byte_of(F.round(screen_float(F.col(c)) * 255, 6)).alias(c) for c in "rgb"))
 
 
 def composite_u8(pixels: DataFrame, params: DataFrame) -> DataFrame:
     """(y, x, r, g, b): 8-bit layers blended in channel order, each step truncated. params: cmin, cmax, brightness, gamma, r, g, b."""
-    on = pixels.join(params.where("visible"), "ch_idx")
+    on, at = pixels.join(checked_small(params.where("visible"), MAX_SETTINGS), "ch_idx"), [*image_of(pixels), "y", "x"]
     top = F.greatest(F.col("max") - F.col("min"), F.lit(1.0))
     n = F.least(F.greatest((F.floor("v") - F.col("min")) / top, F.lit(0.0)), F.lit(1.0))
     n = F.least(F.greatest(F.when(F.abs(F.col("gamma") - 1) > 0.01, F.pow(n, 1 / F.col("gamma"))).otherwise(n) * F.col("brightness"), F.lit(0.0)), F.lit(1.0))
     layer = F.struct("ch_idx", *(byte_of(n * F.col(c)).cast("bigint").alias(c) for c in "rgb"))
-    folded = on.groupBy("y", "x").agg(F.array_sort(F.collect_list(layer)).alias("l"))
-    return folded.select("y", "x", *(screen_u8(F.col(f"l.{c}")).alias(c) for c in "rgb"))
+    folded = on.groupBy(*at).agg(F.array_sort(F.collect_list(layer)).alias("l"))
+    return folded.select(*at, *(screen_u8(F.col(f"l.{c}")).alias(c) for c in "rgb"))
 
 
 def depth_of(region: DataFrame, is_uint16: bool) -> DataFrame:

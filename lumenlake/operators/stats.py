@@ -8,16 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import window_level
-from ..sources.scratch import written
+from ..sources.scratch import checked_small, written
 from .ranking import quantiles
 
 SIGNAL = 0.01
+#: Rows of display settings, one a channel, that are sent to all tasks, at most; about 100 bytes each.
+MAX_SETTINGS = 65_536
 
 
 def adjusted(pixels: DataFrame, params: DataFrame, gamma: bool = False) -> DataFrame:
-    """Pixels (ch_idx, v) with n, their window-levelled value, for visible channels; params has a row for each channel."""
+    """Pixels (ch_idx, v) with n, their window-levelled value, for visible channels; params has a row for each channel.
+
+    The settings go to the pixels, which stay where they are: see MAX_SETTINGS.
+    """
     n = window_level(F.col("v"), F.col("min"), F.col("max"), F.col("brightness"), F.col("gamma") if gamma else None)
-    return pixels.join(params.where("visible"), "ch_idx").withColumn("n", n)
+    return pixels.join(checked_small(params.where("visible"), MAX_SETTINGS), "ch_idx").withColumn("n", n)
 
 
 def reference_channel(params: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def group_stats(pixels: DataFrame, groups: DataFrame) -> DataFrame:
     """Statistics of all pixels of each group's cells by channel; n_cells is the number of ids in the group, found or not."""
     different = written(groups.select("group_name", "cell_id").distinct(), "members")
     sizes = different.groupBy("group_name").agg(F.count("*").alias("n_cells"))
-    members = pixels.join(different, "cell_id")
+    members = written(pixels.join(different, "cell_id").select("group_name", "ch_idx", F.col("v").cast("double").alias("v")), "member_pixels")
     v = F.col("v")
     middle = quantiles(members, ["group_name", "ch_idx"], (0.5,)).select("group_name", "ch_idx", F.get("q", 0).alias("median"))
     found = members.groupBy("group_name", "ch_idx").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count("*").alias("n_pixels"))

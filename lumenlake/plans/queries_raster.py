@@ -12,9 +12,11 @@ from ..operators import overlay as ov
 from ..operators import raster as rs
 from ..operators import roi as rg
 from ..operators import spatial as sp
+from ..operators import tiling as tl
 from ..operators.stats import adjusted
+from ..sources.scratch import new_path
 from .registry import query, rounded
-from .standins import SQL_ADJ, SQL_CENTROIDS, SQL_DENSE, SQL_LONG, SQL_PARAMS, SQL_ROIS, SQL_RPARAMS, SQL_WIDE, WIDTH, centroids, dense, height, long_pixels, params, raster, raster_params, rois, sql_raster, wide_pixels
+from .standins import SQL_ADJ, SQL_CENTROIDS, SQL_DENSE, SQL_LONG, SQL_PARAMS, SQL_ROIS, SQL_RPARAMS, SQL_WIDE, WIDTH, centroids, dense, height, long_pixels, params, raster, raster_params, raster_tiles, rois, sql_raster, wide_pixels
 
 W = WIDTH
 _H = "(select hh from hh)"
@@ -66,7 +68,7 @@ _U8 += "q as (select *, " + ", ".join(f"{c}0 + {c}1 - ({c}0 * {c}1) // 255 as {c
 
 @query("R2 R4 W10", f"{_RA}, {SQL_RPARAMS}, {_U8} select y, x, " + ", ".join(f"({c}01 + {c}2 - ({c}01 * {c}2) // 255)::int as {c}" for c in "rgb") + " from q")
 def blend_u8(spark: SparkSession, d: str) -> DataFrame:
-    return rs.composite_u8(raster(spark, d), raster_params(spark))
+    return tl.pixels_of_tiles(tl.composite_tiles(raster_tiles(spark, d), raster_params(spark)), "r", "g", "b")
 
 
 def _float_sql(gamma: bool) -> str:
@@ -80,12 +82,12 @@ def _float_sql(gamma: bool) -> str:
 
 @query("R3", _float_sql(True))
 def blend_float(spark: SparkSession, d: str) -> DataFrame:
-    return rs.composite_float(raster(spark, d), raster_params(spark))
+    return tl.pixels_of_tiles(tl.composite_tiles(raster_tiles(spark, d), raster_params(spark), "float"), "r", "g", "b")
 
 
 @query("R5 K8", _float_sql(False))
 def blend_float_plain(spark: SparkSession, d: str) -> DataFrame:
-    return rs.composite_float(raster(spark, d), raster_params(spark), gamma=False)
+    return tl.pixels_of_tiles(tl.composite_tiles(raster_tiles(spark, d), raster_params(spark), "float_plain"), "r", "g", "b")
 
 
 @query("R2", f"{_RA} select greatest(case when least(max(v), 65535) < 1 then 255 else least(max(v), 65535) end, 0)::double as dmax from ra where ch_idx = 1")
@@ -98,6 +100,19 @@ def preview_downsample(spark: SparkSession, d: str) -> DataFrame:
     return rs.preview(dense(spark, d), 4).select("y", "x", "v")
 
 
+@query("S12 R9", f"{_RA} select ch_idx, y // 4 as y, x // 4 as x, v from ra where y % 4 = 0 and x % 4 = 0")
+def pyramid_preview(spark: SparkSession, d: str) -> DataFrame:
+    made = tl.Pyramid.write(tl.regrouped(raster_tiles(spark, d), 32), new_path(spark, "pyramid"), height(spark, d), W, side=32)
+    return made.view(0, height(spark, d), 0, W, 4, side=32)
+
+
+@query("R6 P18", f"{_RA} select ch_idx, y // 2 as y, x // 2 as x, v from ra cross join hh where y % 2 = 0 and x % 2 = 0 and y >= hh // 3 and y < hh // 2 and x >= 11 and x < 50")
+def pyramid_viewport(spark: SparkSession, d: str) -> DataFrame:
+    h = height(spark, d)
+    made = tl.Pyramid.write(tl.regrouped(raster_tiles(spark, d), 32), new_path(spark, "pyramid"), h, W, side=32)
+    return made.view(h // 3, h // 2, 11, 50, 2, side=32)
+
+
 @query("P10", f"with {SQL_DENSE} select y, x, v from dr where y >= 10 and y < 50 and x >= 3 and x < 20")
 def crop_region(spark: SparkSession, d: str) -> DataFrame:
     return rs.crop(dense(spark, d), 10, 50, 3, 20).select("y", "x", "v")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tiling import rows_as_tiles
 from .registry import NUDGE, table
 
 CHANNELS = {"QTY": "qty", "PRICE": "price", "DISC": "disc", "TAX": "tax"}
@@ -73,6 +74,12 @@ def raster(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def raster_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of raster(), a row of pixels of a channel in each tile; no sample is a row of its own."""
+    sample = lambda k, n: f"transform(embedding, e -> floor(abs(cast(e as double)) * {k}) % {n}d)"
+    return rows_as_tiles(table(spark, d, "embeddings"), "vec_id", {0: sample(1000, 256), 1: sample(7919, 251), 2: sample(104729, 241)}, WIDTH)
+
+
 def sql_raster() -> str:
     return (
         "hh as (select max(vec_id)::int + 1 as hh from embeddings), "
