@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checked_small, written
+
 
 def frame_box(h: int, w: int, scale: float = 1.0) -> dict[str, Column]:
     """The box of a region (columns x1, y1, x2, y2) scaled, truncated and held to the frame."""
@@ -50,28 +52,77 @@ def _squares(low: Column, high: Column) -> Column:
     return F.sequence(F.floor(low / SQUARE).cast("int"), F.floor(F.greatest(high, low) / SQUARE).cast("int"))
 
 
+def _int_points(scale: float) -> Column:
+    return F.transform("points", lambda p: F.struct((p["x"] * scale).cast("int").alias("x"), (p["y"] * scale).cast("int").alias("y")))
+
+
+def outline_spans(rois: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(roi_name, y, x1, x2): the runs of pixels, ends with, that each outline holds in each row, none touching another.
+
+    An outline's edges become rows; each crosses the rows of pixels between its ends, at a place known exactly in whole
+    numbers. In order, a row's crossings begin and end runs by turns (even-odd rule). Pixels that an edge goes through are
+    runs of their own, and runs that touch are one. The work is the outline's length in rows and the sort of its
+    crossings, whatever the number of pixels. Outlines of fewer than three points hold nothing; a name's equal outlines
+    count once.
+    """
+    keys = ["roi_name", "__outline"]
+    points = _int_points(scale)
+    outlines = rois.select(F.col("name").alias("roi_name"), points.alias("p")).where(F.size("p") > 2).withColumn("__outline", F.xxhash64("p")).dropDuplicates(keys)
+    ends = outlines.withColumn("q", F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1))).select(*keys, F.explode(F.arrays_zip("p", "q")).alias("e"))
+    e = ends.select(*keys, *(F.col(f"e.{point}.{c}").cast("long").alias(f"{side}{c}") for point, side in (("p", "a"), ("q", "b")) for c in "xy"))
+    flat = e.where("ay = by").select(*keys, F.col("ay").alias("y"), F.least("ax", "bx").alias("x1"), F.greatest("ax", "bx").alias("x2"))
+    up = F.col("ay") < F.col("by")
+    steep = e.where("ay <> by").select(*keys, *(F.when(up, F.col(f"a{c}")).otherwise(F.col(f"b{c}")).alias(f"a{c}") for c in "xy"), *(F.when(up, F.col(f"b{c}")).otherwise(F.col(f"a{c}")).alias(f"b{c}") for c in "xy"))
+    at = steep.withColumn("y", F.explode(F.sequence("ay", "by")))
+    # the crossing is ax + num / den; its floor and what is left over, with den > 0
+    num, den = (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")), F.col("by") - F.col("ay")
+    at = at.withColumns({"left": F.pmod(num, den), "whole": F.col("ax") + F.expr("((bx - ax) * (y - ay) - pmod((bx - ax) * (y - ay), by - ay)) div (by - ay)")})
+    on = at.where("left = 0").select(*keys, "y", F.col("whole").alias("x1"), F.col("whole").alias("x2"))
+    turn = Window.partitionBy(*keys, "y").orderBy("x", "left", "ax", "bx", "ay", "by")
+    cross = at.where("y < by").withColumn("x", F.col("whole") + (F.col("left") > 0).cast("long"))  # the first pixel to the right
+    cross = cross.select(*keys, "y", F.row_number().over(turn).alias("nth"), F.col("x").alias("x1"), (F.lead("x").over(turn) - 1).alias("x2")).where("nth % 2 = 1 and x1 <= x2").drop("nth")
+    rows = Window.partitionBy(*keys, "y").orderBy("x1", "x2")
+    runs = cross.unionByName(on).unionByName(flat)
+    fresh = F.coalesce(F.col("x1") > F.max("x2").over(rows.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    runs = runs.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(rows))
+    runs = runs.groupBy(*keys, "y", "run").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"))
+    return runs.select("roi_name", F.col("y").cast("int").alias("y"), F.col("x1").cast("int").alias("x1"), F.col("x2").cast("int").alias("x2"))
+
+
+#: Runs of outlines that are sent to all tasks, at most; about 40 bytes each.
+MAX_RUNS = 500_000
+
+
+def _in_outlines(pixels: DataFrame, rois: DataFrame, scale: float) -> DataFrame:
+    """Pixels with the name of each outline that holds them: pixels and runs meet by row and stretch of SQUARE columns."""
+    runs = outline_spans(rois, scale).withColumn("__sx", F.explode(F.sequence(F.floor(F.col("x1") / SQUARE).cast("int"), F.floor(F.col("x2") / SQUARE).cast("int"))))
+    runs = checked_small(written(runs.withColumnRenamed("y", "__y"), "runs"), MAX_RUNS)
+    own = pixels.withColumns({"__y": F.col("y").cast("int"), "__sx": F.floor(F.col("x") / SQUARE).cast("int")})
+    return own.join(runs, ["__y", "__sx"]).where(F.col("x").between(F.col("x1"), F.col("x2"))).select("roi_name", *pixels.columns)
+
+
 def _met(pixels: DataFrame, rois: DataFrame, h: int, w: int, scale: float) -> DataFrame:
-    """Pixels in the box or outline of each region, with in_shape and in_box: joined by equal squares of the plane."""
-    point = lambda p: F.struct((p["x"] * scale).cast("int").alias("x"), (p["y"] * scale).cast("int").alias("y"))
-    boxes = rois.withColumns(frame_box(h, w, scale)).withColumn("scaled", F.transform("points", point))
-    reach = lambda axis, low, high: _squares(  # noqa: E731 - an ellipse reaches beyond a thin box, an outline beyond any
-        F.least(F.col(low) - 1, F.coalesce(F.array_min(F.transform("scaled", lambda p: p[axis])), F.col(low))),
-        F.greatest(F.col(high) + 1, F.coalesce(F.array_max(F.transform("scaled", lambda p: p[axis])), F.col(high))),
-    )
-    boxes = boxes.select(F.col("name").alias("roi_name"), "roi_type", "sx1", "sy1", "sx2", "sy2", "scaled", F.explode(reach("y", "sy1", "sy2")).alias("__sy"), reach("x", "sx1", "sx2").alias("__across"))
+    """Pixels in the box or shape of each region, with __in_shape and __in_box: by equal squares of the plane, or by runs of outlines."""
+    boxes = rois.withColumns(frame_box(h, w, scale))
+    reach = lambda low, high: _squares(F.col(low) - 1, F.col(high) + 1)  # noqa: E731 - an ellipse reaches beyond a thin box
+    boxes = boxes.select(F.col("name").alias("roi_name"), "roi_type", "sx1", "sy1", "sx2", "sy2", F.explode(reach("sy1", "sy2")).alias("__sy"), reach("sx1", "sx2").alias("__across"))
     boxes = boxes.withColumn("__sx", F.explode("__across")).drop("__across")
     own = pixels.withColumns({"__sy": F.floor(F.col("y") / SQUARE).cast("int"), "__sx": F.floor(F.col("x") / SQUARE).cast("int")})
     kind = F.col("roi_type")
-    shape = ((kind == "rect") & in_rect()) | ((kind == "circle") & in_ellipse()) | ((kind == "freehand") & in_polygon(F.col("scaled"), F.col("x"), F.col("y")))
-    met = own.join(boxes, ["__sy", "__sx"]).withColumns({"__in_shape": F.coalesce(shape, F.lit(False)), "__in_box": in_rect()}).where("__in_shape or __in_box")
-    return met.select("roi_name", *pixels.columns, "__in_shape", "__in_box")
+    shape = ((kind == "rect") & in_rect()) | ((kind == "circle") & in_ellipse())
+    met = own.join(checked_small(boxes, MAX_RUNS), ["__sy", "__sx"]).withColumns({"__in_shape": F.coalesce(shape, F.lit(False)), "__in_box": in_rect()}).where("__in_shape or __in_box")
+    met = met.select("roi_name", *pixels.columns, "__in_shape", "__in_box")
+    outlines = rois.where("roi_type = 'freehand'")
+    if outlines.isEmpty():
+        return met
+    return met.unionByName(_in_outlines(pixels, outlines, scale).withColumns({"__in_shape": F.lit(True), "__in_box": F.lit(False)}))
 
 
 def members(pixels: DataFrame, rois: DataFrame, h: int, w: int, scale: float = 1.0) -> DataFrame:
     """Pixels with the name of each region that holds them (one row for each).
 
-    Both sides meet on squares of SQUARE pixels, an equi-join, whatever the number of regions. rois: name, roi_type, x1,
-    y1, x2, y2, points.
+    Both sides meet on squares of SQUARE pixels, an equi-join, whatever the number of regions; outlines by their runs of
+    pixels in each row: see outline_spans. rois: name, roi_type, x1, y1, x2, y2, points.
     """
     return _met(pixels, rois, h, w, scale).where("__in_shape").select("roi_name", *pixels.columns)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
@@ -87,3 +87,77 @@ def nearest_of(cells: DataFrame, queries: DataFrame, k: int, first_radius: float
         if not want or left.isEmpty():
             return found
         radius *= growth
+
+
+# --- an index on a space-filling curve
+
+#: Bits of each coordinate in a place's number on the curve.
+CURVE_BITS = 31
+
+
+def _spaced(c: Column) -> Column:
+    """The low CURVE_BITS bits of c, a zero between each two."""
+    # The masks of the usual doubling steps.
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+    return c
+
+
+class CurveIndex:
+    """Cells (cell_id, y, x) in files along a Z-order curve, with a table of each file's box: radius and nearest queries read the files they touch.
+
+    Cells are sorted by ranges of the curve and written once; each range is a file, and its box is taken from what was
+    written. A query asks the table of boxes, one row a file, for files that its circle meets, and reads no other.
+    Cells without a place (null or NaN) are left out.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self.path = spark, path
+        self._boxes = spark.read.parquet(f"{path}/boxes")
+
+    @classmethod
+    def write(cls, cells: DataFrame, path: str, files: int | None = None) -> CurveIndex:
+        """files: ranges to cut the curve into; None leaves the number to the session."""
+        spark = cells.sparkSession
+        placed = cells.select("cell_id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")).where("y is not null and x is not null and not isnan(y) and not isnan(x)")
+        around = placed.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+        low_y, high_y, low_x, high_x = (float(v or 0.0) for v in around)
+        top = (1 << CURVE_BITS) - 1
+        step = lambda c, low, high: F.floor((F.col(c) - low) / (max(high - low, 1e-300)) * top).cast("long")
+        z = F.shiftleft(_spaced(step("y", low_y, high_y)), 1).bitwiseOR(_spaced(step("x", low_x, high_x)))
+        rows = placed.withColumn("z", z)
+        rows = rows.repartitionByRange(files, "z", "cell_id") if files else rows.repartitionByRange("z", "cell_id")
+        rows.sortWithinPartitions("z", "cell_id").write.mode("overwrite").parquet(f"{path}/cells")
+        stored = spark.read.parquet(f"{path}/cells")
+        boxes = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("y").alias("y1"), F.max("y").alias("y2"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.count("*").alias("n"))
+        boxes.write.mode("overwrite").parquet(f"{path}/boxes")
+        return cls(spark, path)
+
+    def _far(self, y: float, x: float) -> Column:
+        """The distance of a file's box from a place."""
+        off = lambda at, low, high: F.greatest(F.col(low) - at, F.lit(at) - F.col(high), F.lit(0.0))
+        return F.sqrt(F.pow(off(y, "y1", "y2"), F.lit(2)) + F.pow(off(x, "x1", "x2"), F.lit(2)))
+
+    def _files(self, files: list[str]) -> DataFrame:
+        if not files:
+            return self._spark.createDataFrame([], "cell_id long, y double, x double")
+        return self._spark.read.parquet(*files)
+
+    def within(self, y: float, x: float, radius: float) -> DataFrame:
+        """(cell_id, dist) of cells within radius of a place, as spatial.within."""
+        files = [r.file for r in self._boxes.where(self._far(y, x) <= radius).select("file").collect()]  # those the circle meets
+        return within(self._files(files), y, x, radius)
+
+    def nearest(self, y: float, x: float, k: int) -> DataFrame:
+        """(cell_id, dist) of the k nearest cells, ties by id, as spatial.nearest.
+
+        The files with the nearest boxes that hold k cells together bound the distance; all files within it are read.
+        """
+        far = self._far(y, x)
+        upto = F.sum("n").over(Window.orderBy("far", "file").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+        first = [r.file for r in self._boxes.select("file", "n", far.alias("far")).orderBy("far", "file").limit(max(1, k)).withColumn("before", upto).where(F.col("before") < k).select("file").collect()]
+        reached = nearest(self._files(first), y, x, k).agg(F.max("dist")).first()[0] if first else None
+        if reached is None:
+            return nearest(self._files([]), y, x, k)
+        files = [r.file for r in self._boxes.where(far <= reached).select("file").collect()]
+        return nearest(self._files(files), y, x, k)

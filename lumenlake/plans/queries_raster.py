@@ -256,6 +256,28 @@ def roi_members_or_box(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("roi_name").agg(F.count("*").alias("n"))
 
 
+#: An outline of one vertex a row of the raster on each side, its ends moved by the samples.
+_ZIGZAG = "zz as (select y, case when y % 2 = 0 then 3 + a::int % 20 else 2 end as xl, case when y % 2 = 0 then 61 - b::int % 20 else 63 end as xr from (select y, max(v) filter (x = 0) as a, max(v) filter (x = 1) as b from ra where ch_idx = 0 group by y))"
+
+
+@query(
+    "X3 X5 J8",
+    f"{_RA}, {_ZIGZAG}, ve as (select row_number() over (order by side, case when side = 0 then y else -y end) - 1 as i, x, y from (select 0 as side, y, xl as x from zz union all select 1, y, xr from zz)), "
+    "pe as (select a.x as ax, a.y as ay, b.x as bx, b.y as byy from ve a join ve b on b.i = (a.i + 1) % (select count(*) from ve)), pt as (select y, x from ra where ch_idx = 0), "
+    "near as (select pt.y, pt.x, ax, ay, bx, byy from pt join pe on pt.y between least(ay, byy) and greatest(ay, byy)), "
+    "fr as (select y, x, count(*) filter ((ay > y) <> (byy > y) and x < (bx - ax) * (y - ay) / nullif(byy - ay, 0)::double + ax) % 2 = 1 or bool_or((bx - ax) * (y - ay) - (byy - ay) * (x - ax) = 0 and x between least(ax, bx) and greatest(ax, bx)) as inside from near group by y, x) "
+    "select 'zigzag' as roi_name, y, x from fr where inside",
+)
+def roi_long_outline(spark: SparkSession, d: str) -> DataFrame:
+    pixels = raster(spark, d).where("ch_idx = 0")
+    ends = pixels.where("x < 2").groupBy("y").agg(F.max(F.when(F.col("x") == 0, F.col("v"))).cast("int").alias("a"), F.max(F.when(F.col("x") == 1, F.col("v"))).cast("int").alias("b"))
+    left, right = "if(y % 2 = 0, 3 + a % 20, 2)", "if(y % 2 = 0, 61 - b % 20, 63)"
+    sides = ends.selectExpr("0 as side", "y as nth", f"cast({left} as double) as x", "cast(y as double) as y").unionByName(ends.selectExpr("1 as side", "-y as nth", f"cast({right} as double) as x", "cast(y as double) as y"))
+    outline = sides.agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "nth", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))  # one outline is one value, as it is drawn
+    zero = [F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return rg.members(pixels.select("y", "x"), outline.select(F.lit("zigzag").alias("name"), F.lit("freehand").alias("roi_type"), *zero, "points"), height(spark, d), W)
+
+
 @query("A21 H4p", f"with {SQL_ROIS} select greatest(trunc(min(y1) * 4), 0)::int as y1, least(trunc(max(y2) * 4), 300)::int as y2, greatest(trunc(min(x1) * 4), 0)::int as x1, least(trunc(max(x2) * 4), 500)::int as x2 from ro")
 def roi_union_bbox(spark: SparkSession, d: str) -> DataFrame:
     return rg.union_box(rois(spark), 4, 300, 500)
@@ -315,6 +337,16 @@ def radius_query(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sp.within(centroids(spark, d), 1.0, -2.0, 10.0))
 
 
+@query("J11 X6 X7", f"with {SQL_CENTROIDS} select cell_id, round(sqrt(power(y - 1, 2) + power(x + 2, 2)), 4) as dist from cn where sqrt(power(y - 1, 2) + power(x + 2, 2)) <= 10")
+def curve_radius(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sp.CurveIndex.write(centroids(spark, d), new_path(spark, "curve"), 16).within(1.0, -2.0, 10.0))
+
+
+@query("J10 T1 X6", f"with {SQL_CENTROIDS} select cell_id, round(sqrt(power(y - 1, 2) + power(x + 2, 2)), 4) as dist from cn order by sqrt(power(y - 1, 2) + power(x + 2, 2)), cell_id limit 12")
+def curve_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sp.CurveIndex.write(centroids(spark, d), new_path(spark, "curve"), 16).nearest(1.0, -2.0, 12))
+
+
 _LB = f"{_RA}, lb as (select y, x, cell_id from ra where ch_idx = 0)"
 _BESIDE = ", ".join(f"{f}(cell_id) over (partition by {a} order by {b}) as {f}_{b}" for a, b in (("y", "x"), ("x", "y")) for f in ("lag", "lead"))
 _EDGE = f"nb as (select *, {_BESIDE} from lb), ed as (select y, x, cell_id from nb where cell_id > 0 and (lag_x <> cell_id or lead_x <> cell_id or lag_y <> cell_id or lead_y <> cell_id))"
@@ -334,6 +366,11 @@ def boundary_overlay(spark: SparkSession, d: str) -> DataFrame:
     return ov.outline(_labels(spark, d).selectExpr("y", "x", "7 as r", "7 as g", "7 as b"), _labels(spark, d), (255, 0, 40), 2, height(spark, d), W)
 
 
+@query("O2 R15", f"{_LB}, {_EDGE} select lb.y, lb.x, min(abs(lb.y - ed.y) + abs(lb.x - ed.x))::int as d from lb join ed on abs(lb.y - ed.y) + abs(lb.x - ed.x) <= 9 group by lb.y, lb.x")
+def edge_distance(spark: SparkSession, d: str) -> DataFrame:
+    return lb.distances(lb.boundary(_labels(spark, d)), height(spark, d), W, 9, tile=32)
+
+
 @query("U4 R15", f"{_LB}, {_EDGE}, sh as (select y, x + 1 as x from ed) select y, x from ed where (y, x) not in (select (y, x) from sh) union all select y, x from sh where (y, x) not in (select (y, x) from ed)")
 def mask_xor(spark: SparkSession, d: str) -> DataFrame:
     edge = lb.boundary(_labels(spark, d)).select("y", "x")
