@@ -121,9 +121,8 @@ def first_writer(tiles: DataFrame) -> DataFrame:
 Segmenter = Callable[[np.ndarray, "np.ndarray | None"], np.ndarray]
 
 
-def threshold_segmenter(nuclear: np.ndarray, membrane: np.ndarray | None = None) -> np.ndarray:
-    """A plain segmenter: four-connected components of what is over the mean, numbered in reading order."""
-    on = nuclear > nuclear.mean()
+def components_of(on: np.ndarray) -> np.ndarray:
+    """Four-connected components of a plane, numbered in reading order of their first pixels."""
     h, w = on.shape
     labels = np.where(on, np.arange(1, h * w + 1).reshape(h, w), 0)
     while True:  # each pixel takes the least label around it, then follows it
@@ -141,6 +140,11 @@ def threshold_segmenter(nuclear: np.ndarray, membrane: np.ndarray | None = None)
     return np.where(on, np.searchsorted(ids, labels) + 1, 0).astype(np.int32)
 
 
+def threshold_segmenter(nuclear: np.ndarray, membrane: np.ndarray | None = None) -> np.ndarray:
+    """A plain segmenter: four-connected components of what is over the mean, numbered in reading order."""
+    return components_of(nuclear > nuclear.mean())
+
+
 def segment_tiles(pixels: DataFrame, h: int, w: int, segmenter: Segmenter = threshold_segmenter, size: int = TILE_SIZE, overlap: int = TILE_OVERLAP, single_max: int = SINGLE_MAX, sliver: int = SLIVER, stitch: float | None = None) -> DataFrame:
     """(y, x, cell_id) of a raster (y, x, v, and m where there is a membrane channel) cut into overlapping tiles, each
     segmented by a Python callable.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import clip, colourised, window_level
 from ..functions.palettes import GROUP_COLOURS
+from ..operators import basins as bs
 from ..operators import labels as lb
 from ..operators import overlay as ov
 from ..operators import raster as rs
@@ -371,6 +372,30 @@ def edge_distance(spark: SparkSession, d: str) -> DataFrame:
     return lb.distances(lb.boundary(_labels(spark, d)), height(spark, d), W, 9, tile=32)
 
 
+@query(
+    "G3 G7",
+    f"with recursive {sql_raster()}, on_ as (select y, x, y::bigint * {W} + x as id from ra where ch_idx = 0 and v >= 150), st(dy, dx) as (values (0, 1), (0, -1), (1, 0), (-1, 0)), "
+    "nx as (select a.id, b.id as other from on_ a cross join st join on_ b on b.y = a.y + dy and b.x = a.x + dx), "
+    "rc as (select id, id as root from on_ union select nx.other, rc.root from rc join nx on nx.id = rc.id where rc.root < nx.other) "
+    "select y, x, min(root) as cell_id from on_ join rc using (id) group by y, x",
+)
+def mask_objects(spark: SparkSession, d: str) -> DataFrame:
+    return bs.mask_components(raster(spark, d).where("ch_idx = 0 and v >= 150").select("y", "x"), W, tile=16)
+
+
+@query(
+    "G1 G2",
+    f"with recursive {sql_raster()}, im as (select y, x, y::bigint * {W} + x as id, v > 40 as held from ra where ch_idx = 0), "
+    "dd as (select a.y, a.x, a.id, coalesce(min(abs(a.y - b.y) + abs(a.x - b.x)), 7)::int as ht from (select * from im where held) a left join (select * from im where not held) b on b.y between a.y - 6 and a.y + 6 and b.x between a.x - 6 and a.x + 6 and abs(a.y - b.y) + abs(a.x - b.x) <= 6 group by a.y, a.x, a.id), "
+    "st(dy, dx) as (select y.i, x.i from (values (-1), (0), (1)) y(i), (values (-1), (0), (1)) x(i)), "
+    "nx as (select a.id, arg_max(b.id, b.ht * 1000000000000 - b.id) as other from dd a cross join st join dd b on b.y = a.y + dy and b.x = a.x + dx group by a.id), "
+    "ch as (select id, id as at_ from dd union select ch.id, nx.other from ch join nx on nx.id = ch.at_) "
+    "select y, x, nx.id as cell_id from dd join ch using (id) join nx on nx.id = ch.at_ and nx.other = nx.id",
+)
+def watershed_objects(spark: SparkSession, d: str) -> DataFrame:
+    return bs.watershed(raster(spark, d).where("ch_idx = 0").select("y", "x", "v"), height(spark, d), W, 40.0, sigma=0, most=6, tile=16)
+
+
 @query("U4 R15", f"{_LB}, {_EDGE}, sh as (select y, x + 1 as x from ed) select y, x from ed where (y, x) not in (select (y, x) from sh) union all select y, x from sh where (y, x) not in (select (y, x) from ed)")
 def mask_xor(spark: SparkSession, d: str) -> DataFrame:
     edge = lb.boundary(_labels(spark, d)).select("y", "x")
