@@ -120,6 +120,8 @@ class TableWriter:
         else:
             while shared < min(len(key), len(self._last)) and key[shared] == self._last[shared]:
                 shared += 1
+        if self._width == 2 and len(ids) and int(ids.max()) > 0xFFFF:
+            raise ValueError(f"id {int(ids.max())} does not fit in two bytes: write the table with width 4")
         value = ids.astype("<u2" if self._width == 2 else "<u4").tobytes()
         entry = b"".join((_varint(shared), _varint(len(key) - shared), _varint(len(value)), key[shared:], value))
         self._block.append(entry)
