@@ -334,7 +334,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = rows.join(pieces, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("doc_id", "th", F.encode("text", "UTF-8").alias("raw"), "segments").mapInArrow(_cut_batches, _PIECE)
     found, _ = materialise(found, "contested")
     more = _repeated(found)
-    spans = known.unionByName(more).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")).withColumnsRenamed({"doc_id": "s_id", "th": "s_th"})
+    # repeated rows have equal spans, which are one: the list is bounded by the text, not by its copies
+    spans = known.unionByName(more).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")).withColumnsRenamed({"doc_id": "s_id", "th": "s_th"})
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_trim_batches, TRIMMED)
 
