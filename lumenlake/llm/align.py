@@ -27,6 +27,7 @@ import re
 from array import array
 from collections.abc import Iterator, Sequence
 from hashlib import sha256
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,8 @@ _SHIFT = 32
 
 _WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
-Groups = list[tuple[list[int], list[int]]]
+#: Links, the ids of both sides in one number, and for each group the tokens of both sides up to its end.
+Alignment = tuple[list[int], list[tuple[int, int]]]
 
 
 class SuffixTransducer:
@@ -61,7 +63,8 @@ class SuffixTransducer:
     def _forget(self) -> None:
         self._states: dict[tuple[int, bytes], int] = {}
         self._of: list[tuple[int, bytes]] = [(0, b"")]  # number 0: nothing dangles
-        self._steps: dict[int, int] = {}
+        self._steps: dict[int, int | None] = {}
+        self._opened: dict[int, int | None] = {}
 
     def _state(self, side: int, residual: bytes) -> int:
         """The number of a state: positive where the first side leads, negative where the second does."""
@@ -83,60 +86,47 @@ class SuffixTransducer:
             return self._state(side, rest) if rest else 0
         return self._state(1 - side, read[len(residual) :]) if read.startswith(residual) else None
 
-    def run(self, a: Sequence[int], b: Sequence[int]) -> Groups | None:
-        """The groups of the two sequences; None if their bytes differ."""
+    def run(self, a: Sequence[int], b: Sequence[int]) -> Alignment | None:
+        """The links of two sequences and where their groups end; None if their bytes differ."""
         if len(self._steps) > self._max:
             self._forget()
-        steps, groups = self._steps, []
+        steps, opened, links, ends = self._steps, self._opened, [], []
         i = j = 0
         try:
             while i < len(a):
-                x = a[i]
+                lead = a[i]
                 i += 1
-                some, others = [x], []
-                state = self._state(0, self._bytes[0][x]) if self._bytes[0][x] else None
+                state = opened.get(lead)
+                if state is None:
+                    state = opened[lead] = self._state(0, self._bytes[0][lead]) if self._bytes[0][lead] else None
                 while state:
-                    if state > 0:
-                        y = b[j]
+                    if state > 0:  # the first side leads, the second is read
+                        x = b[j]
                         j += 1
-                        others.append(y)
+                        links.append((lead << _SHIFT) + x)
+                        key = (state << _SHIFT) + x
+                        now = steps.get(key)
+                        if now is None:
+                            now = steps[key] = self._step(state, x)
+                        if now and now < 0:
+                            lead = x
                     else:
-                        y = a[i]
+                        x = a[i]
                         i += 1
-                        some.append(y)
-                    key = (state << _SHIFT) + y
-                    state = steps.get(key)
-                    if state is None:
-                        state = self._step(key >> _SHIFT, y)
-                        steps[key] = state
+                        links.append((x << _SHIFT) + lead)
+                        key = (state << _SHIFT) + x
+                        now = steps.get(key)
+                        if now is None:
+                            now = steps[key] = self._step(state, x)
+                        if now and now > 0:
+                            lead = x
+                    state = now
                 if state is None:
                     return None
-                groups.append((some, others))
+                ends.append((i, j))
         except IndexError:  # one side ends while the other dangles
             return None
-        return groups if j == len(b) else None
-
-
-def links_of(some: Sequence[int], others: Sequence[int], first: Sequence[bytes], second: Sequence[bytes]) -> list[int]:
-    """The links of a group, ids of both sides in one number: each token overlaps the one that leads when it is read."""
-    if len(some) == 1:
-        return [(some[0] << _SHIFT) + y for y in others]
-    if len(others) == 1:
-        return [(x << _SHIFT) + others[0] for x in some]
-    out, i, j = [], 0, 0
-    x_left, y_left = len(first[some[0]]), len(second[others[0]])
-    while True:
-        out.append((some[i] << _SHIFT) + others[j])
-        k = min(x_left, y_left)
-        x_left, y_left = x_left - k, y_left - k
-        if not x_left:
-            i += 1
-            if i == len(some):
-                return out
-            x_left = len(first[some[i]])
-        if not y_left:
-            j += 1
-            y_left = len(second[others[j]])
+        return (links, ends) if j == len(b) else None
 
 
 class WordAligner:
@@ -165,42 +155,46 @@ class WordAligner:
         self._young: dict[str, tuple[str, bytes, int] | None] = {}
         self._old: dict[str, tuple[str, bytes, int] | None] = {}
 
-    def _groups(self, text: str) -> Groups | None:
-        """The groups of a text that begins with white space, which is taken for the space before a text."""
-        a = self._a.encode(text, add_special_tokens=False).ids
+    def _entries(self, text: str, sizes: list[int]) -> list[tuple[str, bytes, int]] | None:
+        """The entries of a text's words, given their sizes in bytes. The text begins with white space, as the space before a text."""
+        a = self._a.encode_batch_fast([text], add_special_tokens=False)[0].ids
         b = self._b.encode("\n" + text)[self._ahead :]  # no piece holds a newline, so what follows one is cut as if it came first
-        if b"".join(map(self._first.__getitem__, a)) != text.encode():
+        if b"".join(map(self._first.__getitem__, a)) != text.encode() or (found := self._transducer.run(a, b)) is None:
             return None
-        return self._transducer.run(a, b)
-
-    def _entry(self, groups: Groups) -> tuple[str, bytes, int]:
-        sa, sb = self._names
-        written = ";".join([f"{','.join([sa[x] for x in some])}|{','.join([sb[y] for y in others])}" for some, others in groups])
-        links = array("q")
-        for some, others in groups:
-            links.extend(links_of(some, others, self._first, self._second))
-        return written, links.tobytes(), sum(len(some) for some, _ in groups)
+        links, ends = found
+        (sa, sb), written, i, j = self._names, [], 0, 0
+        for k, m in ends:
+            if k - i == 1 == m - j:
+                written.append(f"{sa[a[i]]}|{sb[b[j]]}")
+            else:
+                written.append(f"{','.join([sa[x] for x in a[i:k]])}|{','.join([sb[y] for y in b[j:m]])}")
+            i, j = k, m
+        if len(sizes) == 1:
+            return [(";".join(written), array("q", links).tobytes(), len(a))]
+        at = np.array([(0, 0), *ends])
+        to = np.cumsum(np.fromiter(map(len, map(self._first.__getitem__, a)), np.int64, len(a)))[at[1:, 0] - 1]
+        cuts = np.searchsorted(to, np.cumsum(sizes))
+        if not np.array_equal(to[cuts], np.cumsum(sizes)):
+            raise ValueError("a group spans two words")
+        groups = np.concatenate([[0], cuts + 1])
+        raw, n_a = array("q", links).tobytes(), at[groups, 0].tolist()
+        upto = (8 * (at[groups].sum(1) - groups)).tolist()  # a group has as many links as tokens, but one
+        groups = groups.tolist()
+        return [(";".join(written[g:h]), raw[u:v], n - m) for g, h, u, v, m, n in zip(groups, groups[1:], upto, upto[1:], n_a, n_a[1:])]
 
     def _learn(self, words: list[str]) -> None:
         young, old = self._young, self._old
-        unknown = [w for w in dict.fromkeys(words) if w not in young]
-        young.update((w, old[w]) for w in unknown if w in old)
-        unknown = [w for w in unknown if w not in young]
+        unknown = list(filterfalse(young.__contains__, dict.fromkeys(words)))
+        if old:
+            young.update((w, old[w]) for w in unknown if w in old)
+            unknown = list(filterfalse(young.__contains__, unknown))
         row = [w for w in unknown if w[-1] not in " \n"]
-        if len(row) > 1 and (groups := self._groups("".join(row))) is not None:  # cut where the words end
-            size, ends, at, mine = 0, np.cumsum([len(w.encode()) for w in row]).tolist(), 0, []
-            for g in groups:
-                mine.append(g)
-                size += sum(len(self._first[x]) for x in g[0])
-                if size == ends[at]:
-                    young[row[at]] = self._entry(mine)
-                    mine, at = [], at + 1
-            if at < len(row):
-                raise ValueError("a group spans two words")
+        if len(row) > 1 and (entries := self._entries("".join(row), list(map(len, map(str.encode, row))))):
+            young.update(zip(row, entries))
+            unknown = list(filterfalse(young.__contains__, unknown))
         for w in unknown:
-            if w not in young:
-                groups = self._groups(w)
-                young[w] = None if groups is None else self._entry(groups)
+            entries = self._entries(w, [len(w.encode())])
+            young[w] = entries[0] if entries else None
 
     def align(self, text: str | None) -> tuple[str, bytes, int] | None:
         """(groups as text, links as bytes of 64-bit numbers, tokens of the first side); None for texts without tokens."""
@@ -208,8 +202,8 @@ class WordAligner:
             return None
         text = f" {text}"
         if any(c in text for c in _OTHER_SPACE):
-            groups = self._groups(text)
-            return None if groups is None else self._entry(groups)
+            entries = self._entries(text, [len(text.encode())])
+            return entries[0] if entries else None
         words = _WORDS.findall(text)
         try:
             found = [self._young[w] for w in words]

@@ -268,10 +268,11 @@ def test_aligner_against_byte_offsets():
 def test_transducer_alone():
     first, second = [b"ab", b"c", b"abc", b"d", b""], [b"a", b"bcd", b"abcd", b"x", b"bc"]
     t = align.SuffixTransducer(first, second, max_steps=1)
+    link = lambda *pairs: [(x << 32) + y for x, y in pairs]
     for _ in range(2):  # from memory too
-        assert t.run([0, 1, 3], [0, 1]) == [([0, 1, 3], [0, 1])] and t.run([2, 3, 0], [2, 0]) is None
-        assert t.run([2], [0, 4]) == [([2], [0, 4])] and t.run([0], [3]) is None and t.run([0], [0]) is None and t.run([3], []) is None and t.run([], [0]) is None and t.run([], []) == [] and t.run([4], [0]) is None
-    assert align.links_of([0, 1, 3], [0, 1], first, second) == [(0 << 32) + 0, (0 << 32) + 1, (1 << 32) + 1, (3 << 32) + 1]
+        assert t.run([0, 1, 3], [0, 1]) == (link((0, 0), (0, 1), (1, 1), (3, 1)), [(3, 2)]) and t.run([2, 3, 0], [2, 0]) is None
+        assert t.run([2, 3, 3], [0, 1, 3]) is None and t.run([2, 3], [0, 1]) == (link((2, 0), (2, 1), (3, 1)), [(2, 2)]) and t.run([2], [0, 4]) == (link((2, 0), (2, 4)), [(1, 2)])
+        assert t.run([0], [3]) is None and t.run([0], [0]) is None and t.run([3], []) is None and t.run([], [0]) is None and t.run([], []) == ([], []) and t.run([4], [0]) is None
 
 
 @pytest.mark.parametrize("hot", [1, 1 << 18])
