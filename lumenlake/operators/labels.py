@@ -18,21 +18,36 @@ TILE_SIZE, TILE_OVERLAP, SINGLE_MAX, SLIVER = 1024, 128, 2048, 64
 TILE_IDS = 1 << 32
 
 
-def boundary(labels: DataFrame) -> DataFrame:
-    """(y, x, cell_id) of inner boundary pixels: of a cell, beside a pixel of another label (four neighbours).
+#: Side of the tiles in which neighbouring pixels are compared.
+EDGE_TILE = 512
 
-    The neighbours come by two windows, along rows and along columns, each bounded by the image's side, with image_id in
-    the partition where there are several images.
+
+def boundary(labels: DataFrame, tile: int = EDGE_TILE) -> DataFrame:
+    """Rows of inner boundary pixels: of a cell, beside a pixel of another label (four neighbours); absent pixels are none.
+
+    A pixel goes to its tile, and one at a tile's side to the next tile too, with image_id where there are several images;
+    a tile's pixels are compared in arrays, without a sort.
     """
     image = ["image_id"] if "image_id" in labels.columns else []
-    along_x, along_y = Window.partitionBy(*image, "y").orderBy("x"), Window.partitionBy(*image, "x").orderBy("y")
-    c = F.col("cell_id")
-    differs = F.lit(False)
-    for w, axis in ((along_x, "x"), (along_y, "y")):
-        for step in (F.lag, F.lead):
-            beside = F.abs(step(axis).over(w) - F.col(axis)) == 1
-            differs = differs | F.coalesce(beside & (step("cell_id").over(w) != c), F.lit(False))
-    return labels.withColumn("__b", differs).where(F.col("__b") & (c > 0)).drop("__b")
+
+    def edges(table: pa.Table) -> pa.Table:
+        ty, tx = table.column("__ty")[0].as_py(), table.column("__tx")[0].as_py()
+        y, x = (table.column(c).to_numpy().astype(np.int64) - k * tile + 1 for c, k in (("y", ty), ("x", tx)))
+        c = table.column("cell_id").fill_null(-1).to_numpy()
+        plane, there = np.zeros((tile + 2, tile + 2), c.dtype), np.zeros((tile + 2, tile + 2), bool)
+        plane[y, x], there[y, x] = c, table.column("cell_id").is_valid().to_numpy()
+        on = np.zeros(len(y), bool)
+        own = (y >= 1) & (y <= tile) & (x >= 1) & (x <= tile) & there[y, x] & (c > 0)
+        for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)):
+            b, a = y[own] + dy, x[own] + dx
+            on[own] |= there[b, a] & (plane[b, a] != c[own])
+        return table.filter(pa.array(on)).drop_columns(["__ty", "__tx"])
+
+    def numbers(axis: str) -> Column:
+        return F.sequence(F.floor((F.col(axis) - 1) / tile).cast("int"), F.floor((F.col(axis) + 1) / tile).cast("int"))
+
+    dealt = labels.withColumn("__ty", F.explode(numbers("y"))).withColumn("__tx", F.explode(numbers("x")))
+    return dealt.groupBy(*image, "__ty", "__tx").applyInArrow(edges, labels.schema)
 
 
 def distances(pixels: DataFrame, h: int, w: int, most: int, tile: int = 512) -> DataFrame:

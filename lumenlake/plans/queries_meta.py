@@ -242,6 +242,29 @@ def version_restore(spark: SparkSession, d: str) -> DataFrame:
     return ss.restore_version(spark, at, "20240102_1")
 
 
+_EDIT = "case when l_orderkey = 1 and l_linenumber = 1 then l_quantity + 1 else l_quantity end"
+
+
+def _line_log(spark: SparkSession, d: str) -> ss.VersionLog:
+    """lineitem as it is, with one row edited, and back again."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    log = ss.VersionLog(spark, work_dir(spark, "log"), ["l_orderkey", "l_linenumber"], 64)
+    log.commit(rows, "a")
+    log.commit(rows.withColumn("l_quantity", F.expr(_EDIT)), "b")
+    log.commit(rows, "c")
+    return log
+
+
+@query("K11 S16", f"select l_orderkey, l_linenumber, {_EDIT} as l_quantity from lineitem")
+def version_log_restore(spark: SparkSession, d: str) -> DataFrame:
+    return _line_log(spark, d).restore("b")
+
+
+@query("K11 S16", f"select '-' as change, l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey = 1 and l_linenumber = 1 union all select '+', l_orderkey, l_linenumber, {_EDIT} from lineitem where l_orderkey = 1 and l_linenumber = 1")
+def version_log_changes(spark: SparkSession, d: str) -> DataFrame:
+    return _line_log(spark, d).changes("c", "b")
+
+
 @query("K10 S13 M6 D12", "select c_custkey, c_name from customer")
 def session_round_trip(spark: SparkSession, d: str) -> DataFrame:
     at = work_dir(spark, "session")
