@@ -27,23 +27,28 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
 BINS, FINISH = 4096, 200_000
 
 
-def quantiles(rows: DataFrame, by: Sequence[str], probs: Sequence[float], value: str = "v") -> DataFrame:
+def value_counts(rows: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
+    """(by, v, k): each group's values with their numbers of times, written: samples repeat, and what makes them may be costly."""
+    return written(rows.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k")), "values")
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], probs: Sequence[float], value: str = "v", counted: bool = False) -> DataFrame:
     """(by, q): exact quantiles of each group's values, an array in the order of probs, by linear interpolation.
 
-    Nulls and NaN are left out; a group without values has no row. The values are written once, as what makes them may be
-    costly. Groups of at most FINISH values are aggregated as they are. Of the others a pass counts each group's values in
-    BINS bins, with each bin's least and greatest, and every rank that is asked for moves into the bin that holds it; this
-    goes on until no such bin holds more than FINISH values that differ, and those alone are sorted. So a group of any size
-    is counted map-side in every pass, and no task holds more than FINISH values of a group.
+    Nulls and NaN are left out; a group without values has no row. Values are counted and written once (counted: rows are
+    from value_counts already). Groups of at most FINISH different values are aggregated as they are. Of the others a pass
+    counts each group's values in BINS bins, with each bin's least and greatest, and every rank that is asked for moves into
+    the bin that holds it; this goes on until no such bin holds more than FINISH values that differ, and those alone are
+    sorted. So a group of any size is counted map-side in every pass, and no task holds more than FINISH values of a group.
     """
     keys = list(by)
-    rows = written(rows.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)"), "values")
-    spans = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    plain = lambda r: r.groupBy(*keys).agg(F.percentile("v", F.array(*(F.lit(float(p)) for p in probs))).alias("q"))
+    rows = (rows if counted else value_counts(rows, keys, value)).where("v is not null and not isnan(v)")
+    spans = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("k").alias("n"), F.count("*").alias("different"))
+    plain = lambda r: r.groupBy(*keys).agg(F.percentile("v", F.array(*(F.lit(float(p)) for p in probs)), F.col("k")).alias("q"))
     if rows.count() <= FINISH:
         return plain(rows).where("q is not null")
     spans = written(spans, "spans")
-    large = spans.where(F.col("n") > FINISH)
+    large = spans.where(F.col("different") > FINISH)
     if keys and large.isEmpty():
         return plain(rows)
     if keys:
@@ -54,7 +59,7 @@ def quantiles(rows: DataFrame, by: Sequence[str], probs: Sequence[float], value:
 def _of_large(rows: DataFrame, spans: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
     at = lambda p: F.lit(float(p)) * (F.col("n") - 1)
     ranks = F.array(*(f(at(p)).cast("long") for p in probs for f in (F.floor, F.ceil)))
-    wanted = spans.select(*keys, F.explode(F.array_distinct(ranks)).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("size"))
+    wanted = spans.select(*keys, F.explode(F.array_distinct(ranks)).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("different").alias("size"))
     same = [*keys, "lo", "hi"]
 
     def inside(targets: DataFrame) -> DataFrame:
@@ -65,13 +70,13 @@ def _of_large(rows: DataFrame, spans: DataFrame, keys: list[str], probs: Sequenc
         open_ = wanted.where("lo < hi")
         share = F.nanvl((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.5))  # ends may be infinite
         bin_ = F.when(F.col("v") <= F.col("lo"), 0).when(F.col("v") >= F.col("hi"), BINS - 1).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1))).cast("int").alias("bin")
-        counts = inside(open_).groupBy(*same, bin_).agg(F.count("*").alias("k"), F.min("v").alias("low"), F.max("v").alias("high"))
+        counts = inside(open_).groupBy(*same, bin_).agg(F.sum("k").alias("k"), F.count("*").alias("held"), F.min("v").alias("low"), F.max("v").alias("high"))
         upto = counts.withColumn("upto", F.sum("k").over(Window.partitionBy(*same).orderBy("bin")))
         moved = open_.join(upto, same).where((F.col("rank") - F.col("below") < F.col("upto")) & (F.col("rank") - F.col("below") >= F.col("upto") - F.col("k")))
-        moved = moved.select(*keys, "rank", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("below") + F.col("upto") - F.col("k")).alias("below"), F.col("k").alias("size"))
+        moved = moved.select(*keys, "rank", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("below") + F.col("upto") - F.col("k")).alias("below"), F.col("held").alias("size"))
         last, wanted = wanted, written(moved.unionByName(wanted.where("lo = hi")), "ranks")
         discard(last)
-    counts = inside(wanted.where("lo < hi")).groupBy(*same, "v").agg(F.count("*").alias("k"))
+    counts = inside(wanted.where("lo < hi")).groupBy(*same, "v").agg(F.sum("k").alias("k"))
     upto = counts.withColumn("upto", F.sum("k").over(Window.partitionBy(*same).orderBy("v")))
     last = wanted.where("lo < hi").join(upto, same).where((F.col("rank") - F.col("below") < F.col("upto")) & (F.col("rank") - F.col("below") >= F.col("upto") - F.col("k")))
     found = last.select(*keys, "rank", "v").unionByName(wanted.where("lo = hi").select(*keys, "rank", F.col("lo").alias("v")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import window_level
 from ..sources.scratch import checked_small, written
-from .ranking import quantiles
+from .ranking import quantiles, value_counts
 
 SIGNAL = 0.01
 #: Rows of display settings, one a channel, that are sent to all tasks, at most; about 100 bytes each.
@@ -46,13 +46,21 @@ def intensity_ratios(pixels: DataFrame, params: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(base), F.col("ch_idx") != F.col("ref_idx")).select("ch_idx", (F.col("m") / F.col("r")).alias("ratio"), (F.col("sem") / F.col("r")).alias("sem"), (F.col("sd") / F.col("r")).alias("std"))
 
 
+def _counted_stats(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, mean, std, min, max, total, n) of values with numbers of times; the deviation is taken from the mean itself."""
+    v, k = F.col("v"), F.col("k")
+    found = counts.groupBy(*by).agg(F.sum(v * k).alias("total"), F.sum(k).alias("n"), F.min(v).alias("min"), F.max(v).alias("max")).withColumn("mean", F.col("total") / F.col("n"))
+    means = found.select(*by, F.col("mean").alias("m"))
+    off = counts.join(means, list(by)).groupBy(*by).agg((F.sum(k * F.pow(v - F.col("m"), F.lit(2))) / F.sum(k)).alias("var"))
+    return found.join(off, list(by), "left").withColumn("std", F.sqrt("var")).drop("var")
+
+
 def raw_stats(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Statistics of the values over 0, of all channels; a group without any has zeros."""
-    v, some = F.col("v"), F.when(F.col("v") > 0, F.col("v"))
-    found = pixels.groupBy(*by).agg(
-        F.avg(some).alias("mean"), F.stddev_pop(some).alias("std"), F.min(some).alias("min"), F.max(some).alias("max"), F.sum(some).alias("total"), F.count("*").alias("n_total"), F.count_if(v > 0).alias("n_nonzero"),
-    )
-    found = found.join(quantiles(pixels.where(v > 0), by, (0.5, 0.05, 0.25, 0.75, 0.95)), list(by), "left")
+    """Statistics of the values over 0, of all channels; a group without any has zeros. Samples are counted by value first, in one pass."""
+    counts = value_counts(pixels, by)
+    some = counts.where("v > 0")
+    sizes = counts.groupBy(*by).agg(F.sum("k").alias("n_total"), F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("k"))), F.lit(0)).cast("long").alias("n_nonzero"))
+    found = sizes.join(_counted_stats(some, by).drop("n"), list(by), "left").join(quantiles(some, by, (0.5, 0.05, 0.25, 0.75, 0.95), counted=True), list(by), "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     sem = F.col("std") / F.sqrt(F.nullif("n_nonzero", F.lit(0)))
     return found.select(
@@ -79,11 +87,12 @@ def group_stats(pixels: DataFrame, groups: DataFrame) -> DataFrame:
     """Statistics of all pixels of each group's cells by channel; n_cells is the number of ids in the group, found or not."""
     different = written(groups.select("group_name", "cell_id").distinct(), "members")
     sizes = different.groupBy("group_name").agg(F.count("*").alias("n_cells"))
-    members = written(pixels.join(different, "cell_id").select("group_name", "ch_idx", F.col("v").cast("double").alias("v")), "member_pixels")
-    v = F.col("v")
-    middle = quantiles(members, ["group_name", "ch_idx"], (0.5,)).select("group_name", "ch_idx", F.get("q", 0).alias("median"))
-    found = members.groupBy("group_name", "ch_idx").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count("*").alias("n_pixels"))
-    return found.join(middle, ["group_name", "ch_idx"]).join(sizes, "group_name")
+    keys = ["group_name", "ch_idx"]
+    counts = value_counts(pixels.join(different, "cell_id"), keys)
+    middle = quantiles(counts, keys, (0.5,), counted=True).select(*keys, F.get("q", 0).alias("median"))
+    sized = counts.groupBy(*keys).agg(F.sum("k").alias("n_pixels"))
+    found = sized.join(_counted_stats(counts.where("v is not null"), keys).drop("n", "total"), keys, "left")
+    return found.join(middle, keys, "left").join(sizes, "group_name")
 
 
 def box_summary(values: DataFrame, by: Sequence[str], log2: bool = False) -> DataFrame:
