@@ -1,7 +1,7 @@
 """PII with offset-preserving deobfuscation.
 
 Plain identifiers are found in the source text itself. Then three transducers rewrite disguises, one after the other:
-homoglyphs and zero-width characters by a table, spelled digits by the runs they stand in, at and dot words by the
+homoglyphs and zero-width characters by tables, escapes of signs, spelled digits by the runs they stand in, at and dot words by the
 address around them. Each keeps a map of positions, piece by piece, and the maps are composed. The same detectors run on
 the last text; a span found there counts if it holds something rewritten, and is mapped back to the characters of the
 source. All of it is per row: no shuffle, no state, memory bounded by one Arrow batch. No rule has an upper limit of
@@ -21,6 +21,7 @@ are not read; an empty table gives an empty table; a span is never longer than t
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
@@ -96,11 +97,14 @@ HOMOGLYPHS = {
 }
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()}
 _FOLD |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-width forms
-_FOLD |= {0x1D7CE + i: str(i % 10) for i in range(50)}  # mathematical digits
+# Letters and digits that Unicode says are another form of an ASCII one: mathematical, circled, superscript, full-width.
+_FOLD |= {c: n for c in range(0x100, 0x20000) if c not in _FOLD and len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii() and (n.isalnum() or n in "@.+-_%")}
 _FOLD |= {start + i: str(i) for start in (0x0660, 0x06F0, 0x0966) for i in range(10)}  # Arabic-Indic, Persian, Devanagari digits
 # Characters without width.
 _ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-_FOLDED = re.compile(f"(?P<none>[{_ZERO_WIDTH}]+)|[{''.join(re.escape(chr(c)) for c in _FOLD)}]+")
+# Fixed values: "@" and "." as character references and percent escapes.
+_ESCAPED = r"(?i:(?P<at>&#0*64;|&#x0*40;|&commat;|%40)|(?P<dot>&#0*46;|&#x0*2e;|&period;|%2e))"
+_FOLDED = re.compile(f"(?P<none>[{_ZERO_WIDTH}]+)|{_ESCAPED}|[{''.join(re.escape(chr(c)) for c in _FOLD)}]+")
 
 # Digits spelled in the four languages of the corpus.
 SPELLED = {
@@ -182,8 +186,9 @@ class Rewrite:
 
 
 def fold_edits(text: str) -> list[Edit]:
-    """Runs of homoglyphs become the letters they look like; characters without width go."""
-    return [(*m.span(), "", False) if m["none"] else (*m.span(), m[0].translate(_FOLD), True) for m in _FOLDED.finditer(text)]
+    """Runs of homoglyphs become the letters they look like, escapes the signs they stand for; characters without width go."""
+    plain = {"none": "", "at": "@", "dot": "."}
+    return [(*m.span(), plain[m.lastgroup], False) if m.lastgroup else (*m.span(), m[0].translate(_FOLD), True) for m in _FOLDED.finditer(text)]
 
 
 def _number(tokens: list[tuple[str, int, int, str]]) -> str | None:
@@ -339,7 +344,8 @@ def deobfuscated(text: str) -> list[Rewrite]:
         if hint and (made := edits(now)):
             chain.append(Rewrite(now, made))
 
-    step(not _latin(text) or "\u00ad" in text, fold_edits)  # no homoglyph is a Latin-1 character
+    escaped = any(x in text for x in ("&#", "%40", "%2", "&commat;", "&period;"))
+    step(escaped or not _latin(text) or "\u00ad" in text, fold_edits)  # no homoglyph is a Latin-1 character
     now = chain[-1].text if chain else text
     low = plain = lowered(now)
     for c in _MARKS:
