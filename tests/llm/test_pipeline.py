@@ -119,11 +119,14 @@ COLUMNS = {
     "op8_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9_probminhash": "doc_id class_id",
     "op10_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op11_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op12_blob_ledger": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op13_cross_tokenizer": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 
 def test_contract_columns(spark, data):
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(i) for i in range(1, 11)} and set(ORACLES) <= set(QUERIES)
+    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(i) for i in range(1, 14)} and set(ORACLES) <= set(QUERIES)
     for name, wanted in COLUMNS.items():
         assert set(wanted.split()) <= set(QUERIES[name](spark, data).columns)
 
