@@ -304,6 +304,45 @@ def test_marked_latin_is_told_from_plain():
     assert [fertility.script_of(t) for t in ("Tất cả mọi người đều được hưởng", "plain words in a row é", "ß", "")] == ["Latin with marks", "Latin", "Latin with marks", "Other"]
 
 
+def plain_script(text):
+    """The script of most letters, letter by letter."""
+    names = ["Cyrillic", "Greek", "CJK", "Latin", "Other"]
+    patterns = ["[Ѐ-ԯ]", "[Ͱ-Ͽἀ-῿]", "[⺀-ヿ㐀-鿿가-힣豈-﫿]", "[A-Za-zÀ-ɏḀ-ỿ]", r"[^\W\d_]"]
+    n = Counter(next((k for k, p in zip(names, patterns) if re.match(p, c)), None) for c in text)
+    most = max(names, key=lambda k: n[k])
+    if not n[most]:
+        return "Other"
+    return "Latin with marks" if most == "Latin" and len(re.findall("[À-ɏḀ-ỿ]", text)) >= 0.08 * n[most] else most
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=30), st.text(alphabet="aZé×ạжΩ漢か한्अב_1 \U00012000\ud800", max_size=12)))
+def test_scripts_are_those_of_most_letters(text):
+    assert fertility.script_of(text) == plain_script(text)
+
+
+def test_a_label_of_another_script_does_not_decide():
+    import public_tokenizers
+
+    measures = fertility.Fertility(tokens.default_path(), public_tokenizers.path("piece_bpe_32k.model"))
+    english = (
+        "The history of the river is long and its people have told many stories about how the water came down from the hills and made the fields green. "
+        "Farmers planted barley near the banks, and traders carried wool, salt and iron to the towns beyond the mountains, where markets opened each spring and closed when snow fell. In later years bridges were built."
+    )
+    russian = (
+        "Каждый человек имеет право на образование, и оно должно быть бесплатным хотя бы в начале пути. Город стоял на высоком берегу широкой реки, вдоль которой зимой тянулись обозы с солью, рыбой и железом. "
+        "Весной дети бегали смотреть, как ломается лёд, а старики вспоминали прежние годы, когда мостов ещё не строили и через воду ходил только паром. Летом приезжали купцы из дальних стран, торговали тканями и книгами."
+    )
+    for text, labels in ((english, (None, "en", "zh", "ru", "el", "xx")), (russian, (None, "ru", "en", "zh"))):
+        assert all(fertility.judge(text, g, measures)[6] for g in labels)
+    rng = random.Random(4)
+    for _ in range(20):
+        hexes = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(80))
+        base64 = " ".join("".join(rng.choice(MASH["Latin"]) for _ in range(60)) for _ in range(80))
+        for g in (None, "zh", "fr", "es", "ru", "en"):
+            assert not fertility.judge(hexes, g, measures)[6] and not fertility.judge(base64, g, measures)[6]
+
+
 def plain_verdict(text, lang):
     """(words, tokens, base_failed, kept, characters a token, byte share, entropy) word by word."""
     import public_tokenizers
@@ -324,9 +363,13 @@ def plain_verdict(text, lang):
     entropy = -sum(k / size * math.log2(k / size) for k in each.values()) if size else 0.0
     share = sum(k for i, k in each.items() if sp.is_byte(i)) / size if size else 0.0
     per_token = sum(len(w) * k for w, k in ws.items()) / n if n else 0.0
-    low, high, most_bytes, least, most = fertility.BANDS.get(lang or "") or fertility.BANDS[fertility.script_of(t)]
+    script = plain_script(t)
+    own = {"ru": "Cyrillic", "uk": "Cyrillic", "el": "Greek", "ja": "CJK", "zh": "CJK", "ko": "CJK"}.get(lang, "Latin")
+    fitting = script == own or script == "Latin with marks" and own == "Latin"
+    low, high, most_bytes, least, most = fertility.BANDS[lang if lang in fertility.BANDS and fitting else script]
     failed = m < 50 or 100 * base_of(t)[4] > 50 * m
     fits = low <= per_token <= high and (n < 64 or share <= most_bytes and least <= entropy <= most)
+    fits = fits and (n < 64 or script != "Latin" or per_token >= 1.7 or entropy >= 4.8)
     return m, n, failed, not failed and fits, per_token, share, entropy
 
 
