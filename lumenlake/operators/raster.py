@@ -230,18 +230,18 @@ def max_merge(labels: DataFrame) -> DataFrame:
     return labels.groupBy("y", "x").agg(F.max("cell_id").alias("cell_id"))
 
 
-def params_changed(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: whether any channel's window moved by more than 1, or its brightness or gamma by more than 0.05."""
-    on = a.alias("a").join(b.alias("b"), "ch_idx", "full")
+def params_changed(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each value of by (columns of both): whether any channel's window moved by more than 1, or its brightness or gamma by more than 0.05."""
+    on = a.alias("a").join(b.alias("b"), [*by, "ch_idx"], "full")
     far = lambda c, t: F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > t, F.lit(True))
-    return on.agg(F.coalesce(F.bool_or(far("min", 1) | far("max", 1) | far("brightness", 0.05) | far("gamma", 0.05)), F.lit(False)).alias("changed"))
+    return on.groupBy(*by).agg(F.coalesce(F.bool_or(far("min", 1) | far("max", 1) | far("brightness", 0.05) | far("gamma", 0.05)), F.lit(False)).alias("changed"))
 
 
-def params_hash(params: DataFrame) -> DataFrame:
-    """A hash of all display parameters, for caches; exact, without rounding: SHA-256 of a line for each channel."""
+def params_hash(params: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A hash of all display parameters, or of those of each value of by, for caches; exact, without rounding: SHA-256 of a line for each channel."""
     line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("ch_idx", "visible", "min", "max", "brightness", "gamma")))
     lines = F.array_sort(F.collect_list(F.struct("ch_idx", line.alias("line"))))
-    return params.agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("params_hash"))
+    return params.groupBy(*by).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("params_hash"))
 
 
 def source_pixel(px: Column, py: Column, ds: int, full_h: int, full_w: int) -> Column:

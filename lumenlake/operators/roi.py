@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,11 +136,11 @@ def members_or_box(pixels: DataFrame, rois: DataFrame, h: int, w: int, scale: fl
     return met.join(held, "roi_name").where(F.when(F.col("__some"), F.col("__in_shape")).otherwise(F.col("__in_box"))).select("roi_name", *pixels.columns)
 
 
-def union_box(rois: DataFrame, ds: int, h: int, w: int) -> DataFrame:
-    """One row: the box around all regions at full resolution, held to the frame."""
+def union_box(rois: DataFrame, ds: int, h: int, w: int, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each value of by: the box around all regions at full resolution, held to the frame."""
     low = lambda c: F.greatest((F.min(c) * ds).cast("int"), F.lit(0))
     high = lambda c, n: F.least((F.max(c) * ds).cast("int"), F.lit(n))
-    return rois.agg(low("y1").alias("y1"), high("y2", h).alias("y2"), low("x1").alias("x1"), high("x2", w).alias("x2"))
+    return rois.groupBy(*by).agg(low("y1").alias("y1"), high("y2", h).alias("y2"), low("x1").alias("x1"), high("x2", w).alias("x2"))
 
 
 def points_box(points: Column) -> Column:
@@ -157,13 +159,17 @@ def large_enough(zoom: float, least: float = 3.0) -> Column:
     return (F.abs(F.col("x2") - F.col("x1")) * zoom > least) & (F.abs(F.col("y2") - F.col("y1")) * zoom > least)
 
 
-def named(rois: DataFrame, order_col: str) -> DataFrame:
-    """Regions without a name get ROI-n by their order (regions are drawn by hand: a table of one window is small)."""
-    return rois.withColumn("name", F.coalesce("name", F.concat(F.lit("ROI-"), F.row_number().over(Window.orderBy(order_col)))))
+def named(rois: DataFrame, order_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Regions without a name get ROI-n by their order, among those of an image where by names its columns (regions are
+    drawn by hand: those of one image are few)."""
+    return rois.withColumn("name", F.coalesce("name", F.concat(F.lit("ROI-"), F.row_number().over(Window.partitionBy(*by).orderBy(order_col)))))
 
 
-def without_last(rois: DataFrame, seq_col: str) -> DataFrame:
-    """Undo: all but the region of the greatest sequence number."""
+def without_last(rois: DataFrame, seq_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Undo: all but the region of the greatest sequence number, in each image where by names its columns (none null)."""
+    if by:
+        last = rois.groupBy(*by).agg(F.max(seq_col).alias("__top"))
+        return rois.join(last, [*by]).where(F.col(seq_col) < F.col("__top")).select(rois.columns)
     top = rois.agg(F.max(seq_col).alias("__top"))
     return rois.join(F.broadcast(top)).where(F.col(seq_col) < F.col("__top")).drop("__top")
 

@@ -10,7 +10,7 @@ from ..functions.palettes import PHENOTYPE_COLOURS
 from ..operators import phenotype as ph
 from ..operators import quantify, stats
 from .registry import NUDGE, query, rounded, table
-from .standins import CHANNELS, SQL_ADJ, SQL_CELLS, SQL_LONG, SQL_PARAMS, SQL_WIDE, cells, long_pixels, params, wide_pixels
+from .standins import CHANNELS, SQL_ADJ, SQL_CELLS, SQL_DENSE, SQL_LONG, SQL_PARAMS, SQL_WIDE, cells, dense, long_pixels, params, wide_pixels
 
 
 _MEASURES = ", ".join(f"round(avg({c}), 4) as mean_{n}, round(median({c}), 4) as median_{n}, round(sum({c}), 4) as total_{n}" for n, c in CHANNELS.items())
@@ -251,9 +251,10 @@ def scatter_data(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scatter(cells(spark, d), "mean_QTY", "mean_PRICE", "mean_TAX"))
 
 
-@query("A4", f"with {SQL_PARAMS} select ch_idx, '#' || lower(printf('%02x%02x%02x', r, g, b)) as hex from pr")
+@query("A4", f"with {SQL_DENSE} select y, x, '#' || lower(printf('%02x%02x%02x', v::int, (255 - v)::int, x::int)) as hex from dr")
 def hex_colours(spark: SparkSession, d: str) -> DataFrame:
-    return params(spark).select("ch_idx", hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("hex"))
+    px = dense(spark, d).withColumn("v", F.col("v").cast("int"))
+    return px.select("y", "x", hex_colour(F.col("v"), 255 - F.col("v"), F.col("x")).alias("hex"))
 
 
 @query("T5 T6 O9 A18")

@@ -15,7 +15,7 @@ from ..operators import roi as rg
 from ..operators import session as ss
 from ..sources import ome, raster, tables
 from .registry import query, rounded, table
-from .standins import SQL_NOTES, SQL_PARAMS, SQL_ROIS, SQL_RPARAMS, WIDTH, height, notes, params, raster_params, rois
+from .standins import SQL_DENSE, SQL_IMAGE_PARAMS, SQL_IMAGE_ROIS, SQL_NOTES, SQL_PARAMS, SQL_ROIS, SQL_RPARAMS, WIDTH, dense, height, image_params, image_rois, notes, params, raster_params, rois
 from .standins import raster as made
 from .queries_raster import PIXELS_IN_ROIS
 
@@ -158,18 +158,17 @@ def reply_edits(spark: SparkSession, d: str) -> DataFrame:
     return n.select("id", F.array_join(F.transform("replies", lambda r: r["text"]), "|").alias("replies"))
 
 
-@query("M4", f"with {SQL_ROIS} select name, roi_type, x1, y1, x2, y2 from ro")
+@query("M4", f"with {SQL_IMAGE_ROIS} select * from ir")
 def roi_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    r = rois(spark)
+    r = image_rois(spark, d)
     packed = r.select(F.to_json(F.struct(*r.columns)).alias("j"))
-    return packed.select(F.from_json("j", r.schema).alias("r")).select("r.name", "r.roi_type", "r.x1", "r.y1", "r.x2", "r.y2")
+    return packed.select(F.from_json("j", r.schema).alias("r")).select("r.*")
 
 
-@query("D4 R8", f"with {SQL_PARAMS} select ch_idx, visible, name, mn as min, mx as max, brightness, gamma from pr")
+@query("D4 R8", f"with {SQL_IMAGE_PARAMS} select image_id, ch_idx, visible, mn as min, mx as max, brightness, gamma from ip")
 def params_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    p = params(spark)
-    back = p.select(F.to_json(F.struct(*p.columns)).alias("j")).select(F.from_json("j", p.schema).alias("p")).select("p.*")
-    return back.select("ch_idx", "visible", "name", "min", "max", "brightness", "gamma")
+    p = image_params(spark, d)
+    return p.select(F.to_json(F.struct(*p.columns)).alias("j")).select(F.from_json("j", p.schema).alias("p")).select("p.*")
 
 
 @query("S14", "select event_id, (props ->> '$.k')::bigint as k from events")
@@ -298,14 +297,15 @@ def colour_ramp(spark: SparkSession, d: str) -> DataFrame:
     return rounded(v.select("v", *(p.alias(c) for c, p in zip("rgb", parts)), lerp_hex(F.lit("#0a84ff"), F.lit("#ff453a"), F.col("v")).alias("mix")))
 
 
-@query("S1 S2 S8 S11 S6 K6 K7 K14", "with r as (select (i // 70)::int as y, (i % 70)::int as x from range(50 * 70) t(i)) select y, x, (y * 31 + x * 17) % 256 as v from r")
+@query("S1 S2 S8 S11 S6 K6 K7 K14", f"with {SQL_DENSE} select 'm' || (y % 4) as name, (y // 4)::int as y, x::int as x, v::bigint as v from dr")
 def raster_source_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    at = work_dir(spark, "raster")
-    rgb = spark.range(50 * 70).selectExpr("cast(id div 70 as int) as y", "cast(id % 70 as int) as x").selectExpr("y", "x", "cast((y * 31 + x * 17) % 256 as int) as r", "0 as g", "255 as b")
-    raster.write_tiff(rgb, f"{at}/composite.tif", 50, 70).count()
-    raster.register(spark)
-    tiles = spark.read.format("raster").option("tile", 32).load(f"{at}/composite.tif").where("ch_idx = 0")
-    return raster.pixels(tiles).selectExpr("y", "x", "cast(v as bigint) as v")
+    """Every fourth row of the raster is an image of its own; the images are written, planned and read as tiles."""
+    at, h = work_dir(spark, "raster"), height(spark, d)
+    px = dense(spark, d).selectExpr("concat('m', y % 4) as name", "cast(y div 4 as int) as y", "x", "v")
+    raster.write_tiff(px, at, -(-h // 4), WIDTH, group="name").count()
+    read = raster.pixels(raster.tiles_of(raster.planned(spark, at), 48))
+    found = read.select(F.regexp_extract("image_id", r"([^/]+)\.tif$", 1).alias("name"), "y", "x", F.col("v").cast("long").alias("v"))
+    return found.where(F.col("y") * 4 + F.substring("name", 2, 1).cast("int") < h)  # a last row of fewer than four is filled up
 
 
 @query("S7 J1", "with r as (select (i // 40)::int as y, (i % 40)::int as x from range(30 * 40) t(i)) select 0 as ch_idx, sum(y * 40 + x)::double as total from r union all select 1, sum(x)::double from r")

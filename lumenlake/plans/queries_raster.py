@@ -17,7 +17,7 @@ from ..operators import tiling as tl
 from ..operators.stats import adjusted
 from ..sources.scratch import new_path
 from .registry import query, rounded
-from .standins import SQL_ADJ, SQL_CENTROIDS, SQL_DENSE, SQL_LONG, SQL_PARAMS, SQL_ROIS, SQL_RPARAMS, SQL_WIDE, WIDTH, centroids, dense, height, long_pixels, params, raster, raster_params, raster_tiles, rois, sql_raster, wide_pixels
+from .standins import SQL_ADJ, SQL_CENTROIDS, SQL_DENSE, SQL_IMAGE_PARAMS, SQL_IMAGE_ROIS, SQL_LONG, SQL_OUTLINES, SQL_PARAMS, SQL_ROIS, SQL_RPARAMS, SQL_WIDE, WIDTH, centroids, dense, height, image_params, image_rois, long_pixels, outlines, params, raster, raster_params, raster_tiles, rois, sql_raster, wide_pixels
 
 W = WIDTH
 _H = "(select hh from hh)"
@@ -143,16 +143,17 @@ def cursor_pixel(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", at["y"].alias("y"), at["x"].cast("bigint").alias("x"))
 
 
-@query("P20", "select false as changed union all select true")
+@query("P20", f"with {SQL_IMAGE_PARAMS} select image_id, bool_or(case when image_id % 3 = 0 then ch_idx = 2 else mx > 60000 end) as changed from ip group by image_id")
 def params_changed(spark: SparkSession, d: str) -> DataFrame:
-    a = params(spark)
-    near, far = a.withColumn("min", F.col("min") + 0.9), a.withColumn("gamma", F.when(F.col("ch_idx") == 2, 1.06).otherwise(F.col("gamma")))
-    return rs.params_changed(a, near).unionByName(rs.params_changed(a, far))
+    a = image_params(spark, d)
+    third = F.col("image_id") % 3 == 0
+    b = a.withColumns({"min": F.col("min") + 0.9, "gamma": F.col("gamma") + F.when(third & (F.col("ch_idx") == 2), 0.06).otherwise(0.04), "max": F.col("max") + F.when(~third & (F.col("max") > 60000), 1.5).otherwise(0.0)})
+    return rs.params_changed(a, b, ["image_id"])
 
 
-@query("R8", f"with {SQL_PARAMS} select sha256(string_agg(concat_ws('|', ch_idx, visible, mn, mx, brightness, gamma), chr(10) order by ch_idx)) as params_hash from pr")
+@query("R8", f"with {SQL_IMAGE_PARAMS} select image_id, sha256(string_agg(concat_ws('|', ch_idx, visible, mn, mx, brightness, gamma), chr(10) order by ch_idx)) as params_hash from ip group by image_id")
 def params_hash(spark: SparkSession, d: str) -> DataFrame:
-    return rs.params_hash(params(spark))
+    return rs.params_hash(image_params(spark, d), ["image_id"])
 
 
 _DISC = "b as (select y.i::int as y, x.i::int as x from range(64) y(i), range(96) x(i) where (y.i - 20.5)**2 + (x.i - 30.0)**2 <= 64)"
@@ -279,29 +280,30 @@ def roi_long_outline(spark: SparkSession, d: str) -> DataFrame:
     return rg.members(pixels.select("y", "x"), outline.select(F.lit("zigzag").alias("name"), F.lit("freehand").alias("roi_type"), *zero, "points"), height(spark, d), W)
 
 
-@query("A21 H4p", f"with {SQL_ROIS} select greatest(trunc(min(y1) * 4), 0)::int as y1, least(trunc(max(y2) * 4), 300)::int as y2, greatest(trunc(min(x1) * 4), 0)::int as x1, least(trunc(max(x2) * 4), 500)::int as x2 from ro")
+@query("A21 H4p", f"with {SQL_IMAGE_ROIS} select image_id, greatest(trunc(min(y1) * 4), 0)::int as y1, least(trunc(max(y2) * 4), 210)::int as y2, greatest(trunc(min(x1) * 4), 0)::int as x1, least(trunc(max(x2) * 4), 380)::int as x2 from ir group by image_id")
 def roi_union_bbox(spark: SparkSession, d: str) -> DataFrame:
-    return rg.union_box(rois(spark), 4, 300, 500)
+    return rg.union_box(image_rois(spark, d), 4, 210, 380, ["image_id"])
 
 
-@query("A22", "select 'free' as name, 10.0::double as x1, 10.0::double as y1, 70.0::double as x2, 50.0::double as y2 union all select 'line', 1, 1, 5, 5")
+@query("A22", f"with {SQL_OUTLINES} select image_id, min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2 from pt group by image_id")
 def freehand_bbox(spark: SparkSession, d: str) -> DataFrame:
-    return rois(spark).where("size(points) > 0").select("name", rg.points_box(F.col("points")).alias("q")).select("name", "q.*")
+    return outlines(spark, d).select("image_id", rg.points_box(F.col("points")).alias("q")).select("image_id", "q.*")
 
 
-@query("X8", "select 'free' as name, true as closes, true as large union all select 'line', false, true union all select 'off', false, true union all select 'rect', false, true union all select 'ring', false, true")
+@query("X8", f"with {SQL_OUTLINES}, f as (select image_id, count(*) as n, min(x) as x1, max(x) as x2, min(y) as y1, max(y) as y2, list({{'x': x, 'y': y}} order by k, x, y)[1] as p from pt group by image_id) select image_id, n >= 3 and 2 * sqrt(power(14 - p.x, 2) + power(14 - p.y, 2)) <= 12 as closes, (x2 - x1) * 2 > 3 and (y2 - y1) * 2 > 3 as large from f")
 def roi_closing_rule(spark: SparkSession, d: str) -> DataFrame:
-    return rois(spark).select("name", F.coalesce(rg.closes(F.col("points"), F.lit(14.0), F.lit(12.0), 2.0), F.lit(False)).alias("closes"), rg.large_enough(2.0).alias("large"))
+    drawn = outlines(spark, d).select("image_id", "points", rg.points_box(F.col("points")).alias("q")).select("image_id", "points", "q.*")
+    return drawn.select("image_id", rg.closes(F.col("points"), F.lit(14.0), F.lit(14.0), 2.0).alias("closes"), rg.large_enough(2.0).alias("large"))
 
 
-@query("W11", f"with {SQL_ROIS} select case when roi_type = 'rect' then 'ROI-' || row_number() over (order by x1) else name end as name, x1 from ro")
+@query("W11", f"with {SQL_IMAGE_ROIS} select image_id, seq, coalesce(name, 'ROI-' || row_number() over (partition by image_id order by seq)) as name from ir")
 def roi_naming(spark: SparkSession, d: str) -> DataFrame:
-    return rg.named(rois(spark).withColumn("name", F.when(F.col("roi_type") != "rect", F.col("name"))), "x1").select("name", "x1")
+    return rg.named(image_rois(spark, d), "seq", ["image_id"]).select("image_id", "seq", "name")
 
 
-@query("M7", f"with {SQL_ROIS} select name from ro where x1 < (select max(x1) from ro)")
+@query("M7", f"with {SQL_IMAGE_ROIS} select image_id, seq from ir where seq < (select max(o.seq) from ir o where o.image_id = ir.image_id)")
 def roi_undo(spark: SparkSession, d: str) -> DataFrame:
-    return rg.without_last(rois(spark), "x1").select("name")
+    return rg.without_last(image_rois(spark, d), "seq", ["image_id"]).select("image_id", "seq")
 
 
 _DIST = "sqrt(power(a.y - b.y, 2) + power(a.x - b.x, 2))"

@@ -153,3 +153,37 @@ SQL_NOTES = (
     "'user' || (conv_id % 3) as author, 'm' || (conv_id % 2) as machine_id from conversations where turn = 0), "
     "re as (select conv_id as pos, turn, 'r' || turn as id, text, role as author, 'm' || (turn % 2) as machine_id from conversations where turn > 0)"
 )
+
+# the same expressions in both engines
+_IMAGE_ROIS = (
+    "o_custkey as image_id", "o_orderkey as seq", "case when o_orderkey % 3 = 0 then o_orderpriority end as name", "cast(o_orderkey % 97 as double) as x1", "cast(o_orderkey % 53 as double) as y1",
+    "cast(o_orderkey % 97 + o_orderkey % 11 as double) as x2", "cast(o_orderkey % 53 + o_orderkey % 9 as double) as y2",
+)
+_IMAGE_PARAMS = "l_orderkey as image_id", "l_linenumber as ch_idx", "l_linenumber % 2 = 0 as visible", "l_quantity as {min}", "l_extendedprice as {max}", "1 + l_discount as brightness", "1 + l_tax as gamma"
+
+
+def image_rois(spark: SparkSession, d: str) -> DataFrame:
+    """orders as regions, a customer's on one image: image_id, seq, name (null of two in three), x1, y1, x2, y2."""
+    return table(spark, d, "orders").selectExpr(*_IMAGE_ROIS)
+
+
+SQL_IMAGE_ROIS = f"ir as (select {', '.join(_IMAGE_ROIS)} from orders)"
+
+
+def image_params(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem as display settings, an order's of one image: image_id, ch_idx, visible, min, max, brightness, gamma."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+    return lines.selectExpr(*(e.format(min="min", max="max") for e in _IMAGE_PARAMS))
+
+
+SQL_IMAGE_PARAMS = f"ip as (select {', '.join(_IMAGE_PARAMS).format(min='mn', max='mx')} from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_extendedprice) as l_extendedprice, max(l_discount) as l_discount, max(l_tax) as l_tax from lineitem group by 1, 2))"
+
+
+def outlines(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem as outlines drawn by hand, an order's lines being the points of one: image_id, points."""
+    point = F.struct("l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_suppkey") % 24).cast("double").alias("y"))
+    drawn = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.array_sort(F.collect_list(point)).alias("p"))
+    return drawn.select("image_id", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
+
+
+SQL_OUTLINES = "pt as (select l_orderkey as image_id, l_linenumber as k, l_quantity as x, (l_suppkey % 24)::double as y from lineitem)"

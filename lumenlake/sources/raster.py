@@ -2,7 +2,8 @@
 
 Options: path (files, comma-separated, or a folder), tile (side in pixels), axes ("auto", "pages", "samples"), level ("full"
 or "preview"). Filters on image_id, ch_idx, ty and tx prune partitions where spark.sql.python.filterPushdown.enabled is
-true. Files are read through pyarrow's file systems, so they may lie in a store that all executors reach.
+true. For many files, or for levels that files hold themselves, planned() reads the headers as a Spark job and tiles_of()
+reads the tiles of the plan's rows. Files are read through pyarrow's file systems, so they may lie in a store that all executors reach.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from . import tiff
+from .scratch import written
 
 # Endings of image files.
 EXTENSIONS = ("tif", "tiff", "ome.tif", "ome.tiff", "png", "jpg", "jpeg", "bmp", "gif", "webp", "svs", "ndpi", "czi")
@@ -58,6 +60,15 @@ def channel_axis(shape: Sequence[int]) -> tuple[str, int]:
     return "plane", 1
 
 
+def channels_of(found: Sequence[tiff.Page]) -> list[tuple[int, int]]:
+    """(page, sample) of each channel: the first page's samples, or the pages of its size, if they are at most 100."""
+    first = found[0]
+    if first.samples > 1:
+        return [(0, s) for s in range(first.samples)]
+    same = [i for i, p in enumerate(found) if (p.height, p.width) == (first.height, first.width)]
+    return [(i, 0) for i in same] if len(same) <= MANY_CHANNELS else [(0, 0)]
+
+
 @dataclass
 class TilePartition(InputPartition):
     path: str
@@ -94,8 +105,7 @@ class RasterReader(DataSourceReader):
             with fs.open_input_file(at) as source:
                 all_pages = list(tiff.pages(source))
             first = all_pages[0]
-            same = [i for i, p in enumerate(all_pages) if (p.height, p.width) == (first.height, first.width)]
-            places = [(0, s) for s in range(first.samples)] if first.samples > 1 else [(i, 0) for i in same] if len(same) <= MANY_CHANNELS else [(0, 0)]
+            places = channels_of(all_pages)
             ds = max(1, max(first.height, first.width) // self._max_dim) if self._level == "preview" else 1
             rows = -(-first.height // ds)
             found += [TilePartition(path, c, page, sample, ty) for c, (page, sample) in enumerate(places) if self._wanted(ch_idx=c) for ty in range(-(-rows // self._tile)) if self._wanted(ty=ty)]
@@ -134,6 +144,80 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+PLAN = "image_id string, ch_idx int, level int, height int, width int, dtype string, place long, sample int"
+#: Bytes of samples that one task of tiles_of reads, on average.
+TASK_BYTES = 64 << 20
+
+
+def planned(spark: SparkSession, *paths: str) -> DataFrame:
+    """A written table of what TIFF files hold (columns of PLAN), for files of any number: tasks read the headers.
+
+    A row for each image, channel and level; level 0 is the page itself, the others its smaller copies (sub-directories),
+    larger ones first. place is where the level's directory lies, so that who reads its rows reads one directory. Spark
+    lists paths (files, folders or patterns); files with other endings are passed over, and one that is no TIFF, or is a
+    czi file, is an error that names it. A folder without such files gives an empty table.
+    """
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                fs, at = open_path(path)
+                with fs.open_input_file(at) as source:
+                    try:
+                        found = list(tiff.pages(source))
+                        for c, (page, sample) in enumerate(channels_of(found) if found else ()):
+                            copies = sorted((tiff.page_at(source, x) for x in found[page].smaller), key=lambda p: -p.height * p.width)
+                            rows += [(path, c, k, p.height, p.width, p.dtype.str, p.place, sample) for k, p in enumerate([found[page], *copies])]
+                    except ValueError as e:
+                        raise ValueError(f"{path}: {e}") from e
+            kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.int64(), pa.int32()]
+            cols = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PLAN.split(", ")])
+
+    listed_ = spark.read.format("binaryFile").load(list(paths)).select("path").where(F.lower("path").rlike(r"\.(tiff?|svs|ndpi|czi)$"))
+    return written(listed_.mapInArrow(headers, PLAN), "plan")
+
+
+def levels_for(plan: DataFrame, side: int) -> DataFrame:
+    """Rows of plan of one level for each image and channel: the smallest whose longer side has side pixels, or else the largest."""
+    longer = F.greatest("height", "width").cast("long")
+    fit = F.struct(longer >= side, F.when(longer >= side, -longer).otherwise(longer), -F.col("level"))
+    best = plan.groupBy("image_id", "ch_idx").agg(F.max_by("level", fit).alias("level"))
+    return plan.join(best, ["image_id", "ch_idx", "level"], "left_semi")
+
+
+def tiles_of(plan: DataFrame, tile: int = 512) -> DataFrame:
+    """Tiles (columns of TILES, and level) of the rows of a plan; a task reads the bands of tiles that it is dealt.
+
+    Filters on images, channels, levels or sizes are filters on the plan: what they leave out is never opened.
+    """
+    rows = plan.where("height > 0 and width > 0")
+    bands = F.ceil(F.col("height") / tile).cast("int")
+    size = F.regexp_extract("dtype", "[0-9]+$", 0).cast("long")
+    held, n = rows.agg(F.sum(F.col("height").cast("long") * F.col("width") * size), F.sum(bands)).first()
+    tasks = max(1, min(n or 1, max(-(-(held or 0) // TASK_BYTES), plan.sparkSession.sparkContext.defaultParallelism)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), *[pa.int32()] * 7, pa.string(), pa.binary(), pa.int32()]
+        names = [x.split()[0] for x in TILES.split(", ")] + ["level"]
+        for batch in batches:
+            for r in batch.to_pylist():
+                fs, at = open_path(r["image_id"])
+                with fs.open_input_file(at) as source:
+                    page = tiff.page_at(source, r["place"])
+                    y0 = r["ty"] * tile
+                    band = tiff.read_rows(source, page, y0, min(page.height, y0 + tile))[:, :, r["sample"]]
+                for x0 in range(0, page.width, tile):
+                    part = np.ascontiguousarray(band[:, x0 : x0 + tile])
+                    part = part.astype(part.dtype.newbyteorder("<"))
+                    values = (r["image_id"], r["ch_idx"], r["ty"], x0 // tile, y0, x0, *part.shape, part.dtype.str, part.tobytes(), r["level"])
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
+
+    dealt = rows.withColumn("ty", F.explode(F.sequence(F.lit(0), bands - 1))).repartition(tasks, "image_id", "ch_idx", "level", "ty")
+    return dealt.mapInArrow(read, f"{TILES}, level int")
+
+
 PIXELS = "image_id string, ch_idx int, ty int, tx int, y int, x int, v double"
 
 

@@ -16,6 +16,7 @@ import numpy as np
 # Sizes and struct codes of field types.
 _TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 _WIDTH, _LENGTH, _BITS, _COMPRESSION, _PHOTO, _DESCRIPTION, _OFFSETS, _SAMPLES, _ROWS, _COUNTS, _XRES, _YRES, _PLANAR, _UNIT, _FORMAT = 256, 257, 258, 259, 262, 270, 273, 277, 278, 279, 282, 283, 284, 296, 339
+_SUB_DIRECTORIES = 330
 _PREDICTOR, _TILE_WIDTH, _TILE_LENGTH, _TILE_OFFSETS, _TILE_COUNTS = 317, 322, 323, 324, 325
 _KINDS = {1: "u", 2: "i", 3: "f"}
 # Compressions.
@@ -42,10 +43,26 @@ class Page:
     x_resolution: float = 0.0
     unit: int = 1
     tags: dict = field(default_factory=dict)
+    place: int = 0
 
+    @property
+    def smaller(self) -> list[int]:
+        """Places of the directories of the page's smaller copies."""
+        return [int(x) for x in self.tags.get(_SUB_DIRECTORIES, []) if x]
 
-def pages(source) -> Iterator[Page]:
-    """Pages of an open binary file, read from its directories alone."""
+
+@dataclass
+class _Layout:
+    """Byte order of a file, and what its directories are made of: size of an entry, codes of counts and of offsets."""
+
+    order: str
+    entry: int
+    number: str
+    offset: str
+    first: int
+
+
+def _layout(source) -> _Layout:
     source.seek(0)
     head = source.read(16)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
@@ -53,44 +70,61 @@ def pages(source) -> Iterator[Page]:
     if version not in (42, 43):
         raise ValueError("not a TIFF file")
     big = version == 43
-    # sizes of: entry, number of entries, offset, value field
     entry, number, offset = (20, "Q", "Q") if big else (12, "H", "I")
-    word = struct.calcsize(order + offset)
-    (at,) = struct.unpack_from(order + offset, head, 8 if big else 4)
-    seen = set()
+    return _Layout(order, entry, number, offset, struct.unpack_from(order + offset, head, 8 if big else 4)[0])
+
+
+def pages(source) -> Iterator[Page]:
+    """Pages of an open binary file, read from its directories alone."""
+    layout = _layout(source)
+    at, seen = layout.first, set()
     while at and at not in seen:
         seen.add(at)
-        source.seek(at)
-        (n,) = struct.unpack(order + number, source.read(struct.calcsize(order + number)))
-        entries = source.read(entry * n)
-        (at,) = struct.unpack(order + offset, source.read(word))
-        tags: dict[int, list] = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HH" + offset, entries, entry * k)
-            if kind not in _TYPES:
-                continue
-            size, code = _TYPES[kind]
-            raw = entries[entry * (k + 1) - word : entry * (k + 1)]
-            if size * count > word:
-                source.seek(struct.unpack(order + offset, raw)[0])
-                raw = source.read(size * count)
-            if code == "s":
-                tags[tag] = [raw[:count].rstrip(b"\0").decode("utf-8", "replace")]
-            elif code == "II":
-                pairs = struct.unpack(order + f"{2 * count}I", raw[: 8 * count])
-                tags[tag] = [a / b if b else 0.0 for a, b in zip(pairs[::2], pairs[1::2])]
-            else:
-                tags[tag] = list(struct.unpack(order + f"{count}{code}", raw[: size * count]))
-        one = lambda t, default: tags.get(t, [default])[0]  # noqa: B023, E731
-        bits = one(_BITS, 8)
-        if bits % 8:
-            raise ValueError(f"TIFF samples of {bits} bits are not read")
-        dtype = np.dtype(f"{order}{_KINDS.get(one(_FORMAT, 1), 'u')}{bits // 8}")
-        h, w = one(_LENGTH, 0), one(_WIDTH, 0)
-        tiled = _TILE_OFFSETS in tags
-        shape = (one(_TILE_LENGTH, h), one(_TILE_WIDTH, w)) if tiled else (min(one(_ROWS, h), h) or h, w)
-        places = (tags.get(_TILE_OFFSETS, []), tags.get(_TILE_COUNTS, [])) if tiled else (tags.get(_OFFSETS, []), tags.get(_COUNTS, []))
-        yield Page(h, w, one(_SAMPLES, 1), dtype, *shape, *places, one(_COMPRESSION, 1), one(_PREDICTOR, 1), one(_PLANAR, 1) == 2, one(_DESCRIPTION, ""), one(_XRES, 0.0), one(_UNIT, 1), tags)
+        page, at = _directory(source, layout, at)
+        yield page
+
+
+def page_at(source, place: int) -> Page:
+    """The page whose directory lies at a place of the file: one directory is read."""
+    return _directory(source, _layout(source), place)[0]
+
+
+def _directory(source, layout: _Layout, place: int) -> tuple[Page, int]:
+    """The page of a directory and the place of the next one."""
+    order, entry, number, offset = layout.order, layout.entry, layout.number, layout.offset
+    word = struct.calcsize(order + offset)
+    source.seek(place)
+    (n,) = struct.unpack(order + number, source.read(struct.calcsize(order + number)))
+    entries = source.read(entry * n)
+    (following,) = struct.unpack(order + offset, source.read(word))
+    tags: dict[int, list] = {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(order + "HH" + offset, entries, entry * k)
+        if kind not in _TYPES:
+            continue
+        size, code = _TYPES[kind]
+        raw = entries[entry * (k + 1) - word : entry * (k + 1)]
+        if size * count > word:
+            source.seek(struct.unpack(order + offset, raw)[0])
+            raw = source.read(size * count)
+        if code == "s":
+            tags[tag] = [raw[:count].rstrip(b"\0").decode("utf-8", "replace")]
+        elif code == "II":
+            pairs = struct.unpack(order + f"{2 * count}I", raw[: 8 * count])
+            tags[tag] = [a / b if b else 0.0 for a, b in zip(pairs[::2], pairs[1::2])]
+        else:
+            tags[tag] = list(struct.unpack(order + f"{count}{code}", raw[: size * count]))
+    one = lambda t, default: tags.get(t, [default])[0]
+    bits = one(_BITS, 8)
+    if bits % 8:
+        raise ValueError(f"TIFF samples of {bits} bits are not read")
+    dtype = np.dtype(f"{order}{_KINDS.get(one(_FORMAT, 1), 'u')}{bits // 8}")
+    h, w = one(_LENGTH, 0), one(_WIDTH, 0)
+    tiled = _TILE_OFFSETS in tags
+    shape = (one(_TILE_LENGTH, h), one(_TILE_WIDTH, w)) if tiled else (min(one(_ROWS, h), h) or h, w)
+    places = (tags.get(_TILE_OFFSETS, []), tags.get(_TILE_COUNTS, [])) if tiled else (tags.get(_OFFSETS, []), tags.get(_COUNTS, []))
+    page = Page(h, w, one(_SAMPLES, 1), dtype, *shape, *places, one(_COMPRESSION, 1), one(_PREDICTOR, 1), one(_PLANAR, 1) == 2, one(_DESCRIPTION, ""), one(_XRES, 0.0), one(_UNIT, 1), tags, place)
+    return page, following
 
 
 def unpack_bits(data: bytes) -> bytes:
