@@ -1,14 +1,17 @@
 """WARC derivatives: from each response record a metadata record and a plain-text conversion record.
 
-Both refer to the response by WARC-Refers-To and keep its target, date, HTTP status, headers and digests. Record ids are
-name-based, so a task that runs again makes the same records. Everything is per record: no shuffle; memory is bounded by
+Both refer to the response by WARC-Refers-To, with its target and date, and keep its HTTP status, HTTP and WARC headers and
+digests. Transfer and content codings are undone and the charset is taken from a byte order mark, the HTTP head or the
+page's meta elements; markup becomes its text, other text stays as it is. Record ids are name-based, so a task that runs
+again makes the same records. Everything is per record: no shuffle; memory is bounded by
 one Arrow batch. Files are read and written record by record, plain or with one gzip member a record.
 
 Cases: a null or empty page gives an empty conversion; a null url leaves WARC-Target-URI out; repeated rows give equal
-records, each returned; records of other types are left as they are (derive skips them); bytes that are no UTF-8 become
-replacement characters; an unclosed comment, script or tag ends with the page; a page of any length is one record, worked
+records, each returned; records of other types are left as they are (derive skips them); bytes that are not of the charset
+become replacement characters; a body of a type that is no text, or of a coding that is unknown or damaged, gives a metadata
+record alone, which says so; a coding that the head names but the body does not have was undone before; an unclosed comment, script or tag ends with the page; a page of any length is one record, worked
 on in memory in proportion to it; an empty table gives an empty table; other columns are not read. A file that ends within
-a record, or within a gzip member, raises an error.
+a record, or within a gzip member, or a record of a negative or no length, raises an error.
 """
 
 from __future__ import annotations
@@ -33,9 +36,9 @@ from .sstable import open_uri
 VERSION = b"WARC/1.1"
 _SPACE = uuid.UUID("8b0f4bb8-7d25-5a3c-9a52-5f2f6f0e6b11")
 
-RECORD = "key long, record_id string, warc_type string, target_uri string, warc_date string, refers_to string, content_type string, block_digest string, payload_digest string, block binary"
+RECORD = "key long, record_id string, warc_type string, target_uri string, warc_date string, refers_to string, content_type string, block_digest string, payload_digest string, headers string, block binary"
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
-_KINDS = [pa.int64(), *[pa.string()] * 8, pa.binary()]
+_KINDS = [pa.int64(), *[pa.string()] * 9, pa.binary()]
 
 # Elements whose content is not text, and elements that end a line.
 _RAW = frozenset(("script", "style", "template", "noscript", "textarea", "svg"))
@@ -46,6 +49,12 @@ _BREAKS = frozenset(
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
+_META = re.compile(rb"""<meta[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9_:.-]+)""", re.I)
+# WARC fields that have a column of RECORD; types of text besides text/*; marks of byte order.
+_OWN = ("warc-type", "warc-record-id", "warc-date", "warc-target-uri", "warc-refers-to", "warc-block-digest", "warc-payload-digest", "content-type", "content-length")
+_MARKUP = re.compile(r"text/(?:html|xml)|application/(?:xml|(?:[\w.-]+\+)?xml)|[\w.-]+/[\w.-]+\+xml")
+_TEXTUAL = re.compile(r"text/.+|application/(?:json|javascript|ecmascript|x-javascript|x-ndjson|yaml|x-yaml|rtf|sql)|[\w.-]+/[\w.-]+\+json")
+_MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 _CLOSERS = {name: re.compile(rf"</{name}(?![A-Za-z0-9])", re.I) for name in _RAW}
 
 
@@ -115,31 +124,145 @@ def parse_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines) if k.strip()], body
 
 
-def _charset(headers: list[tuple[str, str]]) -> str:
-    kind = next((v for k, v in headers if k.lower() == "content-type"), "")
+class NotReadable(ValueError):
+    """A body that has no text: of a type that is none, or of a coding that cannot be undone."""
+
+
+def _values(headers: list[tuple[str, str]], name: str) -> list[str]:
+    """The comma-separated values of all headers of a name, in lower case."""
+    return [x for k, v in headers if k.lower() == name for x in (y.strip().lower() for y in v.split(",")) if x]
+
+
+def unchunked(data: bytes) -> bytes:
+    """The bytes of a chunked body; bytes that do not begin with a chunk are returned as they are."""
+    out, at = [], 0
+    while True:
+        end = data.find(b"\n", at)
+        size = data[at : end if end >= 0 else len(data)].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            if at == 0:
+                return data
+            raise NotReadable("a chunk has no size")
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        if end < 0 or len(data) < end + 1 + n:
+            if at == 0:
+                return data
+            raise NotReadable("the last chunk is cut short")
+        out.append(data[end + 1 : end + 1 + n])
+        at = end + 1 + n
+        at += 2 if data.startswith(b"\r\n", at) else int(data.startswith(b"\n", at))
+
+
+def _inflate(data: bytes, bits: int) -> bytes:
+    """All members of a deflated body; one that is cut short or damaged is not readable."""
+    out = []
+    while data:
+        z = zlib.decompressobj(bits)
+        out.append(z.decompress(data) + z.flush())
+        if not z.eof:
+            raise zlib.error("cut short")
+        data = z.unused_data if bits == 31 and z.unused_data.startswith(b"\x1f\x8b") else b""
+    return b"".join(out)
+
+
+def undo(coding: str, data: bytes) -> bytes:
+    """The bytes before one transfer or content coding was applied."""
+    if coding in ("identity", "none", "") or not data:
+        return data
+    if coding == "chunked":
+        return unchunked(data)
+    try:
+        if coding in ("gzip", "x-gzip"):
+            return _inflate(data, 31) if data.startswith(b"\x1f\x8b") else data
+        if coding == "deflate":
+            try:
+                return _inflate(data, 15)
+            except zlib.error:
+                return _inflate(data, -15)
+    except zlib.error as e:
+        raise NotReadable(f"a body of coding {coding} is damaged") from e
+    raise NotReadable(f"coding {coding} is not known")
+
+
+def entity_of(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without its transfer codings, which payload digests are of."""
+    for coding in reversed(_values(headers, "transfer-encoding")):
+        body = undo(coding, body)
+    return body
+
+
+def charset_of(kind: str, data: bytes) -> tuple[str, int]:
+    """(charset, bytes of the mark that says so): by byte order mark, Content-Type, the page's meta elements, else UTF-8."""
+    for mark, name in _MARKS:
+        if data.startswith(mark):
+            return name, len(mark)
     name = kind.lower().partition("charset=")[2].split(";")[0].strip(" \"'")
+    if not _known(name) and (m := _META.search(data[:4096])):
+        name = m[1].decode().lower()
+        name = "utf-8" if name.startswith("utf-16") else name  # a page whose meta element can be read is not of two bytes
+    return (name, 0) if _known(name) else ("utf-8", 0)
+
+
+def _known(name: str) -> bool:
+    try:
+        return bool(name) and b"a".decode(name, "replace") is not None
+    except (LookupError, ValueError):
+        return False
+
+
+def decoded(kind: str, data: bytes) -> str:
+    name, mark = charset_of(kind, data)
     try:
-        "".encode(name or "utf-8")
-    except LookupError:
-        return "utf-8"
-    return name or "utf-8"
+        return data[mark:].decode(name, "replace")
+    except ValueError:  # codecs that know no replacement
+        return data.decode("utf-8", "replace")
 
 
-def derive_one(key: int | None, source_id: str, target: str | None, date: str | None, payload: str | None, block_digest: str | None, block: bytes | None) -> list[tuple]:
-    """The metadata and the conversion record of one response."""
+def body_text(headers: list[tuple[str, str]], entity: bytes) -> tuple[str, list[str]]:
+    """The text and the links of a body; NotReadable if it has none."""
+    for coding in reversed(_values(headers, "content-encoding")):
+        entity = undo(coding, entity)
+    kind = next((v for k, v in headers if k.lower() == "content-type"), "")
+    media = kind.split(";")[0].strip().lower()
+    if _MARKUP.fullmatch(media):
+        return text_and_links(decoded(kind, entity))
+    if _TEXTUAL.fullmatch(media):
+        return decoded(kind, entity).replace("\r\n", "\n").replace("\r", "\n"), []
+    if media:
+        raise NotReadable(f"type {media} is no text")
+    if b"\0" in entity[:4096] and not entity.startswith(tuple(mark for mark, _ in _MARKS)):
+        raise NotReadable("a body without a type holds zero bytes")
+    return text_and_links(decoded(kind, entity))
+
+
+def _lines(headers: str | None) -> list[tuple[str, str]]:
+    return [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in (headers or "").split("\n")) if k.strip()]
+
+
+def derive_one(key: int | None, source_id: str, target: str | None, date: str | None, payload: str | None, block_digest: str | None, headers: str | None, block: bytes | None) -> list[tuple]:
+    """The metadata record of one response and, if its body has text, the conversion record."""
     block = block or b""
-    status, headers, body = parse_http(block)
-    text, links = text_and_links(body.decode(_charset(headers), "replace"))
-    payload, block_digest = payload or digest(body), block_digest or digest(block)
-    plain = text.encode()
+    status, http, body = parse_http(block)
+    entity, text, links, lack = body, "", [], ""
+    try:
+        entity = entity_of(http, body)
+        text, links = body_text(http, entity)
+    except NotReadable as e:
+        lack = str(e)
+    payload, block_digest = payload or digest(entity), block_digest or digest(block)
+    plain = text.encode("utf-8", "replace")
     fields = [("source-record-id", source_id), ("source-block-digest", block_digest), ("source-payload-digest", payload), ("source-status", status)]
-    fields += [(f"source-header-{k.lower()}", v) for k, v in headers] + [("text-length", str(len(plain))), ("text-digest", digest(plain))]
+    fields += [(f"source-header-{k.lower()}", v) for k, v in http] + [(f"source-{k.lower()}", v) for k, v in _lines(headers)]
+    fields += [("text-absent", lack)] if lack else [("text-length", str(len(plain))), ("text-digest", digest(plain))]
     fields += [("outlink", " ".join(x.split())) for x in links]
-    about = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
-    return [
-        (key, record_id("metadata", source_id), "metadata", target, date, source_id, "application/warc-fields", digest(about), payload, about),
-        (key, record_id("conversion", source_id), "conversion", target, date, source_id, "text/plain; charset=utf-8", digest(plain), payload, plain),
-    ]
+    about = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
+    source = "\n".join(f"{k}: {' '.join(v.split())}" for k, v in (("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)) if v is not None) or None
+    found = [(key, record_id("metadata", source_id), "metadata", target, date, source_id, "application/warc-fields", digest(about), payload, source, about)]
+    if not lack:
+        found.append((key, record_id("conversion", source_id), "conversion", target, date, source_id, "text/plain; charset=utf-8", digest(plain), payload, source, plain))
+    return found
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -156,12 +279,12 @@ def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: s
     none = F.lit(None).cast("string")
     return pages.select(
         F.col(id_col).cast("long").alias("key"), as_uuid.alias("record_id"), F.lit("response").alias("warc_type"), F.col(url_col).cast("string").alias("target_uri"), F.lit(date).alias("warc_date"),
-        none.alias("refers_to"), F.lit("application/http; msgtype=response").alias("content_type"), none.alias("block_digest"), none.alias("payload_digest"), F.concat(F.encode(head, "UTF-8"), body).alias("block"),
+        none.alias("refers_to"), F.lit("application/http; msgtype=response").alias("content_type"), none.alias("block_digest"), none.alias("payload_digest"), none.alias("headers"), F.concat(F.encode(head, "UTF-8"), body).alias("block"),
     )
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two records for each response record of records (columns of RECORD)."""
+    """A metadata record, and a conversion record if there is text, for each response record of records (columns of RECORD)."""
 
     def derive_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,15 +296,15 @@ def derive(records: DataFrame) -> DataFrame:
                     rows = []
             yield _batch(rows)
 
-    wanted = records.where(F.col("warc_type") == "response").select("key", "record_id", "target_uri", "warc_date", "payload_digest", "block_digest", "block")
+    wanted = records.where(F.col("warc_type") == "response").select("key", "record_id", "target_uri", "warc_date", "payload_digest", "block_digest", "headers", "block")
     return wanted.mapInArrow(derive_batches, RECORD)
 
 
 def serialise(record: tuple) -> bytes:
     """One record as WARC bytes, without compression."""
-    _, rid, kind, target, date, refers, content, block_digest, payload, block = record
+    _, rid, kind, target, date, refers, content, block_digest, payload, *headers, block = record
     head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Refers-To", refers), ("WARC-Block-Digest", block_digest), ("WARC-Payload-Digest", payload)]
-    head += [("Content-Type", content), ("Content-Length", str(len(block or b"")))]
+    head += [x for h in headers for x in _lines(h)] + [("Content-Type", content), ("Content-Length", str(len(block or b"")))]
     return VERSION + b"\r\n" + "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + (block or b"") + b"\r\n\r\n"
 
 
@@ -192,18 +315,25 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"a WARC record begins with its version, not {line[:20]!r}")
-        head: dict[str, str] = {}
+        lines: list[list[str]] = []
         while (line := stream.readline()).strip() or not line:
             if not line:
                 raise ValueError("a WARC file ends within a record's head")
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
-        size = int(head.get("content-length", 0))
+            if line[:1] in b" \t" and lines:  # a value that goes on
+                lines[-1][1] += " " + line.decode("utf-8", "replace").strip()
+            else:
+                lines.append([name.strip(), value.strip()])
+        head = {k.lower(): v for k, v in lines}
+        size = int(head.get("content-length", -1))
+        if size < 0:
+            raise ValueError("a WARC record has no length, or a negative one")
         block = stream.read(size)
         if len(block) < size:
             raise ValueError(f"a WARC record of {size} bytes ends after {len(block)}")
         get = head.get
-        yield None, get("warc-record-id"), get("warc-type"), get("warc-target-uri"), get("warc-date"), get("warc-refers-to"), get("content-type"), get("warc-block-digest"), get("warc-payload-digest"), block
+        more = "\n".join(f"{k}: {v}" for k, v in lines if k.lower() not in _OWN) or None
+        yield None, get("warc-record-id"), get("warc-type"), get("warc-target-uri"), get("warc-date"), get("warc-refers-to"), get("content-type"), get("warc-block-digest"), get("warc-payload-digest"), more, block
 
 
 def write_warc(records: DataFrame, out: str, compress: bool = True) -> DataFrame:
