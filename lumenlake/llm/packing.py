@@ -4,7 +4,8 @@ Documents become pieces of at most the sequence's length; only longer ones are c
 shorter. Pieces are dealt by a hash of their row into groups of a bounded size. Each group is packed by best fit
 decreasing and improved by local search: from the least filled bin, single documents move, one is exchanged for one, or
 two for one, with other underfull bins, each step increasing the sum of squared fills, until the bin is empty or no step
-is left. What lies in bins that stay underfull is dealt into new groups and packed once more. Only lengths are packed:
+is left. What lies in bins that stay underfull is dealt into new groups and packed once more, until one group holds it or
+a round leaves over half of it underfull. Only lengths are packed:
 texts are encoded where they are read and never shuffled.
 
 Cases: a null or empty text is one piece with the end id alone; null ids and repeated rows are pieces of their own; an
@@ -13,9 +14,10 @@ empty table gives an empty table; other columns are not read; a text of any leng
 
 from __future__ import annotations
 
-import heapq
 import zlib
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +31,7 @@ from .tokens import encoder
 CAPACITY = 2048
 #: Pieces of one packing group, on average.
 GROUP_PIECES = 32_768
-#: Bins filled less than this share are packed once more, across groups.
+#: Bins filled less than this share are packed again, across groups.
 LOOSE_FILL = 0.97
 
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -99,117 +101,148 @@ def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Index:
+    """Bins by a value that they hold (a length, or the sum of two) and the room beside it.
+
+    What takes a value's place has the room and the value, together span, to lie in.
+    """
+
+    def __init__(self, capacity: int):
+        self._bins: dict[tuple[int, int], dict[int, None]] = {}  # (span, room) -> bins in order
+        self._rooms = [0] * (capacity + 1)  # span -> bit set of rooms
+        self._most = np.zeros(capacity + 1, np.int64)  # span -> the largest room
+        self._excess = np.arange(capacity + 1)
+
+    def add(self, b: int, room: int, values: Iterable[int]) -> None:
+        for v in values:
+            self._bins.setdefault((v + room, room), {})[b] = None
+            self._rooms[v + room] |= 1 << room
+            self._most[v + room] = max(self._most[v + room], room)
+
+    def drop(self, b: int, room: int, values: Iterable[int]) -> None:
+        for v in values:
+            same = self._bins[v + room, room]
+            del same[b]
+            if not same:
+                del self._bins[v + room, room]
+                self._rooms[v + room] &= ~(1 << room)
+                self._most[v + room] = max(self._rooms[v + room].bit_length() - 1, 0)
+
+    def best(self, x: int, below: int) -> tuple[int, int] | None:
+        """(bin, value) of the exchange of x for a lesser value that leaves the bin least room, under below."""
+        most = self._most[x : x + below]
+        ok = most > self._excess[: len(most)]
+        left = int(ok.argmax()) if len(ok) else 0
+        if not len(ok) or not ok[left]:
+            return None
+        room = int(most[left])
+        return next(reversed(self._bins[x + left, room])), x + left - room
+
+
 class _Search:
-    """Local search over the underfull bins of one group."""
+    """Local search over the underfull bins of one group; a step touches the indexes of the one bin that it changes.
+
+    The bin that gives is out of the indexes meanwhile.
+    """
 
     def __init__(self, lengths: Sequence[int], bins: list[list[int]], capacity: int):
-        self.n = np.asarray(lengths, np.int64)
-        self.bins, self.capacity = bins, capacity
-        self.home = np.empty(len(lengths), np.int64)
-        self.room = np.empty(len(bins), np.int64)
-        for b, items in enumerate(bins):
-            self.home[items] = b
-            self.room[b] = capacity - int(self.n[items].sum())
-        self._pairs_of: list[np.ndarray | None] = [None] * len(bins)
-        self._all_pairs: np.ndarray | None = None
-
-    def _best(self, mask: np.ndarray, left: np.ndarray) -> int:
-        """The admissible exchange after which the other bin has least room."""
-        at = np.flatnonzero(mask)
-        return int(at[np.argmin(left[at])]) if len(at) else -1
-
-    def _shift(self, items: Sequence[int], to: int) -> None:
-        for i in items:
-            a = int(self.home[i])
-            self.bins[a].remove(i)
-            self.bins[to].append(i)
-            self.room[a] += self.n[i]
-            self.room[to] -= self.n[i]
-            self.home[i] = to
-            self._pairs_of[a] = self._pairs_of[to] = None
-        self._all_pairs = None
-
-    def _different(self, b: int, each: int) -> list[int]:
-        """Pieces of a bin, the longest first, at most so many of each length."""
+        self.n, self.bins, self.capacity = [int(x) for x in lengths], bins, capacity
+        self.room = [capacity - sum(self.n[i] for i in items) for items in bins]
+        self._by_room: list[dict[int, None]] = [{} for _ in range(capacity + 1)]
+        self._rooms = 0  # bit set of the rooms that bins have
+        self._one, self._two = _Index(capacity), _Index(capacity)
+        for b in range(len(bins)):
+            self.enter(b)
+
+    def _lengths(self, b: int) -> list[int]:
+        return sorted({self.n[i] for i in self.bins[b]}, reverse=True)
+
+    def _sums(self, b: int) -> list[int]:
+        """The sums of two pieces of a bin, each once, the largest first."""
+        times = Counter(self.n[i] for i in self.bins[b])
+        return sorted({x + y for x, y in combinations(times, 2)} | {2 * x for x, k in times.items() if k > 1}, reverse=True)
+
+    def _pieces(self, b: int, value: int, two: bool) -> list[int]:
+        """One piece of a bin of that length, or two of that sum."""
+        if not two:
+            return [next(i for i in self.bins[b] if self.n[i] == value)]
         seen: dict[int, int] = {}
-        out = []
-        for i in sorted(self.bins[b], key=lambda i: -self.n[i]):
-            n = int(self.n[i])
-            seen[n] = seen.get(n, 0) + 1
-            if seen[n] <= each:
-                out.append(i)
-        return out
-
-    def _pairs_in(self, b: int) -> np.ndarray:
-        """One pair of pieces for each pair of lengths that a bin holds."""
-        if self._pairs_of[b] is None:
-            found = {tuple(self.n[list(p)].tolist()): p for p in combinations(self._different(b, 2), 2)}
-            self._pairs_of[b] = np.asarray(list(found.values()), np.int64).reshape(-1, 2)
-        return self._pairs_of[b]
-
-    def _pairs(self) -> np.ndarray:
-        if self._all_pairs is None:
-            self._all_pairs = np.concatenate([np.zeros((0, 2), np.int64), *(self._pairs_in(b) for b in np.flatnonzero(self.room > 0).tolist() if len(self.bins[b]) > 1)])
-        return self._all_pairs
+        for i in self.bins[b]:
+            if (other := seen.get(value - self.n[i])) is not None:
+                return [other, i]
+            seen[self.n[i]] = i
+        raise KeyError(value)
+
+    def enter(self, b: int) -> None:
+        if self.bins[b] and self.room[b] > 0:
+            self._by_room[self.room[b]][b] = None
+            self._rooms |= 1 << self.room[b]
+            self._one.add(b, self.room[b], self._lengths(b))
+            self._two.add(b, self.room[b], self._sums(b))
+
+    def leave(self, b: int) -> None:
+        if self.bins[b] and self.room[b] > 0:
+            del self._by_room[self.room[b]][b]
+            if not self._by_room[self.room[b]]:
+                self._rooms &= ~(1 << self.room[b])
+            self._one.drop(b, self.room[b], self._lengths(b))
+            self._two.drop(b, self.room[b], self._sums(b))
+
+    def _swap(self, e: int, give: list[int], b: int, take: list[int]) -> None:
+        self.leave(b)
+        for frm, to, items in ((e, b, give), (b, e, take)):
+            for i in items:
+                self.bins[frm].remove(i)
+                self.bins[to].append(i)
+                self.room[frm] += self.n[i]
+                self.room[to] -= self.n[i]
+        self.enter(b)
 
     def step(self, e: int) -> bool:
-        """One step that takes from bin e; True if there was one. The other bin gets fuller, so squared fills grow."""
-        items = self._different(e, 1)
-        fill = self.capacity - self.room[e]
-        for i in items:  # a move
-            fits = (self.room >= self.n[i]) & (self.capacity - self.room + self.n[i] > fill)
-            fits[e] = False
-            if (b := self._best(fits, self.room)) >= 0:
-                self._shift([i], b)
-                return True
-        room_at = self.room[self.home]
-        for give in [(i,) for i in items] + self._pairs_in(e).tolist():  # one for one, two for one
-            x = int(sum(self.n[j] for j in give))
-            left = room_at + self.n - x
-            gain = (left >= 0) & (self.n < x) & (self.capacity - left > fill)
-            gain[self.bins[e]] = False
-            if (j := self._best(gain, left)) >= 0:
-                b = int(self.home[j])
-                self._shift([j], e)
-                self._shift(give, b)
-                return True
-        if len(pairs := self._pairs()):
-            both, room = self.n[pairs].sum(1), self.room[self.home[pairs[:, 0]]]
-            own = self.home[pairs[:, 0]] == e
-            for i in items:  # one for two
-                left = room + both - self.n[i]
-                if (p := self._best((left >= 0) & (both < self.n[i]) & (self.capacity - left > fill) & ~own, left)) >= 0:
-                    taken, b = pairs[p].tolist(), int(self.home[pairs[p, 0]])
-                    self._shift(taken, e)
-                    self._shift([i], b)
+        """One step that takes from bin e; True if there was one. The other bin gets fuller than e, so squared fills grow."""
+        lengths, room = self._lengths(e), self.room[e]
+        for x in lengths:  # a move: into the least room that fits
+            if fits := self._rooms >> x:
+                least = x + (fits & -fits).bit_length() - 1
+                if least - x < room:
+                    self._swap(e, self._pieces(e, x, False), next(reversed(self._by_room[least])), [])
                     return True
+        for two, values in ((False, lengths), (True, self._sums(e))):  # one for one, two for one
+            for x in values:
+                if found := self._one.best(x, room):
+                    b, v = found
+                    self._swap(e, self._pieces(e, x, two), b, self._pieces(b, v, False))
+                    return True
+        for x in lengths:  # one for two
+            if found := self._two.best(x, room):
+                b, v = found
+                self._swap(e, self._pieces(e, x, False), b, self._pieces(b, v, True))
+                return True
         return False
 
 
 def local_search(lengths: Sequence[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Empty as many bins as exchanges can; ends at once where the bound shows that no packing has fewer."""
+    """Empty as many bins as exchanges can; ends where the bound shows that no packing has fewer, or no step is left.
+
+    Sweeps over the underfull bins, the least filled first.
+    """
     least, live = lower_bound(lengths, capacity), len(bins)
     if live > least:
         search = _Search(lengths, bins, capacity)
-        queue = [(capacity - int(search.room[b]), b) for b in range(len(bins)) if search.room[b] > 0]
-        heapq.heapify(queue)  # the least filled first
-        stuck: set[int] = set()
-        while queue and live > least:
-            fill, e = heapq.heappop(queue)
-            if not bins[e] or capacity - int(search.room[e]) != fill:
-                continue
+        moved = True
+        while moved and live > least:
             moved = False
-            while bins[e] and search.step(e):
-                moved = True
-            if not bins[e]:
-                search.room[e] = 0  # nothing moves into an empty bin
-                live -= 1
-                continue
-            if moved:  # room has grown in this bin: what had no step before may have one now
-                for b in [b for b in stuck if not bins[b] or min(lengths[i] for i in bins[b]) <= search.room[e]]:
-                    stuck.discard(b)
-                    heapq.heappush(queue, (capacity - int(search.room[b]), b))
-            stuck.add(e)
+            for e in sorted((b for b in range(len(bins)) if bins[b] and search.room[b] > 0), key=lambda b: (-search.room[b], b)):
+                if not bins[e] or not search.room[e]:
+                    continue
+                search.leave(e)
+                while bins[e] and search.step(e):
+                    moved = True
+                search.enter(e)
+                if not bins[e]:
+                    live -= 1
+                    if live == least:
+                        break
     return [b for b in bins if b]
 
 
@@ -226,9 +259,9 @@ def pack(lengths: Sequence[int], capacity: int) -> list[list[int]]:
 _PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
 
 
-def _pack_groups(pieces: DataFrame, capacity: int, first: int, mean_pieces: int) -> DataFrame:
-    """Pack pieces group by group; sequence ids begin at the group's number, counted from first, in the high bits."""
-    groups = max(1, -(-pieces.count() // mean_pieces))
+def _pack_groups(pieces: DataFrame, capacity: int, first: int, mean_pieces: int, n: int) -> tuple[DataFrame, int]:
+    """Pack n pieces group by group; sequence ids begin at the group's number, counted from first, in the high bits."""
+    groups = max(1, -(-n // mean_pieces))
 
     def pack_group(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("row", "ascending"), ("piece", "ascending")])
@@ -253,11 +286,19 @@ def _pack_groups(pieces: DataFrame, capacity: int, first: int, mean_pieces: int)
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, mean_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
     pieces, _ = materialise(pieces_of(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
-    packed, groups = _pack_groups(pieces, capacity, 0, mean_pieces)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    if groups == 1:
-        return packed.select(names)
-    packed, _ = materialise(packed, "packed")
     loose = F.col("fill") < int(LOOSE_FILL * capacity)
-    again, _ = _pack_groups(packed.where(loose).select(pieces.columns), capacity, groups, mean_pieces)
-    return packed.where(~loose).select(names).unionByName(again.select(names))
+    done, first, n = [], 0, pieces.count()
+    while True:
+        packed, groups = _pack_groups(pieces, capacity, first, mean_pieces, n)
+        if groups == 1:
+            done.append(packed.select(names))
+            break
+        packed, _ = materialise(packed, "packed")
+        before, n = n, packed.where(loose).count()
+        if first and 2 * n > before:  # what fills no bins in new company either
+            done.append(packed.select(names))
+            break
+        done.append(packed.where(~loose).select(names))
+        pieces, first = packed.where(loose).select(pieces.columns), first + groups
+    return reduce(DataFrame.unionByName, done)
