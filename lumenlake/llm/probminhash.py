@@ -43,8 +43,6 @@ BANDS, ROWS = 40, 6
 STARS = 2
 #: Texts, and bytes of text, in one block of a bucket, on average; and bytes of text that one task gets.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
-#: Weighted sets are compared exactly where their registers agree in this share or more: ten deviations under the threshold's.
-LIKELY = 0.55
 
 _U = np.uint64
 
@@ -146,8 +144,9 @@ def linked_classes(texts: list[str], classes: np.ndarray | None = None, side: np
     """Classes of texts under links at the threshold, as least indices, and links that join them: (i, j, similarity).
 
     classes: texts of equal numbers are joined already; side: compare only texts of different sides. Plain Jaccard is
-    exact for all pairs, by counting posting lists; where shingles repeat within a text, pairs whose registers are alike
-    are compared as weighted sets too.
+    exact for all pairs, by counting posting lists; where shingles repeat within a text, so is probability Jaccard: no two
+    samples agree more often than the shares of their weights overlap, so pairs whose overlap, summed from the same posting
+    lists, is under the threshold need no further look.
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     offsets = np.append(0, np.cumsum([len(r) for r in raw]))
@@ -163,8 +162,13 @@ def linked_classes(texts: list[str], classes: np.ndarray | None = None, side: np
     number[by] = np.cumsum(new) - 1
     posting, length = t[by], np.diff(np.append(first, len(h)))
     repeats = np.bincount(t, weights=w > 1, minlength=n) > 0
-    registers = signatures(h, t, w, n, BANDS * ROWS).astype(np.uint16) if repeats.any() else None
+    share = w / np.maximum(np.bincount(t, weights=w, minlength=n), 1)[t]
+    posted = share[by]
     label, links = np.arange(n), []
+
+    def exact(i: int, j: int) -> float:
+        return max(similarity(*((h[begin[x] : begin[x + 1]], w[begin[x] : begin[x + 1]]) for x in (i, j))))
+
     if classes is not None and n:
         _, head, inverse = np.unique(classes, return_index=True, return_inverse=True)
         label = head[inverse]
@@ -180,17 +184,16 @@ def linked_classes(texts: list[str], classes: np.ndarray | None = None, side: np
         shared = np.bincount(posting[at], minlength=n)
         alike = shared / np.maximum(sizes + sizes[i] - shared, 1)
         link = open_ & (alike >= THRESHOLD - 1e-12)
-        if registers is not None:
-            odd = np.flatnonzero(open_ & ~link & (shared > 0) & (repeats | repeats[i]))
-            odd = odd[(registers[odd] == registers[i]).mean(1) >= LIKELY]
-            own = (h[begin[i] : begin[i + 1]], w[begin[i] : begin[i + 1]])
+        if repeats.any():
+            overlap = np.bincount(posting[at], weights=np.minimum(posted[at], np.repeat(share[begin[i] : begin[i + 1]], k)), minlength=n)
+            odd = np.flatnonzero(open_ & ~link & (overlap >= THRESHOLD - 1e-9) & (repeats | repeats[i]))
             for j in odd.tolist():
-                alike[j] = similarity(own, (h[begin[j] : begin[j + 1]], w[begin[j] : begin[j + 1]]))[0]
+                alike[j] = exact(i, j)
                 link[j] = alike[j] >= THRESHOLD - 1e-12
         if link.any():
             at = np.flatnonzero(link)
             _, one = np.unique(label[at], return_index=True)
-            links += [(i, int(j), float(alike[j])) for j in at[one]]
+            links += [(i, j, exact(i, j) if repeats[i] or repeats[j] else float(alike[j])) for j in at[one].tolist()]
             joined = np.unique(np.append(label[link], label[i]))
             label[np.isin(label, joined)] = joined[0]
     return label, links
@@ -325,18 +328,38 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity")
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, node (what equal texts share), class_id and class_size in documents."""
+def _degrees(links: DataFrame) -> DataFrame:
+    """(node, n_links, most_alike) of the texts that have links; a link found in several turns counts once."""
+    once = links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
+    ends = once.select(F.explode(F.array("a", "b")).alias("node"), "similarity")
+    return ends.groupBy("node").agg(F.count("*").alias("n_links"), F.max("similarity").alias("most_alike"))
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
+    """A row for each row of docs: doc_id, node (what equal texts share), class_id, class_size in documents and kept_node.
+
+    with_links adds class_texts, the number of different texts in the class, n_links, that of the verified links by which
+    the row's text holds to others of its class, and most_alike, the greatest similarity of these (null: none). These links
+    span the class: between k texts there are k - 1 or more, not all pairs.
+    """
     rows, signed, nodes = _signed(docs, id_col, text_col)
-    _, labels = _verified(nodes, rows)
+    links, labels = _verified(nodes, rows)
     own = nodes.select("node", "least", "copies")
     own = own.withColumn("comp", F.col("node")) if labels is None else own.join(labels, "node", "left").select("node", "least", "copies", F.coalesce("comp", "node").alias("comp"))
     found, _ = materialise(own, "nodes")
-    classes = found.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min_by("node", F.struct(F.col("least").isNull(), F.col("least"), F.col("node"))).alias("kept_node"))
+    first = F.min_by("node", F.struct(F.col("least").isNull(), F.col("least"), F.col("node"))).alias("kept_node")
+    classes = found.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), first, F.count("*").alias("class_texts"))
     # written, so that the join's sides are plain shuffles and a class of many texts can be split
     classes, _ = materialise(classes, "classes")
-    by_node = found.join(classes, "comp").select("node", "class_id", "class_size", "kept_node")
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_id", "class_size", "kept_node")
+    names = ["class_id", "class_size", "kept_node"]
+    by_node = found.join(classes, "comp")
+    if with_links:
+        names += ["class_texts", "n_links", "most_alike"]
+        if links is None:
+            by_node = by_node.withColumns({"n_links": F.lit(0).cast("long"), "most_alike": F.lit(None).cast("double")})
+        else:
+            by_node = by_node.join(materialise(_degrees(links), "degrees")[0], "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return signed.select("doc_id", "node").join(by_node.select("node", *names), "node").select("doc_id", "node", *names)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -64,7 +64,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    return probminhash.near_duplicate_classes(table(spark, sf_dir, "documents"), with_links=True).drop("node", "kept_node")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
