@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts_of
-from .tokens import encoder
+from .common import materialise, slices, texts_of
+from .tokens import MAX_PIECES, encoder
 
 CAPACITY = 2048
 #: Pieces of one packing group, on average.
@@ -43,16 +43,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)] if n else []
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", max_pieces: int = MAX_PIECES) -> DataFrame:
     """The pieces of every document; row tells documents apart that have the same id and text."""
 
     def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer_path, max_pieces), np.asarray([end_id], "<u4").tobytes()
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for row, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids = enc.encode(text) + end
+            for row, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), enc.encode_all(batch.column(2).to_pylist())):
+                ids += end
                 for k, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((row, doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])))
             cols = list(zip(*rows)) or [()] * 6
@@ -283,9 +283,12 @@ def _pack_groups(pieces: DataFrame, capacity: int, first: int, mean_pieces: int,
     return dealt.groupBy("g").applyInArrow(pack_group, _PACKED), groups
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, mean_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    pieces, _ = materialise(pieces_of(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, mean_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text", max_pieces: int = MAX_PIECES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
+
+    max_pieces: what a worker remembers of the tokenizer's work; fewer take less memory and more time.
+    """
+    pieces, _ = materialise(pieces_of(docs, tokenizer_path, capacity, end_id, id_col, text_col, max_pieces), "pieces")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     loose = F.col("fill") < int(LOOSE_FILL * capacity)
     done, first, n = [], 0, pieces.count()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import release, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -420,7 +420,8 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     plain = plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
 
     def mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             yield batch.set_column(at, f"c{at}", pa.array([masked(t) for t in batch.column(at).to_pylist()], pa.string()))
 
     return plain.mapInArrow(mask_batches, plain.schema).toDF(*docs.columns)
