@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, texts_of
+from .common import materialise, scratch_path, slices, texts_of
 from .tokens import encoder
 
 MAGIC = b"LLSST\x001\n"
@@ -263,13 +263,13 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str | None = None, e
             sink.close()
             rows.append((path, part, len(rows), writer.docs, writer.ids, writer.written, writer.first, writer.last))
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in slices(batches):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist())):
                 if writer is None:
                     path = f"{folder}/part-{part:06d}-{len(rows):04d}-{ctx.taskAttemptId()}.sst"
                     sink = fs.open_output_stream(path)
                     writer = TableWriter(sink, width)
-                writer.add(key_of(doc_id), np.frombuffer(enc.encode(text) + end, "<u4"))
+                writer.add(key_of(doc_id), np.frombuffer(ids + end, "<u4"))
                 if writer.written >= shard_bytes or writer.docs >= shard_docs:
                     finish()
                     writer = None
