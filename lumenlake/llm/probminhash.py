@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .bitset import filter_of, may_hold
-from .common import free_name, materialise, release, texts_of
+from .common import free_name, materialise, release, slices, texts_of
 from .shingles import bytes_of, counted, mix, runs, shingle_hashes
 
 SHINGLE = 5
@@ -127,7 +127,7 @@ def weighted_set(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
-    for batch in batches:
+    for batch in slices(batches):
         data, offsets = bytes_of(batch.column(2))
         out = []
         for i, j in runs(offsets):

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from lumenlake.llm import packing, tokens
+from lumenlake.llm import packing, probminhash, tokens
 from lumenlake.llm.common import SLICE_ROWS, slices
 
 
@@ -41,3 +41,12 @@ def test_a_word_is_one_piece_before_any_mark():
     cut = [tokens._PIECES.findall(t) for t in ("gro### gro*** gro1 gro, gro", "aд1 naïve& \n\nb(c)")]
     assert cut[0] == ["gro", "###", " gro", "***", " gro", "1", " gro", ",", " gro"]
     assert cut[1] == ["aд1", " naïve", "&", " \n\nb", "(c)"]
+
+
+def test_signatures_are_made_slice_by_slice():
+    n = 2 * SLICE_ROWS + 3
+    batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array([b"%d" % i for i in range(n)], pa.binary()), pa.array([None, *(f"some words of text number {i}" for i in range(n - 1))])], names=["doc_id", "node", "text"])
+    got = list(probminhash._sign_batches([batch]))
+    assert [b.num_rows for b in got] == [SLICE_ROWS, SLICE_ROWS, 3]
+    alone = [b for i in range(0, n, 100) for b in probminhash._sign_batches([batch.slice(i, 100)])]
+    assert pa.Table.from_batches(got).to_pylist() == pa.Table.from_batches(alone).to_pylist()
